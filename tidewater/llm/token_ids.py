@@ -29,6 +29,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +186,12 @@ class TextEncoder:
         return [f.tobytes() + b"".join(map(get, w[1:])) if w else f.tobytes() for f, w in zip(first, split, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> TextEncoder:
+    """One encoder per Python worker, which keeps its pieces from task to task."""
+    return TextEncoder(path)
+
+
 def _store(uri: str):
     """A file system and path for a folder that executors share."""
     from pyarrow import fs
@@ -277,7 +284,7 @@ def write_token_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: in
         part, writer, encoder = TaskContext.get().partitionId(), None, None
         for batch in batches:
             writer = writer or ShardWriter(shards, part)
-            encoder = encoder or TextEncoder(vocabulary)
+            encoder = encoder or _encoder(vocabulary)
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
                 for doc, ids in zip(some.column(0).to_pylist(), encoder(some.column(1).to_pylist()), strict=True):
@@ -295,7 +302,7 @@ def read_token_shards(spark: SparkSession, folder: str, ids: bool = False) -> Da
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     # one row per shard, so one task can number them
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = manifest.withColumn("start", before).repartition("shard").select("shard", "start")
+    placed = manifest.withColumn("start", before).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").select("shard", "start")
     shards = f"{folder}/shards"
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
 
