@@ -1,4 +1,7 @@
-"""The registered queries of the signal and sequence operators."""
+"""The registered queries of the signal and sequence operators, and the same in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import signals
+
+QUERIES = {**signals.QUERIES}
+ORACLE = {**signals.ORACLE}
+flagship = signals.normalise_pm1
