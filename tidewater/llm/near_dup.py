@@ -163,30 +163,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     reps = some.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
     sigs = reps.groupBy("doc_id").agg(F.first("sig").alias("sig"))
     posted = reps.select("doc_id", F.explode("bands").alias("bucket")).distinct()
-    shared = posted.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
-    members = materialise(posted.join(shared.select("bucket", "hub"), "bucket"), "buckets")
+    shared = posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(posted.join(shared, "bucket"), "members")
+    # the document that shares most buckets with most others stands nearest to the middle of its group
+    degree = members.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("degree"))
+    members = materialise(members.join(degree, "doc_id").select("bucket", "doc_id", "degree"), "buckets")
+    middle = members.groupBy("bucket").agg(F.max(F.struct("degree", "doc_id"))["doc_id"].alias("hub"))
+    star = materialise(members.join(middle, "bucket").select("bucket", "doc_id", "degree", "hub"), "star")
     texts = docs.where("doc_id is not null")
 
-    pairs = members.where("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    done = members.select("bucket", F.col("hub").alias("doc_id")).distinct()
-    links, labels = None, None
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    pairs = star.where("doc_id != hub").select(*ordered("doc_id", "hub")).distinct()
+    members = star.select("bucket", "doc_id", "degree", (F.col("doc_id") == F.col("hub")).alias("held"))  # held: against all others of the bucket
+    links = None  # what joins the components so far: no more rows than documents, besides the new links
+    done = None
     while True:
         likely = materialise(_likely(pairs, sigs, bands * rows, percent / 100, miss), "likely")
         ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         found = materialise(_exact(likely, keep_ids(texts, "doc_id", ids).dropDuplicates(["doc_id", "text"]), shingle, percent), "links")
-        links = found if links is None else links.union(found)
-        labels = materialise(components(links), "labels")
-        at = members.select("bucket", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        left = at.join(done, ["bucket", "doc_id"], "left_anti")
+        labels = materialise(components(found if links is None else links.union(found)), "labels")
+        links = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        at = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        left = at.where("not held")
+        if done is not None:
+            left = left.join(done, "doc_id", "left_anti")
         # open: members of two components have not been held against each other
         open_ = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("component"), F.desc("doc_id")))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), F.desc("doc_id")))
         hubs = left.join(open_, "bucket").where("component > low").withColumn("rank", rank).where(F.col("rank") <= HUBS)
-        hubs = materialise(hubs.select("bucket", F.col("doc_id").alias("hub"), F.col("component").alias("of")), "hubs")
+        hubs = materialise(hubs.select(F.col("doc_id").alias("hub"), F.col("component").alias("of")).distinct(), "hubs")
         if hubs.isEmpty():
             break
-        done = materialise(done.union(hubs.select("bucket", "hub")), "done")
-        pairs = at.join(hubs, "bucket").where("component != of").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+        # a hub is held against the other members of all its buckets at once
+        where = members.join(hubs.withColumnRenamed("hub", "doc_id"), "doc_id").select("bucket", F.col("doc_id").alias("hub"), "of")
+        pairs = at.join(where, "bucket").where("component != of").select(*ordered("doc_id", "hub")).distinct()
+        hubs = hubs.select(F.col("hub").alias("doc_id"))
+        done = hubs if done is None else done.union(hubs)
     # rows of one id with several texts, and rows of one class, meet here
     class_of = table.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
     links = links.union(class_of.where("rep != doc_id").select("rep", "doc_id")) if _several(some) else None
