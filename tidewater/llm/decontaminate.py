@@ -79,7 +79,7 @@ def hits(docs: DataFrame, items: DataFrame, gram: int, span: int) -> DataFrame:
     found = joined.select("key", "item_id", F.explode(F.array_compact(F.array(*shifts))).alias("start")).withColumn("length", F.lit(span))
     short = items.where((F.size("words") > 0) & (F.size("words") < span))
     for length in sorted(r[0] for r in short.select(F.size("words")).distinct().collect()):  # at most span - 1 lengths
-        whole = short.where(F.size("words") == length).select("item_id", F.col("words").alias("item_words"), F.xxhash64(*[F.get("words", F.lit(k)) for k in range(length)]).alias("print"))
+        whole = short.where(F.size("words") == length).select("item_id", F.col("words").alias("item_words"), F.element_at(grams(F.col("words"), length), 1).alias("print"))
         every = _every(docs, length)
         whole = F.broadcast(whole) if whole.count() <= BROADCAST_PRINTS else whole
         same = every.join(whole, "print").where("near = item_words")
