@@ -244,9 +244,9 @@ def l1_time(spark, sf):
     return coarse(spark, sf).select("read_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.round(S.l1(F.col("original"), F.col("chunk")) / SIZE, 6).alias("l1"))
 
 
-@query("select read_id, chunk_index, round(avg(abs(d)), 3) as l1_d1, round(avg(abs(d - e)), 3) as l1_d2 from (select *, lag(d) over (partition by read_id, chunk_index order by k) as e from (select read_id, chunk_index, k, pa - rebuilt - lag(pa - rebuilt) over (partition by read_id, chunk_index order by k) as d from d_coarse)) group by 1, 2")
+@query("select read_id, chunk_index, round(avg(abs(d)) + 1e-7, 4) as l1_d1, round(avg(abs(d - e)) + 1e-7, 4) as l1_d2 from (select *, lag(d) over (partition by read_id, chunk_index order by k) as e from (select read_id, chunk_index, k, pa - rebuilt - lag(pa - rebuilt) over (partition by read_id, chunk_index order by k) as d from d_coarse)) group by 1, 2")
 def l1_diff(spark, sf):
-    one = lambda k: F.round(S.l1(S.finite_difference(F.col("original"), k), S.finite_difference(F.col("chunk"), k)) / (SIZE - k), 3)
+    one = lambda k: F.round(S.l1(S.finite_difference(F.col("original"), k), S.finite_difference(F.col("chunk"), k)) / (SIZE - k) + 1e-7, 4)
     return coarse(spark, sf).select("read_id", F.col("chunk_index").cast("long").alias("chunk_index"), one(1).alias("l1_d1"), one(2).alias("l1_d2"))
 
 
