@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from tidewater.llm import queries as q
+from tidewater.llm import near_dup, queries as q
 from tidewater.llm.common import components
 from tidewater.llm.decontaminate import contamination
 from tidewater.llm.licenses import PHRASES, scan as license_scan
@@ -48,6 +48,22 @@ def test_near_dup(spark, data, docs):
     assert rows_of(q.op3_near_dup(spark, data), "doc_id", "n_shingles", "component_id", "kept") == brute.near(docs)
 
 
+def test_near_dup_outside_the_main_component(spark, monkeypatch):
+    """A group whose members mostly miss the threshold with its middle, in blocks of few documents."""
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 5000)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(240):
+        words = list(base) if i < 160 else rows[-1][1].split() if i % 3 else list(base)
+        for at in rng.integers(0, len(words), rng.integers(0, 22) if i < 160 or not i % 3 else 3):
+            words[at] = f"v{i}_{at}"
+        rows.append((i, " ".join(words)))
+    want = brute.near(rows)
+    assert len({v[1] for v in want.values()}) > 20
+    assert rows_of(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_warc(spark, data):
     pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
     assert rows_of(q.op4_warc(spark, data), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == brute.warc(pages)

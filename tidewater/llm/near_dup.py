@@ -1,11 +1,12 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 Documents with equal shingle sets form a class by a hash of the set. Class representatives are banded; in each
-bucket one hub is held against the other members, so a bucket of n costs n pairs a round, never n * n at once.
-A pair's signatures are compared batch by batch and dropped once the posterior that its similarity reaches the
-threshold is below ``miss``; survivors are verified on their full word sets. Buckets that still hold members of
-several components, not yet held against each other, take further hubs in later rounds until none is left, so
-no candidate is skipped and a bucket inside one component costs nothing more.
+bucket one hub is held against the other members, so a bucket of n makes n pairs. A pair's signatures are compared
+batch by batch and dropped once the posterior that its similarity reaches the threshold is below ``miss``;
+survivors are verified on their full word sets. Where the stars leave a bucket in several components, all members
+outside its largest one are held against the whole bucket, as blocks against blocks of bounded bytes: a pair is
+judged in the first bucket that it shares, by signatures and then by 32-bit shingle hashes, and becomes a row only
+if it is linked by both. So no candidate is skipped, and a bucket inside one component costs nothing more.
 
 At the threshold a pair misses all ``bands`` with probability (1 - threshold ** rows) ** bands, 6e-9 by default.
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import components, keep_ids, materialise
 
-HUBS = 16  # hubs of one bucket in a later round
+BLOCK_BYTES = 1 << 17  # about what one block of documents holds
+PART = 8  # blocks of one join key
 
 
 def word_shingles(text: str | None, size: int) -> set[tuple[bytes, ...]]:
@@ -97,8 +99,9 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                     keys.append(xxhash.xxh128_digest(h.tobytes()))
                     if len(h):
                         s = signature(h, a, b)
+                        s = (s & 0xFFFF).astype(np.uint16)
                         buckets.append([xxhash.xxh64_intdigest(s[i : i + rows].tobytes(), seed=i) - (1 << 63) for i in range(0, len(s), rows)])
-                        sigs.append((s & 0xFFFF).astype(np.uint16).tobytes())
+                        sigs.append(s.tobytes())
                     else:
                         buckets.append([])
                         sigs.append(b"")
@@ -154,6 +157,104 @@ def _exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
+def profiles(docs: DataFrame, shingle: int, k: int) -> DataFrame:
+    """doc_id, bytes, sig and the sorted 32-bit shingle hashes of every document."""
+    a, b = multipliers(k)
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                hashes = [shingle_hashes(t, shingle) for t in some.column(1).to_pylist()]
+                sigs = [(signature(h, a, b) & 0xFFFF).astype(np.uint16).tobytes() for h in hashes]
+                short = [np.unique(h.astype(np.uint32)).tobytes() for h in hashes]
+                size = [len(x) + len(y) for x, y in zip(sigs, short, strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(size, pa.int64()), pa.array(sigs, pa.binary()), pa.array(short, pa.binary())], names=["doc_id", "bytes", "sig", "hashes"])
+
+    return docs.mapInArrow(profile, "doc_id long, bytes long, sig binary, hashes binary")
+
+
+def _shared(x: list[bytes], y: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the hash sets ``x[i]`` and ``y[j]``; ``j`` ascends."""
+    hashes = np.frombuffer(b"".join(x), np.uint32)
+    owner = np.repeat(np.arange(len(x)), [len(h) // 4 for h in x])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    out = np.empty(len(i), np.int64)
+    for k in np.unique(j):
+        mine = np.frombuffer(y[k], np.uint32)
+        at = np.minimum(np.searchsorted(mine, hashes), len(mine) - 1)
+        here = slice(*np.searchsorted(j, [k, k + 1]))
+        out[here] = np.bincount(owner[mine[at] == hashes], minlength=len(x))[i[here]]
+    return out
+
+
+def _blocks(pairs: DataFrame, k: int, rows: int, percent: int, miss: float, batch: int = 40) -> DataFrame:
+    """Likely links between two blocks of one bucket, given as arrays ``x`` and ``y`` of documents; ``y`` are outside the main component."""
+    least = fewest_matches(batch, k, percent / 100, miss)
+
+    def columns(block):
+        ids, component, rest, sig, hashes = (block.field(c) for c in ("doc_id", "component", "rest", "sig", "hashes"))
+        return ids.to_numpy(), component.to_numpy(), rest.to_numpy(zero_copy_only=False), np.frombuffer(b"".join(sig.to_pylist()), np.uint16).reshape(-1, k), hashes.to_pylist()
+
+    def keys(sig, band):
+        own = np.ascontiguousarray(sig[:, band * rows : (band + 1) * rows])
+        return own.view(np.dtype((np.void, own.itemsize * rows))).ravel()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in range(b.num_rows):
+                band, x, y = b.column("band")[n].as_py(), columns(b.column("x")[n].values), columns(b.column("y")[n].values)
+                # each pair once: both ways round only one counts, and only in the first bucket that both are in
+                open_ = (x[1][:, None] != y[1][None]) & ~(x[2][:, None] & (x[0][:, None] < y[0][None]))
+                codes = np.unique(np.concatenate([c for u in range(band + 1) for c in (keys(x[3], u), keys(y[3], u))]), return_inverse=True)[1]
+                parts, at = [], 0
+                for _ in range(band + 1):
+                    parts.append((codes[at : at + len(x[0])], codes[at + len(x[0]) : at + len(x[0]) + len(y[0])]))
+                    at += len(x[0]) + len(y[0])
+                open_ &= parts[-1][0][:, None] == parts[-1][1][None]
+                for p, q in parts[:-1]:
+                    open_ &= p[:, None] != q[None]
+                j, i = np.nonzero(open_.T)
+                matches = np.zeros(len(i), np.int64)
+                for u, m in enumerate(least):
+                    cut = slice(u * batch, (u + 1) * batch)
+                    matches += (x[3][i, cut] == y[3][j, cut]).sum(axis=1)
+                    alive = matches >= m
+                    i, j, matches = i[alive], j[alive], matches[alive]
+                if not len(i):
+                    continue
+                both = _shared(x[4], y[4], i, j)
+                total = np.array([len(h) // 4 for h in x[4]])[i] + np.array([len(h) // 4 for h in y[4]])[j]
+                slack = 2 + total * total / 2**31  # hashes of 32 bits may coincide
+                alive = 100 * (both + slack) >= percent * (total - both - slack)
+                u, v = x[0][i[alive]], y[0][j[alive]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+    return pairs.select("band", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def _outside(members: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, k: int, rows: int, percent: int, miss: float) -> DataFrame:
+    """Likely links of the members that stand outside the largest component of a bucket."""
+    at = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    main = at.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("k"))
+    rest = F.col("component") != F.col("main")
+    # a hub has been held against all others of its bucket
+    at = at.join(main.where("k > 1").drop("k"), "bucket").where("not held").select("bucket", "band", "doc_id", "component", rest.alias("rest"))
+    at = materialise(at, "open")
+    ids = materialise(at.select("doc_id").distinct(), "ids")
+    known = materialise(profiles(keep_ids(texts, "doc_id", ids).select("doc_id", "text"), shingle, k), "profiles")
+    size = at.join(known.select("doc_id", "bytes"), "doc_id").groupBy("bucket").agg(F.sum("bytes").alias("all"), F.sum(F.when(F.col("rest"), F.col("bytes"))).alias("some"))
+    dealt = [F.ceil(F.col(c) / BLOCK_BYTES).alias(n) for c, n in (("all", "n_x"), ("some", "n_y"))]
+    full = at.join(size.where("some > 0").select("bucket", *dealt), "bucket").join(known, "doc_id")
+    document = F.struct("doc_id", "component", "rest", "sig", "hashes")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    x = full.groupBy("bucket", "band", block("n_x").alias("block")).agg(F.collect_list(document).alias("x")).withColumn("part", F.floor(F.col("block") / PART))
+    y = full.where("rest").groupBy("bucket", block("n_y").alias("block")).agg(F.collect_list(document).alias("y"), F.first("n_x").alias("n_x"))
+    y = y.select("bucket", "y", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_x") - 1) / PART))).alias("part"))
+    return _blocks(x.join(y, ["bucket", "part"]), k, rows, percent, miss).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 48, rows: int = 5, miss: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -162,43 +263,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     classes = materialise(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     reps = some.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
     sigs = reps.groupBy("doc_id").agg(F.first("sig").alias("sig"))
-    posted = reps.select("doc_id", F.explode("bands").alias("bucket")).distinct()
+    posted = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket")).withColumn("band", F.col("band").cast("byte")).distinct()
     shared = posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(posted.join(shared, "bucket"), "members")
     # the document that shares most buckets with most others stands nearest to the middle of its group
     degree = members.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("degree"))
-    members = materialise(members.join(degree, "doc_id").select("bucket", "doc_id", "degree"), "buckets")
-    middle = members.groupBy("bucket").agg(F.max(F.struct("degree", "doc_id"))["doc_id"].alias("hub"))
-    star = materialise(members.join(middle, "bucket").select("bucket", "doc_id", "degree", "hub"), "star")
+    middle = materialise(members.join(degree, "doc_id").groupBy("bucket").agg(F.max(F.struct("degree", "doc_id"))["doc_id"].alias("hub")), "middle")
+    star = members.join(middle, "bucket").select("bucket", "band", "doc_id", "hub", (F.col("doc_id") == F.col("hub")).alias("held"))
     texts = docs.where("doc_id is not null")
 
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = star.where("doc_id != hub").select(*ordered("doc_id", "hub")).distinct()
-    members = star.select("bucket", "doc_id", "degree", (F.col("doc_id") == F.col("hub")).alias("held"))  # held: against all others of the bucket
-    links = None  # what joins the components so far: no more rows than documents, besides the new links
-    done = None
-    while True:
-        likely = materialise(_likely(pairs, sigs, bands * rows, percent / 100, miss), "likely")
+    pairs = star.where("not held").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    links = None
+    for step in ("star", "outside"):
+        if links is None:
+            likely = _likely(pairs, sigs, bands * rows, percent / 100, miss)
+        else:
+            likely = _outside(star, labels, texts, shingle, bands * rows, rows, percent, miss)
+        likely = materialise(likely, f"likely-{step}")
         ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         found = materialise(_exact(likely, keep_ids(texts, "doc_id", ids).dropDuplicates(["doc_id", "text"]), shingle, percent), "links")
         labels = materialise(components(found if links is None else links.union(found)), "labels")
         links = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        at = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        left = at.where("not held")
-        if done is not None:
-            left = left.join(done, "doc_id", "left_anti")
-        # open: members of two components have not been held against each other
-        open_ = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), F.desc("doc_id")))
-        hubs = left.join(open_, "bucket").where("component > low").withColumn("rank", rank).where(F.col("rank") <= HUBS)
-        hubs = materialise(hubs.select(F.col("doc_id").alias("hub"), F.col("component").alias("of")).distinct(), "hubs")
-        if hubs.isEmpty():
-            break
-        # a hub is held against the other members of all its buckets at once
-        where = members.join(hubs.withColumnRenamed("hub", "doc_id"), "doc_id").select("bucket", F.col("doc_id").alias("hub"), "of")
-        pairs = at.join(where, "bucket").where("component != of").select(*ordered("doc_id", "hub")).distinct()
-        hubs = hubs.select(F.col("hub").alias("doc_id"))
-        done = hubs if done is None else done.union(hubs)
     # rows of one id with several texts, and rows of one class, meet here
     class_of = table.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
     links = links.union(class_of.where("rep != doc_id").select("rep", "doc_id")) if _several(some) else None
