@@ -1,10 +1,15 @@
-"""The registered queries of the corpus operators: each applies one to its whole table and returns the contract's columns."""
+"""The registered queries of the corpus operators: each applies one to its whole table and returns the contract's columns.
+
+``ORACLE`` holds the SQL of those that SQL can express.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sql import ORACLE
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,7 +38,7 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
-    return archive_round_trip(table(spark, sf_dir, "pages"))
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +87,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_ids, op2_passages, op3_near_dup, op4_warc, op5_licenses, op6_toxicity, op7_mixing, op8_decontaminate, op9_neighbours, op10_secrets)}
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
