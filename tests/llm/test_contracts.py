@@ -2,6 +2,7 @@
 
 import sys
 import zlib
+from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from tidewater.llm import near_dup, queries as q
+from tidewater.llm import near_dup, passages, queries as q
 from tidewater.llm.common import components
 from tidewater.llm.decontaminate import contamination
 from tidewater.llm.licenses import PHRASES, scan as license_scan
@@ -142,6 +143,29 @@ def test_passages(spark):
     assert [(s, e) for s, e, _ in paragraphs("A b. C\n\n d!")] == [(0, 4), (5, 6), (9, 11)]
 
 
+def test_passages_outside_the_main_component(spark, monkeypatch):
+    """Groups of edited copies behind one common opening, against brute-force Jaccard components."""
+    monkeypatch.setattr(passages, "BLOCK_BYTES", 5000)
+    rng = np.random.default_rng(3)
+    opening = [f"o{k}" for k in range(30)]
+    rows = []
+    for g in range(100):
+        base = [*opening, *(f"g{g}w{k}" for k in range(70))]
+        for i in range(3):
+            words = list(base)
+            for at in rng.choice(np.arange(30, 100), 1 if i else 2, replace=False):
+                words[at] = f"e{i}_{at}"
+            rows.append((len(rows), " ".join(words)))
+    want = defaultdict(set)
+    for d, (_, top, _) in brute.near(rows, size=5).items():
+        want[top].add(d)
+    got = defaultdict(set)
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.component_id].add(r.doc_id)
+        assert r.removed == (r.doc_id not in want)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
 def test_chunked_framing():
     for n in (0, 1, 10, 11, 25):
         assert unframe(frame(b"x" * n, 10)) == b"x" * n

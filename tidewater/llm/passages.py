@@ -6,7 +6,8 @@ minima of the set is a band of one row: unrelated sentences share no five-word s
 suffices to keep them apart, and a pair of similarity 0.8 misses all four bands with probability 0.2 ** 4 = 0.0016.
 
 Colliding paragraphs are joined to the first of their bucket, verified by exact Jaccard on their words, and clustered by
-connected components; equal paragraphs are one node. A run of repeated paragraphs of at least ``least_words`` words
+connected components; equal paragraphs are one node. Where this leaves a bucket in several components, all members outside
+its largest one are held against the whole bucket, as blocks against blocks of bounded bytes. A run of repeated paragraphs of at least ``least_words`` words
 is a repeated passage; all but its first occurrence (smallest doc_id, then place) is removed.
 
 Defined cases: null or empty text has no paragraphs; paragraphs of fewer than five words only join runs, they never
@@ -31,6 +32,8 @@ from .near_dup import multipliers
 PARAGRAPH = re.compile(r"[^\n.!?]*[.!?]+(?=\s|$)|[^\n.!?]*[.!?]+|[^\n.!?]+")
 SHINGLE = 5
 POSTED = "bucket long, content long, doc_id long"
+BLOCK_BYTES = 1 << 16  # about what one block of paragraphs holds
+PART = 8  # blocks of one join key
 
 
 def paragraphs(text: str) -> list[tuple[int, int, list[bytes]]]:
@@ -100,7 +103,7 @@ def repeated_passages(docs: DataFrame, bands: int = 4, percent: int = 80, least_
     counted = _posted(docs, bands).groupBy("bucket", "content").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     # the sizes ask for the same columns as the rows do, so both read one exchange of the postings
     per = counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("content").alias("hub"), F.min("doc_id").alias("first")).where("n > 1 and first is not null")
-    buckets = counted.withColumnRenamed("n", "copies").join(per, "bucket").select("content", "doc_id", "copies", "hub")
+    buckets = counted.withColumnRenamed("n", "copies").join(per, "bucket").select("bucket", "content", "doc_id", "copies", "hub")
     buckets = materialise(buckets, "buckets")
     # what is worth a look at all: contents that occur twice or share a bucket; the docs that hold them are read again
     pairs = materialise(buckets.where("hub != content").select(F.col("hub").alias("a"), F.col("content").alias("b")).distinct(), "pairs")
@@ -109,6 +112,9 @@ def repeated_passages(docs: DataFrame, bands: int = 4, percent: int = 80, least_
     words = materialise(_words_of(docs, holders), "words")
     links = materialise(_verified(pairs, words, percent), "links")
     labels = materialise(components(links), "labels")
+    outside = materialise(_outside(buckets, labels, words, percent), "outside")
+    if not outside.isEmpty():
+        labels = materialise(components(labels.toDF("a", "b").union(outside)), "labels")
     repeats = buckets.where("copies > 1").select("content").distinct()
     nodes = repeats.join(labels.withColumnRenamed("id", "content"), "content", "full").select("content", F.coalesce("component", "content").alias("component"))
     nodes = materialise(nodes, "nodes")
@@ -146,6 +152,59 @@ def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
+def _outside(buckets: DataFrame, labels: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """Links of the members that stand outside the largest component of a bucket; hubs have been held against all others."""
+    at = buckets.where("hub != content").select("bucket", "content").join(labels.toDF("content", "component"), "content", "left").withColumn("component", F.coalesce("component", "content"))
+    main = at.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("k"))
+    at = at.join(main.where("k > 1").drop("k"), "bucket").select("bucket", "content", "component", (F.col("component") != F.col("main")).alias("rest"))
+    at = materialise(at, "open")
+    size = at.join(words.select("content", F.length("words").alias("bytes")), "content").groupBy("bucket").agg(F.sum("bytes").alias("all"), F.sum(F.when(F.col("rest"), F.col("bytes"))).alias("some"))
+    dealt = [F.ceil(F.col(c) / BLOCK_BYTES).alias(n) for c, n in (("all", "n_x"), ("some", "n_y"))]
+    full = at.join(size.select("bucket", *dealt), "bucket").join(words, "content")
+    unit = F.struct("content", "component", "rest", "words")
+    block = lambda n: F.pmod(F.xxhash64("content"), F.col(n))
+    x = full.groupBy("bucket", block("n_x").alias("block")).agg(F.collect_list(unit).alias("x")).withColumn("part", F.floor(F.col("block") / PART))  # bounded by BLOCK_BYTES
+    y = full.where("rest").groupBy("bucket", block("n_y").alias("block")).agg(F.collect_list(unit).alias("y"), F.first("n_x").alias("n_x"))
+    y = y.select("bucket", "y", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_x") - 1) / PART))).alias("part"))
+    return _blocks(x.join(y, ["bucket", "part"]), percent).distinct()
+
+
+def _blocks(pairs: DataFrame, percent: int) -> DataFrame:
+    """Links between two blocks of one bucket, ``x`` and ``y``, by exact Jaccard; ``y`` are outside the main component."""
+
+    def columns(block: pa.StructArray, codes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+        own = [[codes.setdefault(s, len(codes)) for s in _shingles(w.split())] for w in block.field("words").to_pylist()]
+        return block.field("content").to_numpy(), block.field("component").to_numpy(), block.field("rest").to_numpy(zero_copy_only=False), own
+
+    def table(own: list[list[int]], column: np.ndarray) -> np.ndarray:
+        """One row a paragraph, one column a shingle that both blocks hold."""
+        out = np.zeros((len(own), int(column.max(initial=-1)) + 1), np.float32)
+        at = column[np.array([c for s in own for c in s], np.int64)]
+        owner = np.repeat(np.arange(len(own)), [len(s) for s in own])
+        out[owner[at >= 0], at[at >= 0]] = 1
+        return out
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in range(b.num_rows):
+                codes: dict = {}
+                x, y = (columns(b.column(c)[n].values, codes) for c in ("x", "y"))
+                held = np.zeros((2, len(codes)), bool)
+                for k, z in enumerate((x, y)):
+                    held[k, [c for s in z[3] for c in s]] = True
+                shared = held.all(axis=0)
+                column = np.where(shared, np.cumsum(shared) - 1, -1)
+                both = table(x[3], column) @ table(y[3], column).T
+                total = np.array([len(s) for s in x[3]])[:, None] + np.array([len(s) for s in y[3]])[None] - both
+                # each pair once: of two that are both outside only one way round counts
+                open_ = (x[1][:, None] != y[1][None]) & ~(x[2][:, None] & (x[0][:, None] < y[0][None]))
+                i, j = np.nonzero(open_ & (100 * both >= percent * total))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[0][i]), pa.array(y[0][j])], names=["a", "b"])
+
+    return pairs.select("x", "y").mapInArrow(judge, "a long, b long")
+
+
 def _runs(docs: DataFrame, nodes: DataFrame, least_words: int) -> DataFrame:
     """Passages of every document from the components of its paragraphs."""
     unit = "doc_id long, place int, start int, end int, n_words int, content long"
