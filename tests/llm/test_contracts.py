@@ -166,6 +166,22 @@ def test_passages_outside_the_main_component(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_passages_first_by_paragraph(spark):
+    """Runs of other lengths than the first one's, adjacent passages, and what stands once between two repeats."""
+    s = [" ".join(f"p{k}w{i}" for i in range(20)) + "." for k in range(6)]
+    once = "Only this text has these words in it."
+    texts = [
+        f"{s[0]} {s[1]} {s[2]}", f"host words {s[0][:40]} cut. {s[1]} {s[2]}", f"{s[3]} {s[4]} {s[1]} {s[2]}", f"{s[3]} {s[4]}",
+        f"{s[1]} {s[5]} {s[2]}", f"{s[0]} {s[1]} {once} {s[2]} Short one. {s[3]}", f"{s[5]} {s[4]} own words stand here, all five. {s[5]} {s[5]}",
+    ]
+    got = repeated_passages(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")).collect()
+    cut = {(r.doc_id, texts[r.doc_id - 1][r.start : r.end]) for r in got if r.removed}
+    assert cut == {(2, f"{s[1]} {s[2]}"), (3, f"{s[1]} {s[2]}"), (4, f"{s[3]} {s[4]}"), (6, f"{s[0]} {s[1]}"), (6, f"{s[2]} Short one. {s[3]}"), (7, f"{s[5]} {s[4]}"), (7, f"{s[5]} {s[5]}")}
+    assert {(r.doc_id, r.n_words) for r in got if not r.removed} == {(1, 60), (3, 40), (5, 60)}
+    twice = spark.createDataFrame([(1, texts[0]), (1, texts[0])], "doc_id long, text string")
+    assert sorted((r.start, r.end, r.removed) for r in repeated_passages(twice).collect()) == [(0, len(texts[0]), False), (0, len(texts[0]), True)]
+
+
 def test_chunked_framing():
     for n in (0, 1, 10, 11, 25):
         assert unframe(frame(b"x" * n, 10)) == b"x" * n

@@ -7,8 +7,10 @@ suffices to keep them apart, and a pair of similarity 0.8 misses all four bands
 
 Colliding paragraphs are joined to the first of their bucket, verified by exact Jaccard on their words, and clustered by
 connected components; equal paragraphs are one node. Where this leaves a bucket in several components, all members outside
-its largest one are held against the whole bucket, as blocks against blocks of bounded bytes. A run of repeated paragraphs of at least ``least_words`` words
-is a repeated passage; all but its first occurrence (smallest doc_id, then place) is removed.
+its largest one are held against the whole bucket, as blocks against blocks of bounded bytes. A paragraph
+is a repeat if its component has an earlier occurrence (smaller doc_id, then place). Neighbouring repeats of at least
+``least_words`` words together are a passage that is removed; neighbouring paragraphs of what stays, a passage that is
+kept. A paragraph of five words or more that occurs once ends a passage.
 
 Defined cases: null or empty text has no paragraphs; paragraphs of fewer than five words only join runs, they never
 start one; rows that repeat an id are taken as further copies; a null doc_id takes no part; an empty table gives no rows;
@@ -18,6 +20,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,9 +118,12 @@ def repeated_passages(docs: DataFrame, bands: int = 4, percent: int = 80, least_
     outside = materialise(_outside(buckets, labels, words, percent), "outside")
     if not outside.isEmpty():
         labels = materialise(components(labels.toDF("a", "b").union(outside)), "labels")
-    repeats = buckets.where("copies > 1").select("content").distinct()
-    nodes = repeats.join(labels.withColumnRenamed("id", "content"), "content", "full").select("content", F.coalesce("component", "content").alias("component"))
-    nodes = materialise(nodes, "nodes")
+    # every bucket of a content knows the first document that holds it
+    held = buckets.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.max("copies").alias("copies"))
+    nodes = held.join(labels.withColumnRenamed("id", "content"), "content", "left").where("copies > 1 or component is not null")
+    nodes = materialise(nodes.select("content", F.coalesce("component", "content").alias("component"), "doc_id"), "nodes")
+    first = nodes.groupBy("component").agg(F.min("doc_id").alias("first"))
+    nodes = nodes.select("content", "component").join(first, "component")
     return _runs(docs, nodes, least_words)
 
 
@@ -207,38 +213,64 @@ def _blocks(pairs: DataFrame, percent: int) -> DataFrame:
 
 def _runs(docs: DataFrame, nodes: DataFrame, least_words: int) -> DataFrame:
     """Passages of every document from the components of its paragraphs."""
-    unit = "doc_id long, place int, start int, end int, n_words int, content long"
+    unit = "doc_id long, place int, rank int, start int, end int, n_words int, content long"
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 some, rows = batch.slice(k, 500), []
                 for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    rows += [(doc, i, s, e, len(w), _content(w)) for i, (s, e, w) in enumerate(paragraphs(text or "")) if len(w) >= SHINGLE]
+                    long = [(i, s, e, w) for i, (s, e, w) in enumerate(paragraphs(text or "")) if len(w) >= SHINGLE]
+                    rows += [(doc, i, k, s, e, len(w), _content(w)) for k, (i, s, e, w) in enumerate(long)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.int32()] * 4, pa.int64()], strict=True)], names=[x.split()[0] for x in unit.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.int32()] * 5, pa.int64()], strict=True)], names=[x.split()[0] for x in unit.split(", ")])
 
     found = docs.mapInArrow(units, unit).join(nodes, "content")
-    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "place", "end", "n_words", "component"))).alias("units"))  # one document's
-    out = "doc_id long, start int, end int, n_words int, component_id long, last long"
+    one = F.struct("start", "place", "rank", "end", "n_words", "component", (F.col("first") < F.col("doc_id")).alias("again"))
+    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("units"))  # one document's
+    out = "doc_id long, start int, end int, n_words int, component_id long, removed boolean"
+
+    def runs(some: list[dict]) -> Iterator[list[dict]]:
+        """Runs of neighbours, at most one paragraph of fewer than SHINGLE words between two of them."""
+        run: list[dict] = []
+        for u in some:
+            if run and (u["rank"] - run[-1]["rank"] > 1 or u["place"] - run[-1]["place"] > 2 or u["again"] != run[-1]["again"]):
+                yield run
+                run = []
+            run.append(u)
+        if run:
+            yield run
+
+    def passages(some: list[dict]) -> Iterator[tuple[list[dict], bool]]:
+        """Runs of repeats that go, then runs of what stays: first occurrences with the repeats that are too short to go."""
+        stay = []
+        for run in runs(some):
+            if run[0]["again"] and sum(u["n_words"] for u in run) >= least_words:
+                yield run, True
+            else:
+                stay += [u | {"again": False} for u in run]
+        for run in runs(stay):
+            if sum(u["n_words"] for u in run) >= least_words:
+                yield run, False
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                run: list[dict] = []
-                for u in [*some, None]:
-                    if run and (u is None or u["place"] - run[-1]["place"] > 2):
-                        n = sum(x["n_words"] for x in run)
-                        if n >= least_words:
-                            rows.append((doc, run[0]["start"], run[-1]["end"], n, run[len(run) // 2]["component"], run[-1]["component"]))
-                        run = []
-                    if u:
-                        run.append(u)
+                # rows of one id hold several paragraphs of one place: each row is a copy of its own
+                copies: dict[int, list[dict]] = defaultdict(list)
+                depth = Counter()
+                for u in some:
+                    copies[depth[u["place"]]].append(u)
+                    depth[u["place"]] += 1
+                seen = set()
+                for copy in copies.values():
+                    for u in copy:
+                        u["again"] = u["again"] or u["component"] in seen
+                        seen.add(u["component"])
+                    for run, removed in passages(copy):
+                        rows.append((doc, run[0]["start"], run[-1]["end"], sum(u["n_words"] for u in run), run[len(run) // 2]["component"], removed))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], strict=True)], names=[x.split()[0] for x in out.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()], strict=True)], names=[x.split()[0] for x in out.split(", ")])
 
-    passages = materialise(per.mapInArrow(join, out), "passages")
-    first = passages.groupBy("component_id").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    marked = passages.join(first, "component_id")
-    return marked.select("doc_id", "start", "end", "n_words", "component_id", (F.struct("doc_id", "start") != F.col("first")).alias("removed"))
+    return per.mapInArrow(join, out)
