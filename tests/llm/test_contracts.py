@@ -1,5 +1,6 @@
 """The contract queries against plain versions, and the defined cases on hand-made rows."""
 
+import math
 import sys
 import zlib
 from collections import defaultdict
@@ -15,7 +16,7 @@ import brute
 from tidewater.llm import near_dup, passages, queries as q
 from tidewater.llm.common import components
 from tidewater.llm.decontaminate import contamination
-from tidewater.llm.licenses import PHRASES, scan as license_scan
+from tidewater.llm.licenses import PHRASES, TEMPLATES, scan as license_scan
 from tidewater.llm.mixing import mix
 from tidewater.llm.near_dup import near_duplicates
 from tidewater.llm.neighbours import nearest
@@ -75,6 +76,28 @@ def test_licenses(spark, data, docs):
     assert got == brute.licenses(docs, PHRASES)
 
 
+def test_licenses_with_changed_words(spark):
+    """Notices that agree in `cover` of their words, whichever words are changed, also at a start that is cut off."""
+    rng, rows, want = np.random.default_rng(1), [], {}
+    for text, label, key in TEMPLATES:
+        t = text.split()
+        first = next(i for i in range(len(t)) if t[i : i + len(key.split())] == key.split())
+        free = [i for i in range(len(t)) if not first <= i < first + len(key.split())]
+        most = len(t) - math.ceil(0.8 * len(t))
+        for n in range(20):
+            words = list(t)
+            for i in rng.choice(free, min(most, len(free)), replace=False):
+                words[i] = f"x{i}"
+            want[len(rows)] = label, sum(x == y for x, y in zip(t, words, strict=True)) / len(t)
+            rows.append((len(rows), " ".join([*["own"] * (n % 3), *words, "tail"])))
+        if first:
+            want[len(rows)] = label, (len(t) - 1) / len(t)
+            rows.append((len(rows), " ".join(t[1:])))
+    for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases={"no such phrase": "none"}).collect():
+        label, cover = want[r.doc_id]
+        assert label in r.labels and r.score >= cover - 1e-9
+
+
 def test_decontamination(spark, data, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     assert rows_of(q.op8_decontaminate(spark, data), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.contamination(docs, items)

@@ -1,8 +1,9 @@
 """License scans by a positional rare-token index, in DataFrame operations only.
 
 Templates are word sequences with a label and mandatory key phrases. The index posts each template word with its place.
-Document frequencies of the template words are counted over all documents; a template is looked up by its rarest
-words, whose places in a document propose starts (place in the document minus place in the template). A start
+Document frequencies of the template words are counted over all documents; a template is looked up by the rarest of its words
+that the document itself holds, whose places propose starts (place in the document minus place in the template; below 0
+if the document begins inside the template). So many are looked up that no start can agree without one of them. A start
 stands if the other postings agree by relative position: all of them for a phrase, at least ``cover`` of them
 for a longer template, which must hold one of its key phrases as well.
 
@@ -69,7 +70,19 @@ def _starts(words: Column, template: list[str], rare: str, least: int) -> Column
     return F.when(F.array_contains(words, rare), F.filter(starts, agrees)).otherwise(none)
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: tuple = TEMPLATES, cover: float = 0.8, rare_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _cut_starts(words: Column, held: Column, template: list[str], idf: dict[str, float], least: int) -> Column:
+    """Places, also below 0, where at least ``least`` words of ``template`` agree; proposed by its rarest words in ``held``."""
+    ranked = sorted(enumerate(template), key=lambda x: (-idf[x[1]], x[1], x[0]))
+    posted = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for k, w in ranked])
+    own = F.filter(posted, lambda p: F.array_contains(held, p["w"]))
+    # of n places whose words the document holds `least` agree, so any n - least + 1 of them hold one that agrees
+    asked = lambda own: F.slice(own, F.lit(1), F.size(own) - least + 1)
+    at = lambda asked: F.flatten(F.transform(words, lambda w, i: F.transform(F.filter(asked, lambda p: p["w"] == w), lambda p: i - p["k"])))
+    starts = F.filter(F.array_distinct(at(asked(own))), lambda s: _agreeing(words, template)(s) >= least)
+    return F.when(F.size(own) >= least, starts).otherwise(F.array().cast("array<int>"))
+
+
+def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: tuple = TEMPLATES, cover: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, places (starts of base phrases), base_labels and labels (arrays), score."""
     phrases = PHRASES if phrases is None else phrases
     rows = docs.select(F.col(id_col).alias("doc_id"), letter_words(F.col(text_col)).alias("words"))
@@ -77,6 +90,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: tupl
     seen, total = frequencies(rows, vocabulary)
     idf = {w: math.log((1 + total) / (1 + seen.get(w, 0))) for w in vocabulary}
     words = F.col("words")
+    rows = rows.select("*", F.array_intersect(F.array(*map(F.lit, vocabulary)), words).alias("own"))
     places, labels, score = [], [], [F.lit(0.0)]
     for phrase, label in phrases.items():
         p = phrase.split()
@@ -84,12 +98,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: tupl
     for text, label, phrase in templates:
         t, key = text.split(), phrase.split()
         least = math.ceil(cover * len(t))
-        # a start with `least` agreeing words holds one of any len(t) - least + 1 words; the rarest few are looked up
-        ranked = sorted(set(t), key=lambda w: (-idf[w], w))[:rare_words]
-        starts = F.array_distinct(F.flatten(F.array(*[_starts(words, t, w, least) for w in ranked])))
+        starts = _cut_starts(words, F.col("own"), t, idf, least)
         held = F.size(_starts(words, key, max(key, key=lambda w: (idf[w], w)), len(key))) > 0
-        any_rare = F.arrays_overlap(words, F.array(*map(F.lit, ranked)))
-        best = F.when(any_rare, F.array_max(F.transform(starts, _agreeing(words, t))) / F.lit(float(len(t))))
+        best = F.array_max(F.transform(starts, _agreeing(words, t))) / F.lit(float(len(t)))
         score.append(F.coalesce(F.when(best.isNotNull() & held, best), F.lit(0.0)))
         labels.append((score[-1], label))
     base = F.filter(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(places)]), lambda x: x.isNotNull())
