@@ -107,6 +107,16 @@ def test_secrets(spark, data, docs):
     assert rows_of(q.op10_secrets(spark, data), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == brute.secrets(docs)
 
 
+def test_secrets_without_digits(spark):
+    """Random strings of letters only, or with their first digit late, are judged as all others; ordinary long words stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    letters, late = "qZxKvJwPbTgYhRmLcNdF", "QxZkVjWpBtGyHrMlCnDfSaQxZkVjWpBtGyHrMlCnDfSaQx7Zk"
+    ordinary = "Donaudampfschiffahrtsgesellschaft internationalization_of_everything"
+    own = spark.createDataFrame([(-1, f"x {letters} y"), (-2, late), (-3, ordinary)], "doc_id long, text string")
+    got = {r.doc_id: [s.value for s in r.spans] for r in secret_scan(docs.union(own)).where("doc_id < 0").collect()}
+    assert got == {-1: [letters], -2: [late], -3: []}
+
+
 def test_mixing(spark, data):
     rows = q.op7_mixing(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source"), "doc_id").toPandas()
     by = rows.groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))

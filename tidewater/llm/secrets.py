@@ -27,8 +27,8 @@ KINDS = {
     "hex": r"[0-9a-f]{16,}",
 }
 LEAST_VALUE = 12
-#: What the models judge: runs of token characters with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: What the models judge: every long run of token characters.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{7,}"
 
 
