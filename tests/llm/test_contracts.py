@@ -160,6 +160,17 @@ def test_encoder_is_the_library():
     assert [np.frombuffer(x, np.uint32).tolist() for x in e(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_keeps_special_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), TextEncoder(path)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x y<|endoftext|>z <|endoftext c", "a  b <|endoftext|>\n<|endoftext|> q"]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in e(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert all(50256 in np.frombuffer(x, np.uint32) for x in e(texts))
+
+
 def test_toxicity_ranks_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = q.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()

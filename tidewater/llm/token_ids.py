@@ -149,7 +149,6 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.most = most_pieces
         self.known: dict[str, bytes] = {}
         self.cut = self._ids([self.SEPARATOR])[0]
