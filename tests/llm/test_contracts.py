@@ -171,6 +171,12 @@ def test_encoder_keeps_special_tokens():
     assert all(50256 in np.frombuffer(x, np.uint32) for x in e(texts))
 
 
+def test_toxicity_counts_words_with_several_marks(spark):
+    rows = spark.createDataFrame([(1, "f**k id10t s***t"), (2, "f*k a word"), (3, "plain words only"), (4, None)], "doc_id long, text string")
+    got = rows.select("doc_id", features(F.col("text"), [])["obfuscated"].alias("x"), features(F.col("text"), [])["words"].alias("n")).collect()
+    assert {r.doc_id: round(r.x * np.expm1(r.n)) for r in got} == {1: 3, 2: 1, 3: 0, 4: 0}
+
+
 def test_toxicity_ranks_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = q.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()

@@ -43,7 +43,7 @@ def features(text: Column, learned: list[str]) -> dict[str, Column]:
         "fixed": hits / n, "fixed_kinds": hits.cast("double"), "learned": F.size(F.array_intersect(words, own)) / n, "learned_kinds": F.size(F.array_intersect(words, own)).cast("double"),
         "hidden": (many(plain) - many(words)).cast("double"), "second": F.when(hits > 0, F.regexp_count(text, F.lit(near))).otherwise(0).cast("double"),
         "capitals": lost(UPPER) / (lost(UPPER + LOWER) + 1e-9), "exclaim": lost("!"), "question": lost("?"), "punctuation": lost(".,;:'\"()-"), "symbols": lost("#$%&*@^~"),
-        "digits": lost("0123456789"), "obfuscated": F.when(text.rlike(r"[A-Za-z][0-9@$!*][A-Za-z]"), F.regexp_count(text, F.lit(r"[A-Za-z][0-9@$!*]+[A-Za-z]"))).otherwise(0) / n, "words": F.log1p(n),
+        "digits": lost("0123456789"), "obfuscated": F.regexp_count(text, F.lit(r"[A-Za-z][0-9@$!*]+[A-Za-z]")) / n, "words": F.log1p(n),
     }
 
 
