@@ -59,24 +59,28 @@ def keep_ids(df: DataFrame, key: str, ids: DataFrame, count: int | None = None)
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)`` as ``(id, component)``, component the smallest id.
 
-    Alternates large-star and small-star steps until the edges are stars around their smallest node. Each step is an
-    aggregation and a join on plain keys, so a node with very many links is pre-aggregated and never gathered. Nodes
-    without links don't appear.
+    Alternates large-star and small-star steps until the edges are stars around their smallest node. A step is an
+    aggregation of each node's smallest neighbour and a join with it. The smallest neighbours are written first, so the
+    join reads two plain exchanges and Spark splits the edges of a node with very many links over several tasks.
+    Nodes without links don't appear.
     """
-    edges = materialise(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    upper, lower = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+    edges = materialise(links.where("a != b").select(upper, lower).distinct(), "edges")
     while not _stars(edges):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        low = edges.union(turned).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = turned.join(materialise(low, "low"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.where("u != v").distinct(), "large")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        both = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.explode(both).alias("e"))
         edges = materialise(small.select("e.*").where("u != v").distinct(), "edges")
     return edges.select("u", "v").union(edges.select("v", "v").distinct()).toDF("id", "component")
 
 
 def _stars(edges: DataFrame) -> bool:
-    """Whether every node of ``edges(u, v)``, u above v, is either the upper end of one edge or the lower end of any number."""
-    ends = F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("upper"), F.lit(0).alias("lower")), F.struct(F.col("v").alias("id"), F.lit(0).alias("upper"), F.lit(1).alias("lower")))
-    nodes = edges.select(F.explode(ends).alias("end")).groupBy("end.id").agg((F.sum("end.upper") + F.max("end.lower")).alias("n"))
-    return (nodes.agg(F.max("n")).first()[0] or 1) == 1
+    """Whether every node of ``edges(u, v)``, u above v, is the upper end of one edge or the lower end of any number."""
+    upper = F.struct(F.col("u").alias("id"), F.lit(1).alias("upper"), F.lit(0).alias("lower"))
+    lower = F.struct(F.col("v").alias("id"), F.lit(0).alias("upper"), F.lit(1).alias("lower"))
+    nodes = edges.select(F.explode(F.array(upper, lower)).alias("end")).groupBy("end.id")
+    return (nodes.agg((F.sum("end.upper") + F.max("end.lower")).alias("n")).agg(F.max("n")).first()[0] or 1) == 1

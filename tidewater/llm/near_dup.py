@@ -11,8 +11,8 @@ if it is linked by both. So no candidate is skipped, and a bucket inside one com
 At the threshold a pair misses all ``bands`` with probability (1 - threshold ** rows) ** bands, 6e-9 by default.
 
 Defined cases: null or empty text has an empty set, is linked with nothing and kept; fewer words than a shingle
-form one shingle; rows of one id count as one node with all their links; a null id is returned with a null
-component and kept; an empty table gives an empty result; extra columns are ignored.
+form one shingle; rows of one id count as one node with the sets and links of all of them; a null id is returned with a
+null component and kept; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,14 +134,14 @@ def _exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     """Pairs whose full shingle sets A, B have 100 * |A and B| >= percent * |A or B|."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, set] = OrderedDict()
+        recent: OrderedDict[tuple[int, str], set] = OrderedDict()
 
-        def words(doc: int, text: str) -> set:
-            if doc not in recent:
-                recent[doc] = word_shingles(text, shingle)
+        def words(*key) -> set:
+            if key not in recent:  # an id alone may have several texts
+                recent[key] = word_shingles(key[1], shingle)
                 if len(recent) > 256:
                     recent.popitem(last=False)
-            return recent[doc]
+            return recent[key]
 
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -234,68 +234,86 @@ def _blocks(pairs: DataFrame, k: int, rows: int, percent: int, miss: float, batc
     return pairs.select("band", "x", "y").mapInArrow(judge, "a long, b long")
 
 
-def _outside(members: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, k: int, rows: int, percent: int, miss: float) -> DataFrame:
-    """Likely links of the members that stand outside the largest component of a bucket."""
-    at = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    main = at.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("k"))
-    rest = F.col("component") != F.col("main")
+def _outside(members: DataFrame, labels: DataFrame, texts_of, shingle: int, k: int, rows: int, percent: int, miss: float) -> DataFrame:
+    """Likely links of the members that stand outside the largest component of a bucket.
+
+    What is known of a bucket is written before it is joined to the members, so that a hot bucket can be split.
+    """
+    at = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    at = at.withColumn("component", F.coalesce("component", "doc_id"))
+    per = at.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket")
+    main = per.agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("k"))
+    main = materialise(main.where("k > 1").drop("k"), "main")
+    rest = (F.col("component") != F.col("main")).alias("rest")
     # a hub has been held against all others of its bucket
-    at = at.join(main.where("k > 1").drop("k"), "bucket").where("not held").select("bucket", "band", "doc_id", "component", rest.alias("rest"))
+    at = at.join(main, "bucket").where("not held").select("bucket", "band", "doc_id", "component", rest)
     at = materialise(at, "open")
     ids = materialise(at.select("doc_id").distinct(), "ids")
-    known = materialise(profiles(keep_ids(texts, "doc_id", ids).select("doc_id", "text"), shingle, k), "profiles")
-    size = at.join(known.select("doc_id", "bytes"), "doc_id").groupBy("bucket").agg(F.sum("bytes").alias("all"), F.sum(F.when(F.col("rest"), F.col("bytes"))).alias("some"))
+    known = materialise(profiles(texts_of(ids), shingle, k), "profiles")
+    size = at.join(known.select("doc_id", "bytes"), "doc_id").groupBy("bucket")
+    size = size.agg(F.sum("bytes").alias("all"), F.sum(F.when(F.col("rest"), F.col("bytes"))).alias("some")).where("some > 0")
     dealt = [F.ceil(F.col(c) / BLOCK_BYTES).alias(n) for c, n in (("all", "n_x"), ("some", "n_y"))]
-    full = at.join(size.where("some > 0").select("bucket", *dealt), "bucket").join(known, "doc_id")
+    full = at.join(materialise(size.select("bucket", *dealt), "dealt"), "bucket").join(known, "doc_id")
     document = F.struct("doc_id", "component", "rest", "sig", "hashes")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
-    x = full.groupBy("bucket", "band", block("n_x").alias("block")).agg(F.collect_list(document).alias("x")).withColumn("part", F.floor(F.col("block") / PART))
-    y = full.where("rest").groupBy("bucket", block("n_y").alias("block")).agg(F.collect_list(document).alias("y"), F.first("n_x").alias("n_x"))
+    x = full.groupBy("bucket", "band", block("n_x").alias("block")).agg(F.collect_list(document).alias("x"))
+    x = x.withColumn("part", F.floor(F.col("block") / PART))
+    y = full.where("rest").groupBy("bucket", block("n_y").alias("block"))
+    y = y.agg(F.collect_list(document).alias("y"), F.first("n_x").alias("n_x"))
     y = y.select("bucket", "y", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_x") - 1) / PART))).alias("part"))
     return _blocks(x.join(y, ["bucket", "part"]), k, rows, percent, miss).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 48, rows: int = 5, miss: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 48, rows: int = 5, miss: float = 1e-9,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = materialise(signed(docs, shingle, bands, rows), "signed")
     some = table.where("n_shingles > 0 and doc_id is not null")
+    repeats = not some.groupBy("doc_id").count().where("count > 1").isEmpty()
     classes = materialise(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     reps = some.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-    sigs = reps.groupBy("doc_id").agg(F.first("sig").alias("sig"))
-    posted = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket")).withColumn("band", F.col("band").cast("byte")).distinct()
-    shared = posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    if repeats:  # a row for each set of an id
+        reps = reps.dropDuplicates(["set_key", "doc_id"])
+    sigs = reps.select("doc_id", "sig")
+    posted = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket")).withColumn("band", F.col("band").cast("byte"))
+    posted = posted.distinct() if repeats else posted
+    shared = materialise(posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     members = materialise(posted.join(shared, "bucket"), "members")
     # the document that shares most buckets with most others stands nearest to the middle of its group
     degree = members.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("degree"))
-    middle = materialise(members.join(degree, "doc_id").groupBy("bucket").agg(F.max(F.struct("degree", "doc_id"))["doc_id"].alias("hub")), "middle")
+    middle = members.join(degree, "doc_id").groupBy("bucket")
+    middle = materialise(middle.agg(F.max(F.struct("degree", "doc_id"))["doc_id"].alias("hub")), "middle")
     star = members.join(middle, "bucket").select("bucket", "band", "doc_id", "hub", (F.col("doc_id") == F.col("hub")).alias("held"))
     texts = docs.where("doc_id is not null")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        found = keep_ids(texts, "doc_id", ids).select("doc_id", "text")
+        return found.dropDuplicates(["doc_id", "text"]) if repeats else found
+
     pairs = star.where("not held").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     links = None
     for step in ("star", "outside"):
         if links is None:
             likely = _likely(pairs, sigs, bands * rows, percent / 100, miss)
+            likely = likely.distinct() if repeats else likely
         else:
-            likely = _outside(star, labels, texts, shingle, bands * rows, rows, percent, miss)
+            likely = _outside(star, labels, texts_of, shingle, bands * rows, rows, percent, miss)
         likely = materialise(likely, f"likely-{step}")
         ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        found = materialise(_exact(likely, keep_ids(texts, "doc_id", ids).dropDuplicates(["doc_id", "text"]), shingle, percent), "links")
+        found = materialise(_exact(likely, texts_of(ids), shingle, percent), "links")
         labels = materialise(components(found if links is None else links.union(found)), "labels")
         links = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    # rows of one id with several texts, and rows of one class, meet here
-    class_of = table.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
-    links = links.union(class_of.where("rep != doc_id").select("rep", "doc_id")) if _several(some) else None
-    if links is not None:
+    rep = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")
+    class_of = table.join(classes, "set_key", "left").select("doc_id", "n_shingles", rep)
+    if repeats:  # the rows of one id may be of several classes: its classes meet
+        links = links.union(class_of.where("rep != doc_id").select("rep", "doc_id").distinct())
         labels = materialise(components(links), "labels")
         named = class_of.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     else:
         named = class_of.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
-    return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _several(some: DataFrame) -> bool:
-    """Whether one id has rows of different sets."""
-    return not some.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y").isEmpty()
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return named.select("doc_id", "n_shingles", "component_id", kept)
