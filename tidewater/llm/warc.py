@@ -1,16 +1,19 @@
 """WARC archives: writing pages as records, and reading them with segment reassembly.
 
-Writer: one gzip member per record, in files of their own per task; a Parquet manifest that Spark commits names
-the files that count, so lost or repeated tasks leave nothing that is read. Of equal payloads of at least
-``revisit_bytes`` the one with the largest page_id is a response and the others are revisits of it. Payloads of
+Writer: one gzip member per record, in files of their own per task, each opening with a warcinfo record; a Parquet manifest
+that Spark commits names the files that count, so lost or repeated tasks leave nothing that is read. Of equal payloads of at
+least ``revisit_bytes`` the one with the largest page_id is a response and the others are revisits of it. Payloads of
 ``chunk_bytes`` and more use chunked transfer framing; blocks above ``segment_bytes`` are cut into continuation records.
+A record's id is made of the page_id and the payload's digest, so a revisit names its response without having seen it.
 
-Reader: records are grouped by origin identifier, ordered by segment number and joined; the total length, the payload
-digest and the framing are verified. Whole records pass through the same grouping with their digest columns only.
+Reader: archives are dealt over many tasks; records are grouped by origin identifier, ordered by segment number and joined;
+the total length, the payload digest and the framing are verified. Whole records pass through the same grouping with their
+digest columns only.
 
-Defined cases: null html is an empty payload; rows that repeat a page_id are records each, and a tie for the largest
-page_id makes each a response; a null page_id is kept as null and never a response to others; null url is written as
-an empty field; an empty table gives an empty archive; extra columns are ignored.
+Defined cases: null html is an empty payload; rows that repeat a page_id are records each, those with equal payloads too are
+told apart by a number, and a tie for the largest page_id makes each a response, the first of them the one that revisits name;
+a null page_id is kept as null and never a response to others; null url is written as an empty field; an empty table gives
+an empty archive; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,17 +23,24 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import materialise, scratch
 from .token_ids import _store
 
 MANIFEST = "file string, n long"
-RECORD = "origin string, segment int, total long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, block binary"
+RECORD = (
+    "origin string, segment int, total long, page_id long, record_type string, refers_to long, payload_bytes long, "
+    "payload_digest string, block binary"
+)
 CRLF = b"\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Digests of repeated payloads (under 100 bytes each) that are broadcast; beyond it pages are joined by a shuffle.
+BROADCAST_DIGESTS = 500_000
 
 
 def frame(payload: bytes, chunk: int) -> bytes:
@@ -66,55 +76,96 @@ def record(fields: dict[str, object], block: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def records_of(page_id, url, payload: bytes, digest: str, target, unique: str, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+def record_id(page_id: int | None, digest: str, copy: int = 1) -> str:
+    """The id of a page's record; ``copy`` numbers rows that are equal in both."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}{f':{copy}' * (copy > 1)}>"
+
+
+def info_record(name: str, date: str) -> bytes:
+    fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date, "WARC-Filename": name}
+    return record(fields | {"Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
+
+
+def records_of(page_id, url, payload: bytes, digest: str, target, copy: int, date: str, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
     """The record of a page, and its continuations."""
-    name = f"<urn:page:{'' if page_id is None else page_id}:{unique}>"
-    sha = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
-    shared = {"WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": sha, "Content-Type": "application/http; msgtype=response"}
+    name = record_id(page_id, digest, copy)
+    uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    first = {"WARC-Record-ID": name, "WARC-Date": date, "WARC-Target-URI": uri}
+    first["WARC-Payload-Digest"] = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
+    first["Content-Type"] = "application/http; msgtype=response"
     plain = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+    length = b"Content-Length: %d\r\n\r\n" % len(payload)
     if target is not None:
-        block = plain + b"Content-Length: %d\r\n\r\n" % len(payload)
-        yield record({"WARC-Type": "revisit", "WARC-Record-ID": name, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{target}>", **shared}, block)
+        about = {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(target, digest)}
+        yield record({"WARC-Type": "revisit", **first, **about}, plain + length)
         return
-    chunked = len(payload) >= chunk_bytes
-    block = plain + (b"Transfer-Encoding: chunked\r\n\r\n" + frame(payload, chunk_bytes) if chunked else b"Content-Length: %d\r\n\r\n" % len(payload) + payload)
+    if len(payload) >= chunk_bytes:
+        block = plain + b"Transfer-Encoding: chunked\r\n\r\n" + frame(payload, chunk_bytes)
+    else:
+        block = plain + length + payload
     if len(block) <= segment_bytes:
-        yield record({"WARC-Type": "response", "WARC-Record-ID": name, **shared}, block)
+        yield record({"WARC-Type": "response", **first}, block)
         return
     for n, k in enumerate(range(0, len(block), segment_bytes), 1):
-        last = len(block) if k + segment_bytes >= len(block) else None
         some = block[k : k + segment_bytes]
         if n == 1:
-            yield record({"WARC-Type": "response", "WARC-Record-ID": name, "WARC-Segment-Number": 1, **shared}, some)
-        else:
-            yield record({"WARC-Type": "continuation", "WARC-Record-ID": f"{name[:-1]}:{n}>", "WARC-Segment-Origin-ID": name, "WARC-Segment-Number": n, "WARC-Segment-Total-Length": last}, some)
-
-
-def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 1000, segment_bytes: int = 16384, chunk_bytes: int = 4096, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write ``pages`` below ``folder``; returns the committed manifest."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.octet_length("payload") >= revisit_bytes).select("digest", "page_id")
-    first = large.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").drop("n")
-    decided = rows.join(first, "digest", "left").withColumn("target", F.when(F.coalesce(F.col("page_id") != F.col("target"), F.col("target").isNotNull()), F.col("target")))
+            yield record({"WARC-Type": "response", **first, "WARC-Segment-Number": 1}, some)
+            continue
+        fields = {"WARC-Type": "continuation", "WARC-Record-ID": f"{name[:-1]}:segment:{n}>", "WARC-Date": date, "WARC-Target-URI": uri}
+        fields |= {"WARC-Segment-Origin-ID": name, "WARC-Segment-Number": n}
+        last = {"WARC-Segment-Total-Length": len(block)} if k + segment_bytes >= len(block) else {}
+        yield record(fields | last, some)
+
+
+def decide(pages: DataFrame, revisit_bytes: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """page_id, url, payload, digest, target (of revisits) and copy of every page.
+
+    The digests of repeated payloads are broadcast if they are few, and then no payload is shuffled; else they are written
+    before the join, so Spark can split the pages of one very common payload.
+    """
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
+        F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"),
+    ).withColumn("digest", F.sha1("payload"))
+    large = rows.where(F.octet_length("payload") >= revisit_bytes).groupBy("digest")
+    first = large.agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialise(first, "digests")
+    few = first.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    rows = rows.join(F.broadcast(first) if few else first, "digest", "left")
+    other = F.coalesce(F.col("page_id") != F.col("target"), F.col("target").isNotNull())
+    rows = rows.withColumn("target", F.when(other, F.col("target")))
+    if pages.groupBy(F.col(id_col).alias("page_id")).count().where("count > 1").isEmpty():
+        return rows.withColumn("copy", F.lit(1))
+    same = Window.partitionBy("page_id", "digest").orderBy("url")
+    return rows.withColumn("copy", F.row_number().over(same))
+
+
+def write_archives(
+    pages: DataFrame, folder: str, revisit_bytes: int = 1000, segment_bytes: int = 16384, chunk_bytes: int = 4096,
+    id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None,
+) -> DataFrame:
+    """Write ``pages`` below ``folder``; returns the committed manifest. ``date`` (now if not given) dates all records."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    columns = ("page_id", "url", "payload", "digest", "target", "copy")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
-        n = 0
+        out, n = None, 0
         for batch in batches:
-            for page_id, url, payload, digest, target in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "target")), strict=True):
+            for page_id, url, payload, digest, target, copy in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if out is None:
                     store, base = _store(f"{folder}/archives")
                     store.create_dir(base, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
-                for raw in records_of(page_id, url, payload, digest, target, f"{name[:12]}-{n}", segment_bytes, chunk_bytes):
+                    out.write(info_record(name, date))
+                for raw in records_of(page_id, url, payload, digest, target, copy, date, segment_bytes, chunk_bytes):
                     out.write(raw)
                 n += 1
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "n": [n]})
 
+    decided = decide(pages, revisit_bytes, id_col, url_col, html_col).select(*columns)
     decided.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -157,7 +208,14 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.createDataFrame([], RECORD).schema
     names = schema.names
     types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").repartition("file").select("file")
+    # with the number of tasks given, small as the file names are, Spark leaves them apart
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").repartition(parts, "file").select("file")
+    out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, segments int"
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(zip(*rows, strict=True), types, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=names)
 
     def row(fields: dict[str, str], block: bytes) -> tuple:
         kind, name = fields["warc-type"], fields["warc-record-id"]
@@ -181,12 +239,13 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 with store.open_input_stream(f"{base}/{file}", compression=None) as stream:
                     rows = []
                     for fields, block in parse_archive(stream):
-                        rows.append(row(fields, block))
+                        if fields["warc-type"] != "warcinfo":
+                            rows.append(row(fields, block))
                         if len(rows) >= 500:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                            yield batch_of(rows)
                             rows = []
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        yield batch_of(rows)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,8 +256,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)) or parts[-1]["total"] != len(block):
                         raise ValueError("segments are missing or their total length differs")
                     lengths[i], digests[i] = _checked(block, digests[i])
-            columns = [batch.column("page_id"), pa.array(lengths, pa.int64()), pa.array(digests, pa.string()), batch.column("record_type"), batch.column("refers_to"), batch.column("segments")]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments"])
+            checked = {"payload_bytes": pa.array(lengths, pa.int64()), "payload_digest": pa.array(digests, pa.string())}
+            fields = [x.split()[0] for x in out.split(", ")]
+            yield pa.RecordBatch.from_arrays([checked.get(x, batch.column(x)) for x in fields], names=fields)
 
     parsed = files.mapInArrow(read, RECORD)
     # a group is one record: as large as that page, not as the table
@@ -206,7 +266,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         *[F.max(c).alias(c) for c in ("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest")],
         F.array_sort(F.collect_list(F.when(F.col("segment") > 0, F.struct("segment", "total", "block")))).alias("parts"),
     ).withColumn("segments", F.greatest(F.size("parts"), F.lit(1)))
-    return whole.drop("origin").mapInArrow(join, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, segments int")
+    return whole.drop("origin").mapInArrow(join, out)
 
 
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
