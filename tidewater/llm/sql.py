@@ -14,7 +14,7 @@ FROM q
 MIXING = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(31) || 'mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || chr(31) || 'mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
          / round(1.1::DOUBLE - (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[!-@\[-`{-~]', '', 'g')))::DOUBLE / greatest(length(coalesce(text, '')), 1), 3) AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
