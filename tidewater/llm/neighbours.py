@@ -1,101 +1,118 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the ordered list of its ``length`` nearest pivots. Each index block keeps a pivot
-inverted file: per pivot, the vectors that list it and at which place. A query looks up the postings of its own
-pivots, adds up the footrule distance (a pivot that a vector does not list counts as place ``length``), and the
-best ``share`` of the block is reranked by the inner product in double precision.
+A vector is represented by the ordered list of its ``length`` nearest pivots; the pivots are the same everywhere. Rows are
+dealt once into shards of at most about ``block`` rows, and a shard keeps a pivot inverted file: per pivot, the place at
+which each of its vectors lists it (``length`` if it doesn't). A query is sent to every shard, reads the postings of
+its own ``ask`` nearest pivots, ranks the shard by the footrule distance over them, and the best ``share`` of the shard is
+reranked by the inner product in double precision. A shard returns k rows a query; the best k of all are the answer.
 
-The rows are dealt in blocks of about ``block`` by a hash of the id, and so are the queries; block meets block, so
-memory and the largest group stay bounded at any size and what leaves a block is k rows a query.
-The pivots are the ``pivots`` vectors with the smallest id hashes, a bounded sample; every row is indexed.
+A shard is read in one stream, its rows first and then the queries batch by batch, so a task holds one shard and one batch,
+and no row is copied. Rows are dealt by a number of their own, so neither repeated ids nor equal vectors gather in a shard.
+The pivots are the ``pivots`` vectors with the smallest hashes, a bounded sample; every row is indexed.
 
 Defined cases: vectors that are null, empty, all zero, or hold a null or non-finite component take no part, nor
 do rows with a null id; vectors of another length than the first pivot's take no part; fewer candidates than k give
-them all; equal scores go to the smaller id; rows that repeat an id are candidates each but are never
-neighbours of their own id; an empty table gives no rows; extra columns are ignored.
+them all; equal scores go to the smaller id; rows that repeat an id are candidates each but are never neighbours of their
+own id, and a repeated query id asks once, with its smallest vector; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 RESULT = "query_id long, vec_id long, score double"
+STEP = 4096  # rows whose nearest pivots are looked for at once
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """vec_id, v and a number of its own for every row that takes part."""
     v = F.col(vec_col).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0")
-    return rows.where(~bad & F.exists("v", lambda x: x != 0))
+    return rows.where(~bad & F.exists("v", lambda x: x != 0)).withColumn("row", F.monotonically_increasing_id())
 
 
 def orders(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The ``length`` nearest pivots of each vector by cosine, nearest first, ties to the smaller pivot."""
-    near = vectors @ pivots.T
-    return np.argsort(-near, axis=1, kind="stable")[:, :length].astype(np.int32)
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int, length: int, share: float) -> pd.DataFrame:
-    """The best k of one block for each query: postings, footrule, rerank."""
-    places = orders(vectors, pivots, length)
-    # postings in pivot order: of pivot p, rows[first[p]:first[p + 1]] list it at place[...]
-    flat = places.ravel()
-    by = np.argsort(flat, kind="stable")
-    rows, place = by // length, by % length
-    first = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
-    keep = min(len(ids), max(50 * k, int(np.ceil(share * len(ids)))))
-    out_q, out_v, out_s = [], [], []
-    own = length * (length - 1) // 2  # footrule of a vector that lists none of the query's pivots: both sides move
-    for q, x, mine in zip(query_ids, queries, orders(queries, pivots, length), strict=True):
-        saved = np.zeros(len(ids), np.int64)
-        for j, p in enumerate(mine):
-            at = slice(first[p], first[p + 1])
-            r = place[at]
-            saved[rows[at]] += (length - j) + (length - r) - np.abs(j - r)
-        footrule = 2 * (length * length - own) - saved
-        near = np.argpartition(footrule, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
-        near = near[ids[near] != q]
-        score = np.einsum("ij,j->i", vectors[near], x)
-        best = np.lexsort((ids[near], -score))[:k]
-        out_q.append(np.full(len(best), q))
-        out_v.append(ids[near[best]])
-        out_s.append(score[best])
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
-
-
-def nearest(vectors: DataFrame, is_query: str, k: int = 20, pivots: int = 256, length: int = 32, share: float = 0.3, block: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :length]
+
+
+class PivotFile:
+    """The inverted file of one shard. ``places[p]`` is the posting list of pivot p, one place for each vector."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, length: int):
+        self.ids, self.vectors, self.pivots = ids, vectors, pivots
+        length = min(length, len(pivots))
+        self.places = np.full((len(pivots), len(ids)), length, np.int16)
+        for at in range(0, len(ids), STEP):
+            nearest_ = orders(vectors[at : at + STEP], pivots, length)
+            self.places[nearest_, at + np.arange(len(nearest_))[:, None]] = np.arange(length, dtype=np.int16)
+
+    def search(self, query_id: int, query: np.ndarray, pivots: np.ndarray, k: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the best k for a query whose nearest pivots are ``pivots``."""
+        footrule = np.zeros(len(self.ids), np.int16)
+        for j, p in enumerate(pivots):
+            footrule += np.abs(self.places[p] - np.int16(j))
+        near = np.argsort(footrule, kind="stable")[:keep]
+        near = near[self.ids[near] != query_id]
+        score = self.vectors[near] @ query
+        best = np.lexsort((self.ids[near], -score))[:k]
+        return self.ids[near[best]], score[best]
+
+
+def _table(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column("vec_id").to_numpy(), batch.column("v").flatten().to_numpy().reshape(-1, width)
+
+
+def nearest(
+    vectors: DataFrame, is_query: str, k: int = 20, pivots: int = 256, length: int = 128, ask: int = 64, share: float = 0.25,
+    block: int = 65_536, id_col: str = "vec_id", vec_col: str = "embedding",
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which ``is_query`` (SQL over vec_id, v) holds."""
     rows = materialise(usable(vectors, id_col, vec_col), "vectors")
-    sample = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]  # bounded by `pivots`
+    sample = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(pivots).collect()]  # bounded by `pivots`
     if not sample:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     width = len(sample[0])
     heads = np.array([v for v in sample if len(v) == width])
     heads /= np.linalg.norm(heads, axis=1, keepdims=True)
     rows = rows.where(F.size("v") == width)
-    asked = rows.where(is_query)
-    n, m = rows.count(), asked.count()
-    blocks, sets = max(1, -(-n // block)), max(1, -(-m // block))
-    deal = lambda parts: F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    index = rows.select("vec_id", "v", deal(blocks).alias("block"), every(sets).alias("part"))
-    wanted = asked.select("vec_id", "v", deal(sets).alias("part"), every(blocks).alias("block"))
-
-    def meet(own: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        if own.empty or questions.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return search_block(own.vec_id.to_numpy(), np.stack(own.v), questions.vec_id.to_numpy(), np.stack(questions.v), heads, k, length, share)
-
-    found = index.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInPandas(meet, RESULT)
+    shards = max(-(-rows.count() // block), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")
+    own = rows.select(shard, F.lit(0).alias("kind"), "vec_id", "v")
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    dealt = own.union(asked.select(every, F.lit(1).alias("kind"), "vec_id", "v"))
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("kind", "vec_id", "v").drop("shard")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, index, keep = [], None, 0
+        for batch in batches:
+            first = int(np.searchsorted(batch.column("kind").to_numpy(), 1))
+            if first:
+                held.append(_table(batch.slice(0, first), width))
+            if first == batch.num_rows or not held:
+                continue
+            if index is None:
+                index = PivotFile(*(np.concatenate(x) for x in zip(*held, strict=True)), heads, length)
+                keep = min(len(index.ids), max(k + 1, int(np.ceil(share * len(index.ids)))))
+            ids, asking = _table(batch.slice(first), width)
+            found = [index.search(q, x, p, k, keep) for q, x, p in zip(ids, asking, orders(asking, heads, ask), strict=True)]
+            columns = [np.repeat(ids, [len(f[0]) for f in found]), *(np.concatenate(x) for x in zip(*found, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = dealt.mapInArrow(search, RESULT).withColumn("rank", F.row_number().over(order))
+    return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def exact_nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The true neighbours, by the same blocks without the index: what recall is measured against."""
-    return nearest(vectors, is_query, k, pivots=1, length=1, share=1.0, id_col=id_col, vec_col=vec_col)
+def exact_nearest(vectors: DataFrame, is_query: str, k: int = 20, **columns: str) -> DataFrame:
+    """The true neighbours, by the same shards with nothing pruned: what recall is measured against."""
+    return nearest(vectors, is_query, k, pivots=1, length=1, ask=1, share=1.0, **columns)
