@@ -19,12 +19,12 @@ from tidewater.llm.decontaminate import contamination
 from tidewater.llm.licenses import PHRASES, TEMPLATES, scan as license_scan
 from tidewater.llm.mixing import mix
 from tidewater.llm.near_dup import near_duplicates
-from tidewater.llm.neighbours import nearest
+from tidewater.llm.neighbours import exact_nearest, nearest
 from tidewater.llm.passages import paragraphs, repeated_passages
 from tidewater.llm.secrets import scan as secret_scan
 from tidewater.llm.token_ids import TextEncoder, pack, token_output, unpack
 from tidewater.llm.toxicity import features, toxicity
-from tidewater.llm.warc import archive_round_trip, frame, unframe
+from tidewater.llm.warc import archive_round_trip, frame, parse_archive, read_archives, unframe, write_archives
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, h string, words string, size long"
 
@@ -66,6 +66,17 @@ def test_near_dup_outside_the_main_component(spark, monkeypatch):
     assert rows_of(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2), "doc_id", "n_shingles", "component_id", "kept") == want
 
 
+def test_near_dup_repeated_ids(spark):
+    """Rows of one id with different texts are one node with the links of all, in either order of the rows."""
+    other = " ".join(f"a{k}" for k in range(120))
+    base = [f"b{k}" for k in range(120)]
+    rows = [(1, other), (1, " ".join(base)), (2, " ".join([*base[:-1], "end"])), (3, other + " more"), (4, "alone"), (1, other), (None, other)]
+    for some in (rows, rows[::-1]):
+        got = near_duplicates(spark.createDataFrame(some, "doc_id long, text string"), 2).collect()
+        assert sorted({(r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None}) == [(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+        assert len(got) == len(rows) and [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+
+
 def test_warc(spark, data):
     pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
     assert rows_of(q.op4_warc(spark, data), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == brute.warc(pages)
@@ -125,10 +136,50 @@ def test_mixing(spark, data):
     assert (abs(by.taken - by.target) <= by.most).all() and (rows.taken <= 2 * rows["size"]).all()
 
 
-def test_neighbours_recall(spark, data):
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
-    want, got = brute.neighbours(rows), q.op9_neighbours(spark, data).toPandas().groupby("query_id").vec_id.agg(set)
-    assert np.mean([len(got[k] & set(v)) / len(v) for k, v in want.items()]) >= 0.9
+def test_mixing_cuts(spark, monkeypatch):
+    """Few buckets, one hot source, ties, repeated rows and null ids: taken is the sorted prefix that the budget reaches."""
+    from tidewater.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKETS", 3)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["w"] * int(n)), "ab"[i % 7 == 0]) for i, n in enumerate(rng.integers(0, 40, 700))]
+    rows += [(None, f"x {k}", "a") for k in range(20)] + [(None, "same text here", "a")] * 5 + [rows[5]] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, keys = mix(df).toPandas(), mixing.measured(df, "doc_id", "text", "source").toPandas()
+    for source, part in got.groupby("source"):
+        unit = keys[keys.source == source].groupby(["key", "doc_id", "tie"], dropna=False)["size"].sum().reset_index().sort_values(["key"])
+        before = unit["size"].cumsum() - unit["size"]
+        budget = part.target.iloc[0] - part.target.iloc[0] // part.source_size.iloc[0] * part.source_size.iloc[0]
+        extra = unit["size"][before + unit["size"] / 2 <= budget].sum()
+        assert part.taken.sum() == extra + part.target.iloc[0] // part.source_size.iloc[0] * part.source_size.iloc[0]
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= unit["size"].max()
+
+
+@pytest.mark.parametrize(("sf", "shards"), [("sf0.001", 4), ("sf0.1", 4), ("sf0.1", 1)])
+def test_neighbours_recall(spark, sf, shards):
+    """Against brute force, where a shard reranks a quarter of its rows."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    spark.conf.set("spark.sql.shuffle.partitions", shards)
+    try:
+        got = q.op9_neighbours(spark, f"/root/testdata/{sf}").toPandas()
+        exact = exact_nearest(rows, "vec_id % 20 = 0").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    want = brute.neighbours([(r.vec_id, r.embedding) for r in rows.collect()])
+    assert {k: v.sort_values("rank").vec_id.tolist() for k, v in exact.groupby("query_id")} == want
+    assert got.groupby("query_id").vec_id.nunique().eq(20).all()
+    found = got.groupby("query_id").vec_id.agg(set)
+    recall = np.mean([len(found[k] & set(v)) / len(v) for k, v in want.items()])
+    print("recall", sf, shards, recall)
+    assert recall >= 0.93
+
+
+def test_neighbours_of_repeated_rows(spark):
+    """One id with two vectors, equal rows, ties, and columns whose names clash with inner ones."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 9.0]), (None, [9.0, 9.0]), (4, [1.0])]
+    rows = spark.createDataFrame([(i, v, 7, [1.0], 0) for i, v in rows], "vec_id long, embedding array<float>, row long, v array<double>, kind int")
+    got = nearest(rows, "vec_id = 20", 20).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 3, 9.0), (2, 1, 0.0), (3, 1, 0.0), (4, 2, 0.0)]
 
 
 def test_tokens(spark, data, docs):
@@ -280,6 +331,27 @@ def test_vectors_that_take_no_part(spark):
     assert [(r.vec_id, r.score) for r in got] == [(5, 2.0), (6, 2.0)]
 
 
+def test_warc_records(spark, tmp_path):
+    """Every archive opens with a warcinfo; ids are unique, dated and found by every refers-to; page_ids may repeat."""
+    big = "x" * 50_000
+    rows = [(1, "u", big), (2, "v", big), (2, "w", big), (2, "v", big), (None, "u", big), (None, None, "short"), (3, "u", "y" * 2000), (3, "u", "z" * 2000), (4, "u", "y" * 2000)]
+    pages = spark.createDataFrame([(*r, "d", 5) for r in rows], "page_id long, url string, html string, digest string, target long")
+    write_archives(pages, str(tmp_path), date="2020-01-01T00:00:00Z")
+    ids, refers = [], []
+    for file in (tmp_path / "archives").iterdir():
+        with file.open("rb") as f:
+            records = [fields for fields, _ in parse_archive(f)]
+        assert records[0]["warc-type"] == "warcinfo"
+        ids += [r["warc-record-id"] for r in records]
+        refers += [r[k] for r in records for k in ("warc-refers-to", "warc-segment-origin-id") if k in r]
+        assert {r["warc-date"] for r in records} == {"2020-01-01T00:00:00Z"}
+    assert len(ids) == len(set(ids)) and set(refers) <= set(ids)
+    got = [tuple(r) for r in read_archives(spark, str(tmp_path)).select("page_id", "payload_bytes", "record_type", "refers_to").collect()]
+    want = [(1, 50_000, "revisit", 2), *[(2, 50_000, "response", None)] * 3, (None, 50_000, "revisit", 2), (None, 5, "response", None)]
+    want += [(3, 2000, "revisit", 4), (3, 2000, "response", None), (4, 2000, "response", None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_warc_odd_pages(spark):
     big = "é" * 40_000
     rows = [(1, "u", None), (2, None, big), (3, "u", big), (4, "u\r\nv", "short"), (5, "u", "short")]
