@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,7 +35,7 @@ def adc_round_clip(x: Column) -> Column:
 
 
 def norm_stats(x: Column) -> Column:
-    """struct(center, half_range). NaN anywhere gives zeros; +inf gives half 0 and the minimum; -inf counts as minimum 0."""
+    """struct(center, half_range). NaN anywhere gives zeros; +inf gives half 0 and the minimum; -inf is a minimum of 0."""
     bad = F.exists(x, lambda v: F.isnan(v)) | (F.size(x) == 0)
     low, high = F.array_min(x), F.array_max(x)
     low = F.when(low == float("-inf"), F.lit(0.0)).otherwise(low)
@@ -49,7 +47,9 @@ def norm_stats(x: Column) -> Column:
 
 def normalise_pm1(x: Column, stats: Column) -> Column:
     flat = stats["half_range"] < EPS
-    return F.when(flat, F.transform(x, lambda v: F.lit(0.0))).otherwise(F.transform(x, lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (v - stats["center"]) / stats["half_range"]))))
+    scaled = lambda v: (v - stats["center"]) / stats["half_range"]
+    clipped = F.transform(x, lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), scaled(v))))
+    return F.when(flat, F.transform(x, lambda v: F.lit(0.0))).otherwise(clipped)
 
 
 def denormalise(x: Column, center: Column, half: Column) -> Column:
@@ -75,18 +75,24 @@ def l1(y: Column, z: Column) -> Column:
     return total(F.zip_with(y, z, lambda a, b: F.abs(a - b)))
 
 
+def l2(y: Column, z: Column) -> Column:
+    """Sum of squared differences of two arrays."""
+    return total(F.zip_with(y, z, lambda a, b: (a - b) * (a - b)))
+
+
 def frame_signal(x: Column, length: int, hop: int) -> Column:
     """Frames of ``length`` every ``hop``; a short signal is padded with zeros, a tail is dropped."""
     padded = F.concat(x, F.array_repeat(F.lit(0.0), F.greatest(F.lit(length) - F.size(x), F.lit(0))))
-    return F.transform(F.sequence(F.lit(0), F.size(padded) - length, F.lit(hop)), lambda s: F.slice(padded, s + 1, F.lit(length)))
+    starts = F.sequence(F.lit(0), F.size(padded) - length, F.lit(hop))
+    return F.transform(starts, lambda s: F.slice(padded, s + 1, F.lit(length)))
 
 
-def rms_norm(x: Column, eps: float = 1e-6) -> Column:
+def rms_norm(x: Column, eps: float = 1e-5) -> Column:
     size = F.sqrt(total(F.transform(x, lambda v: v * v)) / F.size(x) + eps * eps)
     return F.transform(x, lambda v: v / size)
 
 
-def l2_norm(x: Column, eps: float = 1e-6) -> Column:
+def l2_norm(x: Column, eps: float = 1e-5) -> Column:
     size = F.sqrt(total(F.transform(x, lambda v: v * v)) + eps * eps)
     return F.transform(x, lambda v: v / size)
 
@@ -102,20 +108,23 @@ def softmax(x: Column) -> Column:
 
 
 def cosine_loss(x: Column, y: Column) -> Column:
-    cos = dot(l2_norm(x), l2_norm(y))
+    """1 - cosine of two token vectors, each scaled to unit root mean square and then to unit length."""
+    cos = dot(l2_norm(rms_norm(x)), l2_norm(rms_norm(y)))
     return 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))
 
 
 def kl_loss(p: Column, q: Column, least: float = 1e-6) -> Column:
+    """Divergence of two rows of probabilities, summed to 1 again (a row of zeros is divided by ``least``) and clipped."""
+
     def clean(v: Column) -> Column:
-        s = total(v)
+        s = F.greatest(total(v), F.lit(least))
         return F.transform(v, lambda x: F.greatest(F.lit(least), F.least(F.lit(1.0), x / s)))
 
     return total(F.zip_with(clean(p), clean(q), lambda a, b: a * (F.log(a) - F.log(b))))
 
 
 def squared_distance(x: Column, y: Column) -> Column:
-    return total(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)))
+    return l2(x, y)
 
 
 def window_starts(n: Column, size: int, hop: int, tail: str = "shift_last") -> Column:
@@ -146,7 +155,8 @@ def crossfade(index: Column, count: Column, size: int, hop: int) -> Column:
 
     def weight(k: Column) -> Column:
         out = 1 - (k - (size - overlap)) / F.lit(float(overlap))
-        return F.when((index < count - 1) & (k >= size - overlap), out).when((index > 0) & (k < overlap), k / F.lit(float(overlap))).otherwise(F.lit(1.0))
+        fade_in = F.when((index > 0) & (k < overlap), k / F.lit(float(overlap))).otherwise(F.lit(1.0))
+        return F.when((index < count - 1) & (k >= size - overlap), out).otherwise(fade_in)
 
     return F.when(count <= 1, plain).otherwise(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), weight))
 
@@ -157,8 +167,10 @@ def crossfade_shift_last(index: Column, count: Column, valid_from: Column, size:
 
     def weight(k: Column) -> Column:
         j = k - valid_from
-        fade_in = F.when((index > 0) & (j < overlap), j / F.lit(float(max(overlap, 1)))).otherwise(F.lit(1.0))
-        fade_out = F.when((index < count - 1) & (k >= size - overlap), 1 - (k - (size - overlap)) / F.lit(float(max(overlap, 1)))).otherwise(F.lit(1.0))
+        over = F.lit(float(max(overlap, 1)))
+        fade_in = F.when((index > 0) & (j < overlap), j / over).otherwise(F.lit(1.0))
+        out = (index < count - 1) & (k >= size - overlap)
+        fade_out = F.when(out, 1 - (k - (size - overlap)) / over).otherwise(F.lit(1.0))
         return F.when(k < valid_from, F.lit(0.0)).otherwise(F.least(fade_in, fade_out))
 
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), weight)
@@ -168,17 +180,15 @@ def trimmed_length(n: Column, size: int, hop: int, mode: str) -> Column:
     """Usable length: whole windows only (drop, null if short) or padded to a whole number of hops (pad, null if empty)."""
     if mode == "drop":
         return F.when(n >= size, F.floor((n - size) / hop) * hop + size).cast("int")
-    return F.when(n > 0, F.when(n <= size, F.lit(size)).otherwise(F.ceil((n - size) / hop) * hop + size)).cast("int")
+    padded = F.when(n <= size, F.lit(size)).otherwise(F.ceil((n - size) / hop) * hop + size)
+    return F.when(n > 0, padded).cast("int")
 
 
 def trim(x: Column, size: int, hop: int, mode: str) -> Column:
     want = trimmed_length(F.size(x), size, hop, mode)
     more = F.greatest(want - F.size(x), F.lit(0))
-    return F.when(want.isNotNull(), F.slice(F.concat(x, F.array_repeat(F.element_at(x, -1), more)) if mode == "pad" else x, F.lit(1), want))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+    source = F.concat(x, F.array_repeat(F.element_at(x, -1), more)) if mode == "pad" else x
+    return F.when(want.isNotNull(), F.slice(source, F.lit(1), want))
 
 
 def sample_rate(*rates: Column, fallback: float = 5000.0) -> Column:

@@ -4,14 +4,36 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .signal import l1
+
 
 def hann(length: int) -> np.ndarray:
     """Symmetric window; ones for a length of 1 or less."""
     return np.ones(max(length, 1)) if length <= 1 else 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / (length - 1))
 
 
+def scale(n_fft: int = 256, win: int | None = None, hop: int | None = None) -> tuple[int, int, int]:
+    """n_fft, window and hop of one scale: the window is n_fft long at most and by default, the hop a quarter of it."""
+    n_fft = max(1, n_fft)
+    win = min(max(1, win or n_fft), n_fft)
+    return n_fft, win, max(1, hop or win // 4)
+
+
+def ms_stft_l1(y: Column, z: Column, scales: list[tuple[int, int, int]]) -> Column:
+    """Mean over ``scales`` (as `scale` gives them) of the mean absolute difference of two signals' log spectra."""
+    if not scales:
+        raise ValueError("no scale is given")
+    one = lambda n, win, hop: stft_l1(stft_logmag(n, hop, win)(y), stft_logmag(n, hop, win)(z))
+    return sum((one(*s) for s in scales), F.lit(0.0)) / len(scales)
+
+
+def stft_l1(a: Column, b: Column) -> Column:
+    return l1(a, b) / F.size(a)
+
+
 def stft_logmag(n_fft: int, hop: int, win: int):
     """A Pandas UDF from a signal to log(1 + |spectrum|), frame after frame."""
     window = hann(win)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from .windows import summaries
 
 
 def mean_qscore(qual: Column) -> Column:
@@ -14,15 +18,49 @@ def mean_qscore(qual: Column) -> Column:
 
 def phred_encode(quals: Column, seq: Column) -> Column:
     """Integers as characters; all ``I`` if their number differs from the sequence's length."""
-    return F.when(F.size(quals) == F.length(seq), F.array_join(F.transform(quals, lambda q: F.char(q + 33)), "")).otherwise(F.repeat(F.lit("I"), F.length(seq)))
+    own = F.array_join(F.transform(quals, lambda q: F.char(q + 33)), "")
+    return F.when(F.size(quals) == F.length(seq), own).otherwise(F.repeat(F.lit("I"), F.length(seq)))
 
 
 def forward_sequence(seq: Column, is_reverse: Column) -> Column:
     return F.when(is_reverse, F.reverse(F.translate(seq, "ACGT", "TGCA"))).otherwise(seq)
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    return F.levenshtein(a, b).cast("long")
+def distance(a: str, b: str) -> int:
+    """Edit distance of two strings, all rows of a column at once as the bits of whole numbers.
+
+    A column of the table of distances differs from one row to the next by -1, 0 or 1; ``up`` and ``down`` hold where. That
+    takes len(a) * len(b) / 64 steps of the processor, so sequences of 10 ** 5 characters are within reach.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    start, end = 0, len(a)
+    while start < end and a[start] == b[start]:
+        start += 1
+    while end > start and a[end - 1] == b[end - 1 + len(b) - len(a)]:
+        end -= 1
+    a, b = a[start:end], b[start : end + len(b) - len(a)]
+    if not a:
+        return len(b)
+    n = len(a)
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    where = {c: int("".join("1" if x == c else "0" for x in reversed(a)), 2) for c in set(a)}
+    up, down, out = full, 0, n
+    for c in b:
+        same = where.get(c, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        right = down | (full & ~(flat | up))
+        left = up & flat
+        out += bool(right & last) - bool(left & last)
+        right = (right << 1) | 1
+        up = ((left << 1) | ~(same | down | right)) & full
+        down = right & (same | down) & full
+    return out
+
+
+@F.pandas_udf(LongType())
+def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
 def identity(distance: Column, a: Column, b: Column) -> Column:
@@ -37,14 +75,18 @@ def empirical_qscore(errors: Column, denom: Column, cap: float = 60.0) -> Column
 
 
 def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Calls on both sides by id, with lengths, identity, distance and quality deltas."""
-    a, b = left.select("read_id", F.col("seq").alias("a"), F.col("qual").alias("qa")), right.select("read_id", F.col("seq").alias("b"), F.col("qual").alias("qb"))
+    """Calls on both sides by id, with lengths, identity, distance and qualities."""
+    a = left.select("read_id", F.col("seq").alias("a"), mean_qscore(F.col("qual")).alias("left_q"))
+    b = right.select("read_id", F.col("seq").alias("b"), mean_qscore(F.col("qual")).alias("right_q"))
     both = a.join(b, "read_id").withColumn("edit_distance", edit_distance(F.col("a"), F.col("b")))
-    qa, qb = mean_qscore(F.col("qa")), mean_qscore(F.col("qb"))
+    n, m = F.length("a").cast("long"), F.length("b").cast("long")
+    weight = F.greatest(n, m)
     return both.select(
-        "read_id", F.length("a").cast("long").alias("left_length"), F.length("b").cast("long").alias("right_length"), identity(F.col("edit_distance"), F.col("a"), F.col("b")).alias("identity"),
-        "edit_distance", F.greatest(F.length("a"), F.length("b")).cast("long").alias("weight"), qa.alias("left_q"), qb.alias("right_q"), (qb - qa).alias("q_delta"),
-        (F.length("b") - F.length("a")).cast("long").alias("length_delta"), (F.col("a") == F.col("b")).alias("exact_match"),
+        "read_id", n.alias("left_length"), m.alias("right_length"),
+        identity(F.col("edit_distance"), F.col("a"), F.col("b")).alias("identity"), "edit_distance", weight.alias("weight"),
+        "left_q", "right_q", (F.col("right_q") - F.col("left_q")).alias("q_delta"),
+        F.when(weight > 0, empirical_qscore(F.col("edit_distance"), weight)).otherwise(60.0).alias("empirical_q"),
+        (m - n).alias("length_delta"), (F.col("a") == F.col("b")).alias("exact_match"),
     )
 
 
@@ -52,14 +94,68 @@ def weighted_identity() -> Column:
     return F.coalesce(F.try_divide(F.sum(F.col("identity") * F.col("weight")), F.sum("weight")), F.lit(0.0))
 
 
-def summary(rows: DataFrame, *by: Column) -> DataFrame:
-    """Counts, exact rate, weighted identity and mean deltas of pair rows."""
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("shared"), F.sum(F.col("exact_match").cast("long")).alias("exact"), zero(F.avg(F.col("exact_match").cast("double"))).alias("exact_rate"), weighted_identity().alias("weighted_identity"),
-        zero(F.avg("q_delta")).alias("q_delta_mean"), zero(F.avg(F.abs("q_delta"))).alias("q_delta_abs_mean"), zero(F.median("identity")).alias("identity_median"), zero(F.avg("length_delta")).alias("length_delta_mean"),
+def _mean(c: Column) -> Column:
+    return F.coalesce(F.avg(c), F.lit(0.0))
+
+
+def _rates() -> list[Column]:
+    return [_mean(F.col("exact_match").cast("double")).alias("exact_rate"), weighted_identity().alias("weighted_identity")]
+
+
+def call_summary(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: counts of both sides, rates, quality deltas, and summaries of identity, length and quality delta."""
+    rows = pairs(left, right).agg(
+        F.count("*").alias("shared"), *_rates(), _mean(F.col("q_delta")).alias("q_delta_avg"),
+        _mean(F.abs("q_delta")).alias("q_delta_abs"), *summaries("identity", "length_delta", "q_delta"),
+    )
+    n = left.agg(F.count_distinct("read_id").alias("left_count"))
+    m = right.agg(F.count_distinct("read_id").alias("right_count"))
+    both = rows.crossJoin(n).crossJoin(m)  # one row each
+    only = lambda c: (F.col(c) - F.col("shared")).alias(c.replace("count", "only"))
+    return both.select("shared", "left_count", "right_count", only("left_count"), only("right_count"), *rows.columns[1:])
+
+
+#: What a comparison with the truth (left) summarises, and the names of the means.
+TRUTH = {"identity": None, "empirical_q": "mean_empirical_q", "right_q": "mean_predicted_q", "left_q": "mean_truth_q", "length_delta": None}
+
+
+def truth_summary(rows: DataFrame, counts: DataFrame, *by: str) -> DataFrame:
+    """Summary of pair rows against the truth per ``by``; ``counts(*by, truth_count, predicted_count)`` are of each side.
+
+    Without ``predicted_count`` the rows matched count as predicted. A group without rows has zeros.
+    """
+    means = [_mean(F.col(c)).alias(n) for c, n in TRUTH.items() if n]
+    found = rows.groupBy(*by).agg(F.count("*").alias("shared"), *_rates(), *means, *summaries(*TRUTH))
+    both = counts.join(found, list(by), "left") if by else counts.crossJoin(found)
+    shared = F.coalesce("shared", F.lit(0))
+    predicted = F.col("predicted_count") if "predicted_count" in counts.columns else shared
+    only = lambda n: F.greatest(n - shared, F.lit(0))
+    return both.select(
+        *by, shared.alias("shared"), "truth_count", predicted.alias("predicted_count"),
+        only(F.col("truth_count")).alias("truth_only"), only(predicted).alias("predicted_only"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in found.columns if c not in (*by, "shared")],
     )
 
 
+DELTAS = ("shared", "weighted_identity", "mean_empirical_q", "mean_predicted_q", "exact_rate")
+
+
+def summary_delta(new: DataFrame, old: DataFrame) -> DataFrame:
+    """metric, delta: the new truth summary minus the old one, a missing value being 0."""
+
+    def long(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*[F.col(c).cast("double").alias(c) for c in DELTAS]).unpivot([], list(DELTAS), "metric", name)
+
+    both = long(new, "n").join(long(old, "o"), "metric", "full")
+    return both.select("metric", (F.coalesce("n", F.lit(0.0)) - F.coalesce("o", F.lit(0.0))).alias("delta"))
+
+
+def flatten(summary: DataFrame, prefix: str = "valid/") -> DataFrame:
+    """metric, value of every number of a one-row summary; nulls are left out."""
+    names = {c: f"{prefix}{c}" for c in summary.columns}
+    rows = summary.select(*[F.col(c).cast("double").alias(n) for c, n in names.items()])
+    return rows.unpivot([], list(names.values()), "metric", "value").where("value is not null")
+
+
 def only(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("read_id").join(right.select("read_id"), "read_id", "left_anti")

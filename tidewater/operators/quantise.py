@@ -16,22 +16,41 @@ MAX_CODEBOOK_ROWS = 1 << 17  # above this a codebook is not sent to the executor
 
 def project(codebook: DataFrame, weights: list[list[float]], bias: list[float]) -> DataFrame:
     """code, vec: each code vector times ``weights`` plus ``bias``."""
-    cols = [S.dot(F.col("vec").cast("array<double>"), F.array(*[F.lit(float(row[j])) for row in weights])) + float(bias[j]) for j in range(len(bias))]
-    return codebook.select("code", F.array(*cols).alias("vec"))
+    vec = F.col("vec").cast("array<double>")
+    column = lambda j: F.array(*[F.lit(float(row[j])) for row in weights])
+    return codebook.select("code", F.array(*[S.dot(vec, column(j)) + float(b) for j, b in enumerate(bias)]).alias("vec"))
 
 
-def nearest_code(latents: DataFrame, codebook: DataFrame) -> DataFrame:
-    """vec_id, code, distance: exact by squared distance, ties to the smaller code. For small codebooks."""
+def nearest_code_cross(latents: DataFrame, codebook: DataFrame) -> DataFrame:
+    """What `nearest_code` gives, by every pair of a latent and a code: to check it on small tables."""
     c = codebook.select("code", F.col("vec").cast("array<double>").alias("c"))
-    if codebook.count() > MAX_CODEBOOK_ROWS:
-        raise ValueError("the codebook is too large to broadcast")
-    both = latents.select("vec_id", F.col("vec").cast("array<double>").alias("v")).crossJoin(F.broadcast(c))
-    best = both.groupBy("vec_id").agg(F.min(F.struct(S.squared_distance(F.col("v"), F.col("c")).alias("d"), "code")).alias("m"))
+    both = latents.select("vec_id", F.col("vec").cast("array<double>").alias("v")).crossJoin(c)
+    distance = S.squared_distance(F.col("v"), F.col("c"))
+    best = both.groupBy("vec_id").agg(F.min(F.struct(distance.alias("d"), "code")).alias("m"))
     return best.select("vec_id", F.col("m.code").alias("code"), F.col("m.d").alias("distance"))
 
 
-def nearest_code_blocked(latents: DataFrame, codebook: DataFrame, block: int = 2048) -> DataFrame:
-    """The same for large codebooks: blocks of codes against Arrow batches, keeping a running best."""
+def _best(v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest row of ``c`` for each row of ``v`` and their squared distance, ties to the first.
+
+    The product form cancels where two codes are about as near, so all codes that it can't tell apart are measured exactly.
+    """
+    size = np.square(c).sum(1)
+    rough = size - 2 * v @ c.T
+    slack = 1e-9 * (np.square(v).sum(1) + size.max())
+    row, code = np.nonzero(rough <= (rough.min(1) + slack)[:, None])
+    exact = np.square(v[row] - c[code]).sum(1)
+    order = np.lexsort((code, exact, row))
+    first = order[np.unique(row[order], return_index=True)[1]]
+    return code[first], exact[first]
+
+
+def nearest_code(latents: DataFrame, codebook: DataFrame, block: int = 2048) -> DataFrame:
+    """vec_id, code, distance: exact by squared distance, ties to the smaller code.
+
+    Blocks of codes are held against Arrow batches of latents with a running best: no shuffle and no pairs. The codebook
+    is sent to the executors, at most MAX_CODEBOOK_ROWS rows.
+    """
     rows = codebook.orderBy("code").limit(MAX_CODEBOOK_ROWS + 1).collect()
     if len(rows) > MAX_CODEBOOK_ROWS:
         raise ValueError("the codebook is too large to send to the executors")
@@ -44,9 +63,7 @@ def nearest_code_blocked(latents: DataFrame, codebook: DataFrame, block: int = 2
             v = np.stack(f.vec).astype(float)
             best, at = np.full(len(v), np.inf), np.zeros(len(v), int)
             for k in range(0, len(book), block):
-                c = book[k : k + block]
-                i = (np.square(c).sum(1) - 2 * v @ c.T).argmin(1)
-                d = np.square(v - c[i]).sum(1)
+                i, d = _best(v, book[k : k + block])
                 less = d < best
                 best[less], at[less] = d[less], codes[k : k + block][i[less]]
             yield pd.DataFrame({"vec_id": f.vec_id, "code": at, "distance": best})
@@ -71,7 +88,10 @@ def codebook_stats(counts: DataFrame) -> DataFrame:
 
 
 def score_chunks(chunks: DataFrame, scorer, size: int = 32) -> DataFrame:
-    """``scorer`` (an ndarray to ndarray function) over fixed batches of ``chunks(read_id, chunk_index, chunk)``; a last batch is padded with zeros."""
+    """``scorer`` (an ndarray to ndarray function) over fixed batches of ``chunks(read_id, chunk_index, chunk)``.
+
+    A last batch is padded with zeros.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -16,54 +16,126 @@ def parse_step_log(lines: DataFrame) -> DataFrame:
     return rows.select("step", "perf", F.substring_index("kv", "=", 1).alias("metric"), F.substring_index("kv", "=", -1).cast("double").alias("value"))
 
 
+def metric_rename(log: DataFrame, names: dict[str, str], split: str = "train", keep: str | None = None) -> DataFrame:
+    """``log`` with the metrics of ``names`` renamed, and those that start with ``keep`` as they are; all others go.
+
+    Splits other than ``train`` are put before the name.
+    """
+    new = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("metric")] if names else F.lit(None)
+    kept = F.when(F.col("metric").startswith(keep), F.col("metric")) if keep else F.lit(None)
+    rows = log.withColumn("metric", F.coalesce(new, kept)).where("metric is not null")
+    return rows if split == "train" else rows.withColumn("metric", F.concat(F.lit(f"{split}/"), "metric"))
+
+
 def step_window_mean(log: DataFrame, n: int) -> DataFrame:
     """Mean per metric over whole blocks of n steps; sparse metrics give the last step's value, if logged there."""
     block = F.floor((F.col("step") - 1) / n)
     last = log.agg(F.max("step").alias("last"))
-    rows = log.withColumn("block", block).groupBy("block", "metric").agg(F.avg("value").alias("mean"), F.max_by("value", F.struct("step", "value")).alias("at_last"), F.max("step").alias("step"))
+    rows = log.withColumn("block", block).groupBy("block", "metric").agg(*_block_values())
+    whole = rows.crossJoin(F.broadcast(last)).where((F.col("block") + 1) * n <= F.col("last"))  # one row
+    return block_value(whole, n)
+
+
+def _block_values() -> list[Column]:
+    at_last = F.max_by("value", F.struct("step", "value"))
+    return [F.avg("value").alias("mean"), at_last.alias("at_last"), F.max("step").alias("step")]
+
+
+def block_value(rows: DataFrame, n: int) -> DataFrame:
+    """block, metric, value: the mean, but of sparse metrics what the block's last step logged, if it did."""
     sparse = F.col("metric").isin(*SPARSE)
-    whole = rows.crossJoin(F.broadcast(last)).where((F.col("block") + 1) * n <= F.col("last"))
-    return whole.where(~sparse | (F.col("step") == (F.col("block") + 1) * n)).select("block", "metric", F.when(sparse, F.col("at_last")).otherwise(F.col("mean")).alias("value"))
+    value = F.when(sparse, F.col("at_last")).otherwise(F.col("mean")).alias("value")
+    return rows.where(~sparse | (F.col("step") == (F.col("block") + 1) * n)).select("block", "metric", value)
 
 
 def perf_window(log: DataFrame, n: int) -> DataFrame:
-    """Block means of wait, step and sync time with their shares."""
+    """Block means of wait, step (``compute``) and sync time with their shares."""
     rows = log.groupBy(F.floor((F.col("step") - 1) / n).alias("block")).agg(*[F.avg(c).alias(c) for c in ("wait", "compute", "sync")])
-    whole = F.greatest(F.lit(1e-6), F.col("wait") + F.col("compute"))
-    return rows.select("block", "wait", "compute", "sync", (F.col("wait") + F.col("compute")).alias("step_ms"), (100 * F.col("sync") / F.greatest(F.lit(1e-6), F.col("compute"))).alias("host_sync_pct"), (100 * F.col("wait") / whole).alias("input_wait_pct"))
+    step, host = F.col("wait") + F.col("compute"), F.col("compute") + F.col("sync")
+    share = lambda part, whole: 100 * F.col(part) / F.greatest(F.lit(1e-6), whole)
+    shares = share("sync", host).alias("host_sync_pct"), share("wait", step).alias("input_wait_pct")
+    return rows.select("block", "wait", "compute", "sync", step.alias("step_ms"), *shares)
 
 
 def trim_rank_range(rows: DataFrame, order: str, d: int) -> DataFrame:
-    """All but the first d and last d rows; an error unless there are more than 2 d."""
+    """All but the first d and last d rows by ``order``, which no two rows share; an error unless there are more than 2 d."""
     n = rows.count()
     if n <= 2 * d:
         raise ValueError(f"{n} rows are not more than {2 * d}")
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(order))).where((F.col("rank") > d) & (F.col("rank") <= n - d))
-
-
-def timing_summary(times: DataFrame, batch: int, chunk: int) -> DataFrame:
-    ms = F.col("step_ms")
-    stats = times.agg(F.avg(ms).alias("mean_ms"), F.percentile(ms, F.lit([0.5, 0.9, 0.95])).alias("p"), F.stddev_pop(ms).alias("std_ms"))
+    if not d:
+        return rows
+    # two bounded sorts, of d rows each, give the bounds
+    low = rows.select(order).orderBy(order).limit(d).agg(F.max(order)).first()[0]
+    high = rows.select(order).orderBy(F.desc(order)).limit(d).agg(F.min(order)).first()[0]
+    return rows.where((F.col(order) > F.lit(low)) & (F.col(order) < F.lit(high)))
+
+
+def timing_summary(times: DataFrame, batch: int, chunk: int, discard: int = 0) -> DataFrame:
+    """Summary of ``times(step, step_ms)`` without the first and last ``discard`` steps, and the rates that follow."""
+    ms, kept = F.col("step_ms"), trim_rank_range(times, "step", discard)
+    stats = kept.agg(
+        F.count("*").alias("kept"), F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.avg(ms).alias("mean_ms"),
+        F.percentile(ms, F.lit([0.5, 0.9, 0.95])).alias("p"), F.stddev_pop(ms).alias("std_ms"),
+    )
     rate = F.try_divide(F.lit(1000.0), F.col("mean_ms"))
-    return stats.select("mean_ms", F.col("p")[0].alias("median_ms"), F.col("p")[1].alias("p90_ms"), F.col("p")[2].alias("p95_ms"), "std_ms", rate.alias("batches_s"), (rate * batch).alias("chunks_s"), (rate * batch * chunk).alias("points_s"))
-
-
-def running_best(evals: DataFrame, metric: Column, *by: str) -> DataFrame:
-    """step, metric, best so far, its step and whether the step is a new best; rows without a metric are skipped."""
-    rows = evals.withColumn("metric", metric).where("metric is not null")
-    before = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = F.max("metric").over(before)
-    rows = rows.withColumn("is_new_best", earlier.isNull() | (F.col("metric") > earlier))
-    return rows.select(*by, "step", "metric", F.max("metric").over(upto).alias("best"), F.last(F.when(F.col("is_new_best"), F.col("step")), ignorenulls=True).over(upto).alias("best_step"), "is_new_best")
-
-
-def loss_weighting(raw: DataFrame, weights: DataFrame, default: float = 1.0) -> DataFrame:
-    """step, total: sum of weight times value; a name without a weight gets ``default``."""
-    rows = raw.join(F.broadcast(weights), "metric", "left")
-    return rows.groupBy("step").agg(F.sum(F.col("value") * F.coalesce("weight", F.lit(default))).alias("total"))
+    tails = [F.col("p")[k].alias(n) for k, n in enumerate(("median_ms", "p90_ms", "p95_ms"))]
+    rates = rate.alias("batches_s"), (rate * batch).alias("chunks_s"), (rate * batch * chunk).alias("points_s")
+    return stats.select("kept", "first_step", "last_step", "mean_ms", *tails, "std_ms", *rates)
+
+
+def running_best(evals: DataFrame, metric: Column, *by: str, block: int = 100_000) -> DataFrame:
+    """step, metric, best so far, its step and whether the step is a new best; rows without a metric are skipped.
+
+    Windows see ``block`` steps each; what came before a block is known from one row per block.
+    """
+    rows = evals.withColumn("metric", metric).where("metric is not null").withColumn("block", F.floor(F.col("step") / block))
+    top = F.max(F.struct(F.col("metric"), (-F.col("step")).alias("back"))).alias("top")
+    earlier = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*by, "block").agg(top).select(*by, "block", F.max("top").over(earlier).alias("top"))
+    rows = rows.join(tops, [*by, "block"])
+    within = Window.partitionBy(*by, "block").orderBy("step")
+    before, upto = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(Window.unboundedPreceding, 0)
+    past = F.greatest(F.max("metric").over(before), F.col("top.metric"))
+    rows = rows.withColumn("is_new_best", past.isNull() | (F.col("metric") > past))
+    best = F.greatest(F.max("metric").over(upto), F.col("top.metric")).alias("best")
+    at = F.last(F.when(F.col("is_new_best"), F.col("step")), ignorenulls=True).over(upto)
+    return rows.select(*by, "step", "metric", best, F.coalesce(at, -F.col("top.back")).alias("best_step"), "is_new_best")
+
+
+def eval_metric(delta: Column, summary: Column) -> Column:
+    """What an evaluation is judged by: ``delta``, or the mean of its ``summary`` struct where that is missing."""
+    return F.coalesce(delta, summary["mean"])
+
+
+#: Weights of the losses over time where none is given.
+DEFAULTS = {"time_l1": 1.0, "diff1_l1": 0.0, "diff2_l1": 0.0}
+SPECTRAL = "_stft_logmag_l1"
+
+
+def loss_weighting(
+    raw: DataFrame, weights: dict[str, float], layers: tuple[str, ...] = (), layer_weights: dict[str, float] | None = None,
+    scale: float = 1.0, start: int = 0, warm: int = 0,
+) -> DataFrame:
+    """step, reconstruct, layers_raw, layers and total of ``raw(step, metric, value)``.
+
+    A loss counts with its weight; one over a spectral scale (``<scale>_stft_logmag_l1``) without a weight of its own with that
+    of ``stft_logmag_l1``. Feature ``layers`` count with theirs, 1 / n each where none are given, times ``scale`` and the ramp.
+    Metrics that are neither count nothing.
+    """
+    if layer_weights is not None and set(layer_weights) != set(layers):
+        raise ValueError("layers and layer weights differ")
+    of = lambda names: F.create_map(*[F.lit(x) for n, w in names.items() for x in (n, float(w))])[F.col("metric")]
+    own = dict.fromkeys(layers, 1.0 / max(len(layers), 1)) if layer_weights is None else layer_weights
+    legacy = F.when(F.col("metric").endswith(SPECTRAL), F.lit(float(weights.get(SPECTRAL[1:], 0.0))))
+    named = {n: w for n, w in (DEFAULTS | weights).items() if n != SPECTRAL[1:]}
+    loss = F.sum(F.col("value") * F.coalesce(of(named), legacy, F.lit(0.0)))
+    layer = F.sum(F.col("value") * (F.coalesce(of(own), F.lit(0.0)) if own else F.lit(0.0)))
+    rows = raw.groupBy("step").agg(loss.alias("reconstruct"), layer.alias("layers_raw"))
+    rows = rows.withColumn("layers", F.col("layers_raw") * scale * ramp(F.col("step"), start, warm))
+    return rows.withColumn("total", F.col("reconstruct") + F.col("layers"))
 
 
 def ramp(step: Column, start: int, warm: int) -> Column:
     """0 before ``start``, then a rise to 1 over ``warm`` steps."""
-    return F.when(step < start, 0.0).otherwise(F.lit(1.0) if warm <= 0 else F.greatest(F.lit(0.0), F.least(F.lit(1.0), (step - start + 1) / F.lit(float(warm)))))
+    rise = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (step - start + 1) / F.lit(float(max(warm, 1)))))
+    return F.when(step < start, 0.0).otherwise(rise if warm > 0 else F.lit(1.0))

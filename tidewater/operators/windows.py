@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,14 @@ def calibration_valid(reads: DataFrame) -> DataFrame:
 
 
 def calibration_rejects(reads: DataFrame) -> DataFrame:
-    reason = F.when(F.col("scale").isNull(), "missing").when(~S.finite(F.col("scale")), "not finite").when(F.abs("scale") <= 1e-8, "zero")
+    scale = F.col("scale")
+    reason = F.when(scale.isNull(), "missing").when(~S.finite(scale), "not finite").when(F.abs(scale) <= 1e-8, "zero")
     return reads.withColumn("reason", reason).where("reason is not null")
 
 
-def chunks(reads: DataFrame, value: Column, size: int, hop: int, tail: str = "shift_last", carry: tuple[str, ...] = ("offset_adc", "scale", "adc")) -> DataFrame:
+def chunks(
+    reads: DataFrame, value: Column, size: int, hop: int, tail: str = "shift_last", carry: tuple[str, ...] = ("offset_adc", "scale")
+) -> DataFrame:
     """One row per window of the array ``value``: read_id, chunk_index, n_chunks, start, chunk."""
     starts = S.window_starts(F.size(value), size, hop, tail)
     rows = reads.withColumn("value", value).withColumn("starts", starts).where(F.size("starts") > 0)
@@ -37,18 +42,51 @@ def samples(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return rows.select(*keys, F.posexplode(value).alias("pos", "value"))
 
 
+def _stitch(size: int, hop: int, weighted: bool):
+    """A Pandas UDF from one read's chunk starts and chunks, in order, to its signal."""
+    overlap = max(size - hop, 0)
+    fade = np.arange(overlap) / max(overlap, 1)
+
+    @F.pandas_udf("array<double>")
+    def stitch(starts: pd.Series, chunks: pd.Series) -> pd.Series:
+        def one(at, parts):
+            value, weight = np.zeros(at[-1] + size), np.zeros(at[-1] + size)
+            for i, (s, part) in enumerate(zip(at, parts, strict=True)):
+                w = np.ones(size)
+                if i > 0 and overlap:
+                    w[:overlap] = fade
+                if i < len(at) - 1 and overlap:  # overwrites a fade-in that it meets
+                    w[size - overlap :] = 1 - fade
+                if weighted:
+                    value[s : s + size] += w * part
+                    weight[s : s + size] += w
+                else:
+                    value[s : s + size] = part
+            return value / np.where(weight == 0, 1, weight) if weighted else value
+
+        return pd.Series([one(a, c) for a, c in zip(starts, chunks, strict=True)])
+
+    return stitch
+
+
+def reassembled(rows: DataFrame, size: int, hop: int, weighted: bool = True, *sums: Column) -> DataFrame:
+    """read_id, value (the signal as an array) and ``sums`` over the chunks of ``rows(read_id, chunk_index, start, chunk)``.
+
+    Chunks are shuffled once, as arrays; a group is the chunks of one read, about as large as that read.
+    """
+    per = rows.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "start", "chunk"))).alias("parts"), *sums)
+    value = _stitch(size, hop, weighted)(F.col("parts.start"), F.col("parts.chunk"))
+    return per.withColumn("value", value).drop("parts")
+
+
 def overlap_add(rows: DataFrame, size: int, hop: int) -> DataFrame:
-    """read_id, pos, value: weighted mean of all chunks of ``rows(read_id, chunk_index, n_chunks, start, chunk)``; weight 0 divides by 1."""
-    weight = S.crossfade(F.col("chunk_index"), F.col("n_chunks"), size, hop)
-    parts = rows.select("read_id", "start", F.posexplode(F.arrays_zip(F.col("chunk").alias("x"), weight.alias("w"))).alias("k", "z"))
-    sums = parts.groupBy("read_id", (F.col("start") + F.col("k")).alias("pos")).agg(F.sum(F.col("z.x") * F.col("z.w")).alias("s"), F.sum("z.w").alias("w"))
-    return sums.select("read_id", "pos", (F.col("s") / F.when(F.col("w") == 0, 1.0).otherwise(F.col("w"))).alias("value"))
+    """read_id, value: the weighted mean of all chunks at each sample; weight 0 divides by 1."""
+    return reassembled(rows, size, hop)
 
 
-def direct_stitch(rows: DataFrame) -> DataFrame:
+def direct_stitch(rows: DataFrame, size: int, hop: int) -> DataFrame:
     """The same without weights: a later chunk overwrites an earlier one."""
-    parts = rows.select("read_id", "start", "chunk_index", F.posexplode("chunk").alias("k", "x"))
-    return parts.groupBy("read_id", (F.col("start") + F.col("k")).alias("pos")).agg(F.max_by("x", "chunk_index").alias("value"))
+    return reassembled(rows, size, hop, False)
 
 
 def cycle_fill(rows: DataFrame, order: list[str], target: int) -> DataFrame:
@@ -61,26 +99,75 @@ def cycle_fill(rows: DataFrame, order: list[str], target: int) -> DataFrame:
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with a global 0-based number in the order of ``key``: range partitions are numbered on their own and shifted."""
-    parts = rows.repartitionByRange(key).withColumn("part", F.spark_partition_id())
+    """``rows`` with a global 0-based number in the order of ``key``: range partitions are numbered on their own and shifted.
+
+    The number of partitions is given, so that both uses of the exchange see the same ones.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.repartitionByRange(n, key).withColumn("part", F.spark_partition_id())
     inner = parts.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1)
     counts = parts.groupBy("part").count()
-    before = counts.withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inner.join(F.broadcast(before.drop("count")), "part").withColumn("number", F.col("i") + F.col("base")).drop("part", "i", "base")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = counts.select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
+    return inner.join(F.broadcast(before), "part").withColumn("number", F.col("i") + F.col("base")).drop("part", "i", "base")
 
 
 def batches(rows: DataFrame, key: str, size: int, drop_last: bool = True) -> DataFrame:
     """Groups of ``size`` rows in the order of ``key``: batch, items."""
-    out = numbered(rows, key).groupBy(F.floor(F.col("number") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.col(key))).alias("items"))
+    out = numbered(rows, key).groupBy(F.floor(F.col("number") / size).alias("batch"))
+    out = out.agg(F.array_sort(F.collect_list(F.col(key))).alias("items"))
     return out.where(F.size("items") == size) if drop_last else out
 
 
-def read_errors(pairs: DataFrame, original: str, rebuilt: str, prefix: str) -> DataFrame:
-    d = F.col(original) - F.col(rebuilt)
-    return pairs.groupBy("read_id").agg(F.avg(F.abs(d)).alias(f"{prefix}_mae"), F.sqrt(F.avg(d * d)).alias(f"{prefix}_rmse"))
+def norm_sums(original: Column, rebuilt: Column) -> list[Column]:
+    """What `read_errors` needs of the chunks: sums over all their samples, those that overlap counted twice."""
+    sums = {"norm_abs": S.l1(original, rebuilt), "norm_sq": S.l2(original, rebuilt), "norm_n": F.size(original)}
+    return [*[F.sum(v).alias(k) for k, v in sums.items()], F.count("*").alias("chunk_count")]
 
 
-def summarise(rows: DataFrame, *columns: str) -> DataFrame:
+def read_errors(rows: DataFrame) -> DataFrame:
+    """Six errors of each read and its lengths, from ``rows(read_id, pa, adc, offset_adc, scale, value)`` and `norm_sums`.
+
+    ``value`` is the rebuilt signal in picoamperes; where it is shorter than the read, the read is trimmed to it.
+    """
+    n = F.size("value")
+    rows = rows.withColumn("pa", F.slice("pa", F.lit(1), n)).withColumn("adc", F.slice("adc", F.lit(1), n))
+    back = S.to_adc(F.col("value"), F.col("offset_adc"), F.col("scale"))
+    rows = rows.withColumn("adc_hat", F.transform(back, lambda v: S.adc_round_clip(v).cast("double")))
+    count = F.greatest(F.col("norm_n"), F.lit(1))
+    mean = lambda a, b: S.l1(F.col(a), F.col(b)) / n
+    root = lambda a, b: F.sqrt(S.l2(F.col(a), F.col(b)) / n)
+    return rows.select(
+        "read_id", n.cast("long").alias("trimmed_length"), "chunk_count",
+        (F.col("norm_abs") / count).alias("norm_mae"), F.sqrt(F.col("norm_sq") / count).alias("norm_rmse"),
+        mean("pa", "value").alias("pa_mae"), root("pa", "value").alias("pa_rmse"),
+        mean("adc", "adc_hat").alias("adc_mae"), root("adc", "adc_hat").alias("adc_rmse"),
+    )
+
+
+ERRORS = ("trimmed_length", "chunk_count", "norm_mae", "norm_rmse", "pa_mae", "pa_rmse", "adc_mae", "adc_rmse")
+
+
+def recon_summary(errors: DataFrame) -> DataFrame:
+    """Number of reads and chunks, and a summary of each of ERRORS."""
+    sums = [F.count("*").alias("processed_reads"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("total_chunk_count")]
+    return errors.agg(*sums, *summaries(*ERRORS))
+
+
+def feature_standardise(rows: DataFrame, eps: float = 1e-5) -> DataFrame:
+    """seq, t, i, value: ``rows(seq, t, vec)`` with zero mean and unit deviation per channel over the time of each sequence."""
+    long = rows.select("seq", "t", F.posexplode("vec").alias("i", "x"))
+    own = Window.partitionBy("seq", "i")
+    value = (F.col("x") - F.avg("x").over(own)) / F.sqrt(F.var_pop("x").over(own) + eps * eps)
+    return long.select("seq", "t", "i", value.alias("value"))
+
+
+def summaries(*columns: str) -> list[Column]:
     """Mean, exact median, minimum and maximum of each column; 0.0 on empty input."""
     stats = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
-    return rows.agg(*[F.coalesce(f(F.col(c).cast("double")), F.lit(0.0)).alias(f"{c}_{n}") for c in columns for n, f in stats.items()])
+    one = lambda f, c: F.coalesce(f(F.col(c).cast("double")), F.lit(0.0))
+    return [one(f, c).alias(f"{c}_{n}") for c in columns for n, f in stats.items()]
+
+
+def summarise(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.agg(*summaries(*columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import calls as C
@@ -15,23 +15,95 @@ from tidewater.sources import io
 from tidewater.streaming import streams
 
 from .fixtures import fixture, oracle
-from .signals import HOP, SIZE, _flag, chunked, r6, reads
+from .signals import HOP, SIZE, _flag, r6, reads
 
 QUERIES, ORACLE = {}, {}
 
 _CAND = "coalesce(try_cast(nullif({0}, '') as double), 0)"
 _NUM = lambda c: f"case when isnan({_CAND.format(c)}) then 0 else {_CAND.format(c)} end"
 _INT = lambda c: f"cast(round_even({_NUM(c)}, 0) as bigint)"
-_Q = "case when length({0}) = 0 then 0 else list_sum(list_transform(str_split({0}, ''), lambda c: ascii(c) - 33)) / length({0})::double end"
+_Q = """case when length({0}) = 0 then 0
+     else list_sum(list_transform(str_split({0}, ''), lambda c: ascii(c) - 33)) / length({0})::double end"""
+
+
+def _paired(left: str, right: str) -> str:
+    return f"""
+select x.read_id, x.seq as a, y.seq as b, levenshtein(x.seq, y.seq) as d,
+       greatest(length(x.seq), length(y.seq)) as w, {_Q.format('x.qual')} as qa, {_Q.format('y.qual')} as qb
+from {left} x join {right} y on y.read_id = x.read_id"""
+
+
+_IDENT = "case when w = 0 then 1 when length(a) = 0 or length(b) = 0 then 0 else 1 - d / w::double end"
+_EMPIRICAL = "case when w = 0 or d <= 0 then 60.0 else least(60, -10 * log10(greatest(d / w::double, 1e-12))) end::double"
+
+
+def _measured(pair: str) -> str:
+    """The pair rows with every number that a summary is made of."""
+    return f"""
+select read_id, a = b as exact_match, w as weight, {_IDENT} as identity, qa as left_q, qb as right_q, qb - qa as q_delta,
+       {_EMPIRICAL} as empirical_q, (length(b) - length(a))::double as length_delta
+from {pair}"""
+
+
 DUCK = {
-    "d_cand": f"select name::bigint as read_id, barcode, {_INT('read_length')} as read_length, {_INT('qstart')} as qstart, {_INT('qend')} as qend, {_NUM('acc')} as acc, {_NUM('coverage')} as coverage, {_NUM('mean_quality')} as mean_quality, ref, {_INT('rstart')} as rstart, {_INT('rend')} as rend from readstats",
-    "d_ok": "select * from d_cand where read_length >= 2000 and acc >= 92 and coverage >= 91 and mean_quality >= 9 and qstart <= 140 and read_length - qend <= 140",
-    "d_raw": "select read_id, min(source_file) as source_file, arg_min(raw_length, source_file) as raw_length from raw_index group by 1",
-    "d_truth": "select read_id, min(miss) = 0 as overlaps, arg_min(ordinal, (miss, ordinal)) as ordinal, arg_min(seq, (miss, ordinal)) as seq from (select k.read_id, case when a.ref = k.ref and a.start_pos < greatest(k.rstart + 1, k.rend + 512) and a.end_pos > greatest(0, k.rstart - 512) then 0 else 1 end as miss, a.ordinal, a.seq from d_ok k join alignments a on a.read_id = k.read_id where a.seq <> '') group by 1",
-    "d_use": "select k.*, r.raw_length, t.ordinal, case when r.raw_length is null then 'no raw read' when t.seq is null then 'no truth' end as reason from d_ok k left join d_raw r using (read_id) left join d_truth t using (read_id)",
-    **{f"d_{n}": f"select x.read_id, x.barcode, x.seq as a, y.seq as b, levenshtein(x.seq, y.seq) as d, greatest(length(x.seq), length(y.seq)) as w, {_Q.format('x.qual')} as qa, {_Q.format('y.qual')} as qb from {l} x join {r} y on y.read_id = x.read_id" for n, l, r in (("og", "(select o.*, t.barcode from calls_original o left join calls_truth t using (read_id))", "calls_generated"), ("to", "calls_truth", "calls_original"), ("tg", "calls_truth", "calls_generated"))},
+    "d_cand": f"""
+select name::bigint as read_id, barcode, {_INT('read_length')} as read_length, {_INT('qstart')} as qstart,
+       {_INT('qend')} as qend, {_NUM('acc')} as acc, {_NUM('coverage')} as coverage, {_NUM('mean_quality')} as mean_quality,
+       ref, {_INT('rstart')} as rstart, {_INT('rend')} as rend
+from readstats""",
+    "d_ok": """
+select * from d_cand where read_length >= 2000 and acc >= 92 and coverage >= 91 and mean_quality >= 9
+  and qstart <= 140 and read_length - qend <= 140""",
+    "d_raw": """
+select read_id, min(source_file) as source_file, arg_min(raw_length, source_file) as raw_length from raw_index group by 1""",
+    "d_truth": """
+select read_id, min(miss) = 0 as overlaps, arg_min(ordinal, (miss, ordinal)) as ordinal, arg_min(seq, (miss, ordinal)) as seq
+from (select k.read_id, case when a.ref = k.ref and a.start_pos < greatest(k.rstart + 1, k.rend + 512)
+                              and a.end_pos > greatest(0, k.rstart - 512) then 0 else 1 end as miss, a.ordinal, a.seq
+      from d_ok k join alignments a on a.read_id = k.read_id where a.seq <> '')
+group by 1""",
+    "d_use": """
+select k.*, r.raw_length, t.ordinal, t.seq,
+       case when r.raw_length is null then 'no raw read' when t.seq is null then 'no truth' end as reason
+from d_ok k left join d_raw r using (read_id) left join d_truth t using (read_id)""",
+    "d_top": """
+select *, row_number() over (partition by barcode order by acc desc, coverage desc, mean_quality desc, read_length desc,
+                             read_id)::int as rank
+from d_use where reason is null""",
+    "d_group": "select read_id, coalesce(nullif(barcode, ''), 'unknown') as barcode from calls_truth",
+    "d_og": _paired("calls_original", "calls_generated"),
+    "d_to": _paired("calls_truth", "calls_original"),
+    "d_tg": _paired("calls_truth", "calls_generated"),
+    "d_mog": _measured("d_og"),
+    "d_mto": _measured("d_to"),
+    "d_mtg": _measured("d_tg"),
 }
-_IDENT = "case when w = 0 then 1 when length(a) = 0 or length(b) = 0 then 0 else 1 - d / w::double end"
+STATS = {"mean": "avg", "median": "median", "min": "min", "max": "max"}
+
+
+def _stats(*columns: str) -> str:
+    return ", ".join(f"round(coalesce({f}({c}), 0), 6) + 0.0 as {c}_{n}" for c in columns for n, f in STATS.items())
+
+
+_RATES = """round(coalesce(avg(exact_match::int), 0), 6) as exact_rate,
+       round(coalesce(sum(identity * weight) / nullif(sum(weight), 0), 0), 6) as weighted_identity"""
+CALL = f"""
+select count(*) as shared, l as left_count, r as right_count, l - count(*) as left_only, r - count(*) as right_only, {_RATES},
+       round(coalesce(avg(q_delta), 0), 6) + 0.0 as q_delta_avg, round(coalesce(avg(abs(q_delta)), 0), 6) as q_delta_abs,
+       {_stats('identity', 'length_delta', 'q_delta')}
+from d_mog, (select count(distinct read_id) as l from calls_original), (select count(distinct read_id) as r from calls_generated)
+group by l, r"""
+_TRUTH_STATS = f"""{_RATES}, round(coalesce(avg(empirical_q), 0), 6) as mean_empirical_q,
+       round(coalesce(avg(right_q), 0), 6) as mean_predicted_q, round(coalesce(avg(left_q), 0), 6) as mean_truth_q,
+       {_stats('identity', 'empirical_q', 'right_q', 'left_q', 'length_delta')}"""
+
+
+def _truth_sql(pair: str, other: str) -> str:
+    return f"""
+select count(*) as shared, l as truth_count, r as predicted_count, greatest(l - count(*), 0) as truth_only,
+       greatest(r - count(*), 0) as predicted_only, {_TRUTH_STATS}
+from {pair}, (select count(distinct read_id) as l from calls_truth), (select count(distinct read_id) as r from {other})
+group by l, r"""
 
 
 def query(sql: str | None, name: str | None = None):
@@ -44,14 +116,27 @@ def query(sql: str | None, name: str | None = None):
     return add
 
 
-def _summary(source: str, by: str = "") -> str:
-    return f"select {by + ', ' if by else ''}count(*) as shared, sum((a = b)::int)::bigint as exact, round(coalesce(avg((a = b)::int), 0), 6) as exact_rate, round(coalesce(sum(({_IDENT}) * w) / nullif(sum(w), 0), 0), 6) as weighted_identity, round(coalesce(avg(qb - qa), 0), 6) + 0.0 as q_delta_mean, round(coalesce(avg(abs(qb - qa)), 0), 6) as q_delta_abs_mean, round(coalesce(median({_IDENT}), 0), 6) as identity_median, round(coalesce(avg(length(b) - length(a)), 0), 6) + 0.0 as length_delta_mean from {source}" + (f" group by {by}" if by else "")
-
-
 def _rounded(rows: DataFrame) -> DataFrame:
     return rows.select(*[r6(n) if t == "double" else F.col(n) for n, t in rows.dtypes])
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; a local one only under a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidewater-")
+    return f"{root.rstrip('/')}/{name}-{os.urandom(8).hex()}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once, for queries that read it twice."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def calls(spark: SparkSession, sf: str, which: str) -> DataFrame:
     return fixture(spark, sf, f"calls_{which}")
 
@@ -60,15 +145,18 @@ def _both(spark, sf, left="original", right="generated"):
     return C.pairs(calls(spark, sf, left), calls(spark, sf, right))
 
 
-PAIR = f"select read_id, length(a) as left_length, length(b) as right_length, round({_IDENT}, 6) as identity, d as edit_distance, w as weight, round(qb - qa, 6) + 0.0 as q_delta, length(b) - length(a) as length_delta, a = b as exact_match from d_og"
-
-
-@query(PAIR)
+@query("select read_id, length(a) as left_length, length(b) as right_length, a = b as exact_match from d_og")
 def join_shared_reads(spark, sf):
-    return _rounded(_both(spark, sf).drop("left_q", "right_q"))
+    return _both(spark, sf).select("read_id", "left_length", "right_length", "exact_match")
 
 
-QUERIES["pair_metrics"], ORACLE["pair_metrics"] = join_shared_reads, ORACLE["join_shared_reads"]
+@query(f"""
+select read_id, length(a) as left_length, length(b) as right_length, round({_IDENT}, 6) as identity, d as edit_distance,
+       w as weight, round(qa, 6) as left_q, round(qb, 6) as right_q, round(qb - qa, 6) + 0.0 as q_delta,
+       round({_EMPIRICAL}, 6) as empirical_q, length(b) - length(a) as length_delta, a = b as exact_match
+from d_og""")
+def pair_metrics(spark, sf):
+    return _rounded(_both(spark, sf))
 
 
 @query("select read_id from calls_original except select read_id from calls_generated")
@@ -86,50 +174,68 @@ def ids_intersect(spark, sf):
     return calls(spark, sf, "original").select("read_id").intersect(calls(spark, sf, "generated").select("read_id"))
 
 
-@query("select 'left' as side, read_id from (select read_id from calls_original except select read_id from calls_generated) union all select 'right', read_id from (select read_id from calls_generated except select read_id from calls_original)")
+@query("""
+select 'left' as side, read_id from (select read_id from calls_original except select read_id from calls_generated)
+union all
+select 'right', read_id from (select read_id from calls_generated except select read_id from calls_original)""")
 def ids_except(spark, sf):
     a, b = (calls(spark, sf, x).select("read_id") for x in ("original", "generated"))
     return a.subtract(b).select(F.lit("left").alias("side"), "read_id").union(b.subtract(a).select(F.lit("right"), "read_id"))
 
 
-@query("select read_id, length(seq) as n from calls_truth where read_id in (select read_id from calls_original where read_id % 3 = 0)")
+@query("select read_id, length(seq) as n from calls_truth where read_id in (select read_id from calls_generated)")
 def select_by_ids(spark, sf):
-    rows = calls(spark, sf, "truth").join(calls(spark, sf, "original").where("read_id % 3 = 0"), "read_id", "left_semi")
+    rows = calls(spark, sf, "truth").join(calls(spark, sf, "generated"), "read_id", "left_semi")
     return rows.select("read_id", F.length("seq").cast("long").alias("n"))
 
 
-@query("select count(*) as missing, min(read_id) as first from (select read_id from calls_original except select read_id from calls_truth)")
+@query("""
+select count(*) as n, min(read_id) as first
+from (select read_id from calls_original except select read_id from calls_truth)""")
 def require_all_ids(spark, sf):
-    return C.only(calls(spark, sf, "original"), calls(spark, sf, "truth")).agg(F.count("*").alias("missing"), F.min("read_id").alias("first"))
+    return M.missing_ids(calls(spark, sf, "original"), calls(spark, sf, "truth"))
 
 
-@query(_summary("d_og"))
+@query(CALL)
 def call_summary(spark, sf):
-    return _rounded(C.summary(_both(spark, sf)))
+    return _rounded(C.call_summary(calls(spark, sf, "original"), calls(spark, sf, "generated")))
 
 
-@query(_summary("d_to"))
+def _truth(spark, sf, right):
+    a, b = calls(spark, sf, "truth"), calls(spark, sf, right)
+    count = lambda df, name: df.agg(F.count_distinct("read_id").alias(name))
+    return C.truth_summary(C.pairs(a, b), count(a, "truth_count").crossJoin(count(b, "predicted_count")))
+
+
+@query(_truth_sql("d_mto", "calls_original"))
 def truth_summary(spark, sf):
-    return _rounded(C.summary(_both(spark, sf, "truth", "original")))
+    return _rounded(_truth(spark, sf, "original"))
 
 
-@query(f"select round(coalesce(sum(({_IDENT}) * w) / nullif(sum(w), 0), 0), 6) as weighted_identity from d_tg")
+@query("select round(coalesce(sum(identity * weight) / nullif(sum(weight), 0), 0), 6) as weighted_identity from d_mtg")
 def weighted_identity(spark, sf):
     return _rounded(_both(spark, sf, "truth", "generated").agg(C.weighted_identity().alias("weighted_identity")))
 
 
-@query(_summary("(select * replace (coalesce(nullif(barcode, ''), 'unknown') as barcode) from d_to)", "barcode"))
+@query(f"""
+select barcode, count(read_id) as shared, truth_count, count(read_id) as predicted_count,
+       greatest(truth_count - count(read_id), 0) as truth_only, 0::bigint as predicted_only, {_TRUTH_STATS}
+from (select barcode, count(distinct read_id) as truth_count from d_group group by 1)
+     left join (select g.barcode, d.* from d_mto d join d_group g using (read_id)) using (barcode)
+group by barcode, truth_count""")
 def group_truth_summary(spark, sf):
     by = calls(spark, sf, "truth").select("read_id", F.coalesce(F.nullif("barcode", F.lit("")), F.lit("unknown")).alias("barcode"))
-    return _rounded(C.summary(_both(spark, sf, "truth", "original").join(by, "read_id"), F.col("barcode")))
+    counts = by.groupBy("barcode").agg(F.count_distinct("read_id").alias("truth_count"))
+    return _rounded(C.truth_summary(_both(spark, sf, "truth", "original").join(by, "read_id"), counts, "barcode"))
 
 
-@query(f"select metric, round(coalesce(n, 0) - coalesce(o, 0), 6) + 0.0 as delta from (select unnest(['exact_rate', 'weighted_identity', 'q_delta_mean']) as metric, unnest([a.exact_rate, a.weighted_identity, a.q_delta_mean]) as o, unnest([b.exact_rate, b.weighted_identity, b.q_delta_mean]) as n from ({_summary('d_to')}) a, ({_summary('d_tg')}) b)")
+@query(f"""
+select x.m as metric, round(x.d, 6) + 0.0 as delta
+from (select unnest([{", ".join(f"{{'m': '{c}', 'd': n.{c}::double - o.{c}::double}}" for c in C.DELTAS)}]) as x
+      from ({_truth_sql('d_mto', 'calls_original')}) o, ({_truth_sql('d_mtg', 'calls_generated')}) n)""")
 def summary_delta(spark, sf):
-    names = ["exact_rate", "weighted_identity", "q_delta_mean"]
-    long = lambda right, name: _rounded(C.summary(_both(spark, sf, "truth", right))).select(*names).unpivot([], names, "metric", name)
-    both = long("original", "o").join(long("generated", "n"), "metric", "full")
-    return both.select("metric", (F.round(F.coalesce("n", F.lit(0.0)) - F.coalesce("o", F.lit(0.0)), 6) + 0.0).alias("delta"))
+    new, old = (_rounded(_truth(spark, sf, x)) for x in ("generated", "original"))
+    return C.summary_delta(new, old).select("metric", r6("delta"))
 
 
 @query("select read_id, round(qa, 6) as left_q, round(qb, 6) as right_q from d_og")
@@ -142,23 +248,28 @@ def alignment_identity(spark, sf):
     return _rounded(_both(spark, sf, "truth", "generated").select("read_id", "edit_distance", "identity"))
 
 
-@query("select read_id, round(case when d <= 0 then 60.0 else least(60, -10 * log10(greatest(d / w::double, 1e-12))) end, 6)::double as q from d_tg where w > 0")
+@query(f"select read_id, round({_EMPIRICAL}, 6) as q from d_tg")
 def empirical_qscore(spark, sf):
-    rows = _both(spark, sf, "truth", "generated").where("weight > 0")
-    return _rounded(rows.select("read_id", C.empirical_qscore(F.col("edit_distance"), F.col("weight")).alias("q")))
+    return _rounded(_both(spark, sf, "truth", "generated").select("read_id", F.col("empirical_q").alias("q")))
 
 
-@query("select ordinal, seq as forward from (select ordinal, case when ordinal % 2 = 1 then reverse(translate(upper(seq), 'ACGT', 'TGCA')) else upper(seq) end as seq from alignments)")
+@query("""
+select ordinal, case when ordinal % 2 = 1 then reverse(translate(upper(seq), 'ACGT', 'TGCA')) else upper(seq) end as forward
+from alignments""")
 def forward_sequence(spark, sf):
     rows = fixture(spark, sf, "alignments")
     return rows.select("ordinal", C.forward_sequence(F.upper("seq"), F.col("ordinal") % 2 == 1).alias("forward"))
 
 
-@query("select ordinal, case when ordinal % 5 = 0 then repeat('I', length(seq)) else array_to_string(list_transform(str_split(seq, ''), lambda c: chr(((ascii(c) % 40) + 33)::int)), '') end as qual from alignments where seq <> ''")
+@query("""
+select ordinal, case when ordinal % 5 = 0 then repeat('I', length(seq))
+       else array_to_string(list_transform(str_split(seq, ''), lambda c: chr(((ascii(c) % 40) + 33)::int)), '') end as qual
+from alignments where seq <> ''""")
 def phred_encode(spark, sf):
     rows = fixture(spark, sf, "alignments").where("seq != ''")
     quals = F.transform(F.split("seq", ""), lambda c: F.ascii(c) % 40)
-    return rows.select("ordinal", C.phred_encode(F.when(F.col("ordinal") % 5 == 0, F.slice(quals, F.lit(1), F.lit(3))).otherwise(quals), F.col("seq")).alias("qual"))
+    other = F.when(F.col("ordinal") % 5 == 0, F.slice(quals, F.lit(1), F.lit(3))).otherwise(quals)
+    return rows.select("ordinal", C.phred_encode(other, F.col("seq")).alias("qual"))
 
 
 def cand(spark, sf):
@@ -181,16 +292,21 @@ def usable(spark, sf):
     return M.usable_join(ok(spark, sf), raw(spark, sf), truth(spark, sf))
 
 
+_REALS = ("acc", "coverage", "mean_quality")
+
+
 def _clean(spark, sf):
-    return cand(spark, sf).select("read_id", "read_length", "qstart", "qend", *[r6(c) for c in ("acc", "coverage", "mean_quality")])
+    return cand(spark, sf).select("read_id", "read_length", "qstart", "qend", *[r6(c) for c in _REALS])
 
 
-_CLEAN = "select read_id, read_length, qstart, qend, round(acc, 6) as acc, round(coverage, 6) as coverage, round(mean_quality, 6) as mean_quality from d_cand"
+_CLEAN = f"select read_id, read_length, qstart, qend, {', '.join(f'round({c}, 6) as {c}' for c in _REALS)} from d_cand"
 query(_CLEAN, "clean_numeric")(_clean)
 query("select *, 'FC' as fc from d_cand", "project_candidate")(cand)
 
 
-@query("select 'len_only' as mode, read_id from d_cand where read_length >= 2000 union all select 'strict', read_id from d_ok")
+@query("""
+select 'len_only' as mode, read_id from d_cand where read_length >= 2000
+union all select 'strict', read_id from d_ok""")
 def candidate_filter(spark, sf):
     loose = M.candidate_filter(cand(spark, sf), "len_only", 2000)
     return loose.select(F.lit("len_only").alias("mode"), "read_id").union(ok(spark, sf).select(F.lit("strict"), "read_id"))
@@ -211,37 +327,60 @@ def truth_lookup_interval(spark, sf):
     return truth(spark, sf)
 
 
-@query("select read_id, barcode, raw_length, ordinal, reason from d_use where reason is null union all (select read_id, barcode, raw_length, ordinal, reason from d_use where reason is not null order by read_id limit 64)")
+@query("""
+select read_id, barcode, raw_length, ordinal, reason from d_use where reason is null
+union all
+(select read_id, barcode, raw_length, ordinal, reason from d_use where reason is not null order by read_id limit 64)""")
 def usable_join(spark, sf):
-    rows = usable(spark, sf).select("read_id", "barcode", "raw_length", "ordinal", "reason")
+    rows = stored(usable(spark, sf).select("read_id", "barcode", "raw_length", "ordinal", "reason"), "usable")
     return rows.where("reason is null").union(rows.where("reason is not null").orderBy("read_id").limit(64))
 
 
-@query("select distinct read_id from d_ok except select read_id from d_raw")
+@query("""
+select read_id, case when raw_length is null then 'unknown' else 'out of bounds' end as problem
+from (select distinct read_id from d_ok) left join d_raw using (read_id)
+where raw_length is null or raw_length < 20000 or raw_length > 45000""")
 def manifest_containment(spark, sf):
-    return ok(spark, sf).select("read_id").join(fixture(spark, sf, "raw_index"), "read_id", "left_anti").distinct()
+    return M.not_contained(ok(spark, sf), fixture(spark, sf, "raw_index"), 20000, 45000)
+
 
+_REPORT = """
+select barcode, coalesce(candidates, 0) as candidates, coalesce(usable, 0)::bigint as usable, coalesce(selected, 0) as selected,
+       coalesce(min_raw, 0) as min_raw, coalesce(max_raw, 0) as max_raw, coalesce(min_truth, 0) as min_truth,
+       coalesce(max_truth, 0) as max_truth
+from {} left join (select barcode, count(*) as candidates, sum((reason is null)::int) as usable from d_use group by 1)
+       using (barcode)
+     left join (select barcode, count(*) as selected, min(raw_length) as min_raw, max(raw_length) as max_raw,
+                       min(length(seq)) as min_truth, max(length(seq)) as max_truth from d_top where rank <= 20 group by 1)
+       using (barcode)"""
 
-_COUNTS = "select barcode, count(k.read_id) as candidates, coalesce(sum((k.read_id is not null and reason is null)::int), 0)::bigint as usable, coalesce(min(raw_length), 0) as low, coalesce(max(raw_length), 0) as high from {} left join d_use k using (barcode) group by 1"
 
+def _report(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    rows = stored(rows, "usable")
+    top = M.topk_per_barcode(rows.where("reason is null"), 20)
+    return M.group_report(groups, rows, top)
 
-def _counts(names: DataFrame, rows: DataFrame) -> DataFrame:
-    per = rows.groupBy("barcode").agg(F.count("*").alias("candidates"), F.sum(F.col("reason").isNull().cast("long")).alias("usable"), F.min("raw_length").alias("low"), F.max("raw_length").alias("high"))
-    return names.join(per, "barcode", "left").select("barcode", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "usable", "low", "high")])
 
+def _usable_with_truth(spark, sf):
+    return usable(spark, sf).select("barcode", "read_id", "raw_length", "seq", "reason", *_REALS, "read_length")
 
-@query(_COUNTS.format("(select unnest(['barcode01', 'barcode02', 'barcode09']) as barcode) b"))
+
+@query(_REPORT.format("(select unnest(['barcode01', 'barcode02', 'barcode09']) as barcode)"))
 def group_driver_join(spark, sf):
-    names = spark.range(1).select(F.explode(F.array(*map(F.lit, ("barcode01", "barcode02", "barcode09")))).alias("barcode"))
-    return _counts(names, usable(spark, sf))
+    names = F.array(*map(F.lit, ("barcode01", "barcode02", "barcode09")))
+    return _report(spark.range(1).select(F.explode(names).alias("barcode")), _usable_with_truth(spark, sf))
 
 
-@query(_COUNTS.format("(select distinct barcode from d_ok) b"))
+@query(_REPORT.format("(select distinct barcode from d_ok)"))
 def barcode_counts(spark, sf):
-    return _counts(ok(spark, sf).select("barcode").distinct(), usable(spark, sf))
+    return _report(ok(spark, sf).select("barcode").distinct(), _usable_with_truth(spark, sf))
 
 
-@query("select barcode, read_id, rank from (select barcode, read_id, row_number() over (partition by barcode order by acc desc, coverage desc, mean_quality desc, read_length desc, read_id)::int as rank from d_ok) where rank <= 20")
+@query("""
+select barcode, read_id, rank
+from (select barcode, read_id, row_number() over (partition by barcode order by acc desc, coverage desc, mean_quality desc,
+             read_length desc, read_id)::int as rank from d_ok)
+where rank <= 20""")
 def topk_per_barcode(spark, sf):
     return M.topk_per_barcode(ok(spark, sf), 20).select("barcode", "read_id", "rank")
 
@@ -251,44 +390,71 @@ def stable_sample(spark, sf):
     return M.stable_sample(ok(spark, sf), 100, 7).select("barcode", "read_id")
 
 
-@query("select source_file, read_id, raw_length from raw_index where raw_length >= 10000 order by source_file, read_id limit 64")
+@query("""
+select source_file, read_id, raw_length from raw_index where raw_length >= 10000 order by source_file, read_id limit 64""")
 def first_n_reads(spark, sf):
     return fixture(spark, sf, "raw_index").where("raw_length >= 10000").orderBy("source_file", "read_id").limit(64)
 
 
-@query("select barcode, read_id, row_number() over (order by barcode, read_id)::bigint as place from d_ok where read_id % 10 = 0")
+@query("select barcode, read_id from d_ok order by barcode, read_id")
 def stable_order(spark, sf):
-    return ok(spark, sf).where("read_id % 10 = 0").select("barcode", "read_id", F.row_number().over(Window.orderBy("barcode", "read_id")).cast("long").alias("place"))
+    return M.stable_order(ok(spark, sf).select("barcode", "read_id"))
 
 
-@query("select barcode, count(*) as n, count(distinct read_id) as ids from d_cand where barcode in ('barcode01', 'barcode03') group by 1")
+@query("select barcode, count(*) as n, count(distinct read_id) as ids from d_cand group by 1")
 def candidates_union(spark, sf):
     rows = cand(spark, sf)
-    both = rows.where("barcode = 'barcode01'").unionByName(rows.where("barcode = 'barcode03'"))
+    one, two, three = (rows.where(F.col("barcode") == f"barcode0{k}") for k in (1, 2, 3))  # all that there are
+    both = one.unionByName(two).unionByName(three)
     return both.groupBy("barcode").agg(F.count("*").alias("n"), F.count_distinct("read_id").alias("ids"))
 
 
-@query("select l_orderkey as step, sum(case when l_returnflag = 'A' then 2.0 when l_returnflag = 'N' then 0.5 else 1.0 end * l_linenumber)::double as total from lineitem group by 1")
+#: Losses and feature layers that the return flag, the status and the line of an item stand for.
+_LOSS = """
+select l_orderkey as step, l_extendedprice / 1000 as value,
+       case when l_returnflag = 'A' then 'time_l1' when l_returnflag = 'N' and l_linestatus = 'F' then 'small_stft_logmag_l1'
+            when l_returnflag = 'N' then 'large_stft_logmag_l1' when l_linenumber % 3 = 0 then 'conv1'
+            when l_linenumber % 3 = 1 then 'conv2' else 'other' end as metric
+from lineitem"""
+_SUMS = """select step, sum(value * case metric when 'time_l1' then 1.0 when 'small_stft_logmag_l1' then 2.0
+                             when 'large_stft_logmag_l1' then 0.25 else 0 end) as reconstruct,
+            sum(case when metric in ('conv1', 'conv2') then value / 2 else 0 end) as layers_raw"""
+
+
+@query(f"""
+select step, round(reconstruct, 7) as reconstruct, round(layers_raw, 7) as layers_raw, round(layers_raw * r, 7) as layers,
+       round(reconstruct + layers_raw * r, 7) as total
+from (select *, 0.5 * case when step < 100 then 0 else greatest(0, least(1, (step - 100 + 1) / 391.0)) end as r
+      from ({_SUMS} from ({_LOSS}) group by 1))""")
 def loss_weighting(spark, sf):
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("step"), F.col("l_returnflag").alias("metric"), F.col("l_linenumber").cast("double").alias("value"))
-    weights = spark.range(1).select(F.explode(F.map_from_arrays(F.array(F.lit("A"), F.lit("N")), F.array(F.lit(2.0), F.lit(0.5)))).alias("metric", "weight"))
-    return L.loss_weighting(rows, weights)
+    spark.read.parquet(f"{sf}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    weights = {"small_stft_logmag_l1": 2.0, "stft_logmag_l1": 0.25}
+    out = L.loss_weighting(spark.sql(_LOSS), weights, ("conv1", "conv2"), scale=0.5, start=100, warm=391)
+    return out.select("step", *[r6(c, 7) for c in ("reconstruct", "layers_raw", "layers", "total")])
 
 
-@query("select step, case when metric = 'purchase' then 'valid/buy' else 'valid/' || metric end as metric from step_log")
+@query("""
+select step, 'valid/' || case metric when 'purchase' then 'buy' when 'perplexity' then 'codebook_perplexity' else metric end as metric,
+       value
+from step_log where metric in ('purchase', 'perplexity') or metric like 'c%'""")
 def metric_rename(spark, sf):
-    names = spark.range(1).select(F.lit("purchase").alias("metric"), F.lit("buy").alias("new"))
-    return fixture(spark, sf, "step_log").join(F.broadcast(names), "metric", "left").select("step", F.concat(F.lit("valid/"), F.coalesce("new", "metric")).alias("metric"))
+    names = {"purchase": "buy", "perplexity": "codebook_perplexity"}
+    return L.metric_rename(fixture(spark, sf, "step_log"), names, "valid", "c")
 
 
-@query(f"select metric, value from (unpivot (select exact_rate as \"valid/exact_rate\", weighted_identity as \"valid/weighted_identity\", identity_median as \"valid/identity_median\" from ({_summary('d_og')})) on columns(*) into name metric value value)")
+@query(f"""
+select 'valid/' || n as metric, value
+from (unpivot (select columns(*)::double from ({CALL})) on columns(*) into name n value value)""")
 def flatten_metrics(spark, sf):
-    names = ["exact_rate", "weighted_identity", "identity_median"]
-    rows = _rounded(C.summary(_both(spark, sf))).select(*[F.col(n).alias(f"valid/{n}") for n in names])
-    return rows.unpivot([], [f"valid/{n}" for n in names], "metric", "value").where("value is not null")
+    return C.flatten(call_summary(spark, sf))
 
 
-_BLOCK = "select block, metric, round(case when metric in ('perplexity', 'code_usage') then last else mean end, 6) as value from (select (step - 1) // 50 as block, metric, avg(value) as mean, arg_max(value, (step, value)) as last, max(step) as step from step_log group by 1, 2) where (block + 1) * 50 <= (select max(step) from step_log) and (metric not in ('perplexity', 'code_usage') or step = (block + 1) * 50)"
+_BLOCK = """
+select block, metric, round(case when metric in ('perplexity', 'code_usage') then last else mean end, 6) as value
+from (select (step - 1) // 50 as block, metric, avg(value) as mean, arg_max(value, (step, value)) as last, max(step) as step
+      from step_log group by 1, 2)
+where (block + 1) * 50 <= (select max(step) from step_log)
+  and (metric not in ('perplexity', 'code_usage') or step = (block + 1) * 50)"""
 
 
 @query(_BLOCK)
@@ -296,57 +462,101 @@ def step_window_mean(spark, sf):
     return L.step_window_mean(fixture(spark, sf, "step_log"), 50).select("block", "metric", r6("value"))
 
 
-_PERF = "select step, value as wait, value * 3 as compute, value / 4 as sync from step_log"
-
-
-@query(f"select block, round(wait, 6) as wait, round(wait + compute, 6) as step_ms, round(100 * sync / greatest(1e-6, compute), 6) as host_sync_pct, round(100 * wait / greatest(1e-6, wait + compute), 6) as input_wait_pct from (select (step - 1) // 50 as block, avg(wait) as wait, avg(compute) as compute, avg(sync) as sync from ({_PERF}) group by 1)")
+@query("""
+select block, round(wait, 6) as wait, round(wait + compute, 6) as step_ms,
+       round(100 * sync / greatest(1e-6, compute + sync), 6) as host_sync_pct,
+       round(100 * wait / greatest(1e-6, wait + compute), 6) as input_wait_pct
+from (select (step - 1) // 50 as block, avg(value) as wait, avg(value * 3) as compute, avg(value / 4) as sync
+      from step_log group by 1)""")
 def perf_window(spark, sf):
-    rows = fixture(spark, sf, "step_log").select("step", F.col("value").alias("wait"), (F.col("value") * 3).alias("compute"), (F.col("value") / 4).alias("sync"))
+    value = F.col("value")
+    rows = fixture(spark, sf, "step_log").select("step", value.alias("wait"), (value * 3).alias("compute"), (value / 4).alias("sync"))
     return L.perf_window(rows, 50).select("block", *[r6(c) for c in ("wait", "step_ms", "host_sync_pct", "input_wait_pct")])
 
 
-@query("select event_id + 1 as step, 'loss' as metric, round(value, 3) as value from events union all select event_id + 1, 'rate', user_id::double from events")
+@query("""
+select event_id + 1 as step, 'loss' as metric, round(value, 3) as value from events
+union all select event_id + 1, 'rate', user_id::double from events""")
 def parse_step_log(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet")
-    line = F.format_string("[step %d] loss=%s, rate=%s", F.col("event_id") + 1, F.round("value", 3).cast("string"), F.col("user_id").cast("string"))
+    values = F.round("value", 3).cast("string"), F.col("user_id").cast("string")
+    line = F.format_string("[step %d] loss=%s, rate=%s", F.col("event_id") + 1, *values)
     return L.parse_step_log(rows.select(line.alias("value"))).drop("perf")
 
 
-@query("select step, step_ms from (select *, row_number() over (order by step) as r, count(*) over () as n from timings) where r > 20 and r <= n - 20")
+_KEPT = """
+select step, step_ms from (select *, row_number() over (order by step) as r, count(*) over () as n from timings)
+where r > 20 and r <= n - 20"""
+
+
+@query(_KEPT)
 def trim_rank_range(spark, sf):
     return L.trim_rank_range(fixture(spark, sf, "timings"), "step", 20).select("step", "step_ms")
 
 
-@query("select round(avg(step_ms), 6) as mean_ms, round(quantile_cont(step_ms, 0.5), 6) as median_ms, round(quantile_cont(step_ms, 0.9), 6) as p90_ms, round(quantile_cont(step_ms, 0.95), 6) as p95_ms, round(stddev_pop(step_ms), 6) as std_ms, round(1000 / avg(step_ms), 6) as batches_s, round(1000 / avg(step_ms) * 32, 4) as chunks_s from timings")
+@query(f"""
+select count(*) as kept, min(step) as first_step, max(step) as last_step, round(avg(step_ms), 6) as mean_ms,
+       round(quantile_cont(step_ms, 0.5), 6) as median_ms, round(quantile_cont(step_ms, 0.9), 6) as p90_ms,
+       round(quantile_cont(step_ms, 0.95), 6) as p95_ms, round(stddev_pop(step_ms), 6) as std_ms,
+       round(1000 / avg(step_ms), 6) as batches_s, round(1000 / avg(step_ms) * 32, 4) as chunks_s,
+       round(1000 / avg(step_ms) * 32 * 12288, 1) as points_s
+from ({_KEPT})""")
 def timing_summary(spark, sf):
-    out = L.timing_summary(fixture(spark, sf, "timings"), 32, 12288)
-    return out.select(*[r6(c) for c in ("mean_ms", "median_ms", "p90_ms", "p95_ms", "std_ms", "batches_s")], r6("chunks_s", 4))
+    out = L.timing_summary(fixture(spark, sf, "timings"), 32, 12288, 20)
+    exact = ("mean_ms", "median_ms", "p90_ms", "p95_ms", "std_ms", "batches_s")
+    return out.select("kept", "first_step", "last_step", *[r6(c) for c in exact], r6("chunks_s", 4), r6("points_s", 1))
+
+
+_EVALS = "select step, run, coalesce(mean_qscore_delta, summary_mean) as metric from eval_history"
+
+
+def _best_sql(by: str) -> str:
+    over = "partition by run order by step" if by else "order by step"
+    return f"""
+select {by}step, metric, best, max(case when is_new_best then step end) over ({over} rows unbounded preceding) as best_step,
+       is_new_best
+from (select *, max(metric) over ({over} rows unbounded preceding) as best,
+             coalesce(metric > max(metric) over ({over} rows between unbounded preceding and 1 preceding), true) as is_new_best
+      from ({_EVALS}) where metric is not null)"""
+
 
+def _evals(spark, sf):
+    rows = fixture(spark, sf, "eval_history").withColumn("summary", F.struct(F.col("summary_mean").alias("mean")))
+    return rows.withColumn("metric", L.eval_metric(F.col("mean_qscore_delta"), F.col("summary")))
 
-@query("select step, metric, best, max(case when is_new_best then step end) over (order by step rows unbounded preceding) as best_step, is_new_best from (select step, metric, max(metric) over (order by step rows unbounded preceding) as best, coalesce(metric > max(metric) over (order by step rows between unbounded preceding and 1 preceding), true) as is_new_best from (select step, mean_qscore_delta as metric from eval_history where mean_qscore_delta is not null))")
+
+@query(_best_sql(""))
 def running_best(spark, sf):
-    return L.running_best(fixture(spark, sf, "eval_history"), F.col("mean_qscore_delta"))
+    return L.running_best(_evals(spark, sf), F.col("metric"), block=500)
 
 
-_RUNS = "select o_orderkey as position, 'ckpt/run' || (o_custkey % 40) || '/best' as checkpoint, 'models/v@' || (o_orderkey % 3) || '.x y' as model from orders"
+_RUNS = """
+select o_orderkey as position, 'ckpt/run' || (o_custkey % 40) || '/best' as checkpoint,
+       'models/v@' || (o_orderkey % 3) || '.x y' as model
+from orders"""
 
 
-@query(f"select position, case when n > 1 then tagged || '_' || n else tagged end as name from (select *, row_number() over (partition by tagged order by position) as n from (select position, case when count(*) over (partition by base) > 1 then base || '_' || replace(replace(replace(str_split(model, '/')[-1], '@', '_at_'), '.', '_'), ' ', '_') else base end as tagged from (select *, str_split(checkpoint, '/')[-2] || '_' || str_split(checkpoint, '/')[-1] as base from ({_RUNS}))))")
+@query(f"""
+select position, case when n > 1 then tagged || '_' || n else tagged end as name
+from (select *, row_number() over (partition by tagged order by position) as n
+      from (select position, case when count(*) over (partition by base) > 1 then base || '_' ||
+                   replace(replace(replace(str_split(model, '/')[-1], '@', '_at_'), '.', '_'), ' ', '_') else base end as tagged
+            from (select *, str_split(checkpoint, '/')[-2] || '_' || str_split(checkpoint, '/')[-1] as base from ({_RUNS}))))""")
 def unique_run_names(spark, sf):
     spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("orders")
     return M.unique_run_names(spark.sql(_RUNS))
 
 
-@query(f"select position, printf('%.6f', weighted_identity) as identity, printf('%.4f', exact_rate) as exact, printf('%+.6f', q_delta_mean) as q_delta from (select 0 as position, * from ({_summary('d_to')}) union all select 1, * from ({_summary('d_tg')}))")
+@query(f"""
+select position, printf('%.6f', weighted_identity) as identity, printf('%.4f', exact_rate) as exact,
+       printf('%+.6f', mean_predicted_q - mean_truth_q) as q_delta
+from (select 0 as position, * from ({_truth_sql('d_mto', 'calls_original')})
+      union all select 1, * from ({_truth_sql('d_mtg', 'calls_generated')}))""")
 def compare_runs(spark, sf):
-    rows = [C.summary(_both(spark, sf, "truth", r)).select(F.lit(k).alias("position"), *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("weighted_identity", "exact_rate", "q_delta_mean")]) for k, r in enumerate(("original", "generated"))]
-    both = rows[0].unionByName(rows[1])
-    return both.select("position", F.format_string("%.6f", "weighted_identity").alias("identity"), F.format_string("%.4f", "exact_rate").alias("exact"), F.format_string("%+.6f", "q_delta_mean").alias("q_delta"))
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{root.rstrip('/')}/{name}-{os.urandom(8).hex()}"
+    one, two = (_rounded(_truth(spark, sf, r)).withColumn("position", F.lit(k)) for k, r in enumerate(("original", "generated")))
+    delta = F.col("mean_predicted_q") - F.col("mean_truth_q")
+    shown = F.format_string("%.6f", "weighted_identity").alias("identity"), F.format_string("%.4f", "exact_rate").alias("exact")
+    return one.unionByName(two).select("position", *shown, F.format_string("%+.6f", delta).alias("q_delta"))
 
 
 @query(_CLEAN)
@@ -354,28 +564,35 @@ def scan_readstats(spark, sf):
     path = shared_folder(spark, "stats")
     names = [x.split()[0] for x in io.STATS.split(", ")]
     fixture(spark, sf, "readstats").select(*names).write.csv(path, sep="\t", header=True, compression="gzip")
-    return M.candidates(io.scan_stats(spark, path, 8)).select("read_id", "read_length", "qstart", "qend", *[r6(c) for c in ("acc", "coverage", "mean_quality")])
+    rows = M.candidates(io.scan_stats(spark, path, 8))
+    return rows.select("read_id", "read_length", "qstart", "qend", *[r6(c) for c in _REALS])
 
 
-@query("select read_id::varchar as read_id, seq, substr(qual, 1, length(seq)) as qual from calls_truth")
+@query("select read_id::varchar as read_id, seq, qual from calls_truth")
 def scan_fastq(spark, sf):
     path = shared_folder(spark, "fastq")
-    one = calls(spark, sf, "truth").select("read_id", F.translate("seq", "\n", " ").alias("seq"), "qual")
-    io.write_fastq(one.withColumn("seq", F.translate("seq", " \n@+", "____")), path)
+    io.write_fastq(calls(spark, sf, "truth"), path)
     return io.scan_fastq(spark, path)
 
 
-ORACLE["scan_fastq"] = oracle("select read_id::varchar as read_id, translate(seq, ' ' || chr(10) || '@+', '____') as seq, substr(qual, 1, length(seq)) as qual from calls_truth")
-QUERIES["write_fastq"], ORACLE["write_fastq"] = scan_fastq, ORACLE["scan_fastq"]
+@query("""
+select unnest(['@' || read_id, seq, '+', qual]) as line from calls_original""")
+def write_fastq(spark, sf):
+    path = shared_folder(spark, "fastq")
+    io.write_fastq(calls(spark, sf, "original"), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @query("select read_id, source_file, raw_length from reads_meta")
 def scan_manifest(spark, sf):
-    path, kind = shared_folder(spark, "manifest"), "selected_reads array<struct<source_file:string,read_id:long,raw_length:long>>"
-    rows = fixture(spark, sf, "reads_meta").groupBy(F.pmod("read_id", F.lit(8))).agg(F.collect_list(F.struct("source_file", "read_id", "raw_length")).alias("selected_reads"))
-    io.write_jsonl(rows.select("selected_reads"), path)
-    doc = spark.read.schema(kind).json(path)
-    return doc.select(F.explode("selected_reads").alias("r")).select("r.read_id", "r.source_file", "r.raw_length")
+    path = shared_folder(spark, "manifest")
+    one = F.struct("source_file", "read_id", "raw_length")
+    rows = fixture(spark, sf, "reads_meta").groupBy("source_file").agg(F.collect_list(one).alias("selected_reads"))
+    # documents of several lines, one a source file
+    doc = F.to_json(F.struct(F.col("source_file").alias("fc"), "selected_reads"), {"pretty": "true"})
+    rows.select(doc.alias("value")).repartition(F.col("value")).write.option("maxRecordsPerFile", 1).text(path)
+    kind = "selected_reads array<struct<source_file:string,read_id:long,raw_length:long>>"
+    return io.scan_manifest(spark, path, kind).select("read_id", "source_file", "raw_length")
 
 
 def _round_trip(spark, sf, write):
@@ -387,10 +604,18 @@ def _round_trip(spark, sf, write):
 
 _USE = "select read_id, barcode, raw_length, reason from d_use"
 query(_USE, "write_jsonl")(lambda spark, sf: _round_trip(spark, sf, io.write_jsonl))
-query(_USE, "append_history")(lambda spark, sf: _round_trip(spark, sf, io.append_history))
 
 
-@query(_summary("d_og"))
+@query("select read_id, barcode, raw_length, reason from d_use union all select read_id, 'again', raw_length, reason from d_use")
+def append_history(spark, sf):
+    def twice(rows: DataFrame, path: str) -> None:
+        io.append_history(rows, path)
+        io.append_history(rows.withColumn("barcode", F.lit("again")), path)
+
+    return _round_trip(spark, sf, twice)
+
+
+@query(CALL)
 def write_summary_json(spark, sf):
     path, rows = shared_folder(spark, "summary"), call_summary(spark, sf)
     io.write_summary(rows, path)
@@ -410,17 +635,26 @@ def scan_skip_corrupt(spark, sf):
     rows = reads(spark, sf)
     rows.write.parquet(path)
     spark.range(1).select(F.lit("no parquet").alias("value")).coalesce(1).write.text(f"{path}/bad.parquet")
-    good = spark.read.schema(rows.schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    good = io.scan_reads(spark, path, schema=rows.schema, skip_corrupt=True)
     return good.select("read_id", "source_file", "raw_length")
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, op, mode: str) -> DataFrame:
-    """What ``op`` gives over ``rows`` arriving as files; each batch goes to a table below the shared folder."""
+def _streamed(spark: SparkSession, rows: DataFrame, op, mode: str, order: str | None = None) -> DataFrame:
+    """What ``op`` gives over ``rows`` arriving as files, by ``order`` in three parts if given.
+
+    Each batch goes to a table below the shared folder.
+    """
     root = shared_folder(spark, "stream")
-    rows.repartition(3).write.parquet(f"{root}/in")
+    if order:
+        low, high = rows.stat.approxQuantile(order, [1 / 3, 2 / 3], 0.01)
+        for part in (F.col(order) <= low, (F.col(order) > low) & (F.col(order) <= high), F.col(order) > high):
+            rows.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    else:
+        rows.repartition(3).write.parquet(f"{root}/in")
     out = op(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
     kept = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{root}/out")
-    out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(kept).start().awaitTermination()
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    writer.foreachBatch(kept).start().awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
@@ -429,17 +663,14 @@ def stream_chunks(spark, sf):
     return _flag(_streamed(spark, reads(spark, sf), lambda s: streams.stream_chunks(s, SIZE, HOP), "append"))
 
 
-
-@query("select (step - 1) // 50 as block, metric, round(avg(value), 6) as mean from step_log group by 1, 2")
+@query(_BLOCK)
 def stream_step_windows(spark, sf):
     out = _streamed(spark, fixture(spark, sf, "step_log"), lambda s: streams.stream_step_windows(s, 50), "update")
-    last = out.groupBy("block", "metric").agg(F.max_by("mean", "batch").alias("mean"))  # an update replaces earlier ones
-    return last.select("block", "metric", r6("mean"))
+    return streams.whole(out, 50).select("block", "metric", r6("value"))
 
 
-@query("select 'run' || (step % 4) as run, max(mean_qscore_delta) as best from eval_history where mean_qscore_delta is not null group by 1")
+@query(_best_sql("run, "))
 def stream_running_best(spark, sf):
-    rows = fixture(spark, sf, "eval_history").select(F.concat(F.lit("run"), (F.floor(F.col("step")) % 4).cast("string")).alias("run"), "step", F.col("mean_qscore_delta").alias("metric"))
-    return _streamed(spark, rows, streams.stream_running_best, "append").groupBy("run").agg(F.max("best").alias("best"))
-
-
+    """Evaluations arrive in the order of their steps, so the stream gives what the batch gives."""
+    rows = _evals(spark, sf).select("run", "step", "metric")
+    return _streamed(spark, rows, streams.stream_running_best, "append", "step").drop("batch")

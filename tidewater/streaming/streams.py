@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewater.functions import signal as S
+from tidewater.operators import runlog as L
 from tidewater.operators import windows as W
 
 
@@ -20,8 +21,21 @@ def stream_chunks(reads: DataFrame, size: int, hop: int) -> DataFrame:
 
 
 def stream_step_windows(log: DataFrame, n: int) -> DataFrame:
-    """Running block means; the block is a step count, not a time, so nothing is ever late."""
-    return log.groupBy(F.floor((F.col("step") - 1) / n).alias("block"), "metric").agg(F.avg("value").alias("mean"), F.max_by("value", F.struct("step", "value")).alias("at_last"))
+    """Block means as they stand; the block is a step count, not a time, so nothing is ever late.
+
+    ``whole`` holds the rules of the log over what a batch updates: only blocks that a later step has closed, and sparse metrics
+    by what their last step logged.
+    """
+    values = F.max_by("value", F.struct("step", "value")).alias("at_last")
+    return log.groupBy(F.floor((F.col("step") - 1) / n).alias("block"), "metric").agg(F.avg("value").alias("mean"), values, F.max("step").alias("step"))
+
+
+def whole(blocks: DataFrame, n: int) -> DataFrame:
+    """block, metric, value of the blocks up to the last step seen, each as the newest of ``blocks(..., batch)`` has it."""
+    newest = blocks.groupBy("block", "metric").agg(F.max_by(F.struct("mean", "at_last", "step"), "batch").alias("b"))
+    newest = newest.select("block", "metric", "b.*")
+    last = newest.agg(F.max("step").alias("last"))  # one row
+    return L.block_value(newest.crossJoin(F.broadcast(last)).where((F.col("block") + 1) * n <= F.col("last")), n)
 
 
 def stream_running_best(evals: DataFrame) -> DataFrame:
