@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -61,6 +62,24 @@ def licenses(rows, phrases):
     return out
 
 
+def license_labels(rows, phrases, templates, cover=0.8):
+    """labels and score, by trying every start of every template."""
+    base, out = licenses(rows, phrases), {}
+    for d, t in rows:
+        w = words(t)
+        labels, best = set(filter(None, base[d][4].split(","))), 1.0 if base[d][1] else 0.0
+        for text, label, key in templates:
+            t, p = text.split(), key.split()
+            if not any(w[i : i + len(p)] == p for i in range(len(w))):
+                continue
+            agree = max(sum(w[s + k] == x for k, x in enumerate(t) if 0 <= s + k < len(w)) for s in range(1 - len(t), len(w)))
+            if agree >= math.ceil(cover * len(t)):
+                labels.add(label)
+                best = max(best, agree / len(t))
+        out[d] = (",".join(sorted(labels)), best)
+    return out
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -111,6 +130,44 @@ def secrets(rows):
     return out
 
 
+def random_strings(n):
+    for i in range(n):
+        digest = hashlib.sha256(str(i).encode())
+        text = base64.b64encode(digest.digest()).decode()
+        yield text if i % 3 == 0 else digest.hexdigest() if i % 3 == 1 else text.upper().replace("=", "").replace("+", "7").replace("/", "9")
+
+
+def markov_spans(rows, known, random_rows, ordinary, candidate, least=0.5, smooth=0.5):
+    """Spans of the two models of transitions; ``known`` are the values that the known forms find."""
+    count = [defaultdict(float), defaultdict(float)]
+    plain = [x for _, t in rows for x in re.findall(ordinary, t or "") if not re.search("[0-9a-f]{16,}|AKIA[A-Z0-9]{14,}", x)]
+    for label, tokens in ((1, [*known, *random_strings(random_rows)]), (0, plain)):
+        for x in tokens:
+            for a, b in zip(x, x[1:], strict=False):
+                count[label][a + b] += 1
+                count[label][a] += 1
+    log = lambda k, a, b: math.log((count[k][a + b] + smooth) / (count[k][a] + 64 * smooth))
+    out = {}
+    for d, t in rows:
+        out[d] = set()
+        for m in re.finditer(candidate, t or ""):
+            pairs = list(zip(m[0], m[0][1:], strict=False))
+            if sum(round(log(1, a, b) - log(0, a, b), 4) for a, b in pairs) / len(pairs) > least:
+                out[d].add((m.start(), m.end()))
+    return out
+
+
+def paragraph_links(rows, cut, size=5, percent=80):
+    """Pairs of different paragraphs (as word tuples) of Jaccard similarity ``percent`` or more, found by their shingles."""
+    sets = {tuple(w): {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for _, t in rows for _, _, w in cut(t or "") if len(w) >= size}
+    posted = defaultdict(list)
+    for w, s in sets.items():
+        for x in s:
+            posted[x].append(w)
+    pairs = {(a, b) for held in posted.values() for i, a in enumerate(held) for b in held[i + 1 :]}
+    return {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+
+
 def neighbours(rows, k=20, every=20):
     ok = [(i, [float(x) for x in v]) for i, v in rows if v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}

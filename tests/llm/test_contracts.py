@@ -87,6 +87,23 @@ def test_licenses(spark, data, docs):
     assert got == brute.licenses(docs, PHRASES)
 
 
+def test_license_labels(spark, docs):
+    """Labels and score against every start of every template: documents, notices, cut, edited, mixed and repeated ones."""
+    rng, rows = np.random.default_rng(7), docs[:100]
+    for text, _, key in TEMPLATES:
+        t = text.split()
+        for n in range(12):
+            w = list(t)
+            for i in rng.choice(len(w), rng.integers(0, 6), replace=False):
+                w[i] = rng.choice(["other", "the", "license", "this", "software"])
+            some = w[rng.integers(0, 4) :] if n % 3 else [*w, "and", *TEMPLATES[n][0].split()[:15], *key.split(), *w]
+            rows.append((10_000 + len(rows), " ".join(["of"] * int(rng.integers(0, 3)) + some)))
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute.license_labels(rows, PHRASES, TEMPLATES)
+    assert {r.doc_id: (",".join(r.labels), r.score) for r in got} == want
+    assert {"mit", "lgpl", "isc", "unlicense"} <= {x for labels, _ in want.values() for x in labels.split(",")}
+
+
 def test_licenses_with_changed_words(spark):
     """Notices that agree in `cover` of their words, whichever words are changed, also at a start that is cut off."""
     rng, rows, want = np.random.default_rng(1), [], {}
@@ -114,10 +131,37 @@ def test_decontamination(spark, data, docs):
     assert rows_of(q.op8_decontaminate(spark, data), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.contamination(docs, items)
 
 
+def test_decontamination_odd_rows(spark):
+    """Null ids, one id with several texts, repeated rows, items of every length, and clashing columns."""
+    long = " ".join(f"w{k}" for k in range(40))
+    texts = [(None, f"a b {long}"), (None, long), (1, long[:60]), (1, "clean text only"), (1, "short one here"), (2, None), (2, long), (2, long), (3, "")]
+    rows = spark.createDataFrame([(*r, "k", ["w"], 1) for r in texts], "doc_id long, text string, key string, words array<string>, print int")
+    items = [(7, long), (8, "short one"), (9, None), (None, "one here"), (10, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (11, "")]
+    got = contamination(rows, spark.createDataFrame(items, "item_id long, text string")).collect()
+    each = [brute.contamination([(0, t)], [(i if i is not None else "null", t_) for i, t_ in items])[0] for _, t in texts]
+    want = sorted((str(d), *v[:3], v[4]) for (d, _), v in zip(texts, each, strict=True))
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == want
+
+
 def test_secrets(spark, data, docs):
     assert rows_of(q.op10_secrets(spark, data), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == brute.secrets(docs)
 
 
+def test_markov_spans(spark, docs):
+    """The models' own spans, counted and scored by a plain version."""
+    from tidewater.llm.secrets import CANDIDATE, ORDINARY
+
+    made = [*brute.random_strings(60), "internationalization_of_every_thing", "Donaudampfschifffahrtsgesellschaft", "aaaaaaaaaaaaaaaaaaaaaaaa"]
+    rows = [*docs, *((10_000 + i, f"é x {x[: 15 + i]} {x[::-1]} 😀") for i, x in enumerate(made))]
+    found = secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), random_rows=500).collect()
+    known = [s.value for r in found for s in r.base]
+    want = brute.markov_spans(rows, known, 500, ORDINARY, CANDIDATE)
+    got = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == "markov"} for r in found}
+    assert got == want and sum(map(len, want.values())) > 50
+    text = dict(rows)
+    assert all(text[r.doc_id][s.start : s.end].endswith(s.value) for r in found for s in r.spans)
+
+
 def test_secrets_without_digits(spark):
     """Random strings of letters only, or with their first digit late, are judged as all others; ordinary long words stay."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
@@ -204,22 +248,23 @@ def test_simple8b_round_trip(n, high):
 
 
 def test_encoder_is_the_library():
-    import public_tokenizers
-
-    e = TextEncoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["", " a", "a  b", "a \n b", "it's 12 o'clock, é ü!", "x y z", "a b ", "\0 b", "tab\tb c", " unbelievable unbelievable x", "don't  stop\n\nnow ok"]
-    assert [np.frombuffer(x, np.uint32).tolist() for x in e(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-
-
-def test_encoder_keeps_special_tokens():
+    """Against a tokenizer of its own, over special tokens, all white space, other scripts and random strings."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    t, e = Tokenizer.from_file(path), TextEncoder(path)
-    texts = ["<|endoftext|>", "a <|endoftext|> b", "x y<|endoftext|>z <|endoftext c", "a  b <|endoftext|>\n<|endoftext|> q"]
-    assert [np.frombuffer(x, np.uint32).tolist() for x in e(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
-    assert all(50256 in np.frombuffer(x, np.uint32) for x in e(texts))
+    t, e = Tokenizer.from_file(path), TextEncoder(path, most_pieces=500)
+    assert e.plain
+    texts = ["", " a", "a  b", "a \n b", "it's 12 o'clock, é ü!", "x y z", "a b ", "\0 b", "tab\tb c", " unbelievable unbelievable x", "don't  stop\n\nnow ok", "a\n", "we'll we'LL 'tis they've"]
+    texts += ["<|endoftext|>", "a <|endoftext|> b", "x y<|endoftext|>z <|endoftext c", "a  b <|endoftext|>\n<|endoftext|> q"]
+    texts += ["日本 語 x", "é😀 👍🏽 a", "ß ſ ǅ ɏ ɐ", "½ ² x²y3", "\u00ad \u00b7 \u00d7÷", "e\u0301 n\u0303o", "a\u2028b c\u3000d", "a\n\nb c\n\n\nd"]
+    rng = np.random.default_rng(0)
+    marks = [*"abzAZ019 .,!'-\n\"$_é½²×ßɏɐ日😀\t\xa0", " ", " ", " ", "'s", "'ll", "the", "ing"]
+    texts += ["".join(rng.choice(marks, rng.integers(1, 40))) for _ in range(4000)]
+    for k in range(0, len(texts), 100):
+        some = texts[k : k + 100]
+        assert [np.frombuffer(x, np.uint32).tolist() for x in e(some)] == [t.encode(x, add_special_tokens=False).ids for x in some]
+    assert 50256 in np.frombuffer(e(["a <|endoftext|> b"])[0], np.uint32)
 
 
 def test_toxicity_counts_words_with_several_marks(spark):
@@ -236,6 +281,21 @@ def test_toxicity_ranks_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_toxicity_odd_rows(spark):
+    """Null, empty and very long texts, null and contradicting labels, repeated rows, one class, and clashing columns."""
+    bad, good = "you stupid idiot trash", "a calm and kind text about ships"
+    rows = [(i, (bad if i % 2 else good) + f" number {i}") for i in range(400)] + [(400, None), (401, ""), (402, "word " * 50_000), (None, bad), (3, good)]
+    docs = spark.createDataFrame([(*r, 0.5, [1.0], 2) for r in rows], "doc_id long, text string, score double, features array<double>, label int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(1, 0), (None, 1), (5, None), (6, 7)], "doc_id long, toxic int")
+    got = toxicity(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out and r.doc_id < 400]
+    assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
+    assert {r.score for r in toxicity(docs, labels.where("toxic = 0")).collect()} == {0.0}
+    assert toxicity(docs.where("false"), labels).count() == 0
+
+
 def test_passages(spark):
     passage = "The first sentence of it has nine words here. " + " ".join(f"Word{i} in the second long sentence of all." for i in range(6))
     rows = [(1, f"some text before {passage} and after. Own words close this one here."), (2, f"Other start here {passage} tail."), (3, "Nothing that is shared stands in this text, not one bit of it.")]
@@ -267,6 +327,25 @@ def test_passages_outside_the_main_component(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_passages_recall(spark):
+    """Of all pairs of different paragraphs of similarity 0.8 or more, the share that ends in one component."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rng = np.random.default_rng(11)
+    for k in range(600):  # pairs of one edit each, most of them not far above 0.8
+        n = int(rng.integers(14, 130))
+        words = [f"w{x}" for x in rng.integers(0, 50_000, n)]
+        edited = list(words)
+        for at in {int(rng.integers(0, 3)), *([int(rng.integers(0, n))] if n > 60 else [])}:
+            edited[at] = "edited"
+        docs += [(10_000 + 2 * k, " ".join(words) + "."), (10_001 + 2 * k, " ".join(edited) + ".")]
+    pairs = brute.paragraph_links(docs, paragraphs)
+    of = {r.content: r.component for r in passages.clusters(spark.createDataFrame(docs, "doc_id long, text string"), 4, 80).collect()}
+    ends = [tuple(of.get(passages._content(list(x))) for x in pair) for pair in pairs]
+    recall = np.mean([a is not None and a == b for a, b in ends])
+    print("recall", recall, "of", len(pairs))
+    assert len(pairs) > 400 and recall >= 0.98
+
+
 def test_passages_first_by_paragraph(spark):
     """Runs of other lengths than the first one's, adjacent passages, and what stands once between two repeats."""
     s = [" ".join(f"p{k}w{i}" for i in range(20)) + "." for k in range(6)]
