@@ -1,7 +1,8 @@
 """Secret scans, in DataFrame operations only: known forms, and tokens that look random to character Markov models.
 
-Two first-order models over ASCII characters are counted: one from labelled random strings (the values that the known forms
-find), one from labelled ordinary identifiers (words of letters, marks and digits outside them). A candidate token
+Two first-order models over ASCII characters are counted: one from labelled random strings (``drawn`` digests in three alphabets,
+which no form of secret has had a part in, and the values that the known forms find), one from labelled ordinary
+identifiers (words of letters, marks and digits outside them). A candidate token, 20 or more token characters in a row,
 is a secret if the log-likelihood ratio of its transitions is above ``least_ratio`` nats a character.
 The training sample is every document whose id hash falls below ``sample`` documents' share, a bounded sample; the known forms
 and the scan itself read every text whole.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the contract: kind and Java pattern; a pattern may match what LEAST then drops.
@@ -27,6 +28,7 @@ KINDS = {
     "hex": r"[0-9a-f]{16,}",
 }
 LEAST_VALUE = 12
+SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
 #: What the models judge: every long run of token characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{7,}"
@@ -34,10 +36,10 @@ ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{7,}"
 
 def spans(text: Column, pattern: str, kind: str, value_group: int = 0, least: int = 0) -> Column:
     """Structs start, end, kind, value of the leftmost non-overlapping matches; null where none."""
-    whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
+    whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, value_group))
     gaps = F.split(text, pattern, -1)
     zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    first = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>").alias("found"))
+    first = F.struct(F.lit(0).alias("end"), F.array().cast(SPANS).alias("found"))
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["end"] + F.length(m["gap"])
@@ -53,7 +55,7 @@ def spans(text: Column, pattern: str, kind: str, value_group: int = 0, least: in
 
 def known(text: Column) -> Column:
     """All spans of the known forms, by kind as listed."""
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
+    none = F.array().cast(SPANS)
     parts = [spans(text, p, k, 1 if k == "assign" else 0, LEAST_VALUE if k == "assign" else 0) for k, p in KINDS.items()]
     return F.concat(*[F.coalesce(p, none) for p in parts])
 
@@ -64,7 +66,15 @@ def _pairs(token: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: code(i) * 128 + code(i + 1))
 
 
-def train(docs: DataFrame, sample: int, smooth: float = 0.5) -> list[float] | None:
+def drawn(spark: SparkSession, n: int) -> DataFrame:
+    """``n`` random strings (token) in base 64, hexadecimal digits, and capitals and digits: digests of 0 to n - 1."""
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    capitals = F.translate(F.upper(F.base64(F.unhex(digest))), "+/=", "79")
+    token = F.when(F.col("id") % 3 == 0, F.base64(F.unhex(digest))).when(F.col("id") % 3 == 1, digest).otherwise(capitals)
+    return spark.range(n).select(token.alias("token"))
+
+
+def train(docs: DataFrame, sample: int, random_rows: int, smooth: float = 0.5) -> list[float] | None:
     """Log-likelihood ratio of every transition, random against ordinary; None without samples of both.
 
     ``docs(doc_id, text)``. Counts are aggregated on the executors; at most 2 * 128 * 128 rows reach the driver.
@@ -72,28 +82,38 @@ def train(docs: DataFrame, sample: int, smooth: float = 0.5) -> list[float] | No
     total = docs.count()
     share = min(1.0, sample / max(total, 1))
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    tokens = part.select(F.explode(known(F.col("text"))).alias("s")).select(F.lit(1).alias("label"), F.col("s.value").alias("token"))
-    plain = part.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token")).where(~F.col("token").rlike(KINDS["hex"] + "|" + KINDS["access"]))
-    counts = tokens.union(plain).where(F.length("token") > 1).select("label", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("label", "pair").count().collect()
+    tokens = part.select(F.explode(known(F.col("text"))).alias("s")).select("s.value").union(drawn(docs.sparkSession, random_rows))
+    plain = part.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token"))
+    plain = plain.where(~F.col("token").rlike(KINDS["hex"] + "|" + KINDS["access"]))
+    both = tokens.toDF("token").withColumn("label", F.lit(1)).unionByName(plain.withColumn("label", F.lit(0)))
+    both = both.where(F.length("token") > 1).select("label", F.explode(_pairs(F.col("token"))).alias("pair"))
+    counts = both.groupBy("label", "pair").count().collect()
     table = {(r["label"], r["pair"]): r["count"] for r in counts}
     if len({label for label, _ in table}) < 2:
         return None
     rows = {(label, a): sum(table.get((label, a * 128 + b), 0) for b in range(128)) for label in (0, 1) for a in range(128)}
-    log = lambda label, a, b: math.log((table.get((label, a * 128 + b), 0) + smooth) / (rows[label, a] + 64 * smooth))
+
+    def log(label: int, a: int, b: int) -> float:
+        return math.log((table.get((label, a * 128 + b), 0) + smooth) / (rows[label, a] + 64 * smooth))
+
     return [round(log(1, a, b) - log(0, a, b), 4) for a in range(128) for b in range(128)]
 
 
 def ratio(token: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's transitions."""
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")  # folded to one literal
-    return F.aggregate(_pairs(token), F.lit(0.0), lambda acc, p: acc + F.coalesce(F.get(table, p), F.lit(0.0))) / (F.length(token) - 1)
+    total = F.aggregate(_pairs(token), F.lit(0.0), lambda acc, p: acc + F.coalesce(F.get(table, p), F.lit(0.0)))
+    return total / (F.length(token) - 1)
 
 
-def scan(docs: DataFrame, sample: int = 20_000, least_ratio: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame, sample: int = 20_000, random_rows: int = 3000, least_ratio: float = 0.5,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """doc_id, base and spans: arrays of structs start, end, kind, value; ``spans`` adds the models' (kind markov)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    model = train(rows, sample)
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
+    model = train(rows, sample, random_rows)
+    none = F.array().cast(SPANS)
     text = F.col("text")
     own = none
     if model:
@@ -105,5 +125,7 @@ def scan(docs: DataFrame, sample: int = 20_000, least_ratio: float = 0.5, id_col
 def listed(found: Column) -> Column:
     """kind:start:end of spans by start, then kind as listed, comma-joined."""
     order = [*KINDS, "markov"]
-    keyed = F.transform(found, lambda s: F.struct(s["start"], F.array_position(F.array(*map(F.lit, order)), s["kind"]).alias("k"), s["end"], s["kind"]))
-    return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    place = lambda s: F.array_position(F.array(*map(F.lit, order)), s["kind"]).alias("k")
+    keyed = F.transform(found, lambda s: F.struct(s["start"], place(s), s["end"], s["kind"]))
+    written = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(F.array_sort(keyed), written), ",")
