@@ -100,12 +100,20 @@ def _posted(docs: DataFrame, bands: int) -> DataFrame:
     return docs.mapInArrow(post, POSTED)
 
 
-def repeated_passages(docs: DataFrame, bands: int = 4, percent: int = 80, least_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(
+    docs: DataFrame, bands: int = 4, percent: int = 80, least_words: int = 30, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """doc_id, start, end, n_words, component_id, removed of every passage that occurs more than once."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    return _runs(docs, clusters(docs, bands, percent), least_words)
+
+
+def clusters(docs: DataFrame, bands: int, percent: int) -> DataFrame:
+    """content, component, first (smallest doc_id) of every paragraph of ``docs(doc_id, text)`` that occurs more than once."""
     counted = _posted(docs, bands).groupBy("bucket", "content").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     # the sizes ask for the same columns as the rows do, so both read one exchange of the postings
-    per = counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("content").alias("hub"), F.min("doc_id").alias("first")).where("n > 1 and first is not null")
+    per = counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("content").alias("hub"), F.min("doc_id").alias("first"))
+    per = per.where("n > 1 and first is not null")
     buckets = counted.withColumnRenamed("n", "copies").join(per, "bucket").select("bucket", "content", "doc_id", "copies", "hub")
     buckets = materialise(buckets, "buckets")
     # what is worth a look at all: contents that occur twice or share a bucket; the docs that hold them are read again
@@ -123,8 +131,7 @@ def repeated_passages(docs: DataFrame, bands: int = 4, percent: int = 80, least_
     nodes = held.join(labels.withColumnRenamed("id", "content"), "content", "left").where("copies > 1 or component is not null")
     nodes = materialise(nodes.select("content", F.coalesce("component", "content").alias("component"), "doc_id"), "nodes")
     first = nodes.groupBy("component").agg(F.min("doc_id").alias("first"))
-    nodes = nodes.select("content", "component").join(first, "component")
-    return _runs(docs, nodes, least_words)
+    return nodes.select("content", "component").join(first, "component")
 
 
 def _words_of(docs: DataFrame, holders: DataFrame) -> DataFrame:
@@ -160,17 +167,23 @@ def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
 
 def _outside(buckets: DataFrame, labels: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     """Links of the members that stand outside the largest component of a bucket; hubs have been held against all others."""
-    at = buckets.where("hub != content").select("bucket", "content").join(labels.toDF("content", "component"), "content", "left").withColumn("component", F.coalesce("component", "content"))
-    main = at.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("k"))
-    at = at.join(main.where("k > 1").drop("k"), "bucket").select("bucket", "content", "component", (F.col("component") != F.col("main")).alias("rest"))
-    at = materialise(at, "open")
-    size = at.join(words.select("content", F.length("words").alias("bytes")), "content").groupBy("bucket").agg(F.sum("bytes").alias("all"), F.sum(F.when(F.col("rest"), F.col("bytes"))).alias("some"))
+    at = buckets.where("hub != content").select("bucket", "content").join(labels.toDF("content", "component"), "content", "left")
+    at = at.withColumn("component", F.coalesce("component", "content"))
+    per = at.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket")
+    main = per.agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("k")).where("k > 1")
+    # what is known of a bucket is written before the join, so that Spark can split a hot one
+    rest = (F.col("component") != F.col("main")).alias("rest")
+    at = materialise(at.join(materialise(main.drop("k"), "main"), "bucket").select("bucket", "content", "component", rest), "open")
+    size = at.join(words.select("content", F.length("words").alias("bytes")), "content").groupBy("bucket")
+    size = size.agg(F.sum("bytes").alias("all"), F.sum(F.when(F.col("rest"), F.col("bytes"))).alias("some"))
     dealt = [F.ceil(F.col(c) / BLOCK_BYTES).alias(n) for c, n in (("all", "n_x"), ("some", "n_y"))]
-    full = at.join(size.select("bucket", *dealt), "bucket").join(words, "content")
+    full = at.join(materialise(size.select("bucket", *dealt), "dealt"), "bucket").join(words, "content")
     unit = F.struct("content", "component", "rest", "words")
     block = lambda n: F.pmod(F.xxhash64("content"), F.col(n))
-    x = full.groupBy("bucket", block("n_x").alias("block")).agg(F.collect_list(unit).alias("x")).withColumn("part", F.floor(F.col("block") / PART))  # bounded by BLOCK_BYTES
-    y = full.where("rest").groupBy("bucket", block("n_y").alias("block")).agg(F.collect_list(unit).alias("y"), F.first("n_x").alias("n_x"))
+    x = full.groupBy("bucket", block("n_x").alias("block")).agg(F.collect_list(unit).alias("x"))  # bounded by BLOCK_BYTES
+    x = x.withColumn("part", F.floor(F.col("block") / PART))
+    y = full.where("rest").groupBy("bucket", block("n_y").alias("block"))
+    y = y.agg(F.collect_list(unit).alias("y"), F.first("n_x").alias("n_x"))
     y = y.select("bucket", "y", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_x") - 1) / PART))).alias("part"))
     return _blocks(x.join(y, ["bucket", "part"]), percent).distinct()
 
