@@ -24,12 +24,15 @@ repeat are encoded each; extra columns are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -133,56 +136,73 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return ids
 
 
+#: Letters, digits and spaces up to U+024F, and how a byte-level vocabulary splits text made of these.
+LETTERS, DIGITS, SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", " \n\t\r"
+SPLIT = re.compile(
+    f" ?[{LETTERS}]+| ?[{DIGITS}]+|'(?:[stmd]|re|ve|ll)| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+)
+BEYOND = re.compile("[^\n\t\r\x20-\x7e\xa1-\u024f]")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: itself if it is visible, else one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class TextEncoder:
-    """Token ids of texts by a `tokenizers` vocabulary, with the pieces between lone spaces kept in a bounded table.
+    """Token ids of texts by a `tokenizers` vocabulary, with the ids of known parts kept in a bounded table.
 
-    Byte-level splitting always cuts before a space that stands between two other characters, so a text is the
-    sequence of its pieces there; each distinct piece is encoded by the library once. A text with any other
-    arrangement of white space is encoded by the library as a whole.
+    A text of characters up to U+024F is split as the library splits it, and each distinct part goes to the library's model
+    once. A text with any other character or a special token in it goes to the library whole, and so does every text if the
+    vocabulary isn't plain byte-level BPE. A full table keeps what it has, which are the common parts, until they no longer help.
     """
 
-    SEPARATOR = " unbelievable"
-    ODD = re.compile("[\\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None}
 
-    def __init__(self, path: str, most_pieces: int = 600_000):
+    def __init__(self, path: str, most_parts: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most_pieces
+        self.model = self.tokenizer.model
+        self.most = most_parts
         self.known: dict[str, bytes] = {}
-        self.cut = self._ids([self.SEPARATOR])[0]
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces that start with a space, many in one text, told apart by SEPARATOR."""
-        for k in range(0, len(pieces), 5000):
-            some, parts = pieces[k : k + 5000], None
-            if len(self.cut) == 1:
-                ids = self._ids([self.SEPARATOR.join(some)])[0]
-                cuts = 4 * np.flatnonzero(ids == self.cut[0])
-                if len(cuts) == len(some) - 1:
-                    raw = ids.tobytes()
-                    parts = [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
-            self.known.update(zip(some, parts or [x.tobytes() for x in self._ids(some)], strict=True))
+        made = json.loads(Path(path).read_text())
+        split = {k: v for k, v in (made["pre_tokenizer"] or {}).items() if k in self.PLAIN_SPLIT}
+        model = {k: made["model"].get(k) for k in self.PLAIN_MODEL}
+        self.plain = split == self.PLAIN_SPLIT and model == self.PLAIN_MODEL and not made["normalizer"] and not made["post_processor"]
+        special = [re.escape(t["content"]) for t in made["added_tokens"]]
+        self.whole = re.compile("|".join([BEYOND.pattern, *special]) if self.plain else "")
+        self.letters = byte_letters()
+
+    def _learn(self, parts: list[str]) -> None:
+        known, letters, tokenize = self.known, self.letters, self.model.tokenize
+        for part in parts:
+            written = part.encode().decode("latin-1").translate(letters)
+            known[part] = array("I", [t.id for t in tokenize(written)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native unsigned 32-bit integers."""
-        if len(self.known) > self.most:
+        split, own = [None if self.whole.search(t) else SPLIT.findall(t) for t in texts], set()
+        for parts in split:
+            own.update(parts or ())
+        new = [x for x in own if x not in self.known]
+        if len(self.known) > self.most and len(new) > 0.5 * len(own):
             self.known.clear()
-        split, new = [], set()
-        for text in texts:
-            if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or self.ODD.search(text):
-                split.append(None)
-            else:
-                split.append(words := text.replace(" ", "\0 ").split("\0"))
-                new.update(words[1:])
-        self._learn([x for x in new if x not in self.known])
-        first = self._ids([w[0] if w else t for w, t in zip(split, texts, strict=True)])
+            new = list(own)
+        self._learn(new)
+        rest = [t for parts, t in zip(split, texts, strict=True) if parts is None]
+        encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
+        whole = iter([array("I", e.ids).tobytes() for e in encoded])
         get = self.known.__getitem__
-        return [f.tobytes() + b"".join(map(get, w[1:])) if w else f.tobytes() for f, w in zip(first, split, strict=True)]
+        out = [next(whole) if parts is None else b"".join(map(get, parts)) for parts in split]
+        if len(self.known) > self.most:
+            for x in new:
+                del self.known[x]
+        return out
 
 
 @lru_cache(maxsize=1)
