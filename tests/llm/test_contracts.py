@@ -253,7 +253,7 @@ def test_encoder_is_the_library():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    t, e = Tokenizer.from_file(path), TextEncoder(path, most_pieces=500)
+    t, e = Tokenizer.from_file(path), TextEncoder(path, most_parts=500)
     assert e.plain
     texts = ["", " a", "a  b", "a \n b", "it's 12 o'clock, é ü!", "x y z", "a b ", "\0 b", "tab\tb c", " unbelievable unbelievable x", "don't  stop\n\nnow ok", "a\n", "we'll we'LL 'tis they've"]
     texts += ["<|endoftext|>", "a <|endoftext|> b", "x y<|endoftext|>z <|endoftext c", "a  b <|endoftext|>\n<|endoftext|> q"]

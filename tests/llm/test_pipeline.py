@@ -63,3 +63,31 @@ def test_stages(spark, data, tmp_path):
     assert sorted(tuple(r) for r in docs.select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == sorted(want)
 
     assert sorted(map(tuple, p.run(spark, data).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_odd_rows(spark, data):
+    """Null, empty and very long texts, null ids and sources, repeated rows and ids, ties, clashing columns, empty tables."""
+    item = spark.read.parquet(f"{data}/benchmark.parquet").where("text is not null").first().text
+    long = " ".join(f"word{k}" for k in range(60_000))
+    near = " ".join(f"same{k}" for k in range(100))
+    rows = [(1, None), (2, ""), (3, long), (None, "no id here"), (None, "no id here"), (4, near), (5, near + " end"), (6, near), (7, f"a {item} b"), (None, f"c {item} d"), (7, "another text of seven"), (8, "x y"), (8, "x y")]
+    docs = spark.createDataFrame(
+        [(d, t, "en", "src" if k % 2 else None, 0, 0.5, "h", 1, [1]) for k, (d, t) in enumerate(rows)],
+        "doc_id long, text string, lang string, source string, n_chars long, score double, h string, copies int, words array<int>",
+    )
+    key = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    stage = dict(p.STAGES)
+    kept = {n: stage[n](spark, docs, data) for n in ("toxicity", "near_dedup", "decontamination", "mixing")}
+    assert all(df.columns == p.COLUMNS for df in kept.values())
+    every = key(docs)
+    assert key(kept["toxicity"]) <= every
+    assert every - key(kept["near_dedup"]) == Counter([(5, near + " end"), (6, near)])
+    assert every - key(kept["decontamination"]) == Counter([(7, f"a {item} b"), (None, f"c {item} d")])
+    mixed = key(kept["mixing"])
+    assert all(n <= 2 * every[k] for k, n in mixed.items())
+    tokens = stage["token_ids"](spark, docs, data).collect()
+    assert sorted(str(r.doc_id) for r in tokens) == sorted(str(d) for d, _ in rows)
+    assert [r.n_tokens for r in tokens if r.doc_id in (1, 2)] == [1, 1]
+    none = docs.where("false")
+    for _, f in p.STAGES:
+        assert f(spark, none, data).count() == 0
