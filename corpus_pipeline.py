@@ -2,6 +2,16 @@
 
 Every stage is ``(spark, docs, sf_dir) -> DataFrame``. ``run`` writes what a stage returns as Parquet in the shared
 folder and reads it as the next stage's docs. All but the last return the columns of ``documents``.
+
+Defined cases, of all stages: extra columns are dropped, whatever their names; an empty table gives an empty one; texts are
+taken whole. Null and empty texts are scored as texts without words (toxicity), are nobody's copy (near_dedup), hold no
+benchmark item (decontamination), have size 0 (mixing) and become the end id alone (token_ids).
+
+* toxicity: rows that repeat an id are judged each by its own text, those with a null id as well.
+* near_dedup: of ties the smallest id stays; rows that repeat an id stay or go together; rows with a null id stay.
+* decontamination: each row is judged by its own text, also where ids repeat or are null.
+* mixing: rows that repeat id and text are taken together; ties end by id and text; a null source is a source of its own.
+* token_ids: rows are in ascending order of id, null first, repeats each with their own ids.
 """
 
 from __future__ import annotations
@@ -36,8 +46,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(hit, "doc_id", "left_anti").select(COLUMNS)
+    found = contamination(docs, benchmark).where("contaminated")
+    hit = found.select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h")).distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h"))
+    return rows.join(hit, same, "left_anti").select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
