@@ -37,10 +37,12 @@ def features(text: Column, learned: list[str]) -> dict[str, Column]:
     fixed, own = F.array(*map(F.lit, INSULTS)), F.array(*map(F.lit, learned or ["\0"]))
     lost = lambda marks: (F.length(text) - F.length(F.translate(text, marks, ""))) / length
     many = lambda w: F.coalesce(F.size(F.array_intersect(w, F.array_union(fixed, own))), F.lit(0))
-    near = rf"(?i)\b(?:{'|'.join(SECOND)})\b(?:\W+\w+){{0,3}}?\W+(?:{'|'.join(INSULTS)})\b|\b(?:{'|'.join(INSULTS)})\b(?:\W+\w+){{0,3}}?\W+(?:{'|'.join(SECOND)})\b"
+    second, insult, between = "|".join(SECOND), "|".join(INSULTS), r"(?:\W+\w+){0,3}?\W+"
+    near = rf"(?i)\b(?:{second})\b{between}(?:{insult})\b|\b(?:{insult})\b{between}(?:{second})\b"
     hits = F.size(F.array_intersect(words, fixed))
     return {
-        "fixed": hits / n, "fixed_kinds": hits.cast("double"), "learned": F.size(F.array_intersect(words, own)) / n, "learned_kinds": F.size(F.array_intersect(words, own)).cast("double"),
+        "fixed": hits / n, "fixed_kinds": hits.cast("double"),
+        "learned": F.size(F.array_intersect(words, own)) / n, "learned_kinds": F.size(F.array_intersect(words, own)).cast("double"),
         "hidden": (many(plain) - many(words)).cast("double"), "second": F.when(hits > 0, F.regexp_count(text, F.lit(near))).otherwise(0).cast("double"),
         "capitals": lost(UPPER) / (lost(UPPER + LOWER) + 1e-9), "exclaim": lost("!"), "question": lost("?"), "punctuation": lost(".,;:'\"()-"), "symbols": lost("#$%&*@^~"),
         "digits": lost("0123456789"), "obfuscated": F.regexp_count(text, F.lit(r"[A-Za-z][0-9@$!*]+[A-Za-z]")) / n, "words": F.log1p(n),
@@ -53,7 +55,8 @@ def lexicon(rows: DataFrame, size: int) -> list[str]:
     if not total["n"] or not total["toxic"] or total["toxic"] == total["n"]:
         return []
     toxic, clean = float(total["toxic"]), float(total["n"] - total["toxic"])
-    seen = rows.select("label", F.explode(F.array_distinct(letter_words(F.col("text")))).alias("w")).groupBy("w").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
+    own = F.explode(F.array_distinct(letter_words(F.col("text")))).alias("w")
+    seen = rows.select("label", own).groupBy("w").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1))
     weight = odds * F.sqrt(F.col("t").cast("double"))
     best = seen.where((F.col("t") >= max(3.0, 0.02 * toxic)) & (odds > 2)).orderBy(weight.desc(), "w").limit(size)
@@ -88,16 +91,18 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, lexicon_size: int = 60, trees: int = 25, depth: int = 4) -> Model:
     """Learn from the labelled rows that aren't held out; ``docs(doc_id, text)``, ``labels(doc_id, label)``."""
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("double").alias("label")).where(~held_out(F.col("doc_id")))
+    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    # bounded by most_rows, so it may be broadcast
+    # bounded by most_rows, so it may be broadcast; six parts at every size, so that reruns agree
     rows = materialise(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("part", part).repartition(6), "labelled")
     words = lexicon(rows.where("part = 0"), lexicon_size)
     shares = rows.agg(F.avg("label"), *[F.count_distinct(F.when(F.col("part") == p, F.col("label"))) for p in (1, 3)]).first()
     if min(shares[1], shares[2]) < 2:
         return Model(float(shares[0] or 0.0), words)
     vectors = _vectors(rows, words).select("part", "label", "features").cache()
-    boosted = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=3, seed=7, maxMemoryInMB=64).fit(vectors.where("part = 1"))
+    trainer = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=3, seed=7, maxMemoryInMB=64)
+    boosted = trainer.fit(vectors.where("part = 1"))
     judged = boosted.transform(vectors.where("part = 3")).select("label", vector_to_array("probability")[1].alias("p"))
     curve = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(judged)
     vectors.unpersist()
