@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-6
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is computed once; what a lambda over an array captures is computed for each element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -46,15 +53,19 @@ def norm_stats(x: Column) -> Column:
 
 
 def normalise_pm1(x: Column, stats: Column) -> Column:
-    flat = stats["half_range"] < EPS
-    scaled = lambda v: (v - stats["center"]) / stats["half_range"]
-    clipped = F.transform(x, lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), scaled(v))))
-    return F.when(flat, F.transform(x, lambda v: F.lit(0.0))).otherwise(clipped)
+    def scaled(s: Column) -> Column:
+        clipped = lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (v - s["center"]) / s["half_range"]))
+        return F.when(s["half_range"] < EPS, F.transform(x, lambda v: F.lit(0.0))).otherwise(F.transform(x, clipped))
+
+    return once(stats, scaled)
 
 
 def denormalise(x: Column, center: Column, half: Column) -> Column:
-    flat = ~finite(half) | (half < EPS)
-    return F.transform(x, lambda v: F.when(flat, center).otherwise(v * half + center))
+    def grown(s: Column) -> Column:
+        flat = ~finite(s["half"]) | (s["half"] < EPS)
+        return F.transform(x, lambda v: F.when(flat, s["center"]).otherwise(v * s["half"] + s["center"]))
+
+    return once(F.struct(center.alias("center"), half.alias("half")), grown)
 
 
 def standardise(x: Column, mean: float, std: float) -> Column:
@@ -63,10 +74,13 @@ def standardise(x: Column, mean: float, std: float) -> Column:
 
 
 def finite_difference(x: Column, order: int = 1) -> Column:
-    for _ in range(order):
+    def step(x: Column) -> Column:
         n = F.size(x)
         last = F.greatest(n - 1, F.lit(0))
-        x = F.when(n <= 1, F.array(F.lit(0.0))).otherwise(F.zip_with(F.slice(x, F.lit(2), last), F.slice(x, F.lit(1), last), lambda a, b: a - b))
+        return F.when(n <= 1, F.array(F.lit(0.0))).otherwise(F.zip_with(F.slice(x, F.lit(2), last), F.slice(x, F.lit(1), last), lambda a, b: a - b))
+
+    for _ in range(order):
+        x = once(x, step)
     return x
 
 
@@ -83,18 +97,20 @@ def l2(y: Column, z: Column) -> Column:
 def frame_signal(x: Column, length: int, hop: int) -> Column:
     """Frames of ``length`` every ``hop``; a short signal is padded with zeros, a tail is dropped."""
     padded = F.concat(x, F.array_repeat(F.lit(0.0), F.greatest(F.lit(length) - F.size(x), F.lit(0))))
-    starts = F.sequence(F.lit(0), F.size(padded) - length, F.lit(hop))
-    return F.transform(starts, lambda s: F.slice(padded, s + 1, F.lit(length)))
+    starts = lambda p: F.sequence(F.lit(0), F.size(p) - length, F.lit(hop))
+    return once(padded, lambda p: F.transform(starts(p), lambda s: F.slice(p, s + 1, F.lit(length))))
+
+
+def _divided(x: Column, size: Callable[[Column], Column]) -> Column:
+    return once(x, lambda y: once(size(y), lambda s: F.transform(y, lambda v: v / s)))
 
 
 def rms_norm(x: Column, eps: float = 1e-5) -> Column:
-    size = F.sqrt(total(F.transform(x, lambda v: v * v)) / F.size(x) + eps * eps)
-    return F.transform(x, lambda v: v / size)
+    return _divided(x, lambda y: F.sqrt(total(F.transform(y, lambda v: v * v)) / F.size(y) + eps * eps))
 
 
 def l2_norm(x: Column, eps: float = 1e-5) -> Column:
-    size = F.sqrt(total(F.transform(x, lambda v: v * v)) + eps * eps)
-    return F.transform(x, lambda v: v / size)
+    return _divided(x, lambda y: F.sqrt(total(F.transform(y, lambda v: v * v)) + eps * eps))
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -102,9 +118,8 @@ def dot(x: Column, y: Column) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / total(e))
+    raised = once(x, lambda y: once(F.array_max(y), lambda top: F.transform(y, lambda v: F.exp(v - top))))
+    return _divided(raised, total)
 
 
 def cosine_loss(x: Column, y: Column) -> Column:
@@ -117,8 +132,8 @@ def kl_loss(p: Column, q: Column, least: float = 1e-6) -> Column:
     """Divergence of two rows of probabilities, summed to 1 again (a row of zeros is divided by ``least``) and clipped."""
 
     def clean(v: Column) -> Column:
-        s = F.greatest(total(v), F.lit(least))
-        return F.transform(v, lambda x: F.greatest(F.lit(least), F.least(F.lit(1.0), x / s)))
+        rows = _divided(v, lambda y: F.greatest(total(y), F.lit(least)))
+        return F.transform(rows, lambda x: F.greatest(F.lit(least), F.least(F.lit(1.0), x)))
 
     return total(F.zip_with(clean(p), clean(q), lambda a, b: a * (F.log(a) - F.log(b))))
 
@@ -138,12 +153,16 @@ def window_starts(n: Column, size: int, hop: int, tail: str = "shift_last") -> C
 
 def valid_ranges(starts: Column, size: int, hop: int) -> Column:
     """struct(start, stop, valid_from, valid_to) of shift-last windows: what the previous window covers is not valid."""
-    def one(s: Column, i: Column) -> Column:
-        last = (i == F.size(starts) - 1) & (i > 0)
-        valid_from = F.when(last, F.greatest(F.lit(0), F.get(starts, i - 1) + hop - s)).otherwise(F.lit(0))
-        return F.struct(s.alias("start"), (s + size).alias("stop"), valid_from.alias("valid_from"), F.lit(size).alias("valid_to"))
 
-    return F.transform(starts, one)
+    def ranges(at: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            last = (i == F.size(at) - 1) & (i > 0)
+            valid_from = F.when(last, F.greatest(F.lit(0), F.get(at, i - 1) + hop - s)).otherwise(F.lit(0))
+            return F.struct(s.alias("start"), (s + size).alias("stop"), valid_from.alias("valid_from"), F.lit(size).alias("valid_to"))
+
+        return F.transform(at, one)
+
+    return once(starts, ranges)
 
 
 def crossfade(index: Column, count: Column, size: int, hop: int) -> Column:

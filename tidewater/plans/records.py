@@ -34,7 +34,7 @@ from {left} x join {right} y on y.read_id = x.read_id"""
 
 
 _IDENT = "case when w = 0 then 1 when length(a) = 0 or length(b) = 0 then 0 else 1 - d / w::double end"
-_EMPIRICAL = "case when w = 0 or d <= 0 then 60.0 else least(60, -10 * log10(greatest(d / w::double, 1e-12))) end::double"
+_EMPIRICAL = "(case when w = 0 or d <= 0 then 60.0 else least(60, -10 * log10(greatest(d / w::double, 1e-12))) end::double + 0.0)"
 
 
 def _measured(pair: str) -> str:
