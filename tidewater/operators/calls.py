@@ -75,9 +75,13 @@ def empirical_qscore(errors: Column, denom: Column, cap: float = 60.0) -> Column
 
 
 def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Calls on both sides by id, with lengths, identity, distance and qualities."""
-    a = left.select("read_id", F.col("seq").alias("a"), mean_qscore(F.col("qual")).alias("left_q"))
-    b = right.select("read_id", F.col("seq").alias("b"), mean_qscore(F.col("qual")).alias("right_q"))
+    """Calls on both sides by id, with lengths, identity, distance and qualities.
+
+    Both sides are dealt by id over all shuffle partitions, however few bytes they are: distances cost far more than bytes.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = left.select("read_id", F.col("seq").alias("a"), mean_qscore(F.col("qual")).alias("left_q")).repartition(tasks, "read_id")
+    b = right.select("read_id", F.col("seq").alias("b"), mean_qscore(F.col("qual")).alias("right_q")).repartition(tasks, "read_id")
     both = a.join(b, "read_id").withColumn("edit_distance", edit_distance(F.col("a"), F.col("b")))
     n, m = F.length("a").cast("long"), F.length("b").cast("long")
     weight = F.greatest(n, m)
