@@ -12,8 +12,10 @@ DATA = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     root = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(root / "shared")).config("spark.local.dir", str(root / "local")).config("spark.sql.warehouse.dir", str(root / "warehouse")).getOrCreate()
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g")
+        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(root / "shared")).config("spark.local.dir", str(root / "local"))
+        .config("spark.sql.warehouse.dir", str(root / "warehouse")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

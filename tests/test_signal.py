@@ -24,14 +24,23 @@ def one(spark, kind, value, expr):
 
 @pytest.mark.parametrize(
     ("x", "center", "half", "norm"),
-    [([3.0, 3.0], 3, 0, [0, 0]), ([1.0, NAN], 0, 0, [0, 0]), ([1.0, INF], 1, 0, [0, 0]), ([-INF, 4.0], 2, 2, [-1, 1]), ([], 0, 0, []), ([0.0, 1.0, 2.0], 1, 1, [-1, 0, 1])],
+    [
+        ([3.0, 3.0], 3, 0, [0, 0]), ([1.0, NAN], 0, 0, [0, 0]), ([1.0, INF], 1, 0, [0, 0]), ([-INF, 4.0], 2, 2, [-1, 1]),
+        ([], 0, 0, []), ([0.0, 1.0, 2.0], 1, 1, [-1, 0, 1]),
+    ],
 )
 def test_normalise(spark, x, center, half, norm):
     row = one(spark, "array<double>", x, lambda c: F.struct(S.norm_stats(c).alias("s"), S.normalise_pm1(c, S.norm_stats(c)).alias("n")))
     assert (row.s.center, row.s.half_range, row.n) == (center, half, norm)
 
 
-@pytest.mark.parametrize(("n", "tail", "starts"), [(15, "drop", []), (16, "drop", [0]), (17, "drop", [0]), (15, "shift_last", []), (16, "shift_last", [0]), (17, "shift_last", [0, 1]), (28, "shift_last", [0, 12]), (0, "drop", [])])
+@pytest.mark.parametrize(
+    ("n", "tail", "starts"),
+    [
+        (15, "drop", []), (16, "drop", [0]), (17, "drop", [0]), (0, "drop", []), (15, "shift_last", []), (16, "shift_last", [0]),
+        (17, "shift_last", [0, 1]), (28, "shift_last", [0, 12]),
+    ],
+)
 def test_window_starts(spark, n, tail, starts):
     assert one(spark, "int", n, lambda c: S.window_starts(c, 16, 12, tail)) == starts
 
@@ -95,3 +104,14 @@ def test_stft(spark):
     got = spark.createDataFrame([(x.tolist(),)], "x array<double>").select(stft_logmag(16, 4, 16)("x").alias("y")).first().y
     w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(16) / 15)
     assert got == pytest.approx(np.log1p(np.abs(np.fft.rfft(x * w))).tolist())
+
+
+def test_norms_of_long_arrays(spark):
+    """A lambda that worked out its norm for each element would need 8 * 10 ** 9 steps here and more."""
+    x = np.sin(np.arange(2000.0))
+    rows = spark.createDataFrame([(x.tolist(),)], "x array<double>")
+    c = F.col("x")
+    unit, soft, same = rows.select(S.l2_norm(S.rms_norm(c)), S.softmax(c), S.cosine_loss(c, c)).first()
+    assert np.allclose(unit, x / np.linalg.norm(x))
+    assert np.allclose(soft, np.exp(x) / np.exp(x).sum())
+    assert abs(same) < 1e-9
