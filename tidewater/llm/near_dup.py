@@ -105,7 +105,8 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                     else:
                         buckets.append([])
                         sigs.append(b"")
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "bands", "sig"])
+                columns = [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns], names=["doc_id", "n_shingles", "set_key", "bands", "sig"])
 
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
 
@@ -169,7 +170,8 @@ def profiles(docs: DataFrame, shingle: int, k: int) -> DataFrame:
                 sigs = [(signature(h, a, b) & 0xFFFF).astype(np.uint16).tobytes() for h in hashes]
                 short = [np.unique(h.astype(np.uint32)).tobytes() for h in hashes]
                 size = [len(x) + len(y) for x, y in zip(sigs, short, strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(size, pa.int64()), pa.array(sigs, pa.binary()), pa.array(short, pa.binary())], names=["doc_id", "bytes", "sig", "hashes"])
+                columns = [pa.array(size, pa.int64()), pa.array(sigs, pa.binary()), pa.array(short, pa.binary())]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns], names=["doc_id", "bytes", "sig", "hashes"])
 
     return docs.mapInArrow(profile, "doc_id long, bytes long, sig binary, hashes binary")
 

@@ -228,6 +228,10 @@ def _runs(docs: DataFrame, nodes: DataFrame, least_words: int) -> DataFrame:
     """Passages of every document from the components of its paragraphs."""
     unit = "doc_id long, place int, rank int, start int, end int, n_words int, content long"
 
+    def batch_of(rows: list[tuple], schema: str, types: list[pa.DataType]) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -236,7 +240,7 @@ def _runs(docs: DataFrame, nodes: DataFrame, least_words: int) -> DataFrame:
                     long = [(i, s, e, w) for i, (s, e, w) in enumerate(paragraphs(text or "")) if len(w) >= SHINGLE]
                     rows += [(doc, i, k, s, e, len(w), _content(w)) for k, (i, s, e, w) in enumerate(long)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.int32()] * 5, pa.int64()], strict=True)], names=[x.split()[0] for x in unit.split(", ")])
+                    yield batch_of(rows, unit, [pa.int64(), *[pa.int32()] * 5, pa.int64()])
 
     found = docs.mapInArrow(units, unit).join(nodes, "content")
     one = F.struct("start", "place", "rank", "end", "n_words", "component", (F.col("first") < F.col("doc_id")).alias("again"))
@@ -284,6 +288,6 @@ def _runs(docs: DataFrame, nodes: DataFrame, least_words: int) -> DataFrame:
                     for run, removed in passages(copy):
                         rows.append((doc, run[0]["start"], run[-1]["end"], sum(u["n_words"] for u in run), run[len(run) // 2]["component"], removed))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()], strict=True)], names=[x.split()[0] for x in out.split(", ")])
+                yield batch_of(rows, out, [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.bool_()])
 
     return per.mapInArrow(join, out)

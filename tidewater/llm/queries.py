@@ -47,7 +47,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     some = F.size("places") > 0
     return found.select(
-        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.when(some, F.array_min("places")).cast("long").alias("first_word"), F.when(some, F.array_max("places")).cast("long").alias("last_word"),
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.when(some, F.array_min("places")).cast("long").alias("first_word"), F.when(some, F.array_max("places")).cast("long").alias("last_word"),
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
     )
 
@@ -86,6 +87,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_passages, op3_near_dup, op4_warc, op5_licenses, op6_toxicity, op7_mixing, op8_decontaminate, op9_neighbours, op10_secrets)}
+ALL = (
+    op1_token_ids, op2_passages, op3_near_dup, op4_warc, op5_licenses, op6_toxicity, op7_mixing, op8_decontaminate, op9_neighbours,
+    op10_secrets,
+)
+QUERIES = {f.__name__: f for f in ALL}
 
 __all__ = ["ORACLE", "QUERIES"]

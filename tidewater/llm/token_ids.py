@@ -248,7 +248,9 @@ class ShardWriter:
     def close(self) -> tuple[str, int, int]:
         self._flush(self.n)
         offsets = np.concatenate(self.offsets)
-        for x in (offsets, np.array([d or 0 for d in self.docs], "<i8"), np.array([d is not None for d in self.docs], np.uint8), np.array(self.counts, "<i8"), np.array([sum(self.counts), len(offsets), len(self.docs)], "<i8")):
+        ids, valid = np.array([d or 0 for d in self.docs], "<i8"), np.array([d is not None for d in self.docs], np.uint8)
+        totals = np.array([sum(self.counts), len(offsets), len(self.docs)], "<i8")
+        for x in (offsets, ids, valid, np.array(self.counts, "<i8"), totals):
             self.out.write(x.tobytes())
         self.out.write(MAGIC)
         self.out.close()

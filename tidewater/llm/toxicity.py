@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, letter_words, materialise
 
 #: General insults, and second person words of the corpus languages.
-INSULTS = ("idiot", "stupid", "moron", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown", "dumb", "fool", "garbage", "jerk", "ugly", "hate", "imbecile", "freak", "liar", "coward")
+INSULTS = (
+    "idiot", "stupid", "moron", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown", "dumb", "fool", "garbage", "jerk",
+    "ugly", "hate", "imbecile", "freak", "liar", "coward",
+)
 SECOND = ("you", "your", "youre", "yourself", "du", "dich", "dein", "tu", "toi", "vous", "votre", "usted", "ti")
 #: Characters that stand in for letters, and the letters.
 STAND_IN, LETTER = "013457@$!", "oieastasi"
