@@ -1,5 +1,6 @@
 """The contract queries against plain versions, and the defined cases on hand-made rows."""
 
+import itertools
 import math
 import sys
 import zlib
@@ -265,6 +266,9 @@ def test_encoder_is_the_library():
         some = texts[k : k + 100]
         assert [np.frombuffer(x, np.uint32).tolist() for x in e(some)] == [t.encode(x, add_special_tokens=False).ids for x in some]
     assert 50256 in np.frombuffer(e(["a <|endoftext|> b"])[0], np.uint32)
+    spaced = ["".join(x) for n in range(1, 7) for x in itertools.product("a. \n", repeat=n)]  # every cut at spaces and line ends
+    want = t.encode_batch(spaced, add_special_tokens=False)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in e(spaced)] == [w.ids for w in want]
 
 
 def test_toxicity_counts_words_with_several_marks(spark):

@@ -30,7 +30,7 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -142,6 +142,8 @@ SPLIT = re.compile(
     f" ?[{LETTERS}]+| ?[{DIGITS}]+|'(?:[stmd]|re|ve|ll)| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
 BEYOND = re.compile("[^\n\t\r\x20-\x7e\xa1-\u024f]")
+#: UTF-8 bytes of which no other character is made: printable ASCII, the later bytes of a character, first ones of U+00C0 to U+023F.
+COMMON = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
 
 
 def byte_letters() -> dict[int, str]:
@@ -151,57 +153,89 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class Parts(dict):
+    """Ids of text parts, each worked out by ``learn`` when it is first asked for; keeps at most ``most`` of them."""
+
+    def __init__(self, learn: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.learn, self.most, self.missed = learn, most, 0
+
+    def __missing__(self, part: str) -> bytes:
+        self.missed += 1
+        ids = self.learn(part)
+        if len(self) < self.most:
+            self[part] = ids
+        return ids
+
+    def renew(self, asked: int) -> None:
+        """Start anew if the table is full and gave less than half of the ``asked`` parts since the last call."""
+        if len(self) >= self.most and 2 * self.missed > asked:
+            self.clear()
+        self.missed = 0
+
+
 class TextEncoder:
-    """Token ids of texts by a `tokenizers` vocabulary, with the ids of known parts kept in a bounded table.
+    """Token ids of texts by a `tokenizers` vocabulary, with the ids of known parts kept in bounded tables.
 
-    A text of characters up to U+024F is split as the library splits it, and each distinct part goes to the library's model
-    once. A text with any other character or a special token in it goes to the library whole, and so does every text if the
-    vocabulary isn't plain byte-level BPE. A full table keeps what it has, which are the common parts, until they no longer help.
+    The library splits a text before a space that follows a character other than white space, before a line end that does, and
+    before the last one of two such in a row. So a text without three in a row, or two at its end, is cut at every
+    space and line end, and each distinct piece goes to the library's split and model once. Other texts of characters up to
+    U+024F are split as a whole. A text with any other character or a special token in it goes to the library, and so does
+    every text if the vocabulary isn't plain byte-level BPE.
     """
 
     PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
     PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None}
 
-    def __init__(self, path: str, most_parts: int = 800_000):
+    def __init__(self, path: str, most_parts: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.most = most_parts
-        self.known: dict[str, bytes] = {}
+        self.bare = Parts(self._model_ids, most_parts // 4)
+        self.pieces = Parts(self._piece_ids, most_parts)
         made = json.loads(Path(path).read_text())
         split = {k: v for k, v in (made["pre_tokenizer"] or {}).items() if k in self.PLAIN_SPLIT}
         model = {k: made["model"].get(k) for k in self.PLAIN_MODEL}
         self.plain = split == self.PLAIN_SPLIT and model == self.PLAIN_MODEL and not made["normalizer"] and not made["post_processor"]
-        special = [re.escape(t["content"]) for t in made["added_tokens"]]
-        self.whole = re.compile("|".join([BEYOND.pattern, *special]) if self.plain else "")
-        self.letters = byte_letters()
-
-    def _learn(self, parts: list[str]) -> None:
-        known, letters, tokenize = self.known, self.letters, self.model.tokenize
-        for part in parts:
-            written = part.encode().decode("latin-1").translate(letters)
-            known[part] = array("I", [t.id for t in tokenize(written)]).tobytes()
+        self.special = [t["content"] for t in made["added_tokens"]]
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
+
+    def _model_ids(self, part: str) -> bytes:
+        written = part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(written)]).tobytes()
+
+    def _piece_ids(self, piece: str) -> bytes:
+        """Ids of a piece with the space before it, or of one that begins with a line end."""
+        parts = SPLIT.findall(piece if piece[:1] == "\n" else " " + piece)
+        if len(parts) == 1:
+            return self._model_ids(parts[0])
+        return b"".join([self.pieces[x[1:]] if x[0] == " " else self.bare[x] for x in parts])
+
+    def _is_plain(self, text: str) -> bool:
+        # most texts hold no byte outside COMMON; only the others are searched character by character
+        if not self.plain or any(t in text for t in self.special):
+            return False
+        return not (text.encode("utf-8", "surrogatepass").translate(None, COMMON) and BEYOND.search(text))
+
+    def _split_ids(self, text: str) -> bytes:
+        if "\t" in text or "\r" in text:
+            return b"".join(map(self.bare.__getitem__, SPLIT.findall(text)))
+        spaced = text.replace("\n", " ")
+        if "   " in spaced or spaced.endswith("  "):
+            return b"".join(map(self.bare.__getitem__, SPLIT.findall(text)))
+        first, *pieces = text.replace("\n", " \n").split(" ")
+        return b"".join(map(self.bare.__getitem__, SPLIT.findall(first))) + b"".join(map(self.pieces.__getitem__, pieces))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native unsigned 32-bit integers."""
-        split, own = [None if self.whole.search(t) else SPLIT.findall(t) for t in texts], set()
-        for parts in split:
-            own.update(parts or ())
-        new = [x for x in own if x not in self.known]
-        if len(self.known) > self.most and len(new) > 0.5 * len(own):
-            self.known.clear()
-            new = list(own)
-        self._learn(new)
-        rest = [t for parts, t in zip(split, texts, strict=True) if parts is None]
-        encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
-        whole = iter([array("I", e.ids).tobytes() for e in encoded])
-        get = self.known.__getitem__
-        out = [next(whole) if parts is None else b"".join(map(get, parts)) for parts in split]
-        if len(self.known) > self.most:
-            for x in new:
-                del self.known[x]
+        out = [self._split_ids(t) if self._is_plain(t) else None for t in texts]
+        rest = [t for t, ids in zip(texts, out, strict=True) if ids is None]
+        encoded = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [])
+        out = [array("I", next(encoded).ids).tobytes() if ids is None else ids for ids in out]
+        asked = sum(map(len, texts)) // 8  # about as many parts as the texts hold
+        self.pieces.renew(asked)
+        self.bare.renew(asked)
         return out
 
 
