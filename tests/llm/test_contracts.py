@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 from tidewater.llm import near_dup, passages, queries as q
-from tidewater.llm.common import components
+from tidewater.llm.common import components, scratch
 from tidewater.llm.decontaminate import contamination
 from tidewater.llm.licenses import PHRASES, TEMPLATES, scan as license_scan
 from tidewater.llm.mixing import mix
@@ -23,7 +23,7 @@ from tidewater.llm.near_dup import near_duplicates
 from tidewater.llm.neighbours import exact_nearest, nearest
 from tidewater.llm.passages import paragraphs, repeated_passages
 from tidewater.llm.secrets import scan as secret_scan
-from tidewater.llm.token_ids import TextEncoder, pack, token_output, unpack
+from tidewater.llm.token_ids import TextEncoder, pack, token_output, unpack, write_token_shards
 from tidewater.llm.toxicity import features, toxicity
 from tidewater.llm.warc import archive_round_trip, frame, parse_archive, read_archives, unframe, write_archives
 
@@ -271,6 +271,24 @@ def test_encoder_is_the_library():
     assert [np.frombuffer(x, np.uint32).tolist() for x in e(spaced)] == [w.ids for w in want]
 
 
+def test_tokens_of_an_id_of_many_rows(spark):
+    """Rows of one id are dealt over several shards and stay together in the order of ids."""
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(7, "a b c")] * 300 + [(7, f"w{i}") for i in range(300)] + [(1, "x"), (9, "y"), (None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(token_output(docs, vocabulary).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 1, *[7] * 600, 9]
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which merges small ones
+    try:
+        manifest = write_token_shards(docs, scratch(spark, "tokens"), vocabulary)
+        assert max(r.n_docs for r in manifest.collect()) < 450
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_toxicity_counts_words_with_several_marks(spark):
     rows = spark.createDataFrame([(1, "f**k id10t s***t"), (2, "f*k a word"), (3, "plain words only"), (4, None)], "doc_id long, text string")
     got = rows.select("doc_id", features(F.col("text"), [])["obfuscated"].alias("x"), features(F.col("text"), [])["words"].alias("n")).collect()

@@ -327,10 +327,12 @@ def read_shard(folder: str, name: str) -> Iterator[tuple[int | None, np.ndarray]
 def write_token_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` in ascending id order into shards below ``folder``; returns the committed manifest.
 
-    One range exchange on the id; ``vocabulary`` is a path that every executor has.
+    One range exchange on the id, and on the text and the row where ids repeat, so that an id of very many rows is split.
+    ``vocabulary`` is a path that every executor has.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
     shards, end = f"{folder}/shards", np.uint32(end_id).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
