@@ -4,8 +4,8 @@ Two first-order models over ASCII characters are counted: one from labelled rand
 which no form of secret has had a part in, and the values that the known forms find), one from labelled ordinary
 identifiers (words of letters, marks and digits outside them). A candidate token, 20 or more token characters in a row,
 is a secret if the log-likelihood ratio of its transitions is above ``least_ratio`` nats a character.
-The training sample is every document whose id hash falls below ``sample`` documents' share, a bounded sample; the known forms
-and the scan itself read every text whole.
+The training sample is every document whose id hash falls below ``sample`` documents' share, a bounded sample that is as large
+for any number of documents; the known forms and the scan itself read every text whole.
 
 Positions are code points. A pattern's matches and the gaps between them come from the same leftmost search, so running
 lengths give every start without a loop over characters.
@@ -31,6 +31,8 @@ LEAST_VALUE = 12
 SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
 #: What the models judge: every long run of token characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Steps of the id hash, far more than documents, so that the sample isn't empty however many there are.
+STEPS = 1 << 52
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{7,}"
 
 
@@ -74,14 +76,17 @@ def drawn(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(token.alias("token"))
 
 
+def below(sample: int, total: int) -> int:
+    """The hash, of STEPS, below which about ``sample`` of ``total`` documents lie; STEPS for all of them."""
+    return min(STEPS, sample * STEPS // max(total, 1))
+
+
 def train(docs: DataFrame, sample: int, random_rows: int, smooth: float = 0.5) -> list[float] | None:
     """Log-likelihood ratio of every transition, random against ordinary; None without samples of both.
 
     ``docs(doc_id, text)``. Counts are aggregated on the executors; at most 2 * 128 * 128 rows reach the driver.
     """
-    total = docs.count()
-    share = min(1.0, sample / max(total, 1))
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(STEPS)) < below(sample, docs.count()))
     tokens = part.select(F.explode(known(F.col("text"))).alias("s")).select("s.value").union(drawn(docs.sparkSession, random_rows))
     plain = part.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token"))
     plain = plain.where(~F.col("token").rlike(KINDS["hex"] + "|" + KINDS["access"]))
