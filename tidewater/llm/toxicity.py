@@ -4,11 +4,11 @@ Features: densities of a fixed and of a learned lexicon, the same after undoing
 person words near lexicon words, capitals, punctuation, symbol and digit rates, obfuscated words, and length. All are
 built-in expressions; the trees score on the JVM as well.
 
-Training rows are at most ``most_rows`` labelled ones, a bounded sample by id hash. They are dealt by id into three parts:
+Training rows are at most ``most_rows`` labelled ids, a bounded sample by id hash, each with one text. They are dealt by id into three parts:
 one learns the lexicon, one the trees, one the calibration, so no part judges what it was learned from.
 
 Defined cases: null or empty text has features 0 and is scored; labels that are null, not 0 or 1, or contradict each other
-count by their largest value; with one class or none to train on every score is that share; rows that repeat are scored
+count by their largest value; an id with several texts is learned by the smallest of them; with one class or none to train on every score is that share; rows that repeat are scored
 each; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -97,8 +97,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, lexicon_siz
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    # bounded by most_rows, so it may be broadcast; six parts at every size, so that reruns agree
-    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("part", part).repartition(6), "labelled")
+    # bounded by most_rows, so it may be broadcast; one text an id keeps the rows as few, however often an id repeats
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    # six parts by id, in the order of ids, at every size, so that reruns agree
+    rows = materialise(rows.withColumn("part", part).repartition(6, "doc_id").sortWithinPartitions("doc_id"), "labelled")
     words = lexicon(rows.where("part = 0"), lexicon_size)
     shares = rows.agg(F.avg("label"), *[F.count_distinct(F.when(F.col("part") == p, F.col("label"))) for p in (1, 3)]).first()
     if min(shares[1], shares[2]) < 2:
