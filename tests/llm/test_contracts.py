@@ -163,6 +163,15 @@ def test_markov_spans(spark, docs):
     assert all(text[r.doc_id][s.start : s.end].endswith(s.value) for r in found for s in r.spans)
 
 
+def test_secret_sample_of_any_size():
+    """Documents by the hundred thousand million still give a sample; few documents are all in it."""
+    from tidewater.llm.secrets import STEPS, below
+
+    for total in (30_000, 10**8, 10**11, 10**12):
+        assert abs(below(20_000, total) / STEPS * total - 20_000) < 10
+    assert below(20_000, 20_000) == below(20_000, 0) == STEPS
+
+
 def test_secrets_without_digits(spark):
     """Random strings of letters only, or with their first digit late, are judged as all others; ordinary long words stay."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
@@ -200,22 +209,19 @@ def test_mixing_cuts(spark, monkeypatch):
         assert abs(part.taken.sum() - part.target.iloc[0]) <= unit["size"].max()
 
 
-@pytest.mark.parametrize(("sf", "shards"), [("sf0.001", 4), ("sf0.1", 4), ("sf0.1", 1)])
-def test_neighbours_recall(spark, sf, shards):
-    """Against brute force, where a shard reranks a quarter of its rows."""
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 4096), ("sf0.001", 125), ("sf0.1", 4096), ("sf0.1", 500)])
+def test_neighbours_recall(spark, sf, least):
+    """Against brute force, where a shard, of ``least`` rows or all, reranks a quarter of its rows; by default as the query does."""
     rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
-    spark.conf.set("spark.sql.shuffle.partitions", shards)
-    try:
-        got = q.op9_neighbours(spark, f"/root/testdata/{sf}").toPandas()
-        exact = exact_nearest(rows, "vec_id % 20 = 0").toPandas()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    got = q.op9_neighbours(spark, f"/root/testdata/{sf}") if least == 4096 else nearest(rows, "vec_id % 20 = 0", least=least)
+    got = got.toPandas()
+    exact = exact_nearest(rows, "vec_id % 20 = 0", least=least).toPandas()
     want = brute.neighbours([(r.vec_id, r.embedding) for r in rows.collect()])
     assert {k: v.sort_values("rank").vec_id.tolist() for k, v in exact.groupby("query_id")} == want
     assert got.groupby("query_id").vec_id.nunique().eq(20).all()
     found = got.groupby("query_id").vec_id.agg(set)
     recall = np.mean([len(found[k] & set(v)) / len(v) for k, v in want.items()])
-    print("recall", sf, shards, recall)
+    print("recall", sf, least, recall)
     assert recall >= 0.93
 
 
@@ -315,6 +321,11 @@ def test_toxicity_odd_rows(spark):
     held = [r for r in got if r.held_out and r.doc_id < 400]
     assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
     assert {r.score for r in toxicity(docs, labels.where("toxic = 0")).collect()} == {0.0}
+    # an id of very many rows is learned once, by its smallest text
+    many = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("zzz "), "id").alias("text"))
+    own = lambda some: {r.doc_id: r.score for r in some.collect() if r.doc_id is not None and r.doc_id != 1}
+    some = docs.select("doc_id", "text").where("doc_id is null or doc_id != 3")
+    assert own(toxicity(some.union(many), labels)) == own(toxicity(some, labels))
     assert toxicity(docs.where("false"), labels).count() == 0
 
 

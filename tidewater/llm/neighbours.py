@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by the ordered list of its ``length`` nearest pivots; the pivots are the same everywhere. Rows are
-dealt once into shards of at most about ``block`` rows, and a shard keeps a pivot inverted file: per pivot, the place at
+dealt once into shards of at most about ``block`` rows (``least`` or more, unless there are fewer in all), and a shard keeps a pivot inverted file: per pivot, the place at
 which each of its vectors lists it (``length`` if it doesn't). A query is sent to every shard, reads the postings of
 its own ``ask`` nearest pivots, ranks the shard by the footrule distance over them, and the best ``share`` of the shard is
 reranked by the inner product in double precision. A shard returns k rows a query; the best k of all are the answer.
@@ -73,7 +73,7 @@ def _table(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest(
     vectors: DataFrame, is_query: str, k: int = 20, pivots: int = 256, length: int = 128, ask: int = 64, share: float = 0.25,
-    block: int = 65_536, id_col: str = "vec_id", vec_col: str = "embedding",
+    block: int = 65_536, least: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which ``is_query`` (SQL over vec_id, v) holds."""
     rows = materialise(usable(vectors, id_col, vec_col), "vectors")
@@ -84,7 +84,9 @@ def nearest(
     heads = np.array([v for v in sample if len(v) == width])
     heads /= np.linalg.norm(heads, axis=1, keepdims=True)
     rows = rows.where(F.size("v") == width)
-    shards = max(-(-rows.count() // block), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a query is copied to every shard, so there are no more of them than rows or cores call for
+    total, tasks = rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(-(-total // block), min(-(-total // least), tasks), 1)
     shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")
     own = rows.select(shard, F.lit(0).alias("kind"), "vec_id", "v")
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -113,6 +115,6 @@ def nearest(
     return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def exact_nearest(vectors: DataFrame, is_query: str, k: int = 20, **columns: str) -> DataFrame:
+def exact_nearest(vectors: DataFrame, is_query: str, k: int = 20, **options) -> DataFrame:
     """The true neighbours, by the same shards with nothing pruned: what recall is measured against."""
-    return nearest(vectors, is_query, k, pivots=1, length=1, ask=1, share=1.0, **columns)
+    return nearest(vectors, is_query, k, pivots=1, length=1, ask=1, share=1.0, **options)
