@@ -11,7 +11,11 @@ EPS = 1e-6
 
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of ``value``, which is computed once; what a lambda over an array captures is computed for each element."""
+    """``then`` of ``value``, which is computed once; what a lambda over an array captures is computed for each element.
+
+    Spark merges neighbouring projections, so the result of a Python function must not be used in ``then``, nor inside any
+    other lambda over an array, unless it was written or shuffled in between: a lambda cannot hold a Python function.
+    """
     return F.transform(F.array(value), then)[0]
 
 

@@ -407,9 +407,8 @@ QUERIES["stft_logmag"], ORACLE["stft_logmag"] = QUERIES.pop("stft_logmag_query")
 
 @query(f"select read_id, chunk_index, round(l1, 6) as l1 from ({_stft_l1(8, 6, 3)})")
 def stft_l1(spark, sf):
-    logmag = P.stft_logmag(8, 3, 6)
-    rows = coarse(spark, sf).select("read_id", *long("chunk_index"), logmag("original").alias("a"), logmag("chunk").alias("b"))
-    return rows.select("read_id", "chunk_index", F.round(P.stft_l1(F.col("a"), F.col("b")), 6).alias("l1"))
+    rows = coarse(spark, sf).select("read_id", *long("chunk_index"), "original", "chunk")
+    return P.stft_l1(rows, "original", "chunk", 8, 6, 3).select("read_id", "chunk_index", r6("l1"))
 
 
 SCALES = [P.scale(16, 16, 4), P.scale(8), P.scale(8, 8, 4), P.scale(8, 4)]
@@ -419,8 +418,8 @@ SCALES = [P.scale(16, 16, 4), P.scale(8), P.scale(8, 8, 4), P.scale(8, 4)]
 select read_id, chunk_index, round(sum(l1) / {len(SCALES)}, 6) as l1
 from ({' union all '.join(_stft_l1(*x) for x in SCALES)}) group by 1, 2""")
 def ms_stft_l1(spark, sf):
-    mean = P.ms_stft_l1(F.col("original"), F.col("chunk"), SCALES)
-    return coarse(spark, sf).select("read_id", *long("chunk_index"), F.round(mean, 6).alias("l1"))
+    rows = coarse(spark, sf).select("read_id", *long("chunk_index"), "original", "chunk")
+    return P.ms_stft_l1(rows, "original", "chunk", SCALES).select("read_id", "chunk_index", r6("l1"))
 
 
 @query("select read_id, pos, round(value, 6) as value from d_added")
