@@ -87,9 +87,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op11_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dups import similar
+
+    return similar(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 ALL = (
     op1_token_ids, op2_passages, op3_near_dup, op4_warc, op5_licenses, op6_toxicity, op7_mixing, op8_decontaminate, op9_neighbours,
-    op10_secrets,
+    op10_secrets, op11_embedding_dups,
 )
 QUERIES = {f.__name__: f for f in ALL}
 
