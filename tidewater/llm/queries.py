@@ -93,9 +93,26 @@ def op11_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    label, x = F.col("label"), F.col("embedding").cast("array<double>")
+    finite = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull() & finite).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), F.transform(x, lambda v: F.floor(256 * v)).alias("v")
+    )
+    return mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3)
+
+
 ALL = (
     op1_token_ids, op2_passages, op3_near_dup, op4_warc, op5_licenses, op6_toxicity, op7_mixing, op8_decontaminate, op9_neighbours,
-    op10_secrets, op11_embedding_dups,
+    op10_secrets, op11_embedding_dups, op12_ranked_search, op13_hard_negatives,
 )
 QUERIES = {f.__name__: f for f in ALL}
 

@@ -62,4 +62,30 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DIST
 FROM v JOIN least ON least.a = v.r LEFT JOIN n ON n.a = v.r
 """
 
-ORACLE = {"op11_embedding_dups": EMBEDDING_DUPS, "op4_warc": WARC, "op7_mixing": MIXING, "op8_decontaminate": DECONTAMINATION}
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT count(*)::BIGINT AS all_docs, sum(len(w))::BIGINT AS all_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, len(w)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT *, unnest(w) AS term FROM d) GROUP BY r, doc_id, w, term),
+df AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+i AS (SELECT DISTINCT item_id, unnest({WORDS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, r, doc_id, sum(floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+                                    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * all_docs) // all_terms))))::BIGINT AS score
+      FROM i JOIN df USING (term) JOIN p USING (term) CROSS JOIN g GROUP BY item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_dot_product(a.e, v.e)::BIGINT AS score
+      FROM v a JOIN v ON v.vec_id <> a.vec_id AND len(v.e) = len(a.e) WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+ORACLE = {"op13_hard_negatives": NEGATIVES, "op12_ranked_search": RANKED, "op11_embedding_dups": EMBEDDING_DUPS, "op4_warc": WARC, "op7_mixing": MIXING, "op8_decontaminate": DECONTAMINATION}
