@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import components, materialise
 
+MANY, ROWS = 1 << 18, 512
 SLACK = 1e-6  # above what rounding does to a distance of unit vectors
 TREE = "label string, width int, centre int, salt int, cid long, v array<double>, n long, sizes array<int>, radii array<double>"
 LINKS = "cid long, links long, root long"
@@ -77,10 +78,17 @@ class CoverTree:
         return len(self.lo) - 1
 
     def close(self) -> CoverTree:
+        """Lists to arrays: the children of node i are kids[first[i]:first[i + 1]], a single row is its own child."""
         self.lo, self.hi, self.radius = np.array(self.lo), np.array(self.hi), np.array(self.radius)
-        self.children = [np.array(c, int) for c in self.children]
+        self.single = self.hi - self.lo == 1
+        own = [c or [i] for i, c in enumerate(self.children)]
+        self.first = np.cumsum([0, *map(len, own)])
+        self.kids = np.array([k for c in own for k in c], int)
         return self
 
+    def count(self, nodes: np.ndarray) -> np.ndarray:
+        return self.first[nodes + 1] - self.first[nodes]
+
 
 def net(u: np.ndarray, rows: np.ndarray, radius: float) -> list[np.ndarray]:
     """``rows`` by the first of the net's centres that covers them; a group begins with its centre, the first with rows[0]."""
@@ -188,36 +196,67 @@ class Links:
 
 
 def walk(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """`Links.result` of two blocks (tree, vectors, weights), or of one with itself if ``b`` is ``a``."""
+    """`Links.result` of two blocks (tree, vectors, weights), or of one with itself if ``b`` is ``a``.
+
+    What waits is a stack of arrays of node pairs; a pair of very many children is opened by itself, ROWS rows of one side at a time
+    and what they leave before the next, the others together, so that no more than about MANY pairs are measured at once.
+    """
     (ta, va, wa), (tb, vb, wb) = a, b
     same, ua, ub, most = a is b, unit(va), unit(vb), float(distance(np.float64(threshold)))
-    links, todo = Links(wa, wb, same), [(0, 0)]
+    links = Links(wa, wb, same)
     exact = lambda x, y: float(x @ y) / (float(np.sqrt(x @ x)) * float(np.sqrt(y @ y)))
+    todo = [(np.zeros(1, int), np.zeros(1, int), None)]
+
+    def decide(p: np.ndarray, q: np.ndarray, cosine: np.ndarray) -> None:
+        """Drop, link or keep for later each pair of nodes, whose centres' cosines are given."""
+        gap, reach = distance(cosine), ta.radius[p] + tb.radius[q]
+        single, self_ = ta.single[p] & tb.single[q], (p == q) & same
+        whole = np.where(single, cosine >= threshold, gap + reach < most - SLACK) & ~self_
+        for k in np.flatnonzero(single & ~self_ & (np.abs(cosine - threshold) < 1e-9)):
+            whole[k] = exact(va[ta.lo[p[k]]], vb[tb.lo[q[k]]]) >= threshold
+        if whole.any():
+            links.all_of((ta.lo[p[whole]], ta.hi[p[whole]]), (tb.lo[q[whole]], tb.hi[q[whole]]))
+        rest = ~single & ~whole & (gap <= most + reach + SLACK)
+        if rest.any():
+            todo.append((p[rest], q[rest], None))
+
     while todo:
-        i, j = todo.pop()
-        if same and i == j and 2 * ta.radius[i] < most - SLACK:
-            links.within(ta.lo[i], ta.hi[i], wa)
+        i, j, at = todo.pop()
+        if at is None and same:  # a node with itself
+            close = (i == j) & (2 * ta.radius[i] < most - SLACK)
+            for k in i[close]:
+                links.within(ta.lo[k], ta.hi[k], wa)
+            i, j = i[~close], j[~close]
+        size = ta.count(i) * tb.count(j)
+        if at is None:
+            todo += [(i[k : k + 1], j[k : k + 1], c) for k in np.flatnonzero(size > MANY // 4) for c in range(0, int(ta.count(i[k : k + 1])[0]), ROWS)]
+            i, j, size = i[size <= MANY // 4], j[size <= MANY // 4], size[size <= MANY // 4]
+            if not len(i):
+                continue
+            if size.sum() > MANY:  # as many as may be opened at once; the others wait
+                n = max(1, int(np.searchsorted(np.cumsum(size), MANY, "right")))
+                if n < len(i):
+                    todo.append((i[n:], j[n:], None))
+                i, j, size = i[:n], j[:n], size[:n]
+            of = np.repeat(np.arange(len(i)), size)
+            inner = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            across = tb.count(j)[of]
+            p, q = ta.kids[ta.first[i[of]] + inner // across], tb.kids[tb.first[j[of]] + inner % across]
+            if same:
+                keep = (i[of] != j[of]) | (p <= q) & ~(ta.single[p] & (p == q))
+                p, q = p[keep], q[keep]
+            decide(p, q, np.einsum("ij,ij->i", ua[ta.lo[p]], ub[tb.lo[q]]))
             continue
-        ci = ta.children[i] if len(ta.children[i]) else np.array([i])
-        cj = tb.children[j] if len(tb.children[j]) else np.array([j])
-        if same and i == j:
-            todo += [(c, c) for c in ci if len(ta.children[c])]
-        for at in range(0, len(ci), 512):
-            part = ci[at : at + 512]
-            cosine = ua[ta.lo[part]] @ ub[tb.lo[cj]].T
-            gap, reach = distance(cosine), ta.radius[part][:, None] + tb.radius[cj]
-            open_ = gap <= most + reach + SLACK
-            if same and i == j:
-                open_ &= part[:, None] < cj
-            p, q = np.nonzero(open_)
-            gap, reach, cosine, p, q = gap[p, q], reach[p, q], cosine[p, q], part[p], cj[q]
-            single = (ta.hi[p] - ta.lo[p] == 1) & (tb.hi[q] - tb.lo[q] == 1)
-            whole = ~single & (gap + reach < most - SLACK) | single & (cosine >= threshold)
-            for k in np.flatnonzero(single & (np.abs(cosine - threshold) < 1e-9)):
-                whole[k] = exact(va[ta.lo[p[k]]], vb[tb.lo[q[k]]]) >= threshold
-            links.all_of((ta.lo[p[whole]], ta.hi[p[whole]]), (tb.lo[q[whole]], tb.hi[q[whole]]))
-            rest = ~single & ~whole
-            todo += zip(p[rest].tolist(), q[rest].tolist(), strict=True)
+        ci, cj = ta.kids[ta.first[i[0]] + at : ta.first[i[0] + 1]][:ROWS], tb.kids[tb.first[j[0]] : tb.first[j[0] + 1]]
+        cosine = ua[ta.lo[ci]] @ ub[tb.lo[cj]].T
+        # what the bound drops goes before pairs are made of it
+        reach = most + SLACK + ta.radius[ci][:, None] + tb.radius[cj]
+        open_ = cosine >= 1 - np.square(np.minimum(reach, 2)) / 2 - 1e-12
+        if same and i[0] == j[0]:
+            open_ &= ci[:, None] <= cj
+            open_ &= ~((ci[:, None] == cj) & ta.single[ci][:, None])
+        p, q = np.nonzero(open_)
+        decide(ci[p], cj[q], cosine[p, q])
     return links.result()
 
 

@@ -176,8 +176,8 @@ def _search(heads: np.ndarray, k: int, same: bool, step: int, names: list[str]):
                     own = [table.column(c).take(pa.array(at)).to_pylist() for c in ("places", "scores", "others")]
                     of = np.repeat(np.arange(len(ids)), [len(p) for p in own[0]])
                     place, score, other = (np.array([x for p in c for x in p], np.int64) for c in own)
-                    # 50 p <= 100 n <= 95 p in whole numbers
-                    low, high = -(-LOW * score // 100), HIGH * score // 100
+                    # 50 p <= 100 n <= 95 p in whole numbers of any size
+                    low, high = (np.array(x, np.int64) for x in ([-(-LOW * s // 100) for s in score.tolist()], [HIGH * s // 100 for s in score.tolist()]))
                 centre = heads[key] if w == heads.shape[1] and w else None
                 ask, found, value = shard[w].walk((ids, labels, q), centre, k, same, (of, low, high), step)
                 columns = [ids[of[ask]], found, value]
@@ -208,8 +208,8 @@ def mine(
 
     some = [r.v for r in anchors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()]  # bounded by `sample`
     width = max({len(v) for v in some}, key=lambda n: (sum(len(v) == n for v in some), n), default=0)
-    fit = np.array([v for v in some if len(v) == width], float).reshape(-1, width)
-    heads = centroids(fit, max(1, min(clusters, asking // members))) if width else np.zeros((1, 0))
+    fit = [v for v in some if len(v) == width]
+    heads = centroids(np.array(fit, float), max(1, min(clusters, asking // members))) if width else np.zeros((1, 0))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -151,7 +151,7 @@ class K2Treap:
         return score, column
 
 
-def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = 16_384, tokens: int = 1 << 22) -> DataFrame:
+def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = 16_384, tokens: int = 1 << 21) -> DataFrame:
     """Blocks of about ``documents`` documents, closed when they hold ``tokens`` terms with repeats: their terms and frequencies.
 
     A block exceeds either by a batch of texts (PIECE bytes) or by one long text at most.
@@ -159,8 +159,8 @@ def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", doc
 
     def close(ids: list, words: list, sizes: list) -> pa.RecordBatch:
         ids, size = np.concatenate(ids), np.concatenate(sizes)
-        coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        coded = pa.chunked_array(words).dictionary_encode().combine_chunks()
+        words.clear()
         names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         some = np.argsort(-size, kind="stable")[: np.count_nonzero(size)]  # long ones first; those without terms are none
         column = np.empty_like(size)
@@ -197,7 +197,7 @@ def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", doc
             yield close(ids, words, sizes)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return materialise(rows.mapInArrow(blocks, FORWARD), "forward")
+    return materialise(rows.mapInArrow(blocks, FORWARD), "forward", 1)  # a reader holds the rows of a file at once
 
 
 def corpus(blocks: DataFrame) -> tuple[int, int]:
@@ -226,7 +226,7 @@ def build(blocks: DataFrame, documents: int, total: int) -> DataFrame:
                 names = [x.split()[0] for x in INDEX.split(", ")]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids").slice(k, 1), batch.column("terms").slice(k, 1), *one], names=names)
 
-    return materialise(blocks.mapInArrow(trees, INDEX), "treaps")
+    return materialise(blocks.mapInArrow(trees, INDEX), "treaps", 1)
 
 
 def weighted_items(items: DataFrame, blocks: DataFrame, documents: int, item_col: str, text_col: str) -> DataFrame:
