@@ -1,5 +1,6 @@
 """Edge cases of calls, manifests, logs and sources, on hand-made rows."""
 
+import math
 import random
 
 import numpy as np
@@ -13,6 +14,7 @@ from tidewater.operators import manifest as M
 from tidewater.operators import quantise as Q
 from tidewater.operators import runlog as L
 from tidewater.operators import windows as W
+from tidewater.operators.quantiles import quantiles
 from tidewater.sources import io
 
 
@@ -165,3 +167,40 @@ def test_append_history_keeps_what_is_there(spark, tmp_path):
     for k in range(2):
         io.append_history(spark.createDataFrame([(k, None)], "step int, error string"), f"{tmp_path}/h")
     assert sorted(r.step for r in spark.read.json(f"{tmp_path}/h").collect()) == [0, 1]
+
+
+def test_quantiles_against_sorting(spark):
+    nan, inf = float("nan"), float("inf")
+    rng = random.Random(9)
+    cases = {
+        "ties": [3.0] * 40 + [1.0] * 3 + [7.0] * 2, "one": [5.5], "two": [1.0, 2.0], "nan": [1.0, nan, 3.0, nan, 2.0], "infinite": [-inf, inf, 0.0, -1.0, inf],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(200)], "ends": [-1.7e308, 1.7e308, 0.0, 5e-324, -5e-324],
+        "many": [rng.gauss(0, 1) for _ in range(500)], "close": [1.0 + k * 2**-52 for k in range(30)],
+    }
+    rows = [(g, x, None if g == "one" else x) for g, xs in cases.items() for x in xs] + [("many", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    probabilities = (0.0, 0.25, 0.5, 0.9, 1.0)
+
+    def want(xs, p):
+        xs = sorted(xs, key=lambda v: (v != v, v))
+        k = p * (len(xs) - 1)
+        low, high = xs[math.floor(k)], xs[math.ceil(k)]
+        return low if k == math.floor(k) or low == high else low + (high - low) * (k - math.floor(k))
+
+    for options in ({"small": 3, "buckets": 512}, {}):
+        got = {(r.g, r.column, r.p): r.value for r in quantiles(df, ("x", "y"), probabilities, "g", **options).collect()}
+        assert ("one", "y", 0.5) not in got
+        for g, xs in cases.items():
+            for p in probabilities:
+                assert repr(got[g, "x", p] + 0.0) == repr(want(xs, p) + 0.0), (g, p, options)
+    assert quantiles(df.where("false"), ("x",), (0.5,)).count() == 0
+    row = W.summarise(df.where("false"), "x").first()
+    assert tuple(row) == (0.0,) * 4
+
+
+def test_summaries_hold_no_column_in_a_task(spark):
+    rows = spark.range(5000).select(F.col("id").alias("step"), (F.col("id") % 977).cast("double").alias("step_ms"))
+    for df in (W.summarise(rows, "step_ms"), L.timing_summary(rows, 2, 5, 3)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile" not in plan.lower() and "median(" not in plan.lower()
+    assert W.summarise(rows, "step_ms").first().step_ms_median == sorted(k % 977 for k in range(5000))[2499] * 0.5 + sorted(k % 977 for k in range(5000))[2500] * 0.5

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .windows import summaries
+from .windows import summarise
 
 
 def mean_qscore(qual: Column) -> Column:
@@ -108,10 +108,8 @@ def _rates() -> list[Column]:
 
 def call_summary(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: counts of both sides, rates, quality deltas, and summaries of identity, length and quality delta."""
-    rows = pairs(left, right).agg(
-        F.count("*").alias("shared"), *_rates(), _mean(F.col("q_delta")).alias("q_delta_avg"),
-        _mean(F.abs("q_delta")).alias("q_delta_abs"), *summaries("identity", "length_delta", "q_delta"),
-    )
+    sums = [F.count("*").alias("shared"), *_rates(), _mean(F.col("q_delta")).alias("q_delta_avg"), _mean(F.abs("q_delta")).alias("q_delta_abs")]
+    rows = summarise(pairs(left, right), "identity", "length_delta", "q_delta", sums=sums)
     n = left.agg(F.count_distinct("read_id").alias("left_count"))
     m = right.agg(F.count_distinct("read_id").alias("right_count"))
     both = rows.crossJoin(n).crossJoin(m)  # one row each
@@ -129,7 +127,7 @@ def truth_summary(rows: DataFrame, counts: DataFrame, *by: str) -> DataFrame:
     Without ``predicted_count`` the rows matched count as predicted. A group without rows has zeros.
     """
     means = [_mean(F.col(c)).alias(n) for c, n in TRUTH.items() if n]
-    found = rows.groupBy(*by).agg(F.count("*").alias("shared"), *_rates(), *means, *summaries(*TRUTH))
+    found = summarise(rows, *TRUTH, by=by, sums=[F.count("*").alias("shared"), *_rates(), *means])
     both = counts.join(found, list(by), "left") if by else counts.crossJoin(found)
     shared = F.coalesce("shared", F.lit(0))
     predicted = F.col("predicted_count") if "predicted_count" in counts.columns else shared

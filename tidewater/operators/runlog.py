@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.storage import stored
+
+from .quantiles import quantiles
+
 SPARSE = ("perplexity", "code_usage")
 
 
@@ -72,15 +76,17 @@ def trim_rank_range(rows: DataFrame, order: str, d: int) -> DataFrame:
 
 def timing_summary(times: DataFrame, batch: int, chunk: int, discard: int = 0) -> DataFrame:
     """Summary of ``times(step, step_ms)`` without the first and last ``discard`` steps, and the rates that follow."""
-    ms, kept = F.col("step_ms"), trim_rank_range(times, "step", discard)
+    ms, kept = F.col("step_ms"), stored(trim_rank_range(times, "step", discard).select("step", "step_ms"), "kept")
     stats = kept.agg(
         F.count("*").alias("kept"), F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.avg(ms).alias("mean_ms"),
-        F.percentile(ms, F.lit([0.5, 0.9, 0.95])).alias("p"), F.stddev_pop(ms).alias("std_ms"),
+        F.stddev_pop(ms).alias("std_ms"),
     )
+    names = {0.5: "median_ms", 0.9: "p90_ms", 0.95: "p95_ms"}
+    tails = [F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in names.items()]
+    stats = stats.crossJoin(quantiles(kept, ("step_ms",), tuple(names)).agg(*tails))  # one row each
     rate = F.try_divide(F.lit(1000.0), F.col("mean_ms"))
-    tails = [F.col("p")[k].alias(n) for k, n in enumerate(("median_ms", "p90_ms", "p95_ms"))]
     rates = rate.alias("batches_s"), (rate * batch).alias("chunks_s"), (rate * batch * chunk).alias("points_s")
-    return stats.select("kept", "first_step", "last_step", "mean_ms", *tails, "std_ms", *rates)
+    return stats.select("kept", "first_step", "last_step", "mean_ms", *names.values(), "std_ms", *rates)
 
 
 def running_best(evals: DataFrame, metric: Column, *by: str, block: int = 100_000) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import signal as S
+from tidewater.storage import stored
+
+from .quantiles import quantiles
 
 
 def calibration_valid(reads: DataFrame) -> DataFrame:
@@ -151,7 +154,7 @@ ERRORS = ("trimmed_length", "chunk_count", "norm_mae", "norm_rmse", "pa_mae", "p
 def recon_summary(errors: DataFrame) -> DataFrame:
     """Number of reads and chunks, and a summary of each of ERRORS."""
     sums = [F.count("*").alias("processed_reads"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("total_chunk_count")]
-    return errors.agg(*sums, *summaries(*ERRORS))
+    return summarise(errors, *ERRORS, sums=sums)
 
 
 def feature_standardise(rows: DataFrame, eps: float = 1e-5) -> DataFrame:
@@ -162,12 +165,21 @@ def feature_standardise(rows: DataFrame, eps: float = 1e-5) -> DataFrame:
     return long.select("seq", "t", "i", value.alias("value"))
 
 
-def summaries(*columns: str) -> list[Column]:
-    """Mean, exact median, minimum and maximum of each column; 0.0 on empty input."""
-    stats = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
-    one = lambda f, c: F.coalesce(f(F.col(c).cast("double")), F.lit(0.0))
-    return [one(f, c).alias(f"{c}_{n}") for c in columns for n, f in stats.items()]
+STATS = {"mean": F.avg, "min": F.min, "max": F.max}
+
 
+def summarise(rows: DataFrame, *columns: str, by: tuple[str, ...] = (), sums: list[Column] | None = None) -> DataFrame:
+    """by, ``sums`` and the mean, exact median, minimum and maximum of each column per group; 0.0 where there is no value.
 
-def summarise(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.agg(*summaries(*columns))
+    Without ``by`` one row, also of no rows. The rows are written once, as the median reads them several times.
+    """
+    rows = stored(rows, "summed")
+    plain = [F.coalesce(f(F.col(c).cast("double")), F.lit(0.0)).alias(f"{c}_{n}") for c in columns for n, f in STATS.items()]
+    found = rows.groupBy(*by).agg(*(sums or []), *plain) if by else rows.agg(*(sums or []), *plain)
+    middle = [F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"{c}_median") for c in columns]
+    medians = quantiles(rows, columns, (0.5,), *by)
+    medians = medians.groupBy(*by).agg(*middle) if by else medians.agg(*middle)
+    both = found.join(medians, list(by), "left") if by else found.crossJoin(medians)  # one row each
+    own = [x for x in found.columns if not any(x == f"{c}_{n}" for c in columns for n in STATS)]
+    order = [f"{c}_{n}" for c in columns for n in ("mean", "median", "min", "max")]
+    return both.select(*own, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in order])

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from tidewater.operators import calls as C
 from tidewater.operators import manifest as M
 from tidewater.operators import runlog as L
 from tidewater.sources import io
+from tidewater.storage import shared_folder, stored
 from tidewater.streaming import streams
 
 from .fixtures import fixture, oracle
@@ -120,23 +118,6 @@ def _rounded(rows: DataFrame) -> DataFrame:
     return rows.select(*[r6(n) if t == "double" else F.col(n) for n, t in rows.dtypes])
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; a local one only under a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tidewater-")
-    return f"{root.rstrip('/')}/{name}-{os.urandom(8).hex()}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once, for queries that read it twice."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def calls(spark: SparkSession, sf: str, which: str) -> DataFrame:
     return fixture(spark, sf, f"calls_{which}")
 

@@ -10,6 +10,7 @@ from tidewater.functions import spectral as P
 from tidewater.operators import quantise as Q
 from tidewater.operators import windows as W
 from tidewater.sources import io
+from tidewater.storage import shared_folder
 
 from .fixtures import fixture, oracle
 
@@ -150,8 +151,6 @@ def normalise_pm1(spark, sf):
 select read_id, source_file, barcode, offset_adc, raw_length, sum_adc
 from reads_meta join (select read_id, sum(adc)::bigint as sum_adc from samples group by 1) using (read_id)""")
 def scan_reads(spark, sf):
-    from .records import shared_folder
-
     path = shared_folder(spark, "split")
     rows = reads(spark, sf)
     for where, part in (("a/deep", F.col("raw_length") % 2 == 0), ("b", F.col("raw_length") % 2 != 0)):
