@@ -34,9 +34,14 @@ from .common import letter_words, materialise
 
 #: Bytes to what they are read as: A-Z in lower case, what separates words as a space, anything beyond ASCII as it is.
 READ = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)], np.uint8)
-FORWARD = "doc_ids array<long>, sizes array<long>, terms array<string>, counts array<int>, docs array<int>, tf array<long>"
+#: terms are lines, as no term holds a line end; what is long and only read in Python is bytes: ids and sizes, columns and frequencies.
+FORWARD = "documents long, total long, terms string, counts array<int>, ids binary, sizes binary, docs binary, tf binary"
+KINDS = pa.schema([
+    ("documents", pa.int64()), ("total", pa.int64()), ("terms", pa.string()), ("counts", pa.list_(pa.int32())), ("ids", pa.binary()), ("sizes", pa.binary()),
+    ("docs", pa.binary()), ("tf", pa.binary()),
+])
 PIECE = 1 << 22
-INDEX = "doc_ids array<long>, terms array<string>, height int, bits array<binary>, falls array<binary>, top long"
+INDEX = "terms string, ids binary, height int, bits array<binary>, falls array<binary>, top long"
 
 
 def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -151,7 +156,7 @@ class K2Treap:
         return score, column
 
 
-def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = 16_384, tokens: int = 1 << 21) -> DataFrame:
+def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = 16_384, tokens: int = 1 << 20) -> DataFrame:
     """Blocks of about ``documents`` documents, closed when they hold ``tokens`` terms with repeats: their terms and frequencies.
 
     A block exceeds either by a batch of texts (PIECE bytes) or by one long text at most.
@@ -172,10 +177,12 @@ def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", doc
         place = np.empty_like(rank)
         place[rank] = np.arange(len(rank))
         order = np.argsort(place[term], kind="stable")
-        columns = [ids[some], size[some], names.take(pa.array(rank)).cast(pa.string()), n[rank], doc[order], tf[order]]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
-        arrays = [pa.ListArray.from_arrays([0, len(c)], c if isinstance(c, pa.Array) else pa.array(c, t)) for c, t in zip(columns, types, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in FORWARD.split(", ")])
+        out = {
+            "documents": len(some), "total": int(size.sum()), "terms": "\n".join(names.take(pa.array(rank)).to_pylist()), "counts": n[rank].astype(np.int32),
+            "ids": ids[some].tobytes(), "sizes": size[some].tobytes(), "docs": doc[order].astype(np.int32).tobytes(), "tf": tf[order].astype(np.int32).tobytes(),
+        }
+        pa.default_memory_pool().release_unused()
+        return pa.RecordBatch.from_pylist([out], schema=KINDS)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, sizes, held, n = [], [], [], 0, 0
@@ -202,29 +209,25 @@ def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", doc
 
 def corpus(blocks: DataFrame) -> tuple[int, int]:
     """How many documents hold a term, and all their terms with repeats."""
-    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    row = blocks.agg(F.sum(F.size("doc_ids").cast("long")).alias("n"), F.sum(size).alias("l")).first()
+    row = blocks.agg(F.sum("documents").alias("n"), F.sum("total").alias("l")).first()
     return row["n"] or 0, row["l"] or 0
 
 
-def _list(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
-    return batch.column(name)[k].values.to_numpy(zero_copy_only=False)
-
-
 def build(blocks: DataFrame, documents: int, total: int) -> DataFrame:
     """The index: a K2-treap for each of the ``blocks`` of `forward`, written in the shared folder."""
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                sizes, counts, docs, tf = (_list(batch, c, k) for c in ("sizes", "counts", "docs", "tf"))
+                sizes, docs, tf = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("sizes", np.int64), ("docs", np.int32), ("tf", np.int32)))
+                counts = batch.column("counts")[k].values.to_numpy()
                 height = max(1, int(max(len(sizes), len(counts)) - 1).bit_length())
                 rows = np.repeat(np.arange(len(counts)), counts)
-                tree = K2Treap.build(rows, docs, impact(tf, norm(sizes, documents, total)[docs]), height)
+                tree = K2Treap.build(rows, docs, impact(tf.astype(np.int64), norm(sizes, documents, total)[docs]), height)
                 bits, falls = tree.packed()
                 one = [pa.array([height], pa.int32()), pa.array([bits], pa.list_(pa.binary())), pa.array([falls], pa.list_(pa.binary())), pa.array([tree.top])]
                 names = [x.split()[0] for x in INDEX.split(", ")]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids").slice(k, 1), batch.column("terms").slice(k, 1), *one], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("terms").slice(k, 1), batch.column("ids").slice(k, 1), *one], names=names)
 
     return materialise(blocks.mapInArrow(trees, INDEX), "treaps", 1)
 
@@ -233,7 +236,7 @@ def weighted_items(items: DataFrame, blocks: DataFrame, documents: int, item_col
     """item, terms, weights of every item that has any, terms that no document holds left out."""
     terms = items.select(F.col(item_col).alias("item"), F.explode(letter_words(F.col(text_col))).alias("term")).where("item is not null").distinct()
     terms = materialise(terms, "asked")
-    held = blocks.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
+    held = blocks.select(F.explode(F.arrays_zip(F.split("terms", "\n").alias("term"), F.col("counts").alias("n"))).alias("t")).select("t.term", "t.n")
     df = held.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(1000 * F.log((2 * F.lit(documents) + 2) / (2 * F.col("df") + 1))).cast("long")
     own = terms.join(df.select("term", weight.alias("weight")), "term").where("weight > 0")
@@ -255,8 +258,8 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, page: int = 1_000_00
             for batch in batches:
                 for r in range(batch.num_rows):
                     tree = K2Treap.unpacked(*(batch.column(c)[r].as_py() for c in ("height", "bits", "falls", "top")))
-                    place = {t: i for i, t in enumerate(batch.column("terms")[r].as_py())}
-                    ids, out = _list(batch, "doc_ids", r), []
+                    place = {t: i for i, t in enumerate(batch.column("terms")[r].as_py().split("\n"))}
+                    ids, out = np.frombuffer(batch.column("ids")[r].as_buffer(), np.int64), []
                     for q in asked:
                         own = [(place[t], w) for t, w in zip(q.term, q.weight, strict=True) if t in place]
                         rows, weights = (np.array([x[j] for x in own], np.int64) for j in (0, 1))
