@@ -1,9 +1,12 @@
 """Edge cases of calls, manifests, logs and sources, on hand-made rows."""
 
+import gzip
 import math
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from tidewater.operators import quantise as Q
 from tidewater.operators import runlog as L
 from tidewater.operators import windows as W
 from tidewater.operators.quantiles import quantiles
-from tidewater.sources import io
+from tidewater.sources import fastq, io
 
 
 def table_distance(a, b):
@@ -151,16 +154,71 @@ def test_scan_reads(spark, tmp_path):
         assert ids(skip_corrupt=True) == ["r1", "r2"]
 
 
-def test_fastq_over_several_blocks(spark, tmp_path):
-    """A plain file that Spark cuts in blocks, quality lines that look like headers, and the last of repeated ids."""
-    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
-    try:
-        text = "".join(f"@r{k % 300} x\nAC{'G' * (k % 7)}\n+\n@{'+' * (k % 7 + 1)}\n" for k in range(400))
-        (tmp_path / "a.fastq").write_text(text)
-        got = {r.read_id: (r.seq, r.qual) for r in io.scan_fastq(spark, str(tmp_path)).collect()}
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert got == {f"r{k % 300}": ("AC" + "G" * (k % 7), "@" + "+" * (k % 7 + 1)) for k in range(400)}
+def fastq_text(rng, n):
+    """Records of one or several lines, quality lines that look like headers or ``+`` lines, odd lines between them, repeated ids."""
+    text, want = "", {}
+    for k in range(n):
+        seq = "".join(rng.choices("ACGTN", k=rng.choice([0, 1, 7, 40, 300])))
+        qual = "".join(rng.choices("@+IJ!", k=len(seq)))
+        width = rng.choice([1000, 13])
+        lines = lambda x: "".join(x[i : i + width] + "\n" for i in range(0, len(x), width)) or "\n"
+        text += f"@r{k % (n - 20)} x\n{lines(seq)}+{rng.choice(['', 'again'])}\n{lines(qual)}" + rng.choice(["", "", "\n"])
+        want[f"r{k % (n - 20)}"] = (seq, qual)
+    return text.encode(), want
+
+
+def in_blocks(data, size):
+    """The bytes as block gzip, blocks of ``size`` bytes, with the empty one at the end."""
+
+    def block(part):
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = packer.compress(part) + packer.flush()
+        head = b"\x1f\x8b\x08\x04" + bytes(6) + b"\x06\x00BC\x02\x00" + (len(body) + 25).to_bytes(2, "little")
+        return head + body + zlib.crc32(part).to_bytes(4, "little") + len(part).to_bytes(4, "little")
+
+    return b"".join(block(data[i : i + size]) for i in range(0, len(data), size)) + block(b"")
+
+
+def test_fastq_splits_find_their_records():
+    """Every split of every size gives its own records, once each, for plain, block gzip and plain gzip files."""
+    rng = random.Random(6)
+    data, want = fastq_text(rng, 300)
+    files = {"plain": data, "blocks": in_blocks(data, 700), "gzip": gzip.compress(data[:5000]) + gzip.compress(data[5000:])}
+    for kind, raw in files.items():
+        for size in (500, 1777, 10**9):
+            starts = list(range(0, len(raw), size)) if kind != "gzip" else [0]
+            rows = []
+            for at, to in zip(starts, [*starts[1:], None], strict=True):
+                file = pa.BufferReader(raw)
+                assert fastq.kind_of(file) == kind
+                rows += [r for b in fastq._batches(fastq.Split("f", kind, at, to), file, len(raw), 7, look=1500) for r in b.to_pylist()]
+            assert len(rows) == 300 and [r["at"] for r in rows] == sorted({r["at"] for r in rows}), (kind, size)
+            assert {r["read_id"]: (r["seq"], r["qual"]) for r in rows} == want
+
+
+def test_a_file_that_deceives_is_refused():
+    """Quality lines that spell whole records: the border rule can take one of them for a header."""
+    inner = "@q\nAC\n+\nII\n"
+    qual = "@" * 3 + "\n" + inner * 200
+    record = f"@r\n{'A' * (3 + 200 * 6)}\n+\n{qual}"
+    data = (record * 3).encode()
+    whole = [r for b in fastq._batches(fastq.Split("f", "plain", 0, None), pa.BufferReader(data), len(data)) for r in b.to_pylist()]
+    assert [r["read_id"] for r in whole][0] == "r"
+    with pytest.raises(ValueError, match="split=0"):
+        list(fastq._batches(fastq.Split("f", "plain", 0, len(record) // 2), pa.BufferReader(data), len(data), look=100))
+
+
+def test_scan_fastq_over_several_tasks(spark, tmp_path):
+    data, want = fastq_text(random.Random(7), 400)
+    (tmp_path / "a.fastq").write_bytes(data)
+    rows = io.scan_fastq(spark, str(tmp_path), split=3000)
+    assert {r.read_id: (r.seq, r.qual) for r in rows.collect()} == want
+    source = spark.read.format("fastq").option("split", 3000).load(str(tmp_path))
+    assert source.rdd.getNumPartitions() == -(-len(data) // 3000) and source.count() == 400
+    (tmp_path / "b.txt").write_bytes(gzip.compress(b"@r0\nA\n+\nI\n"))  # gzip whatever the suffix, later by name
+    assert {r.read_id: (r.seq, r.qual) for r in io.scan_fastq(spark, f"{tmp_path}/a.fastq", f"{tmp_path}/b.txt").collect()} == want | {"r0": ("A", "I")}
+    with pytest.raises(Exception, match="missing"):
+        io.scan_fastq(spark, f"{tmp_path}/missing").count()
 
 
 def test_append_history_keeps_what_is_there(spark, tmp_path):

@@ -64,6 +64,61 @@ def test_overlap_add_returns_the_input(spark):
         assert op.first().value == pytest.approx(signal)
 
 
+def plain_stitch(chunks, size, hop, weighted):
+    """chunks: (start, samples) in order."""
+    n, overlap = chunks[-1][0] + size, max(size - hop, 0)
+    value, weight = np.zeros(n), np.zeros(n)
+    for i, (at, part) in enumerate(chunks):
+        w = np.ones(size)
+        for k in range(size):
+            if i > 0 and k < overlap:
+                w[k] = k / overlap
+            if i < len(chunks) - 1 and k >= size - overlap:
+                w[k] = 1 - (k - size + overlap) / overlap
+        if weighted:
+            value[at : at + size] += w * part
+            weight[at : at + size] += w
+        else:
+            value[at : at + size] = part
+    return value / np.where(weight == 0, 1, weight) if weighted else value
+
+
+@pytest.mark.parametrize(("size", "hop", "segment"), [(16, 12, 16), (16, 5, 37), (8, 8, 24), (6, 9, 10), (16, 12, 1 << 16)])
+def test_reads_over_many_segments(spark, size, hop, segment):
+    rng = np.random.default_rng(size)
+    lengths = {1: 1000, 2: size, 3: segment % 5000 + size, 4: 3 * hop + size}
+    reads = spark.createDataFrame([(k, rng.normal(size=n).tolist()) for k, n in lengths.items()], "read_id long, x array<double>")
+    for tail in ("drop", "shift_last"):
+        rows = W.chunks(reads, F.col("x"), size, hop, tail, ()).withColumn("chunk", F.transform("chunk", lambda v: F.round(v, 1))).cache()
+        parts = {}
+        for r in rows.orderBy("read_id", "chunk_index").collect():
+            parts.setdefault(r.read_id, []).append((r.start, np.array(r.chunk)))
+        for weighted, op in ((True, W.overlap_add), (False, W.direct_stitch)):
+            got = {}
+            for r in op(rows, size, hop, segment).orderBy("read_id", "segment").collect():
+                assert r.first == len(got.setdefault(r.read_id, [])) and 0 < len(r.value) <= segment
+                got[r.read_id] += r.value
+            assert got.keys() == parts.keys()
+            for k, part in parts.items():
+                assert got[k] == pytest.approx(plain_stitch(part, size, hop, weighted))
+
+
+def test_errors_by_segment_are_those_of_the_read(spark):
+    rng = np.random.default_rng(1)
+    reads = spark.createDataFrame([(k, rng.integers(-50, 50, n).astype(float).tolist(), 1.5, 0.25) for k, n in ((1, 700), (2, 16), (3, 65))], "read_id long, adc array<double>, offset_adc double, scale double")
+    reads = reads.withColumn("pa", S.to_picoamps(F.col("adc"), F.col("offset_adc"), F.col("scale")))
+    rows = W.normalised(W.chunks(reads, F.col("pa"), 16, 12)).withColumn("hat", F.transform("norm", lambda v: F.rint(v * 4) / 4))
+    rows = rows.withColumn("chunk", S.denormalise(F.col("hat"), F.col("center"), F.col("half_range")))
+    one, many = (
+        {r.read_id: list(r)[1:] for r in W.read_errors(W.reassembled(rows, 16, 12, sums=W.norm_sums(F.col("norm"), F.col("hat")), segment=s), reads, s).collect()}
+        for s in (1 << 16, 32)
+    )
+    assert one.keys() == many.keys() == {1, 2, 3}
+    for k in one:
+        assert many[k] == pytest.approx(one[k])
+    assert {k: v[0] for k, v in many.items()} == {1: 700, 2: 16, 3: 65}
+
+
 def test_identity_and_quality(spark):
     rows = spark.createDataFrame([(1, "", ""), (2, "abc", ""), (3, "abc", "abd")], "read_id int, a string, b string")
     got = rows.select("read_id", C.identity(C.edit_distance(F.col("a"), F.col("b")), F.col("a"), F.col("b")).alias("i")).collect()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,51 +45,79 @@ def samples(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return rows.select(*keys, F.posexplode(value).alias("pos", "value"))
 
 
-def _stitch(size: int, hop: int, weighted: bool):
-    """A Pandas UDF from one read's chunk starts and chunks, in order, to its signal."""
+#: Samples of a segment: what one row of a reassembled signal holds at most.
+SEGMENT = 1 << 16
+
+
+def _stitch(size: int, hop: int, segment: int, weighted: bool):
+    """An Arrow UDF from the pieces of chunks in a segment, in the order of the chunks, to its samples; all rows of a batch at once."""
     overlap = max(size - hop, 0)
-    fade = np.arange(overlap) / max(overlap, 1)
-
-    @F.pandas_udf("array<double>")
-    def stitch(starts: pd.Series, chunks: pd.Series) -> pd.Series:
-        def one(at, parts):
-            value, weight = np.zeros(at[-1] + size), np.zeros(at[-1] + size)
-            for i, (s, part) in enumerate(zip(at, parts, strict=True)):
-                w = np.ones(size)
-                if i > 0 and overlap:
-                    w[:overlap] = fade
-                if i < len(at) - 1 and overlap:  # overwrites a fade-in that it meets
-                    w[size - overlap :] = 1 - fade
-                if weighted:
-                    value[s : s + size] += w * part
-                    weight[s : s + size] += w
-                else:
-                    value[s : s + size] = part
-            return value / np.where(weight == 0, 1, weight) if weighted else value
-
-        return pd.Series([one(a, c) for a, c in zip(starts, chunks, strict=True)])
+
+    @F.arrow_udf("array<double>")
+    def stitch(number: pa.Array, parts: pa.Array) -> pa.Array:
+        flat, many = parts.flatten(), parts.value_lengths().to_numpy(zero_copy_only=False)
+        index, count, start, low = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("chunk_index", "n_chunks", "start", "low"))
+        piece = flat.field("piece")
+        length, values = piece.value_lengths().to_numpy(zero_copy_only=False), piece.flatten().to_numpy(zero_copy_only=False)
+        row, first = np.repeat(np.arange(len(many)), many), number.to_numpy(zero_copy_only=False).astype(np.int64) * segment
+        last = np.cumsum(many) - 1  # of its pieces; only a segment with the read's last chunk ends before its end
+        ends = np.where(index[last] == count[last] - 1, low[last] + length[last] - first, segment)
+        base = np.concatenate([[0], np.cumsum(ends)])
+        inner = np.arange(len(values)) - np.repeat(np.cumsum(length) - length, length)
+        at = np.repeat(base[row] + low - first[row], length) + inner
+        if weighted:
+            k, weight = np.repeat(low - start, length) + inner, np.ones(len(values))
+            if overlap:
+                fade_in = np.repeat(index > 0, length) & (k < overlap)
+                weight[fade_in] = k[fade_in] / overlap
+                fade_out = np.repeat(index < count - 1, length) & (k >= size - overlap)  # overwrites a fade-in that it meets
+                weight[fade_out] = 1 - (k[fade_out] - (size - overlap)) / overlap
+            total = np.bincount(at, weight, base[-1])
+            out = np.bincount(at, weight * values, base[-1]) / np.where(total == 0, 1, total)
+        else:
+            out = np.zeros(base[-1])
+            out[at] = values  # of a sample in several chunks the last stays
+        return pa.ListArray.from_arrays(pa.array(base, pa.int32()), pa.array(out))
 
     return stitch
 
 
-def reassembled(rows: DataFrame, size: int, hop: int, weighted: bool = True, *sums: Column) -> DataFrame:
-    """read_id, value (the signal as an array) and ``sums`` over the chunks of ``rows(read_id, chunk_index, start, chunk)``.
+def reassembled(
+    rows: DataFrame, size: int, hop: int, weighted: bool = True, sums: dict[str, Column] | None = None, segment: int = SEGMENT
+) -> DataFrame:
+    """read_id, segment, first, value (samples from ``first`` on) and ``sums``, of ``rows(read_id, chunk_index, n_chunks, start, chunk)``.
 
-    Chunks are shuffled once, as arrays; a group is the chunks of one read, about as large as that read.
+    Chunks are dealt by read and segment, and what lies over a border goes to both sides, cut there, so a read of any length
+    is many rows of at most ``segment`` samples and a task holds a few of them. ``sums`` are sums over chunks, each counted
+    in the segment in which it starts.
     """
-    per = rows.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "start", "chunk"))).alias("parts"), *sums)
-    value = _stitch(size, hop, weighted)(F.col("parts.start"), F.col("parts.chunk"))
-    return per.withColumn("value", value).drop("parts")
-
-
-def overlap_add(rows: DataFrame, size: int, hop: int) -> DataFrame:
-    """read_id, value: the weighted mean of all chunks at each sample; weight 0 divides by 1."""
-    return reassembled(rows, size, hop)
+    if segment < max(size, hop):
+        raise ValueError("a segment must not be shorter than a window or a hop")
+    number = lambda at: F.floor(at / segment).cast("long")
+    start, stop = F.col("start"), F.col("start") + size
+    rows = rows.withColumns(sums or {}).withColumn("segment", F.explode(F.sequence(number(start), number(stop - 1))))
+    low, high = F.greatest(start, F.col("segment") * segment), F.least(stop, (F.col("segment") + 1) * segment)
+    piece = F.slice("chunk", (low - start + 1).cast("int"), (high - low).cast("int"))
+    part = F.struct("chunk_index", "n_chunks", start.cast("long").alias("start"), low.cast("long").alias("low"), piece.alias("piece"))
+    own = [F.coalesce(F.sum(F.when(F.col("segment") == number(start), F.col(c))), F.lit(0)).alias(c) for c in sums or {}]
+    per = rows.groupBy("read_id", "segment").agg(F.array_sort(F.collect_list(part)).alias("parts"), *own)
+    value = _stitch(size, hop, segment, weighted)(F.col("segment"), F.col("parts")).alias("value")
+    return per.select("read_id", "segment", (F.col("segment") * segment).alias("first"), value, *(sums or {}))
+
+
+def overlap_add(rows: DataFrame, size: int, hop: int, segment: int = SEGMENT) -> DataFrame:
+    """read_id, segment, first, value: the weighted mean of all chunks at each sample; weight 0 divides by 1."""
+    return reassembled(rows, size, hop, segment=segment)
+
+
+def direct_stitch(rows: DataFrame, size: int, hop: int, segment: int = SEGMENT) -> DataFrame:
+    """The same without weights: a later chunk overwrites an earlier one."""
+    return reassembled(rows, size, hop, False, segment=segment)
 
 
-def direct_stitch(rows: DataFrame, size: int, hop: int) -> DataFrame:
-    """The same without weights: a later chunk overwrites an earlier one."""
-    return reassembled(rows, size, hop, False)
+def segment_samples(rows: DataFrame) -> DataFrame:
+    """read_id, pos, value of reassembled segments."""
+    return rows.select("read_id", "first", F.posexplode("value").alias("i", "value")).select("read_id", (F.col("first") + F.col("i")).alias("pos"), "value")
 
 
 def cycle_fill(rows: DataFrame, order: list[str], target: int) -> DataFrame:
@@ -122,30 +150,42 @@ def batches(rows: DataFrame, key: str, size: int, drop_last: bool = True) -> Dat
     return out.where(F.size("items") == size) if drop_last else out
 
 
-def norm_sums(original: Column, rebuilt: Column) -> list[Column]:
-    """What `read_errors` needs of the chunks: sums over all their samples, those that overlap counted twice."""
-    sums = {"norm_abs": S.l1(original, rebuilt), "norm_sq": S.l2(original, rebuilt), "norm_n": F.size(original)}
-    return [*[F.sum(v).alias(k) for k, v in sums.items()], F.count("*").alias("chunk_count")]
+def norm_sums(original: Column, rebuilt: Column) -> dict[str, Column]:
+    """What `read_errors` needs of each chunk; its sums are over all samples of all chunks, those that overlap counted twice."""
+    return {
+        "norm_abs": S.l1(original, rebuilt), "norm_sq": S.l2(original, rebuilt), "norm_n": F.size(original).cast("long"),
+        "chunk_count": F.lit(1).cast("long"),
+    }
+
+
+def read_segments(reads: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...], segment: int = SEGMENT) -> DataFrame:
+    """read_id, segment, ``keep`` and the array ``columns`` of reads cut into segments."""
+    last = F.floor((F.size(columns[0]) - 1) / segment).cast("long")
+    cut = lambda c, s: F.slice(c, (s * segment + 1).cast("int"), F.lit(segment)).alias(c)
+    cuts = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda s: F.struct(s.alias("segment"), *[cut(c, s) for c in columns]))
+    return reads.where(F.size(columns[0]) > 0).select("read_id", *keep, F.explode(cuts).alias("s")).select("read_id", *keep, "s.*")
 
 
-def read_errors(rows: DataFrame) -> DataFrame:
-    """Six errors of each read and its lengths, from ``rows(read_id, pa, adc, offset_adc, scale, value)`` and `norm_sums`.
+def read_errors(rebuilt: DataFrame, reads: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Six errors of each read and its lengths, from `reassembled` segments with `norm_sums` and ``reads(read_id, pa, adc, offset_adc, scale)``.
 
-    ``value`` is the rebuilt signal in picoamperes; where it is shorter than the read, the read is trimmed to it.
+    Segments are compared on their own and their sums added up. ``value`` is the rebuilt signal in picoamperes; where it is
+    shorter than the read, the read is trimmed to it.
     """
+    rows = rebuilt.join(read_segments(reads, ("pa", "adc"), ("offset_adc", "scale"), segment), ["read_id", "segment"])
     n = F.size("value")
     rows = rows.withColumn("pa", F.slice("pa", F.lit(1), n)).withColumn("adc", F.slice("adc", F.lit(1), n))
     back = S.to_adc(F.col("value"), F.col("offset_adc"), F.col("scale"))
     rows = rows.withColumn("adc_hat", F.transform(back, lambda v: S.adc_round_clip(v).cast("double")))
-    count = F.greatest(F.col("norm_n"), F.lit(1))
-    mean = lambda a, b: S.l1(F.col(a), F.col(b)) / n
-    root = lambda a, b: F.sqrt(S.l2(F.col(a), F.col(b)) / n)
-    return rows.select(
-        "read_id", n.cast("long").alias("trimmed_length"), "chunk_count",
-        (F.col("norm_abs") / count).alias("norm_mae"), F.sqrt(F.col("norm_sq") / count).alias("norm_rmse"),
-        mean("pa", "value").alias("pa_mae"), root("pa", "value").alias("pa_rmse"),
-        mean("adc", "adc_hat").alias("adc_mae"), root("adc", "adc_hat").alias("adc_rmse"),
-    )
+    of = {"pa": ("pa", "value"), "adc": ("adc", "adc_hat")}
+    parts = [f(F.col(a), F.col(b)).alias(f"{c}_{s}") for c, (a, b) in of.items() for s, f in (("abs", S.l1), ("sq", S.l2))]
+    sums = ("norm_abs", "norm_sq", "norm_n", "chunk_count")
+    rows = rows.select("read_id", n.cast("long").alias("n"), *sums, *parts)
+    rows = rows.groupBy("read_id").agg(*[F.sum(c).alias(c) for c in rows.columns[1:]])
+    mean = lambda c, n: (F.col(f"{c}_abs") / F.greatest(F.col(n), F.lit(1))).alias(f"{c}_mae")
+    root = lambda c, n: F.sqrt(F.col(f"{c}_sq") / F.greatest(F.col(n), F.lit(1))).alias(f"{c}_rmse")
+    errors = [f(c, n) for c, n in (("norm", "norm_n"), ("pa", "n"), ("adc", "n")) for f in (mean, root)]
+    return rows.select("read_id", F.col("n").alias("trimmed_length"), "chunk_count", *errors)
 
 
 ERRORS = ("trimmed_length", "chunk_count", "norm_mae", "norm_rmse", "pa_mae", "pa_rmse", "adc_mae", "adc_rmse")

@@ -15,6 +15,7 @@ from tidewater.storage import shared_folder
 from .fixtures import fixture, oracle
 
 SIZE, HOP = 16, 12
+PART = 64  # samples of a segment: the reads of the small tables are many segments
 QUERIES, ORACLE = {}, {}
 
 
@@ -122,9 +123,9 @@ def coarse(spark, sf):
 
 
 def errors(spark, sf):
-    """The errors of each read: its chunks are shuffled once, and joined as one array to the read."""
-    rebuilt = W.reassembled(coarse(spark, sf), SIZE, HOP, True, *W.norm_sums(F.col("norm"), F.col("norm_hat")))
-    return W.read_errors(rebuilt.join(picoamps(spark, sf).select("read_id", "pa", "adc", "offset_adc", "scale"), "read_id"))
+    """The errors of each read: its chunks are shuffled once, by segment, and each segment meets that of the read."""
+    rebuilt = W.reassembled(coarse(spark, sf), SIZE, HOP, sums=W.norm_sums(F.col("norm"), F.col("norm_hat")), segment=PART)
+    return W.read_errors(rebuilt, picoamps(spark, sf), PART)
 
 
 def long(name: str) -> list:
@@ -423,12 +424,12 @@ def ms_stft_l1(spark, sf):
 
 @query("select read_id, pos, round(value, 6) as value from d_added")
 def overlap_add(spark, sf):
-    return W.samples(W.overlap_add(coarse(spark, sf), SIZE, HOP), "value", "read_id").select("read_id", *long("pos"), r6("value"))
+    return W.segment_samples(W.overlap_add(coarse(spark, sf), SIZE, HOP, PART)).select("read_id", "pos", r6("value"))
 
 
 @query("select read_id, start + k as pos, round(arg_max(rebuilt, chunk_index), 6) as value from d_coarse group by 1, 2")
 def direct_stitch(spark, sf):
-    return W.samples(W.direct_stitch(coarse(spark, sf), SIZE, HOP), "value", "read_id").select("read_id", *long("pos"), r6("value"))
+    return W.segment_samples(W.direct_stitch(coarse(spark, sf), SIZE, HOP, PART)).select("read_id", "pos", r6("value"))
 
 
 @query(f"select read_id, {', '.join(f'round({c}, 6) as {c}' for c in W.ERRORS[2:])} from d_errors")

@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
-from gzip import GzipFile
-from io import BytesIO, TextIOWrapper
-from itertools import groupby
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .fastq import FastqSource, parse_fastq  # noqa: F401
+
 READS = "read_id string, adc array<smallint>, offset_adc double, scale double, read_sample_rate double, run_sample_rate double"
 STATS = (
     "name string, barcode string, read_length string, qstart string, qend string, acc string, coverage string, "
     "mean_quality string, ref string, rstart string, rend string"
 )
-FASTQ = "read_id string, seq string, qual string, path string, ordinal long"
 
 
 def scan_reads(
@@ -59,70 +55,14 @@ def scan_stats(spark: SparkSession, path: str, parts: int | None = None) -> Data
     return rows.repartition(parts) if parts else rows
 
 
-def parse_fastq(lines: Iterator[str]) -> Iterator[tuple[str, str, str]]:
-    """id, seq, qual: multi-line records, lines before a header skipped, qual cut to the sequence's length."""
-    lines = iter(lines)
-    for line in lines:
-        if not line.startswith("@") or not line[1:].split():
-            continue
-        name, seq, qual = line[1:].split()[0], [], ""
-        for part in lines:
-            if part.startswith("+"):
-                break
-            seq.append(part.strip())
-        seq = "".join(seq)
-        while len(qual) < len(seq) and (part := next(lines, None)) is not None:
-            qual += part.strip()
-        yield name, seq, qual[: len(seq)]
-
-
-def _records(path: str, lines: Iterator[str], size: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of the records of one file."""
-    names, rows = [x.split()[0] for x in FASTQ.split(", ")], []
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
-
-    for k, r in enumerate(parse_fastq(lines)):
-        rows.append((*r, path, k))
-        if len(rows) == size:
-            yield batch()
-            rows = []
-    if rows:
-        yield batch()
-
-
-def scan_fastq(spark: SparkSession, *paths: str) -> DataFrame:
-    """read_id, seq, qual of FASTQ files, gzip by content whatever the suffix; of a repeated id the last record counts.
-
-    Spark reads the files as lines, so any store that it reaches will do, and sorts the lines of a file into one task, which
-    parses them as a stream: a file may be as large as a task's disk. Only gzip files without the suffix ``.gz``, which Spark
-    doesn't unpack, are read as wholes (up to 2 GB).
+def scan_fastq(spark: SparkSession, *paths: str, split: int = 64 << 20) -> DataFrame:
+    """read_id, seq, qual of FASTQ files or folders, gzip by content whatever the suffix; of a repeated id the last record counts.
+
+    A large file is read by several tasks, which find their own first record (`sources.fastq`); only records are shuffled.
     """
-    block = F.col("_metadata.file_block_start").alias("block")
-    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), block, "value")
-    lines = lines.withColumn("n", F.monotonically_increasing_id())  # in the order of the lines of a block
-    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "n").alias("value"))
-    packed = [r.path for r in first.where(F.col("value").startswith("\x1f")).select("path").collect()]  # a row per such file
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plain = lines.where(~F.col("path").isin(packed)) if packed else lines
-    plain = plain.repartition(n, "path").sortWithinPartitions("path", "block", "n").select("path", "value")
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((p, v) for b in batches for p, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        for path, part in groupby(rows, key=lambda r: r[0]):
-            yield from _records(path, (v for _, v in part))
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from _records(path, TextIOWrapper(GzipFile(fileobj=BytesIO(raw))))
-
-    rows = plain.mapInArrow(parse, FASTQ)
-    if packed:
-        whole = spark.read.format("binaryFile").load(packed).select("path", "content")
-        rows = rows.union(whole.mapInArrow(unpack, FASTQ))
-    last = rows.groupBy("read_id").agg(F.max_by(F.struct("seq", "qual"), F.struct("path", "ordinal")).alias("r"))
+    spark.dataSource.register(FastqSource)
+    rows = spark.read.format(FastqSource.name()).option("split", split).load("\n".join(paths))
+    last = rows.groupBy("read_id").agg(F.max_by(F.struct("seq", "qual"), F.struct("path", "at")).alias("r"))
     return last.select("read_id", "r.seq", "r.qual")
 
 
