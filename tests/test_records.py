@@ -19,6 +19,7 @@ from tidewater.operators import runlog as L
 from tidewater.operators import windows as W
 from tidewater.operators.quantiles import quantiles
 from tidewater.sources import fastq, io
+from tidewater.streaming import streams
 
 
 def table_distance(a, b):
@@ -262,3 +263,73 @@ def test_summaries_hold_no_column_in_a_task(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "percentile" not in plan.lower() and "median(" not in plan.lower()
     assert W.summarise(rows, "step_ms").first().step_ms_median == sorted(k % 977 for k in range(5000))[2499] * 0.5 + sorted(k % 977 for k in range(5000))[2500] * 0.5
+
+
+def drained(spark, root, op):
+    """What has arrived below ``root`` so far, through ``op`` and the sink; state and sink stay for the next call."""
+    out = op(spark.readStream.schema("run string, step long, metric string, value double").option("recursiveFileLookup", True).parquet(f"{root}/in"))
+    writer = out.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    writer.foreachBatch(streams.batch_sink(f"{root}/out")).start().awaitTermination()
+    return streams.read_sink(spark, f"{root}/out", out)
+
+
+def arrive(spark, root, name, rows):
+    spark.createDataFrame(rows, "run string, step long, metric string, value double").write.parquet(f"{root}/in/{name}")
+
+
+def test_step_windows_close_once_over_restarts(spark, tmp_path):
+    op = lambda s: streams.stream_step_windows(s, 10, 5)
+    got = lambda: sorted(map(tuple, drained(spark, tmp_path, op).select("block", "metric", "value", "batch").collect()))
+    rows = [("a", s, m, float(s * k)) for s in range(1, 48) for m, k in (("loss", 1), ("perplexity", 2)) if s != 20 or m == "loss"]
+    random.Random(1).shuffle(rows)
+    early, rest = [r for r in rows if r[1] <= 30], [r for r in rows if r[1] > 30]
+    arrive(spark, tmp_path, "0", early)
+    first = got()
+    assert [r[:3] for r in first] == [(0, "loss", 5.5), (0, "perplexity", 20.0), (1, "loss", 15.5)]  # step 30 does not close its own block
+    arrive(spark, tmp_path, "1", rest)
+    second = got()
+    assert second[:3] == first and [r[:3] for r in second[3:]] == [(2, "loss", 25.5), (2, "perplexity", 60.0), (3, "loss", 35.5), (3, "perplexity", 80.0)]
+    arrive(spark, tmp_path, "2", [("a", 5, "loss", 1e6), ("a", 53, None, None)])  # late, and the run's last line: block 4 is not whole
+    assert got() == second
+    batch = L.step_window_mean(spark.createDataFrame(rows, "run string, step long, metric string, value double"), 10).collect()
+    assert sorted((r.block, r.metric, r.value) for r in batch) == [r[:3] for r in second]
+
+
+def test_running_best_in_order_of_steps(spark, tmp_path):
+    for name, value in streams.STATE_STORE.items():
+        spark.conf.set(name, value)
+    op = lambda s: streams.stream_running_best(s.select("run", "step", F.col("value").alias("metric")), 20)
+    rng, nan = random.Random(2), float("nan")
+    rows = [(run, s, None, rng.choice([None, nan, *map(float, range(40))])) for run in "abc" for s in range(1, 120)]
+    rows[0], rows[119] = ("a", 1, None, nan), ("b", 1, None, 5.0)  # a begins with NaN and keeps it
+    rows.sort(key=lambda r: r[1] + rng.random() * 19)
+    for k in range(3):
+        arrive(spark, tmp_path, str(k), rows[k * 119 : (k + 1) * 119])
+        drained(spark, tmp_path, op)
+    arrive(spark, tmp_path, "3", [(r, None, None, None) for r in "abc"] + [("a", 2, None, 99.0)])
+    out = drained(spark, tmp_path, op)
+    flat = lambda df: sorted(repr(tuple(r)) for r in df.select("run", "step", "metric", "best", "best_step", "is_new_best").collect())
+    evals = spark.createDataFrame(rows, "run string, step long, metric string, value double")
+    want = flat(L.running_best(evals, F.col("value"), "run", block=37))
+    late = out.where("late").collect()
+    assert flat(out.where("not late")) == want and [(r.run, r.step, r.metric, r.is_new_best) for r in late] == [("a", 2, 99.0, False)]
+    again = out.where("batch = 1").drop("batch")
+    again = spark.createDataFrame(again.collect(), again.schema)
+    assert again.count() > 0
+    streams.batch_sink(f"{tmp_path}/out")(again, 1)  # a repeated batch
+    assert flat(streams.read_sink(spark, f"{tmp_path}/out", out.drop("batch")).where("not late")) == want
+
+
+def test_nan_in_running_best(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([("x", 1, nan), ("x", 2, 5.0), ("y", 1, 3.0), ("y", 2, nan), ("y", 3, 4.0)], "run string, step long, m double")
+    got = {(r.run, r.step): (repr(r.best), r.best_step, r.is_new_best) for r in L.running_best(rows, F.col("m"), "run", block=2).collect()}
+    assert got == {("x", 1): ("nan", 1, True), ("x", 2): ("nan", 1, False), ("y", 1): ("3.0", 1, True), ("y", 2): ("3.0", 1, False), ("y", 3): ("4.0", 3, True)}
+
+
+def test_log_lines_and_whole_blocks(spark):
+    lines = spark.createDataFrame([("[step 7] a=nan, b/c=-inf, d=inf, e=1.5e-3",), ("[perf step  8] x_pct=2.0",), ("[step x] a=1",)], "value string")
+    got = sorted((r.step, r.perf, r.metric, repr(r.value)) for r in L.parse_step_log(lines).collect())
+    assert got == [(7, False, "a", "nan"), (7, False, "b/c", "-inf"), (7, False, "d", "inf"), (7, False, "e", "0.0015"), (8, True, "x_pct", "2.0")]
+    times = spark.createDataFrame([(s, 1.0, 3.0, 1.0) for s in range(1, 26)], "step long, wait double, compute double, sync double")
+    assert [(r.block, r.step_ms, r.host_sync_pct) for r in L.perf_window(times, 10).orderBy("block").collect()] == [(0, 4.0, 25.0), (1, 4.0, 25.0)]

@@ -9,13 +9,17 @@ from tidewater.storage import stored
 
 from .quantiles import quantiles
 
+NUMBERS = r"([A-Za-z_][\w./]*)=(-?(?:nan|inf|[\d.]+(?:[eE][-+]?\d+)?))"
 SPARSE = ("perplexity", "code_usage")
 
 
 def parse_step_log(lines: DataFrame) -> DataFrame:
-    """step, perf, metric, value of lines ``[step N] k=v, ...`` and ``[perf step N] ...`` in a column ``value``."""
+    """step, perf, metric, value of lines ``[step N] k=v, ...`` and ``[perf step N] ...`` in a column ``value``.
+
+    Numbers are what the writer prints: also ``nan``, ``inf`` and ``-inf``.
+    """
     head = F.regexp_extract("value", r"^\[(perf )?step\s+(\d+)\]", 2)
-    pairs = F.regexp_extract_all("value", F.lit(r"([A-Za-z_][\w./]*)=(-?[\d.]+(?:[eE][-+]?\d+)?)"), F.lit(0))
+    pairs = F.regexp_extract_all("value", F.lit(NUMBERS), F.lit(0))
     rows = lines.where(head != "").select(head.cast("long").alias("step"), F.col("value").startswith("[perf").alias("perf"), F.explode(pairs).alias("kv"))
     return rows.select("step", "perf", F.substring_index("kv", "=", 1).alias("metric"), F.substring_index("kv", "=", -1).cast("double").alias("value"))
 
@@ -35,12 +39,13 @@ def step_window_mean(log: DataFrame, n: int) -> DataFrame:
     """Mean per metric over whole blocks of n steps; sparse metrics give the last step's value, if logged there."""
     block = F.floor((F.col("step") - 1) / n)
     last = log.agg(F.max("step").alias("last"))
-    rows = log.withColumn("block", block).groupBy("block", "metric").agg(*_block_values())
+    rows = log.withColumn("block", block).groupBy("block", "metric").agg(*block_sums())
     whole = rows.crossJoin(F.broadcast(last)).where((F.col("block") + 1) * n <= F.col("last"))  # one row
     return block_value(whole, n)
 
 
-def _block_values() -> list[Column]:
+def block_sums() -> list[Column]:
+    """What `block_value` needs of the rows of a block and metric."""
     at_last = F.max_by("value", F.struct("step", "value"))
     return [F.avg("value").alias("mean"), at_last.alias("at_last"), F.max("step").alias("step")]
 
@@ -53,8 +58,11 @@ def block_value(rows: DataFrame, n: int) -> DataFrame:
 
 
 def perf_window(log: DataFrame, n: int) -> DataFrame:
-    """Block means of wait, step (``compute``) and sync time with their shares."""
-    rows = log.groupBy(F.floor((F.col("step") - 1) / n).alias("block")).agg(*[F.avg(c).alias(c) for c in ("wait", "compute", "sync")])
+    """Block means of wait, step (``compute``) and sync time with their shares, over whole blocks of n steps: a last, incomplete one is never read."""
+    block = F.floor((F.col("step") - 1) / n)
+    last = F.broadcast(log.agg(F.max("step").alias("last")))  # one row
+    rows = log.groupBy(block.alias("block")).agg(*[F.avg(c).alias(c) for c in ("wait", "compute", "sync")])
+    rows = rows.crossJoin(last).where((F.col("block") + 1) * n <= F.col("last"))
     step, host = F.col("wait") + F.col("compute"), F.col("compute") + F.col("sync")
     share = lambda part, whole: 100 * F.col(part) / F.greatest(F.lit(1e-6), whole)
     shares = share("sync", host).alias("host_sync_pct"), share("wait", step).alias("input_wait_pct")
@@ -92,20 +100,27 @@ def timing_summary(times: DataFrame, batch: int, chunk: int, discard: int = 0) -
 def running_best(evals: DataFrame, metric: Column, *by: str, block: int = 100_000) -> DataFrame:
     """step, metric, best so far, its step and whether the step is a new best; rows without a metric are skipped.
 
-    Windows see ``block`` steps each; what came before a block is known from one row per block.
+    A new best is more than the best so far. NaN is never more, so none replaces a number; nothing is more than NaN, so one that
+    comes first stays the best. Windows see ``block`` steps each; what came before a block is known from one row per block.
     """
     rows = evals.withColumn("metric", metric).where("metric is not null").withColumn("block", F.floor(F.col("step") / block))
-    top = F.max(F.struct(F.col("metric"), (-F.col("step")).alias("back"))).alias("top")
+    rows = rows.withColumn("number", F.when(~F.isnan("metric"), F.col("metric")))
+    begin = rows.groupBy(*by).agg(F.min(F.struct("step", F.isnan("metric").alias("nan"))).alias("begin"))  # one row a run
+    top = F.max(F.when(F.col("number").isNotNull(), F.struct("number", (-F.col("step")).alias("back")))).alias("top")
     earlier = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     tops = rows.groupBy(*by, "block").agg(top).select(*by, "block", F.max("top").over(earlier).alias("top"))
     rows = rows.join(tops, [*by, "block"])
+    rows = rows.join(begin, list(by)) if by else rows.crossJoin(begin)
     within = Window.partitionBy(*by, "block").orderBy("step")
     before, upto = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(Window.unboundedPreceding, 0)
-    past = F.greatest(F.max("metric").over(before), F.col("top.metric"))
-    rows = rows.withColumn("is_new_best", past.isNull() | (F.col("metric") > past))
-    best = F.greatest(F.max("metric").over(upto), F.col("top.metric")).alias("best")
-    at = F.last(F.when(F.col("is_new_best"), F.col("step")), ignorenulls=True).over(upto)
-    return rows.select(*by, "step", "metric", best, F.coalesce(at, -F.col("top.back")).alias("best_step"), "is_new_best")
+    past = F.greatest(F.max("number").over(before), F.col("top.number"))
+    stuck, first = F.col("begin.nan"), F.col("step") == F.col("begin.step")
+    more = F.col("number").isNotNull() & (past.isNull() | (F.col("number") > past))
+    rows = rows.withColumn("is_new_best", F.when(stuck, first).otherwise(more))
+    best = F.greatest(F.max("number").over(upto), F.col("top.number"))
+    at = F.coalesce(F.last(F.when(F.col("is_new_best"), F.col("step")), ignorenulls=True).over(upto), -F.col("top.back"))
+    best = F.when(stuck, float("nan")).otherwise(best).alias("best")
+    return rows.select(*by, "step", "metric", best, F.when(stuck, F.col("begin.step")).otherwise(at).alias("best_step"), "is_new_best")
 
 
 def eval_metric(delta: Column, summary: Column) -> Column:

@@ -448,7 +448,8 @@ select block, round(wait, 6) as wait, round(wait + compute, 6) as step_ms,
        round(100 * sync / greatest(1e-6, compute + sync), 6) as host_sync_pct,
        round(100 * wait / greatest(1e-6, wait + compute), 6) as input_wait_pct
 from (select (step - 1) // 50 as block, avg(value) as wait, avg(value * 3) as compute, avg(value / 4) as sync
-      from step_log group by 1)""")
+      from step_log group by 1)
+where (block + 1) * 50 <= (select max(step) from step_log)""")
 def perf_window(spark, sf):
     value = F.col("value")
     rows = fixture(spark, sf, "step_log").select("step", value.alias("wait"), (value * 3).alias("compute"), (value / 4).alias("sync"))
@@ -456,11 +457,13 @@ def perf_window(spark, sf):
 
 
 @query("""
-select event_id + 1 as step, 'loss' as metric, round(value, 3) as value from events
+select event_id + 1 as step, 'loss' as metric, case when event_id % 41 = 0 then 'nan'::double when event_id % 43 = 0 then '-inf'::double else round(value, 3) end as value
+from events
 union all select event_id + 1, 'rate', user_id::double from events""")
 def parse_step_log(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet")
-    values = F.round("value", 3).cast("string"), F.col("user_id").cast("string")
+    odd = F.when(F.col("event_id") % 41 == 0, "nan").when(F.col("event_id") % 43 == 0, "-inf")
+    values = F.coalesce(odd, F.round("value", 3).cast("string")), F.col("user_id").cast("string")
     line = F.format_string("[step %d] loss=%s, rate=%s", F.col("event_id") + 1, *values)
     return L.parse_step_log(rows.select(line.alias("value"))).drop("perf")
 
@@ -493,11 +496,12 @@ _EVALS = "select step, run, coalesce(mean_qscore_delta, summary_mean) as metric
 
 def _best_sql(by: str) -> str:
     over = "partition by run order by step" if by else "order by step"
+    number = "max(metric) filter (where not isnan(metric)) over"
     return f"""
 select {by}step, metric, best, max(case when is_new_best then step end) over ({over} rows unbounded preceding) as best_step,
        is_new_best
-from (select *, max(metric) over ({over} rows unbounded preceding) as best,
-             coalesce(metric > max(metric) over ({over} rows between unbounded preceding and 1 preceding), true) as is_new_best
+from (select *, {number} ({over} rows unbounded preceding) as best,
+             not isnan(metric) and coalesce(metric > {number} ({over} rows between unbounded preceding and 1 preceding), true) as is_new_best
       from ({_EVALS}) where metric is not null)"""
 
 
@@ -620,38 +624,52 @@ def scan_skip_corrupt(spark, sf):
     return good.select("read_id", "source_file", "raw_length")
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, op, mode: str, order: str | None = None) -> DataFrame:
-    """What ``op`` gives over ``rows`` arriving as files, by ``order`` in three parts if given.
+DELAY = 500  # steps by which evaluations arrive out of order
 
-    Each batch goes to a table below the shared folder.
-    """
+
+def _streamed(spark: SparkSession, parts: list[DataFrame], op, mode: str = "append") -> DataFrame:
+    """What ``op`` gives over ``parts`` arriving as files, one after the other, with the number of the batch."""
     root = shared_folder(spark, "stream")
-    if order:
-        low, high = rows.stat.approxQuantile(order, [1 / 3, 2 / 3], 0.01)
-        for part in (F.col(order) <= low, (F.col(order) > low) & (F.col(order) <= high), F.col(order) > high):
-            rows.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    else:
-        rows.repartition(3).write.parquet(f"{root}/in")
-    out = op(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
-    kept = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{root}/out")
+    for k, part in enumerate(parts):
+        part.write.mode("append").parquet(f"{root}/in/{k:03}")
+        # the files of a part arrive together
+    kind = parts[0].schema
+    out = op(spark.readStream.schema(kind).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", True).parquet(f"{root}/in"))
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-    writer.foreachBatch(kept).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    writer.foreachBatch(streams.batch_sink(f"{root}/out")).start().awaitTermination()
+    return streams.read_sink(spark, f"{root}/out", out)
+
+
+def _thirds(rows: DataFrame, order) -> list[DataFrame]:
+    """Rows by an order that is no secret to the stream, in three parts."""
+    rows = rows.withColumn("arrives", order)
+    low, high = rows.stat.approxQuantile("arrives", [1 / 3, 2 / 3], 0.01)
+    at = F.col("arrives")
+    return [rows.where(part).drop("arrives") for part in (at <= low, (at > low) & (at <= high), at > high)]
 
 
 @query(None)
 def stream_chunks(spark, sf):
-    return _flag(_streamed(spark, reads(spark, sf), lambda s: streams.stream_chunks(s, SIZE, HOP), "append"))
+    rows = reads(spark, sf)
+    return _flag(_streamed(spark, [rows.where(F.pmod("read_id", F.lit(3)) == k) for k in range(3)], lambda s: streams.stream_chunks(s, SIZE, HOP)))
 
 
 @query(_BLOCK)
 def stream_step_windows(spark, sf):
-    out = _streamed(spark, fixture(spark, sf, "step_log"), lambda s: streams.stream_step_windows(s, 50), "update")
-    return streams.whole(out, 50).select("block", "metric", r6("value"))
+    """The log arrives in the order of its steps, but for ``DELAY`` of them; its last line comes when the run has ended."""
+    rows = fixture(spark, sf, "step_log")
+    parts = _thirds(rows, F.col("step") + F.pmod(F.xxhash64("step"), F.lit(DELAY)))
+    end = rows.agg((F.max("step") + 1 + DELAY).alias("step")).select("step", F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"))
+    out = _streamed(spark, [*parts, end], lambda s: streams.stream_step_windows(s, 50, DELAY))
+    return out.select("block", "metric", r6("value"))
 
 
 @query(_best_sql("run, "))
 def stream_running_best(spark, sf):
-    """Evaluations arrive in the order of their steps, so the stream gives what the batch gives."""
+    """Evaluations arrive out of order by up to ``DELAY`` steps; each run's last line ends it."""
+    for name, value in streams.STATE_STORE.items():
+        spark.conf.set(name, value)
     rows = _evals(spark, sf).select("run", "step", "metric")
-    return _streamed(spark, rows, streams.stream_running_best, "append", "step").drop("batch")
+    parts = _thirds(rows, F.col("step") + F.pmod(F.xxhash64("step"), F.lit(DELAY)))
+    end = rows.select("run").distinct().select("run", F.lit(None).cast("long").alias("step"), F.lit(None).cast("double").alias("metric"))
+    return _streamed(spark, [*parts, end], lambda s: streams.stream_running_best(s, DELAY)).drop("batch", "late")

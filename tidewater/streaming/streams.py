@@ -1,18 +1,31 @@
-"""Structured Streaming forms of the chunk and log operators."""
+"""Structured Streaming forms of the chunk and log operators, and a sink that a repeated batch leaves as it was."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewater.functions import signal as S
 from tidewater.operators import runlog as L
 from tidewater.operators import windows as W
 
+#: What keyed state of any kind needs.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch is a folder of its own that a repeated batch replaces, so repeats add nothing."""
+    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
+def read_sink(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What `batch_sink` holds, with the number of the batch as ``batch``."""
+    return spark.read.schema(like.schema.add("batch", "long")).parquet(path)
+
 
 def stream_chunks(reads: DataFrame, size: int, hop: int) -> DataFrame:
     """Stateless: the same chunks as in batch, whatever arrives together."""
@@ -20,38 +33,79 @@ def stream_chunks(reads: DataFrame, size: int, hop: int) -> DataFrame:
     return W.normalised(W.chunks(rows, F.col("pa"), size, hop))
 
 
-def stream_step_windows(log: DataFrame, n: int) -> DataFrame:
-    """Block means as they stand; the block is a step count, not a time, so nothing is ever late.
+def stream_step_windows(log: DataFrame, n: int, delay: int = 0) -> DataFrame:
+    """block, metric, value of ``log(step, metric, value)``, each once, when a later step closes its block; for append mode.
 
-    ``whole`` holds the rules of the log over what a batch updates: only blocks that a later step has closed, and sparse metrics
-    by what their last step logged.
+    Steps are the seconds of event time, so blocks are windows and Spark keeps only those still open. A block is closed when a
+    step arrives that is more than ``delay`` steps past its last one; rows of a closed block are late and dropped. A row without
+    metric and value is a step like any other that closes blocks: the last line of a run that has ended, ``delay`` + 1 past its last
+    step, closes a last block that is whole and leaves one that is not.
     """
-    values = F.max_by("value", F.struct("step", "value")).alias("at_last")
-    return log.groupBy(F.floor((F.col("step") - 1) / n).alias("block"), "metric").agg(F.avg("value").alias("mean"), values, F.max("step").alias("step"))
+    rows = log.withColumn("time", F.timestamp_seconds("step")).withWatermark("time", f"{delay} seconds")
+    block = F.window("time", f"{n} seconds", startTime="1 second")
+    per = rows.groupBy(block.alias("w"), "metric").agg(*L.block_sums())
+    per = per.where("mean is not null")  # known only after the sums, so it can't be moved before the watermark
+    first = F.unix_seconds(F.col("w.start")) - 1
+    return L.block_value(per.select(F.floor(first / n).alias("block"), "metric", "mean", "at_last", "step"), n)
 
 
-def whole(blocks: DataFrame, n: int) -> DataFrame:
-    """block, metric, value of the blocks up to the last step seen, each as the newest of ``blocks(..., batch)`` has it."""
-    newest = blocks.groupBy("block", "metric").agg(F.max_by(F.struct("mean", "at_last", "step"), "batch").alias("b"))
-    newest = newest.select("block", "metric", "b.*")
-    last = newest.agg(F.max("step").alias("last"))  # one row
-    return L.block_value(newest.crossJoin(F.broadcast(last)).where((F.col("block") + 1) * n <= F.col("last")), n)
+class RunningBest(StatefulProcessor):
+    """State of one run: the best so far, and the steps whose predecessors can still come."""
 
+    def __init__(self, delay: int):
+        self.delay = delay
 
-def stream_running_best(evals: DataFrame) -> DataFrame:
-    """run, step, metric, best, best_step, is_new_best as evaluations arrive; state is the best so far of each run."""
-    schema = "run string, step long, metric double, best double, best_step long, is_new_best boolean"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "best double, at long")
+        self.seen = handle.getValueState("seen", "last long, released long")
+        self.held = handle.getMapState("held", "step long", "metric double")
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, at = state.get if state.exists else (None, None)
-        out = []
-        for row in pd.concat(list(frames)).dropna(subset=["metric"]).sort_values("step").itertuples():
-            new = best is None or row.metric > best
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:  # noqa: N802, ARG002
+        best, at = self.best.get() if self.best.exists() else (None, None)
+        judged = Row(*[x.split()[0] for x in BEST.split(", ")])
+        last, released = self.seen.get() if self.seen.exists() else (-(1 << 62), -(1 << 62))
+        held, end = {}, False
+        for row in rows:
+            if row.step is None:
+                end = True
+                continue
+            last = max(last, row.step)
+            if row.metric is None:
+                continue
+            if row.step <= released:
+                yield judged(key[0], row.step, row.metric, best, at, False, True)
+                continue
+            held[row.step] = max(held.get(row.step, row.metric), row.metric, key=lambda m: -math.inf if math.isnan(m) else m)
+        for step, metric in held.items():
+            known = self.held.getValue((step,)) if self.held.containsKey((step,)) else None
+            if known is None or math.isnan(known[0]) or metric > known[0]:
+                self.held.updateValue((step,), (float(metric),))
+        ready = sorted(k[0] for k in self.held.keys() if end or k[0] <= last - self.delay)  # noqa: SIM118
+        for step in ready:
+            metric = self.held.getValue((step,))[0]
+            new = best is None or metric > best  # NaN is no more than any number, and no number more than NaN
             if new:
-                best, at = float(row.metric), int(row.step)
-            out.append((key[0], int(row.step), float(row.metric), best, at, new))
+                best, at = metric, step
+            yield judged(key[0], step, metric, best, at, new, False)
+            self.held.removeKey((step,))
+        released = max([released, *ready, last if end else last - self.delay])
         if best is not None:
-            state.update((best, at))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+            self.best.update((float(best), int(at)))
+        self.seen.update((last, released))
+
+    def close(self) -> None:
+        pass
 
-    return evals.groupBy("run").applyInPandasWithState(update, schema, "best double, best_step long", "append", GroupStateTimeout.NoTimeout)
+
+BEST = "run string, step long, metric double, best double, best_step long, is_new_best boolean, late boolean"
+
+
+def stream_running_best(evals: DataFrame, delay: int = 0) -> DataFrame:
+    """run, step, metric, best, best_step, is_new_best, late of ``evals(run, step, metric)``, judged in the order of their steps.
+
+    A step is held until a step ``delay`` or more past it has come, as until then its predecessors may; then it is judged
+    and returned. A step that comes after it could be judged is late: it is returned as such, with the best of then, and changes
+    nothing. A row without a step ends its run: what is held is judged. Rows without a metric count for the order only; a
+    step that comes twice before it is judged counts once, with the greater metric. Needs STATE_STORE.
+    """
+    return evals.select("run", "step", "metric").groupBy("run").transformWithState(RunningBest(delay), BEST, "append", "None")
