@@ -3,6 +3,8 @@
 import gzip
 import math
 import random
+import uuid
+import warnings
 import zlib
 
 import numpy as np
@@ -14,6 +16,7 @@ from tidewater.functions import signal as S
 from tidewater.functions.spectral import scale
 from tidewater.operators import calls as C
 from tidewater.operators import manifest as M
+from tidewater.operators import nested
 from tidewater.operators import quantise as Q
 from tidewater.operators import runlog as L
 from tidewater.operators import windows as W
@@ -223,9 +226,16 @@ def test_scan_fastq_over_several_tasks(spark, tmp_path):
 
 
 def test_append_history_keeps_what_is_there(spark, tmp_path):
-    for k in range(2):
-        io.append_history(spark.createDataFrame([(k, None)], "step int, error string"), f"{tmp_path}/h")
-    assert sorted(r.step for r in spark.read.json(f"{tmp_path}/h").collect()) == [0, 1]
+    schema = "evaluation string, step long, status string, metric double, checkpoint_path string"
+    one = spark.createDataFrame([("run/1", 5, "ok", 1.5), ("run/1", 6, "ok", None)], "evaluation string, step long, status string, metric double")
+    failed = io.failures(spark.createDataFrame([("e7", 7, "ckpt/7")], "evaluation string, step long, checkpoint_path string"))
+    read = lambda: sorted(map(repr, map(tuple, io.read_history(spark, f"{tmp_path}/h", schema).collect())))
+    want = sorted(map(repr, [("run/1", 5, "ok", 1.5, None), ("run/1", 6, "ok", None, None), ("e7", 7, "failed", None, "ckpt/7")]))
+    for documents in (one, failed, one, failed):  # repeats add nothing, nor do they take anything away
+        io.append_history(documents, f"{tmp_path}/h")
+    assert read() == want
+    io.append_history(one.withColumn("status", F.lit("again")), f"{tmp_path}/h")  # an evaluation is replaced as a whole
+    assert [x for x in read() if "again" in x] == [x.replace("'ok'", "'again'") for x in want if "'ok'" in x] and len(read()) == 3
 
 
 def test_quantiles_against_sorting(spark):
@@ -333,3 +343,98 @@ def test_log_lines_and_whole_blocks(spark):
     assert got == [(7, False, "a", "nan"), (7, False, "b/c", "-inf"), (7, False, "d", "inf"), (7, False, "e", "0.0015"), (8, True, "x_pct", "2.0")]
     times = spark.createDataFrame([(s, 1.0, 3.0, 1.0) for s in range(1, 26)], "step long, wait double, compute double, sync double")
     assert [(r.block, r.step_ms, r.host_sync_pct) for r in L.perf_window(times, 10).orderBy("block").collect()] == [(0, 4.0, 25.0), (1, 4.0, 25.0)]
+
+
+def test_nested_documents(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2.0, "x", None, 5)], "n int, `a.mean` double, `a.name` string, `a.b.low` double, `a.b.high` long")
+    doc = nested.nest(rows)
+    assert doc.columns == ["n", "a"] and doc.first().asDict(True) == {"n": 1, "a": {"mean": 2.0, "name": "x", "b": {"low": None, "high": 5}}}
+    assert nested.flat(doc).columns == rows.columns and tuple(nested.flat(doc).first()) == tuple(rows.first())
+    io.write_summary(rows, f"{tmp_path}/doc")
+    back = spark.read.schema(doc.schema).json(f"{tmp_path}/doc")
+    assert {tuple(r) for r in nested.metrics(back, "p/").collect()} == {("p/n", 1.0), ("p/a.mean", 2.0), ("p/a.b.high", 5.0)}
+    with pytest.raises(ValueError, match="both"):
+        nested.nest(spark.createDataFrame([(1, 2)], "a int, `a.b` int"))
+
+
+def test_comparison_of_runs(spark):
+    kind = "struct<shared:bigint,weighted_identity:double,mean_empirical_q:double,mean_predicted_q:double>"
+    runs = spark.createDataFrame([(0, "x", (7, 0.5, 10.25, 3.0), (7, 0.75, 10.0, 9.0)), (1, "y", None, (7, 0.75, None, 9.0))], f"position int, name string, generated {kind}, original {kind}")
+    assert sorted(map(tuple, C.comparison(runs).collect())) == [
+        (0, "x", 7, "0.500000", "10.2500", "3.0000", "-0.250000", "+0.2500"),
+        (1, "y", 0, "0.000000", "0.0000", "0.0000", "-0.750000", "+0.0000"),
+    ]
+
+
+def test_truth_of_the_last_barcode(spark):
+    rows = spark.createDataFrame([(1, "b2", "chr1", 100, 200), (1, "b1", "chr1", 100, 200), (2, "b1", "chr1", 5000, 5100)], "read_id long, barcode string, ref string, rstart long, rend long")
+    records = [(1, "b1", "chr1", 150, 160, 1, "ONE"), (1, "b2", "chr9", 150, 160, 3, "FAR"), (1, "b2", "chr9", 1, 2, 2, ""), (2, "b2", "chr1", 5000, 5001, 4, "OTHER")]
+    found = spark.createDataFrame(records, "read_id long, barcode string, ref string, start_pos long, end_pos long, ordinal long, seq string")
+    got = lambda a: sorted(map(tuple, M.truth_lookup(rows, a).collect()))
+    assert got(found) == [(1, False, 3, "FAR")]  # the later barcode's, though only the earlier one's overlaps
+    assert got(found.drop("barcode")) == [(1, True, 1, "ONE"), (2, True, 4, "OTHER")]
+
+
+def test_codes_beyond_what_is_sent(spark):
+    """A codebook in shards gives what it gives in one piece, and far lengths are passed over."""
+    rng = np.random.default_rng(4)
+    book = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(60, 3)) * rng.uniform(0.01, 50, (60, 1)))] + [(60, [0.0] * 3), (61, [1.0] * 3), (62, [1.0] * 3)]
+    latents = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(200, 3)) * rng.uniform(0.01, 60, (200, 1)))] + [(200, [0.0] * 3), (201, [1.0] * 3), (202, [999.0] * 3)]
+    codes, rows = spark.createDataFrame(book, "code int, vec array<double>"), spark.createDataFrame(latents, "vec_id long, vec array<double>")
+    want = sorted((r.vec_id, r.code, round(r.distance, 9)) for r in Q.nearest_code(rows, codes).collect())
+    for found in (Q.nearest_code(rows, codes, most=8), Q.nearest_code_sharded(rows, codes, 3, 8, per_task=20), Q.nearest_code_sharded(rows, codes, 2048, 1000)):
+        assert sorted((r.vec_id, r.code, round(r.distance, 9)) for r in found.collect()) == want
+    assert Q.quantise(Q.nearest_code(rows, codes, most=8), codes).count() == 203
+    assert Q.nearest_code(rows, codes.where("false")).count() == 0
+
+
+def test_batches_fill_over_arrow_batches(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def factory():
+        """A scorer that says how often it was made and called, and with what."""
+        note = lambda what: open(f"{folder}/{uuid.uuid4().hex}-{what}", "w").close()  # noqa: E731, SIM115
+        note("made")
+        return lambda x: (note(f"call-{x.shape[0]}"), x * 2)[1]
+
+    rows = spark.createDataFrame([(k, k % 3, [float(k)] * (4 if k < 90 else 6)) for k in range(100)], "read_id long, chunk_index int, chunk array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.read_id: r.score for r in Q.score_chunks(rows, size=32, factory=factory).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: [2.0 * k] * (4 if k < 90 else 6) for k in range(100)}
+    said = sorted(f.name.split("-", 1)[1] for f in tmp_path.iterdir())
+    assert said == ["call-32"] * 4 + ["made"]  # 90 chunks are three batches, 10 one
+    with pytest.raises(ValueError, match="factory"):
+        Q.score_chunks(rows)
+
+
+def test_quarantined_files_are_not_opened_again(spark, tmp_path):
+    rows = spark.createDataFrame([("r1",)], "read_id string")
+    rows.write.parquet(f"{tmp_path}/in")
+    good = next((tmp_path / "in").glob("*.parquet"))
+    (tmp_path / "in" / "short.parquet").write_bytes(good.read_bytes()[:-40])
+    (tmp_path / "in" / "odd.parquet").write_bytes(good.read_bytes()[:-8] + b"\xff\xff\xff\x7fPAR1")
+    ids = lambda: sorted(r.read_id for r in io.scan_reads(spark, f"{tmp_path}/in", schema=rows.schema, skip_corrupt=True, quarantine=f"{tmp_path}/bad").collect())
+    with pytest.warns(UserWarning, match="2 damaged"):
+        assert ids() == ["r1"]
+    bad = {r.path.rsplit("/", 1)[1]: r.reason for r in io.quarantined(spark, f"{tmp_path}/bad").collect()}
+    assert bad.keys() == {"short.parquet", "odd.parquet"}
+    (tmp_path / "in" / "short.parquet").write_bytes(good.read_bytes())  # sound by now, but known as damaged
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        assert ids() == ["r1"]
+    with pytest.raises(Exception, match="(?i)parquet|footer|magic"):
+        io.scan_reads(spark, f"{tmp_path}/in", schema=rows.schema).collect()
+
+
+def test_window_sizes_and_rates(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = spark.createDataFrame([(None, 4000.0, 100, 5), (nan, inf, 0, 0), (inf, -1.0, None, None), (3999.0, 1.0, -4, -1)], "a double, b double, s int, h int")
+    rate = S.sample_rate(F.col("a"), F.col("b"))
+    got = [(r.rate, r.w.size, r.w.hop) for r in rows.select(rate.alias("rate"), S.window_size(rate, F.col("s"), F.lit(2.5), F.col("h")).alias("w")).collect()]
+    assert got == [(4000.0, 100, 5), (5000.0, 12, 12), (5000.0, 12, 12), (3999.0, 10, 10)]
+    assert [r[0] for r in rows.select(S.rate_gate(F.col("a"), 4000.0)).collect()] == [True, True, False, True]
+    quals = spark.createDataFrame([("I+",), ("",), (None,), ("é!",)], "q string")
+    assert [r[0] for r in quals.select(C.mean_qscore("q")).collect()] == [25.0, 0.0, None, (ord("é") - 33) / 2]

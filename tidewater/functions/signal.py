@@ -223,3 +223,9 @@ def rate_gate(measured: Column, configured: float) -> Column:
     """Whether a read passes: an unknown or NaN rate does, an infinite one and one too far off don't."""
     off = F.abs(measured - configured) > max(1.0, 0.001 * configured)
     return measured.isNull() | F.isnan(measured) | ~off
+
+
+def window_size(rate: Column, samples: Column, ms: Column, hop: Column) -> Column:
+    """struct(size, hop) in samples: ``samples`` if positive, else ``ms`` at the rate rounded half-even, 1 at least; hop is size unless positive."""
+    size = F.when(samples > 0, samples.cast("long")).otherwise(F.greatest(F.lit(1), F.rint(ms * rate / 1000).cast("long")))
+    return once(size, lambda n: F.struct(n.alias("size"), F.when(hop > 0, hop.cast("long")).otherwise(n).alias("hop")))

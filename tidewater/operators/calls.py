@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import DoubleType, LongType
 
+from .nested import metrics, nest
 from .windows import summarise
 
 
-def mean_qscore(qual: Column) -> Column:
-    """Mean Phred value; 0 for an empty string."""
-    marks = F.transform(F.split(qual, ""), lambda c: (F.ascii(c) - 33).cast("double"))
-    return F.when(F.length(qual) > 0, F.aggregate(marks, F.lit(0.0), lambda a, v: a + v) / F.length(qual)).otherwise(0.0)
+@F.arrow_udf(DoubleType())
+def mean_qscore(qual: pa.Array) -> pa.Array:
+    """Mean Phred value; 0 for an empty string. Sums over the bytes of a whole batch; no string is made per character."""
+    texts = pc.fill_null(qual, "").cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    total = np.diff(np.concatenate([[0], np.cumsum(data, dtype=np.int64)])[ends - ends[0]])
+    n = np.diff(ends)
+    if (data > 127).any():  # characters of several bytes
+        own = [[ord(c) for c in x or ""] for x in qual.to_pylist()]
+        total, n = np.array([sum(x) for x in own]), np.array([len(x) for x in own])
+    return pa.array((total - 33 * n) / np.maximum(n, 1), mask=qual.is_null().to_numpy(zero_copy_only=False))
 
 
 def phred_encode(quals: Column, seq: Column) -> Column:
@@ -152,11 +164,41 @@ def summary_delta(new: DataFrame, old: DataFrame) -> DataFrame:
     return both.select("metric", (F.coalesce("n", F.lit(0.0)) - F.coalesce("o", F.lit(0.0))).alias("delta"))
 
 
-def flatten(summary: DataFrame, prefix: str = "valid/") -> DataFrame:
-    """metric, value of every number of a one-row summary; nulls are left out."""
-    names = {c: f"{prefix}{c}" for c in summary.columns}
-    rows = summary.select(*[F.col(c).cast("double").alias(n) for c, n in names.items()])
-    return rows.unpivot([], list(names.values()), "metric", "value").where("value is not null")
+#: The names of a call summary's numbers in its document (fixed values).
+DOCUMENT = {
+    "shared": "shared_read_count", "left_count": "original_read_count", "right_count": "reconstructed_read_count",
+    "left_only": "original_only_read_count", "right_only": "reconstructed_only_read_count", "exact_rate": "exact_match_rate",
+    "weighted_identity": "length_weighted_identity", "q_delta_avg": "mean_qscore_delta", "q_delta_abs": "mean_qscore_delta_abs",
+    **{f"{c}_{n}": f"{d}.{n}" for c, d in (("identity", "identity_summary"), ("length_delta", "length_delta_summary"), ("q_delta", "qscore_delta_summary"))
+       for n in ("mean", "median", "min", "max")},
+}
+
+
+def call_document(summary: DataFrame) -> DataFrame:
+    """A `call_summary` as its nested document: nine counts and rates, and a struct for each of three summaries."""
+    return nest(summary.select(*[F.col(c).alias(d) for c, d in DOCUMENT.items()]))
+
+
+def flatten(document: DataFrame, prefix: str = "valid/") -> DataFrame:
+    """metric, value of the numbers of a nested call document, such as ``valid/identity_summary.mean``; nulls are left out."""
+    return metrics(document, prefix, tuple(DOCUMENT.values()))
+
+
+def comparison(runs: DataFrame) -> DataFrame:
+    """One row a run of ``runs(position, name, generated, original)``, structs of truth summaries; what is missing counts as 0.
+
+    position, name, shared, identity, empirical_q and fastq_q of the generated calls, and how much they differ from the original
+    ones in identity and empirical_q, as text with as many places as a report shows.
+    """
+    of = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.lit(0.0))
+    delta = lambda c: of("generated", c) - of("original", c)
+    shown = lambda form, c, n: F.format_string(form, c).alias(n)
+    return runs.select(
+        "position", "name", F.coalesce("generated.shared", F.lit(0)).alias("shared"),
+        shown("%.6f", of("generated", "weighted_identity"), "identity"), shown("%.4f", of("generated", "mean_empirical_q"), "empirical_q"),
+        shown("%.4f", of("generated", "mean_predicted_q"), "fastq_q"), shown("%+.6f", delta("weighted_identity"), "delta_identity"),
+        shown("%+.4f", delta("mean_empirical_q"), "delta_empirical_q"),
+    )
 
 
 def only(left: DataFrame, right: DataFrame) -> DataFrame:

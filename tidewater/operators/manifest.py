@@ -43,13 +43,21 @@ def first_file_lookup(ids: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def truth_lookup(rows: DataFrame, alignments: DataFrame, slack: int = 512) -> DataFrame:
-    """The record of the same id, one that overlaps on the same reference preferred, the first with a sequence."""
+    """The record of the same id, one that overlaps on the same reference preferred, the first with a sequence.
+
+    An id that is a candidate in several barcodes is looked up in each, among the barcode's own records if ``alignments`` has
+    a ``barcode``; of what is found, that of the last barcode in order counts.
+    """
     low = F.greatest(F.col("rstart") - slack, F.lit(0))
     high = F.greatest(F.col("rstart") + 1, F.col("rend") + slack)
-    both = rows.select("read_id", F.col("ref").alias("want"), low.alias("low"), high.alias("high")).join(alignments.where("seq != ''"), "read_id")
+    keys = ["read_id", "barcode"] if "barcode" in alignments.columns else ["read_id"]
+    wanted = rows.select("read_id", "barcode", F.col("ref").alias("want"), low.alias("low"), high.alias("high"))
+    both = wanted.join(alignments.where("seq != ''"), keys)
     overlap = (F.col("ref") == F.col("want")) & (F.col("start_pos") < F.col("high")) & (F.col("end_pos") > F.col("low"))
-    best = both.groupBy("read_id").agg(F.min(F.struct((~overlap).cast("int").alias("miss"), "ordinal", "seq")).alias("m"))
-    return best.select("read_id", (F.col("m.miss") == 0).alias("overlaps"), F.col("m.ordinal").alias("ordinal"), F.col("m.seq").alias("seq"))
+    found = F.struct((~overlap).cast("int").alias("miss"), "ordinal", "seq")
+    best = both.groupBy("read_id", "barcode").agg(F.min(found).alias("m"))
+    last = best.groupBy("read_id").agg(F.max_by("m", "barcode").alias("m"))
+    return last.select("read_id", (F.col("m.miss") == 0).alias("overlaps"), F.col("m.ordinal").alias("ordinal"), F.col("m.seq").alias("seq"))
 
 
 def usable_join(rows: DataFrame, raw: DataFrame, truth: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import calls as C
 from tidewater.operators import manifest as M
+from tidewater.operators import nested as N
 from tidewater.operators import runlog as L
 from tidewater.sources import io
 from tidewater.storage import shared_folder, stored
@@ -261,16 +262,15 @@ def ok(spark, sf):
     return M.candidate_filter(cand(spark, sf), "strict", 2000, 92, 91, 9, 140, 140)
 
 
-def truth(spark, sf):
-    return M.truth_lookup(ok(spark, sf), fixture(spark, sf, "alignments"))
-
-
 def raw(spark, sf):
     return M.first_file_lookup(ok(spark, sf), fixture(spark, sf, "raw_index"))
 
 
 def usable(spark, sf):
-    return M.usable_join(ok(spark, sf), raw(spark, sf), truth(spark, sf))
+    """Candidates are parsed and filtered once and written; both look-ups and the joins read them."""
+    rows = stored(ok(spark, sf), "candidates")
+    found = M.first_file_lookup(rows, fixture(spark, sf, "raw_index"))
+    return M.usable_join(rows, found, M.truth_lookup(rows, fixture(spark, sf, "alignments")))
 
 
 _REALS = ("acc", "coverage", "mean_quality")
@@ -303,9 +303,25 @@ def first_file_lookup(spark, sf):
     return raw(spark, sf)
 
 
-@query("select * from d_truth")
+@query("""
+select read_id, arg_max(miss = 0, barcode) as overlaps, arg_max(ordinal, barcode) as ordinal, arg_max(seq, barcode) as seq
+from (select read_id, barcode, min(miss) as miss, arg_min(ordinal, (miss, ordinal)) as ordinal, arg_min(seq, (miss, ordinal)) as seq
+      from (select k.read_id, k.barcode, case when a.ref = k.ref and a.start_pos < greatest(k.rstart + 1, k.rend + 512)
+                                               and a.end_pos > greatest(0, k.rstart - 512) then 0 else 1 end as miss, a.ordinal, a.seq
+            from (select * from d_ok union all
+                  select * replace ('barcode0' || (1 + right(barcode, 1)::int % 3) as barcode, rstart + 900 as rstart, rend + 900 as rend) from d_ok where read_id % 4 < 2) k
+                 join (select *, 'barcode0' || (1 + ordinal % 3) as barcode from alignments) a on a.read_id = k.read_id and a.barcode = k.barcode
+            where a.seq <> '')
+      group by 1, 2)
+group by 1""")
 def truth_lookup_interval(spark, sf):
-    return truth(spark, sf)
+    """Records by barcode, and every second id a candidate in two barcodes, elsewhere on the reference in the second."""
+    rows = ok(spark, sf)
+    following = F.concat(F.lit("barcode0"), (1 + F.right("barcode", F.lit(1)).cast("int") % 3).cast("string"))
+    moved = {"barcode": following, "rstart": F.col("rstart") + 900, "rend": F.col("rend") + 900}
+    both = rows.union(rows.where("read_id % 4 < 2").withColumns(moved))
+    barcode = F.concat(F.lit("barcode0"), (1 + F.col("ordinal") % 3).cast("string"))
+    return M.truth_lookup(both, fixture(spark, sf, "alignments").withColumn("barcode", barcode))
 
 
 @query("""
@@ -337,13 +353,12 @@ from {} left join (select barcode, count(*) as candidates, sum((reason is null):
 
 
 def _report(groups: DataFrame, rows: DataFrame) -> DataFrame:
-    rows = stored(rows, "usable")
     top = M.topk_per_barcode(rows.where("reason is null"), 20)
     return M.group_report(groups, rows, top)
 
 
 def _usable_with_truth(spark, sf):
-    return usable(spark, sf).select("barcode", "read_id", "raw_length", "seq", "reason", *_REALS, "read_length")
+    return stored(usable(spark, sf).select("barcode", "read_id", "raw_length", "seq", "reason", *_REALS, "read_length"), "usable")
 
 
 @query(_REPORT.format("(select unnest(['barcode01', 'barcode02', 'barcode09']) as barcode)"))
@@ -354,7 +369,8 @@ def group_driver_join(spark, sf):
 
 @query(_REPORT.format("(select distinct barcode from d_ok)"))
 def barcode_counts(spark, sf):
-    return _report(ok(spark, sf).select("barcode").distinct(), _usable_with_truth(spark, sf))
+    rows = _usable_with_truth(spark, sf)  # every candidate is among them, usable or not
+    return _report(rows.select("barcode").distinct(), rows)
 
 
 @query("""
@@ -423,11 +439,14 @@ def metric_rename(spark, sf):
     return L.metric_rename(fixture(spark, sf, "step_log"), names, "valid", "c")
 
 
-@query(f"""
-select 'valid/' || n as metric, value
-from (unpivot (select columns(*)::double from ({CALL})) on columns(*) into name n value value)""")
+def _metrics_sql(prefix: str) -> str:
+    names = ", ".join(f"{c} as {prefix}{d}".replace(f"{prefix}{d}", f'"{prefix}{d}"') for c, d in C.DOCUMENT.items())
+    return f"select metric, value from (unpivot (select columns(*)::double from (select {names} from ({CALL}))) on columns(*) into name metric value value)"
+
+
+@query(_metrics_sql("valid/"))
 def flatten_metrics(spark, sf):
-    return C.flatten(call_summary(spark, sf))
+    return C.flatten(C.call_document(call_summary(spark, sf)))
 
 
 _BLOCK = """
@@ -532,16 +551,28 @@ def unique_run_names(spark, sf):
     return M.unique_run_names(spark.sql(_RUNS))
 
 
+_SIDES = {"original": "d_mto", "generated": "d_mtg"}
+
+
 @query(f"""
-select position, printf('%.6f', weighted_identity) as identity, printf('%.4f', exact_rate) as exact,
-       printf('%+.6f', mean_predicted_q - mean_truth_q) as q_delta
-from (select 0 as position, * from ({_truth_sql('d_mto', 'calls_original')})
-      union all select 1, * from ({_truth_sql('d_mtg', 'calls_generated')}))""")
+select position, name, g.shared, printf('%.6f', g.weighted_identity) as identity, printf('%.4f', g.mean_empirical_q) as empirical_q,
+       printf('%.4f', g.mean_predicted_q) as fastq_q, printf('%+.6f', g.weighted_identity - o.weighted_identity) as delta_identity,
+       printf('%+.4f', g.mean_empirical_q - o.mean_empirical_q) as delta_empirical_q
+from (values (0, 'a_best_one', 'generated', 'original'), (1, 'a_best_two_1', 'original', 'generated')) r(position, name, gen, orig)
+     join ({' union all '.join(f"select '{k}' as side, * from ({_truth_sql(d, f'calls_{k}')})" for k, d in _SIDES.items())}) g on g.side = gen
+     join ({' union all '.join(f"select '{k}' as side, * from ({_truth_sql(d, f'calls_{k}')})" for k, d in _SIDES.items())}) o on o.side = orig""")
 def compare_runs(spark, sf):
-    one, two = (_rounded(_truth(spark, sf, r)).withColumn("position", F.lit(k)) for k, r in enumerate(("original", "generated")))
-    delta = F.col("mean_predicted_q") - F.col("mean_truth_q")
-    shown = F.format_string("%.6f", "weighted_identity").alias("identity"), F.format_string("%.4f", "exact_rate").alias("exact")
-    return one.unionByName(two).select("position", *shown, F.format_string("%+.6f", delta).alias("q_delta"))
+    """Two runs from one checkpoint by two models: the second takes for original what the first generated, and the other way round."""
+    runs = [(0, "ckpt/a/best", "models/one"), (1, "ckpt/a/best", "models/two.1")]
+    names = M.unique_run_names(spark.createDataFrame(runs, "position int, checkpoint string, model string"))
+    sides = {k: stored(_rounded(_truth(spark, sf, k)), f"summary-{k}") for k in _SIDES}
+    one = {k: rows.select(F.struct(*rows.columns).alias("s")) for k, rows in sides.items()}
+
+    def pair(position: int, generated: str, original: str) -> DataFrame:
+        both = one[generated].withColumnRenamed("s", "generated").crossJoin(one[original].withColumnRenamed("s", "original"))  # one row each
+        return both.withColumn("position", F.lit(position))
+
+    return C.comparison(names.join(pair(0, "generated", "original").union(pair(1, "original", "generated")), "position"))
 
 
 @query(_CLEAN)
@@ -591,20 +622,27 @@ _USE = "select read_id, barcode, raw_length, reason from d_use"
 query(_USE, "write_jsonl")(lambda spark, sf: _round_trip(spark, sf, io.write_jsonl))
 
 
-@query("select read_id, barcode, raw_length, reason from d_use union all select read_id, 'again', raw_length, reason from d_use")
+@query(f"""
+select run as evaluation, step, 'ok' as status, metric, null::varchar as checkpoint_path from ({_EVALS}) where metric is not null
+union all
+select run || '-failed', step, 'failed', null, 'ckpt/' || step from ({_EVALS}) where metric is null""")
 def append_history(spark, sf):
-    def twice(rows: DataFrame, path: str) -> None:
-        io.append_history(rows, path)
-        io.append_history(rows.withColumn("barcode", F.lit("again")), path)
+    """The results of every run, its failed evaluations, and the results once more, which adds nothing."""
+    path, rows = shared_folder(spark, "history"), _evals(spark, sf).select("run", "step", "metric")
+    results = rows.where("metric is not null").select(F.col("run").alias("evaluation"), "step", F.lit("ok").alias("status"), "metric")
+    checkpoint = F.concat(F.lit("ckpt/"), F.col("step").cast("string")).alias("checkpoint_path")
+    failed = rows.where("metric is null").select(F.concat("run", F.lit("-failed")).alias("evaluation"), "step", checkpoint)
+    for documents in (results, io.failures(failed), results):
+        io.append_history(documents, path)
+    return io.read_history(spark, path, "evaluation string, step long, status string, metric double, checkpoint_path string")
 
-    return _round_trip(spark, sf, twice)
 
-
-@query(CALL)
+@query(_metrics_sql(""))
 def write_summary_json(spark, sf):
-    path, rows = shared_folder(spark, "summary"), call_summary(spark, sf)
-    io.write_summary(rows, path)
-    return spark.read.schema(rows.schema).json(path)
+    """The nested document, written, read back by its own schema and shown as its numbers."""
+    path, document = shared_folder(spark, "summary"), C.call_document(call_summary(spark, sf))
+    io.write_summary(N.flat(document), path)
+    return N.metrics(spark.read.schema(document.schema).json(path))
 
 
 @query("select read_id, source_file, raw_length from reads_meta")
@@ -614,14 +652,21 @@ def write_reads(spark, sf):
     return spark.read.parquet(path).select("read_id", "source_file", F.size("adc").cast("long").alias("raw_length"))
 
 
-@query("select read_id, source_file, raw_length from reads_meta")
+@query("""
+select read_id, source_file, raw_length, null::varchar as reason from reads_meta
+union all select null, 'bad.parquet', null, 'no parquet file' union all select null, 'empty.parquet', null, 'no parquet file'""")
 def scan_skip_corrupt(spark, sf):
-    path = shared_folder(spark, "damaged")
-    rows = reads(spark, sf)
-    rows.write.parquet(path)
-    spark.range(1).select(F.lit("no parquet").alias("value")).coalesce(1).write.text(f"{path}/bad.parquet")
-    good = io.scan_reads(spark, path, schema=rows.schema, skip_corrupt=True)
-    return good.select("read_id", "source_file", "raw_length")
+    """The reads of the sound files, twice, and the files that the first scan found damaged and the second didn't open."""
+    path, rows = shared_folder(spark, "damaged"), reads(spark, sf)
+    rows.where("read_id % 2 = 0").write.parquet(path)
+    for name, content in (("bad", b"no parquet"), ("empty", b"")):
+        io.write_bytes(f"{path}/{name}.parquet", content)
+    scan = lambda: io.scan_reads(spark, path, schema=rows.schema, skip_corrupt=True).select("read_id", "source_file", "raw_length")
+    first = stored(scan(), "first")
+    rows.where("read_id % 2 != 0").write.mode("append").parquet(path)
+    both = first.union(scan().where("read_id % 2 != 0")).withColumn("reason", F.lit(None).cast("string"))
+    bad = io.quarantined(spark, f"{path}/_quarantine")
+    return both.union(bad.select(F.lit(None).cast("long"), F.substring_index("path", "/", -1), F.lit(None).cast("long"), "reason"))
 
 
 DELAY = 500  # steps by which evaluations arrive out of order

@@ -181,22 +181,47 @@ def calibration_valid(spark, sf):
     return bad.union(W.calibration_valid(rows).select("read_id", F.lit("valid")))
 
 
-@query("select read_id, case when read_sample_rate > 0 then read_sample_rate else 5e3 end as rate from reads_meta")
+#: Rates as reads, their run and the configuration give them: missing, not finite, zero and negative ones among them.
+_RATES = """
+select read_id, case when read_id % 13 = 2 then 'NaN'::double when read_id % 13 = 3 then 0e0 else read_sample_rate end as read_rate,
+       case when read_id % 5 = 0 then null when read_id % 5 = 1 then 'Infinity'::double when read_id % 5 = 2 then -1e0 when read_id % 5 = 3 then 5.004e3 else 4.5e3 end as run_rate
+from reads_meta"""
+
+
+def _rates(spark, sf):
+    fixture(spark, sf, "reads_meta").createOrReplaceTempView("reads_meta")
+    return spark.sql(_RATES)
+
+
+def _positive(c: str) -> str:
+    return f"case when {c} > 0 and not isnan({c}) and not isinf({c}) then {c} end"
+
+
+@query(f"select read_id, coalesce({_positive('read_rate')}, {_positive('run_rate')}, 5e3) as rate from ({_RATES})")
 def resolve_sample_rate(spark, sf):
-    return fixture(spark, sf, "reads_meta").select("read_id", S.sample_rate(F.col("read_sample_rate")).alias("rate"))
+    return _rates(spark, sf).select("read_id", S.sample_rate(F.col("read_rate"), F.col("run_rate")).alias("rate"))
 
 
-@query("select read_id from reads_meta where read_sample_rate is null or abs(read_sample_rate - 5e3) <= 5")
+@query(f"""
+select read_id from (select read_id, coalesce(read_rate, run_rate) as measured from ({_RATES}))
+where measured is null or isnan(measured) or not abs(measured - 5e3) > 5""")
 def sample_rate_gate(spark, sf):
-    return fixture(spark, sf, "reads_meta").where(S.rate_gate(F.col("read_sample_rate"), 5000.0)).select("read_id")
+    return _rates(spark, sf).where(S.rate_gate(F.coalesce("read_rate", "run_rate"), 5000.0)).select("read_id")
 
 
-@query("""
-select read_id, greatest(1, cast(round_even(25 * coalesce(read_sample_rate, 5e3) / 1000, 0) as bigint)) as window_samples
-from reads_meta""")
+_SIZES = ("case when read_id % 4 = 0 then 100 + read_id % 7 when read_id % 4 = 1 then 0 when read_id % 4 = 2 then -5 end as samples",
+          "case when read_id % 3 = 0 then 40 when read_id % 3 = 1 then 0 end as hop", "25.1e0 + read_id % 3 as ms")
+
+
+@query(f"""
+select read_id, n as window_samples, case when hop > 0 then hop else n end::bigint as hop_samples
+from (select *, case when samples > 0 then samples else greatest(1, cast(round_even(ms * rate / 1000, 0) as bigint)) end::bigint as n
+      from (select read_id, {', '.join(_SIZES)}, coalesce({_positive('read_rate')}, {_positive('run_rate')}, 5e3) as rate from ({_RATES})))""")
 def window_size(spark, sf):
-    samples = F.rint(25 * S.sample_rate(F.col("read_sample_rate")) / 1000).cast("long")
-    return fixture(spark, sf, "reads_meta").select("read_id", F.greatest(F.lit(1), samples).alias("window_samples"))
+    rate = S.sample_rate(F.col("read_rate"), F.col("run_rate"))
+    rows = _rates(spark, sf).selectExpr("*", *_SIZES).withColumn("rate", rate)
+    size = S.window_size(F.col("rate"), F.col("samples"), F.col("ms"), F.col("hop"))
+    return rows.select("read_id", size.alias("w")).select("read_id", F.col("w.size").alias("window_samples"), F.col("w.hop").alias("hop_samples"))
 
 
 @query(f"select read_id, unnest(range(0, raw_length - {SIZE} + 1, {SIZE})) as start from d_valid where raw_length >= {SIZE}")
@@ -528,7 +553,7 @@ select read_id, chunk_index, round(sum(round_even(norm * 10, 0) / 10), 6) + 0.0
 def score_chunks(spark, sf):
     rows = chunked(spark, sf).select("read_id", "chunk_index", F.col("norm").alias("chunk"))
     score = (F.round(S.total(F.col("score")), 6) + 0.0).alias("score")
-    return Q.score_chunks(rows, lambda x: x.round(1)).select("read_id", *long("chunk_index"), score)
+    return Q.score_chunks(rows, factory=lambda: lambda x: x.round(1)).select("read_id", *long("chunk_index"), score)
 
 
 def _pairs(spark, sf):
