@@ -34,50 +34,43 @@ def _bucket(buckets: int) -> Column:
     return F.when(F.isnan(x), buckets + 1).when(x == INFINITE, buckets).when(x == -INFINITE, -1).otherwise(inner).cast("int").alias("bucket")
 
 
-def values_at(rows: DataFrame, columns: tuple[str, ...], probabilities: tuple[float, ...], *by: str, buckets: int = 2048, small: int = 4096) -> DataFrame:
+def values_at(rows: DataFrame, columns: tuple[str, ...], probabilities: tuple[float, ...], *by: str, buckets: int = 2048, small: int = 32_768) -> DataFrame:
     """by, column, p, n, lower, upper, part: the values around each probability's place among the n values that are not null.
 
-    Null values don't count; a group or column without values has no row.
+    ``rows`` are read once a round and twice besides, so they should be a written table. Null values don't count; a group or column
+    without values has no row.
     """
-    long = stored(_long(rows, columns, by), "values")
-    key = [*by, "column"]
+    long, key = _long(rows, columns, by), [*by, "column"]
     finite = ~F.isnan("x") & (F.abs("x") < INFINITE)
     ends = F.min(F.when(finite, F.col("x"))).alias("low"), F.max(F.when(finite, F.col("x"))).alias("high")
-    ranges = long.groupBy(*key).agg(F.count("*").alias("n"), *ends)
-    ranges = ranges.select(*by, F.col("column"), "n", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
+    ranges = long.groupBy(*key).agg(F.count("*").alias("n"), *ends).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
     at = F.col("p") * (F.col("n") - 1)
-    wanted = ranges.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))).withColumn("at", at)
-    wanted = stored(wanted.withColumn("ranks", F.array(F.floor("at"), F.ceil("at"))), "ranks")
-    # one row per different rank: found is null while it is open
-    open_ = wanted.select(*key, "low", "high", F.explode("ranks").alias("rank")).distinct()
-    open_ = stored(open_.withColumns({"left": F.col("rank"), "rows": F.lit(None).cast("long")}), "open")
-    done = [open_.where("false").select(*key, "rank", F.col("low").alias("value"))]
+    ranks = F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("rank")
+    # a range is open until its rank is found; a first one holds all rows, also those beyond its finite ends
+    first = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("low", "high")]
+    wanted = stored(ranges.select(*key, "p", "n", at.alias("at"), ranks, *first), "ranks")
+    open_ = wanted.select(*key, "low", "high", "rank", F.col("rank").alias("left"), F.col("n").alias("rows"), F.lit(True).alias("whole")).distinct()
+    inside = F.col("whole") | (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))
+    few, found = F.col("rows") <= small, None
     while True:
-        few = (F.col("rows") <= small) & F.col("rows").isNotNull()
-        last = open_.where(few)
-        if last.limit(1).count():
+        n = open_.agg(F.count_if(few).alias("few"), F.count_if(~few).alias("many")).first()
+        if n["few"] or found is None:
             order = Window.partitionBy(*key, "rank").orderBy("x")  # at most `small` rows
-            held = long.join(last, key).where((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high")))
-            held = held.withColumn("i", F.row_number().over(order) - 1).where("i = left")
-            done.append(stored(held.select(*key, "rank", F.col("x").alias("value")), "found"))
-        open_ = open_.where(~few)
-        if not open_.limit(1).count():
+            held = long.join(open_.where(few), key).where(inside).withColumn("i", F.row_number().over(order) - 1).where("i = left")
+            held = held.select(*key, "rank", F.col("x").alias("value"))
+            found = held if found is None else found.union(held)
+        if not n["many"]:
             break
-        held = long.join(open_, key)
-        within = F.col("rows").isNull() | (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))  # a first range holds all
-        held = held.where(within).groupBy(*key, "rank", "left", _bucket(buckets))
+        held = long.join(open_.where(~few), key).where(inside).groupBy(*key, "rank", "left", _bucket(buckets))
         held = held.agg(F.count("*").alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"))
         upto = Window.partitionBy(*key, "rank").orderBy("bucket")  # one row a bucket
         held = held.withColumn("upto", F.sum("rows").over(upto))
         held = held.where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("rows") <= F.col("left")))
-        open_ = stored(held.select(*key, "rank", (F.col("left") - F.col("upto") + F.col("rows")).alias("left"), "rows", "low", "high"), "open")
+        left = (F.col("left") - F.col("upto") + F.col("rows")).alias("left")
+        held = stored(held.select(*key, "low", "high", "rank", left, "rows", F.lit(False).alias("whole")), "open")
         same = F.col("low").eqNullSafe(F.col("high"))
-        done.append(open_.where(same).select(*key, "rank", F.col("low").alias("value")))
-        open_ = open_.where(~same)
-    found = done[0]
-    for more in done[1:]:
-        found = found.union(more)
-    both = wanted.select(*key, "p", "n", "at", F.explode("ranks").alias("rank")).distinct().join(found, [*key, "rank"])
+        found, open_ = found.union(held.where(same).select(*key, "rank", F.col("low").alias("value"))), held.where(~same)
+    both = wanted.select(*key, "p", "n", "at", "rank").join(found, [*key, "rank"])
     both = both.groupBy(*key, "p", "n", "at").agg(F.min_by("value", "rank").alias("lower"), F.max_by("value", "rank").alias("upper"))
     return both.select(*key, "p", "n", "lower", "upper", (F.col("at") - F.floor("at")).alias("part"))
 

@@ -12,7 +12,7 @@ from tidewater.operators import windows as W
 from tidewater.sources import io
 from tidewater.storage import shared_folder
 
-from .fixtures import fixture, oracle
+from .fixtures import VIEWS, fixture, oracle
 
 SIZE, HOP = 16, 12
 PART = 64  # samples of a segment: the reads of the small tables are many segments
@@ -100,10 +100,15 @@ select vec_id, unnest(y)::double as a, unnest(y_hat)::double as b, generate_subs
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
-    meta = fixture(spark, sf, "reads_meta")
-    rows = fixture(spark, sf, "samples").groupBy("read_id")  # a group is one read
-    rows = rows.agg(F.array_sort(F.collect_list(F.struct("pos", "adc"))).alias("s"))
-    return meta.join(rows.select("read_id", F.transform("s", lambda x: x["adc"].cast("double")).alias("adc")), "read_id")
+    """``reads_meta`` with the samples of each read as the array ``adc``: one pass over the events, shuffled once."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    sample = F.struct("ts", "event_id", F.floor(F.col("value") * 10).cast("double").alias("adc"))
+    rows = events.groupBy("user_id").agg(F.array_sort(F.collect_list(sample)).alias("s"), F.count("*").alias("raw_length"))  # a group is one read
+    rows.select("user_id", "raw_length", F.col("s.adc").alias("adc")).createOrReplaceTempView("read_groups")
+    counted = "count(*) as raw_length\nfrom events group by user_id"
+    if counted not in VIEWS["reads_meta"]:
+        raise ValueError("reads_meta counts samples in another way")
+    return spark.sql(VIEWS["reads_meta"].replace(counted, "raw_length, adc\nfrom read_groups"))
 
 
 def picoamps(spark, sf):
