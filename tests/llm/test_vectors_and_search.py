@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import embedding_dups as E
 from tidewater.llm import hard_negatives as H
+from tidewater.llm import neighbours as N
 from tidewater.llm import ranked_search as R
+from tidewater.llm import secrets as X
 
 from brute import words
 
@@ -103,6 +106,41 @@ def test_tree_covers_and_halves():
             assert (apart[~np.eye(len(kids), dtype=bool)] > level - E.SLACK).all() and max(tree.radius[k] for k in kids) <= level + E.SLACK
 
 
+def test_neighbours_of_several_lengths_and_norms(spark):
+    """A query meets vectors of its own length, all of them if they are few; long vectors are found although few pivots are like them."""
+    rng = np.random.default_rng(9)
+    rows = [(k, (rng.normal(size=16) * np.exp(rng.normal())).tolist()) for k in range(1500)]
+    rows += [(2000 + k, rng.normal(size=2 + k % 2).tolist()) for k in range(60)] + [(8, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in N.nearest(df, "vec_id % 20 = 0", k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hit = total = 0
+    for q, x in rows:
+        if q % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in rows if len(y) == len(x) and i != q)[:20]
+            want = [i for _, i in scores]
+            if q >= 2000:
+                assert got[q] == want
+            else:
+                hit, total = hit + len(set(want) & set(got[q])), total + len(want)
+    assert got.keys() == {q for q, _ in rows if q % 20 == 0} and hit / total >= 0.95
+
+
+def test_long_tokens_take_time_in_proportion(spark):
+    """Random and ordinary texts of half a million characters without a break, and what a short one of each is."""
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = ["".join(rng.choices(letters, k=500_000)), "".join(rng.choices("0123456789abcdef", k=500_000)), "the_quick_brown_fox_" * 25_000]
+    texts = ["some_ordinary_identifier of_the_usual_form and words in a sentence about nothing"] * 50 + [f"x {long[0][k * 40 : k * 40 + 40]} y" for k in range(50)]
+    docs = spark.createDataFrame(list(enumerate(long + texts)), "doc_id long, text string")
+    begun = time.time()
+    rows = {r.doc_id: r for r in X.scan(docs).collect()}
+    assert time.time() - begun < 60
+    assert [(s.start, s.end) for s in rows[1].base if s.kind == "hex"] == [(0, 500_000)]
+    assert [(s.start, s.end) for s in rows[0].spans if s.kind == "markov"] == [(0, 500_000)]
+
+
 def plain_ranks(docs, items, k=10):
     docs = [(i, Counter(words(t))) for i, t in docs if i is not None]
     docs = [(i, c) for i, c in docs if c]

@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.signal import once
+
 #: Fixed values of the contract: kind and Java pattern; a pattern may match what LEAST then drops.
 KINDS = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -63,9 +65,10 @@ def known(text: Column) -> Column:
 
 
 def _pairs(token: Column) -> Column:
-    """Transitions of a token, each as one number: 128 * code + next code."""
-    code = lambda i: F.ascii(F.substring(token, i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: code(i) * 128 + code(i + 1))
+    """Transitions of a token, each as one number: 128 * code + next code. The token is cut into characters once, whatever its length."""
+    codes = F.transform(F.split(token, ""), F.ascii)
+    but_one = lambda c, at: F.slice(c, F.lit(at), F.greatest(F.size(c) - 1, F.lit(0)))
+    return once(codes, lambda c: F.zip_with(but_one(c, 1), but_one(c, 2), lambda x, y: x * 128 + y))
 
 
 def drawn(spark: SparkSession, n: int) -> DataFrame:
