@@ -243,7 +243,7 @@ def test_quantiles_against_sorting(spark):
     rng = random.Random(9)
     cases = {
         "ties": [3.0] * 40 + [1.0] * 3 + [7.0] * 2, "one": [5.5], "two": [1.0, 2.0], "nan": [1.0, nan, 3.0, nan, 2.0], "infinite": [-inf, inf, 0.0, -1.0, inf],
-        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(200)], "ends": [-1.7e308, 1.7e308, 0.0, 5e-324, -5e-324],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-30, 30) for _ in range(60)], "ends": [-1.7e308, 1.7e308, 0.0, 5e-324, -5e-324],
         "many": [rng.gauss(0, 1) for _ in range(500)], "close": [1.0 + k * 2**-52 for k in range(30)],
     }
     rows = [(g, x, None if g == "one" else x) for g, xs in cases.items() for x in xs] + [("many", None, 1.0)]

@@ -41,6 +41,12 @@ def values_at(rows: DataFrame, columns: tuple[str, ...], probabilities: tuple[fl
     without values has no row.
     """
     long, key = _long(rows, columns, by), [*by, "column"]
+    if rows.count() <= small:  # no column has more: its values are numbered at once, which is what the rounds below end with
+        own = Window.partitionBy(*key)
+        ranked = long.withColumn("i", F.row_number().over(own.orderBy("x")) - 1).withColumn("n", F.count("*").over(own))
+        ranked = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+        ranked = ranked.withColumn("at", F.col("p") * (F.col("n") - 1)).where((F.col("i") == F.floor("at")) | (F.col("i") == F.ceil("at")))
+        return _around(ranked, key, "x", "i")
     finite = ~F.isnan("x") & (F.abs("x") < INFINITE)
     ends = F.min(F.when(finite, F.col("x"))).alias("low"), F.max(F.when(finite, F.col("x"))).alias("high")
     ranges = long.groupBy(*key).agg(F.count("*").alias("n"), *ends).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
@@ -70,8 +76,12 @@ def values_at(rows: DataFrame, columns: tuple[str, ...], probabilities: tuple[fl
         held = stored(held.select(*key, "low", "high", "rank", left, "rows", F.lit(False).alias("whole")), "open")
         same = F.col("low").eqNullSafe(F.col("high"))
         found, open_ = found.union(held.where(same).select(*key, "rank", F.col("low").alias("value"))), held.where(~same)
-    both = wanted.select(*key, "p", "n", "at", "rank").join(found, [*key, "rank"])
-    both = both.groupBy(*key, "p", "n", "at").agg(F.min_by("value", "rank").alias("lower"), F.max_by("value", "rank").alias("upper"))
+    return _around(wanted.select(*key, "p", "n", "at", "rank").join(found, [*key, "rank"]), key, "value", "rank")
+
+
+def _around(rows: DataFrame, key: list[str], value: str, rank: str) -> DataFrame:
+    """The values of the ranks on both sides of each place ``at``, and how far it lies between them."""
+    both = rows.groupBy(*key, "p", "n", "at").agg(F.min_by(value, rank).alias("lower"), F.max_by(value, rank).alias("upper"))
     return both.select(*key, "p", "n", "lower", "upper", (F.col("at") - F.floor("at")).alias("part"))
 
 

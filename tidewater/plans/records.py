@@ -603,10 +603,11 @@ def write_fastq(spark, sf):
 def scan_manifest(spark, sf):
     path = shared_folder(spark, "manifest")
     one = F.struct("source_file", "read_id", "raw_length")
-    rows = fixture(spark, sf, "reads_meta").groupBy("source_file").agg(F.collect_list(one).alias("selected_reads"))
-    # documents of several lines, one a source file
+    part = F.floor(F.col("read_id") / 100).alias("part")  # so a document has no more reads, however many its source has
+    rows = fixture(spark, sf, "reads_meta").groupBy("source_file", part).agg(F.collect_list(one).alias("selected_reads"))
+    # documents of several lines, one a file
     doc = F.to_json(F.struct(F.col("source_file").alias("fc"), "selected_reads"), {"pretty": "true"})
-    rows.select(doc.alias("value")).repartition(F.col("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows.select(doc.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     kind = "selected_reads array<struct<source_file:string,read_id:long,raw_length:long>>"
     return io.scan_manifest(spark, path, kind).select("read_id", "source_file", "raw_length")
 
