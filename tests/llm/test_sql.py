@@ -14,7 +14,7 @@ def plain(row):
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_same_rows(spark, name, sf):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '/root/testdata/{sf}/{t}.parquet'")
     df = QUERIES[name](spark, f"/root/testdata/{sf}")
     want = con.execute(ORACLE[name])
