@@ -116,9 +116,11 @@ class Shard:
 
 def _deal(rows: DataFrame, anchors: DataFrame, shards: int) -> DataFrame:
     """Both in one frame, a shard a partition: its candidates, then the anchors in the order of their clusters."""
-    own = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(0).alias("cluster"), "vec_id", "label", "v")
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")
+    own = rows.select(shard, F.lit(0).alias("kind"), F.lit(0).alias("cluster"), "vec_id", "label", "v")
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    asked = anchors.select(every, F.lit(1).alias("kind"), "cluster", "vec_id", "label", "v", *[c for c in anchors.columns if c in ("places", "scores", "others")])
+    more = [c for c in anchors.columns if c in ("places", "scores", "others")]
+    asked = anchors.select(every, F.lit(1).alias("kind"), "cluster", "vec_id", "label", "v", *more)
     both = own.unionByName(asked, allowMissingColumns=True)
     return both.repartitionById(shards, "shard").sortWithinPartitions("kind", "cluster", "vec_id").drop("shard")
 
@@ -135,7 +137,8 @@ def _by_width(parts: list[pa.RecordBatch]) -> dict[int, tuple]:
     ids, labels = table.column("vec_id").to_numpy(), table.column("label").to_numpy()
     v = [x for b in parts for x in _vectors(b)]
     widths = np.array([len(x) for x in v])
-    return {int(w): (ids[at], labels[at], np.array([v[k] for k in at]).reshape(len(at), w), at) for w in np.unique(widths) for at in [np.flatnonzero(widths == w)]}
+    places = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+    return {w: (ids[at], labels[at], np.array([v[k] for k in at]).reshape(len(at), w), at) for w, at in places.items()}
 
 
 def _groups(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -225,7 +228,8 @@ def mine(
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= positives)
     own = found.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("place", "positive_score", "positive_id"))).alias("p"))  # at most `positives`
-    own = own.select(F.col("anchor_id").alias("vec_id"), F.col("p.place").alias("places"), F.col("p.positive_score").alias("scores"), F.col("p.positive_id").alias("others"))
+    lists = {"places": "p.place", "scores": "p.positive_score", "others": "p.positive_id"}
+    own = own.select(F.col("anchor_id").alias("vec_id"), *[F.col(c).alias(n) for n, c in lists.items()])
     asked = materialise(anchors.join(own, "vec_id"), "positives")
     found = _deal(rows, asked, shards).mapInArrow(_search(heads, negatives, False, step, names(NEGATIVES)), NEGATIVES)
     order = Window.partitionBy("anchor_id", "place").orderBy(F.desc("negative_score"), "negative_id")

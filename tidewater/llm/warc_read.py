@@ -26,8 +26,14 @@ from .token_ids import _store
 from .warc import CRLF, payload_of
 
 PIECE = 1 << 20
-PART = "record_id string, segment int, total long, record_type string, target_uri string, date string, refers_to string, digest string, http boolean, block binary"
-OUT = "record_id string, record_type string, target_uri string, date string, refers_to string, segments int, payload_bytes long, payload_sha1 string, digest_ok boolean, payload binary"
+PART = (
+    "record_id string, segment int, total long, record_type string, target_uri string, date string, refers_to string, digest string, "
+    "http boolean, block binary"
+)
+OUT = (
+    "record_id string, record_type string, target_uri string, date string, refers_to string, segments int, payload_bytes long, "
+    "payload_sha1 string, digest_ok boolean, payload binary"
+)
 
 
 def unpacked(stream) -> Iterator[bytes]:
@@ -166,7 +172,8 @@ def read_warc(spark: SparkSession, files: list[str], kinds: tuple[str, ...] = ("
                     if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)) or total is not None and total != len(block):
                         raise ValueError(f"segments of {first['record_id']} are missing or their total length differs")
                 size, sha1, ok, payload = _finished(block, first["http"], first["digest"])
-                rows.append((first["record_id"], first["record_type"], first["target_uri"], first["date"], first["refers_to"], len(parts), size, sha1, ok, payload))
+                about = (first[c] for c in ("record_id", "record_type", "target_uri", "date", "refers_to"))
+                rows.append((*about, len(parts), size, sha1, ok, payload))
             yield _batch(rows, OUT)
 
     parts = paths.mapInArrow(read, PART)
