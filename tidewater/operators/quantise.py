@@ -130,7 +130,8 @@ def nearest_code_sharded(latents: DataFrame, codebook: DataFrame, block: int = 2
     book = numbered(book, "norm").select(F.floor(F.col("number") / most).cast("int").alias("shard"), "id", "vec", "norm")
     book = stored(book, "codes")
     # one row a shard: its number, and the lengths that it holds
-    ranges = np.array([(r.shard, r.low, r.high) for r in book.groupBy("shard").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).orderBy("shard").collect()], float)
+    ends = book.groupBy("shard").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).orderBy("shard")
+    ranges = np.array([(r.shard, r.low, r.high) for r in ends.collect()], float)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

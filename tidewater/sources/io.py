@@ -40,7 +40,10 @@ def read_files(spark: SparkSession, root: str, subdirs: tuple[str, ...] = (".",)
 
 
 #: What a damaged file's error says, by the reason that is recorded; any other error is raised.
-DAMAGE = {"no parquet file": ("magic bytes not found", "file size is 0 bytes", "smaller than the minimum"), "damaged footer": ("deserialize thrift", "footer", "Corrupt")}
+DAMAGE = {
+    "no parquet file": ("magic bytes not found", "file size is 0 bytes", "smaller than the minimum"),
+    "damaged footer": ("deserialize thrift", "footer", "Corrupt"),
+}
 
 
 def probe(path: str) -> str | None:
