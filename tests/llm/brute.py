@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import re
+import zlib
 from collections import defaultdict
 
 LETTERS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -137,24 +138,46 @@ def random_strings(n):
         yield text if i % 3 == 0 else digest.hexdigest() if i % 3 == 1 else text.upper().replace("=", "").replace("+", "7").replace("/", "9")
 
 
-def markov_spans(rows, known, random_rows, ordinary, candidate, least=0.5, smooth=0.5):
-    """Spans of the two models of transitions; ``known`` are the values that the known forms find."""
-    count = [defaultdict(float), defaultdict(float)]
+def identifiers(text):
+    """Names of four words in a row in five forms, in turn."""
+    words = re.findall("[A-Za-z]{3,}", text or "")
+    for i in range(len(words) // 4):
+        four = words[4 * i : 4 * i + 4]
+        low = [w.lower() for w in four]
+        mixed = "".join(w[0].upper() + w[1:] for w in low)
+        yield ("_".join(four).upper(), "/".join(low), mixed, "-".join(low), "_".join([*low, str(i % 100)]))[i % 5]
+
+
+def markov_model(rows, known, random_rows, ordinary, candidate):
+    """Score of a token and its threshold, from labelled tokens; ``known`` are the values that the known forms find."""
     plain = [x for _, t in rows for x in re.findall(ordinary, t or "") if not re.search("[0-9a-f]{16,}|AKIA[A-Z0-9]{14,}", x)]
-    for label, tokens in ((1, [*known, *random_strings(random_rows)]), (0, plain)):
+    plain += [x for _, t in rows for x in identifiers(t)]
+    count, ends, n, held = [defaultdict(int), defaultdict(int)], [defaultdict(int), defaultdict(int)], [0, 0], [[], []]
+    for k, tokens in ((1, [*known, *random_strings(random_rows)]), (0, plain)):
         for x in tokens:
+            if zlib.crc32(x.encode()) % 5 == 0:
+                if re.fullmatch(candidate, x):
+                    held[k].append(x)
+                continue
             for a, b in zip(x, x[1:], strict=False):
-                count[label][a + b] += 1
-                count[label][a] += 1
-    log = lambda k, a, b: math.log((count[k][a + b] + smooth) / (count[k][a] + 64 * smooth))
-    out = {}
-    for d, t in rows:
-        out[d] = set()
-        for m in re.finditer(candidate, t or ""):
-            pairs = list(zip(m[0], m[0][1:], strict=False))
-            if sum(round(log(1, a, b) - log(0, a, b), 4) for a, b in pairs) / len(pairs) > least:
-                out[d].add((m.start(), m.end()))
-    return out
+                count[k][a + b] += 1
+                count[k][a] += 1
+                ends[k][b] += 1
+                n[k] += 1
+    log = lambda k, a, b: math.log((count[k][a + b] + 8.0 * ((ends[k][b] + 0.5) / (n[k] + 64))) / (count[k][a] + 8.0))
+    score = lambda x: sum(round(log(1, a, b) - log(0, a, b), 4) for a, b in zip(x, x[1:], strict=False)) / (len(x) - 1)
+    steps = [[math.floor(score(x) * 20) for x in xs] for xs in held]
+    cost = lambda t: sum(s < t for s in steps[1]) / len(steps[1]) + 10 * sum(s >= t for s in steps[0]) / len(steps[0])
+    costs = {t: round(cost(t), 12) for t in range(-200, 202)}
+    least = min(costs.values())
+    best = [t for t in costs if costs[t] == least]
+    return score, best[len(best) // 2] / 20
+
+
+def markov_spans(rows, known, random_rows, ordinary, candidate):
+    """Spans of the two models of transitions."""
+    score, least = markov_model(rows, known, random_rows, ordinary, candidate)
+    return {d: {m.span() for m in re.finditer(candidate, t or "") if score(m[0]) >= least} for d, t in rows}
 
 
 def paragraph_links(rows, cut, size=5, percent=80):

@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import random
+import string
 import sys
 import zlib
 from collections import defaultdict
@@ -163,6 +165,43 @@ def test_markov_spans(spark, docs):
     assert all(text[r.doc_id][s.start : s.end].endswith(s.value) for r in found for s in r.spans)
 
 
+#: Hand-made names that no model sees.
+NAMES = """MAX_BUFFER_SIZE_IN_KILOBYTES https/www/example/com/index_page_of_the_site XMLHttpRequestFactoryBuilder DEFAULT_CONNECTION_TIMEOUT_MS
+usr/local/share/applications/settings getElementsByClassNameAndIndex AbstractSingletonProxyFactoryBean organization-settings-page-header
+HTTP_STATUS_INTERNAL_SERVER_ERROR build_and_push_docker_image_v2 test_returns_empty_list_when_missing src/main/java/org/project/util
+ConcurrentModificationException com/example/project/controllers/UserController background-position-horizontal UNSIGNED_INTEGER_OVERFLOW_CHECK
+Donaudampfschiffahrtsgesellschaft internationalization_of_everything SHA256_DIGEST_LENGTH_IN_BYTES application/vnd_openxmlformats_document""".split()
+
+
+def unseen(n, length, seed):
+    rng = random.Random(seed)
+    for chars in (string.ascii_letters + string.digits + "+/", "0123456789abcdef", string.ascii_uppercase + string.digits):
+        yield from ("".join(rng.choices(chars, k=length)) for _ in range(n))
+
+
+@pytest.mark.parametrize(("rows", "precision", "recall"), [(200, 0.98, 0.95), (None, 0.98, 0.98)])
+def test_secrets_judged_on_unseen_tokens(spark, rows, precision, recall):
+    """Random strings that no model saw are found, constants, paths and names are not, also after little training text."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id")
+    docs = docs.limit(rows) if rows else docs
+    drawn = list(unseen(100, 40, 7))
+    own = spark.createDataFrame([(-1 - i, f"x {t} y") for i, t in enumerate([*NAMES, *drawn])], "doc_id long, text string")
+    found = secret_scan(docs.union(own)).where("doc_id < 0").collect()
+    named = {r.doc_id: any(s.kind == "markov" for s in r.spans) for r in found}
+    true, false = sum(named[-1 - len(NAMES) - i] for i in range(len(drawn))), sum(named[-1 - i] for i in range(len(NAMES)))
+    assert len(named) == len(NAMES) + len(drawn)
+    assert true / len(drawn) >= recall and true / max(true + false, 1) >= precision, (true, [NAMES[i] for i in range(len(NAMES)) if named[-1 - i]])
+
+
+def test_secret_threshold():
+    from tidewater.llm.secrets import LEAST_RATIO, threshold
+
+    assert threshold([(1, 20, 3)]) == threshold([]) == LEAST_RATIO
+    assert -1 < threshold([(1, 20, 3), (0, -20, 5)]) <= 1
+    # a miss of one in twenty costs less than a false alarm of one in a hundred
+    assert threshold([(1, 10, 19), (1, 2, 1), (0, -10, 99), (0, 3, 1)]) == 0.35
+
+
 def test_secret_sample_of_any_size():
     """Documents by the hundred thousand million still give a sample; few documents are all in it."""
     from tidewater.llm.secrets import STEPS, below

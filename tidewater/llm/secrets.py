@@ -2,8 +2,11 @@
 
 Two first-order models over ASCII characters are counted: one from labelled random strings (``drawn`` digests in three alphabets,
 which no form of secret has had a part in, and the values that the known forms find), one from labelled ordinary
-identifiers (words of letters, marks and digits outside them). A candidate token, 20 or more token characters in a row,
-is a secret if the log-likelihood ratio of its transitions is above ``least_ratio`` nats a character.
+identifiers: long words of the texts, and constants, paths and names in mixed case that ``composed`` makes of their words. A
+transition not seen often falls back on how often its second character is seen, so that a character that no identifier
+holds counts, however few there are. A candidate token, 20 or more token characters in a row, is a secret if the
+log-likelihood ratio of its transitions, in nats a character, reaches a threshold. That is set on a fifth of the labelled
+tokens, by hash, that the counts leave out: the middle of the values with the least misses + FALSE * false alarms, in shares.
 The training sample is every document whose id hash falls below ``sample`` documents' share, a bounded sample that is as large
 for any number of documents; the known forms and the scan itself read every text whole.
 
@@ -11,12 +14,13 @@ Positions are code points. A pattern's matches and the gaps between them come fr
 lengths give every start without a loop over characters.
 
 Defined cases: null or empty text has no spans; rows that repeat get each their own result; with nothing to train
-on only known forms are found; an empty table gives no rows; extra columns are ignored.
+on only known forms are found, with nothing held out of one of the labels the threshold is LEAST_RATIO; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +39,14 @@ SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Steps of the id hash, far more than documents, so that the sample isn't empty however many there are.
 STEPS = 1 << 52
+#: Tokens whose hash is 0 of PARTS set the threshold and are not counted; it is sought in steps of 1 / GRID up to RANGE either way.
+PARTS, GRID, RANGE = 5, 20, 10
+#: What a share of false alarms weighs against the same share of misses; ordinary tokens are far more than secrets.
+FALSE = 10
+LEAST_RATIO = 0.5
+#: What a count of transitions weighs that single characters stand for.
+BACK = 8.0
+WORD = r"[A-Za-z]{3,}"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{7,}"
 
 
@@ -84,48 +96,106 @@ def below(sample: int, total: int) -> int:
     return min(STEPS, sample * STEPS // max(total, 1))
 
 
-def train(docs: DataFrame, sample: int, random_rows: int, smooth: float = 0.5) -> list[float] | None:
-    """Log-likelihood ratio of every transition, random against ordinary; None without samples of both.
+class Model(NamedTuple):
+    """Log-likelihood ratio of every transition, random against ordinary, and the threshold of a token's mean."""
 
-    ``docs(doc_id, text)``. Counts are aggregated on the executors; at most 2 * 128 * 128 rows reach the driver.
-    """
+    table: list[float]
+    least: float
+
+
+def composed(text: Column) -> Column:
+    """Ordinary identifiers of four words in a row: constants, paths, mixed case, marks between, a number at the end, in turn."""
+
+    def written(words: Column) -> Column:
+        def form(i: Column) -> Column:
+            four = F.slice(words, i * 4 + 1, F.lit(4))
+            low = F.transform(four, F.lower)
+            numbered = F.concat(F.array_join(low, "_"), F.lit("_"), (i % 100).cast("string"))
+            constant, mixed = F.array_join(F.transform(four, F.upper), "_"), F.array_join(F.transform(four, F.initcap), "")
+            forms = (constant, F.array_join(low, "/"), mixed, F.array_join(low, "-"), numbered)
+            return F.element_at(F.array(*forms), (i % len(forms)).cast("int") + 1)
+
+        groups = F.floor(F.size(words) / 4).cast("int")
+        return F.when(groups > 0, F.transform(F.sequence(F.lit(0), groups - 1), form))
+
+    return once(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), written)
+
+
+def labelled(docs: DataFrame, sample: int, random_rows: int) -> DataFrame:
+    """label (1 random, 0 ordinary) and token, of two characters or more, from a sample of ``docs(doc_id, text)``."""
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(STEPS)) < below(sample, docs.count()))
     tokens = part.select(F.explode(known(F.col("text"))).alias("s")).select("s.value").union(drawn(docs.sparkSession, random_rows))
-    plain = part.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token"))
-    plain = plain.where(~F.col("token").rlike(KINDS["hex"] + "|" + KINDS["access"]))
+    own = F.filter(
+        F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0)), lambda t: ~t.rlike(KINDS["hex"] + "|" + KINDS["access"])
+    )
+    made = F.coalesce(composed(F.col("text")), F.array().cast("array<string>"))
+    plain = part.select(F.explode(F.concat(own, made)).alias("token"))
     both = tokens.toDF("token").withColumn("label", F.lit(1)).unionByName(plain.withColumn("label", F.lit(0)))
-    both = both.where(F.length("token") > 1).select("label", F.explode(_pairs(F.col("token"))).alias("pair"))
-    counts = both.groupBy("label", "pair").count().collect()
-    table = {(r["label"], r["pair"]): r["count"] for r in counts}
-    if len({label for label, _ in table}) < 2:
-        return None
-    rows = {(label, a): sum(table.get((label, a * 128 + b), 0) for b in range(128)) for label in (0, 1) for a in range(128)}
-
-    def log(label: int, a: int, b: int) -> float:
-        return math.log((table.get((label, a * 128 + b), 0) + smooth) / (rows[label, a] + 64 * smooth))
+    return both.where(F.length("token") > 1).select("label", "token")
 
-    return [round(log(1, a, b) - log(0, a, b), 4) for a in range(128) for b in range(128)]
 
+def train(docs: DataFrame, sample: int, random_rows: int) -> Model | None:
+    """The model of ``docs(doc_id, text)``; None without counted tokens of both labels.
 
-def ratio(token: Column, model: list[float]) -> Column:
+    Counts are aggregated on the executors; at most 2 * 128 * 128 rows of transitions and 4 * GRID * RANGE + 2 of ratios reach the driver.
+    """
+    rows = labelled(docs, sample, random_rows)
+    held = F.crc32("token") % PARTS == 0
+    pairs = rows.where(~held).select("label", F.explode(_pairs(F.col("token"))).alias("pair"))
+    table = {(r["label"], r["pair"]): r["count"] for r in pairs.groupBy("label", "pair").count().collect()}
+    if len({label for label, _ in table}) < 2:
+        return None
+    ascii_ = range(128)
+    first = {(k, a): sum(table.get((k, a * 128 + b), 0) for b in ascii_) for k in (0, 1) for a in ascii_}
+    second = {(k, b): sum(table.get((k, a * 128 + b), 0) for a in ascii_) for k in (0, 1) for b in ascii_}
+    total = {k: sum(first[k, a] for a in ascii_) for k in (0, 1)}
+
+    def log(k: int, a: int, b: int) -> float:
+        alone = (second[k, b] + 0.5) / (total[k] + 64)
+        return math.log((table.get((k, a * 128 + b), 0) + BACK * alone) / (first[k, a] + BACK))
+
+    ratios = [round(log(1, a, b) - log(0, a, b), 4) for a in ascii_ for b in ascii_]
+    step = F.floor(ratio(F.col("token"), ratios) * GRID)
+    step = F.least(F.greatest(step, F.lit(-RANGE * GRID)), F.lit(RANGE * GRID)).alias("step")
+    judged = rows.where(held & F.col("token").rlike("^" + CANDIDATE + "$")).groupBy("label", step).count()
+    return Model(ratios, threshold([tuple(r) for r in judged.collect()]))
+
+
+def threshold(counts: list[tuple[int, int, int]]) -> float:
+    """The middle of the ratios with the least cost on ``counts`` (label, step, tokens); LEAST_RATIO without both labels."""
+    total = {k: sum(n for label, _, n in counts if label == k) for k in (0, 1)}
+    if not all(total.values()):
+        return LEAST_RATIO
+    cost = {}
+    for t in range(-RANGE * GRID, RANGE * GRID + 2):
+        missed = sum(n for k, step, n in counts if k == 1 and step < t)
+        false = sum(n for k, step, n in counts if k == 0 and step >= t)
+        cost[t] = missed * total[0] + FALSE * false * total[1]
+    least = min(cost.values())
+    best = [t for t, c in cost.items() if c == least]
+    return best[len(best) // 2] / GRID
+
+
+def ratio(token: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's transitions."""
-    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")  # folded to one literal
-    total = F.aggregate(_pairs(token), F.lit(0.0), lambda acc, p: acc + F.coalesce(F.get(table, p), F.lit(0.0)))
+    own = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")  # folded to one literal
+    total = F.aggregate(_pairs(token), F.lit(0.0), lambda acc, p: acc + F.coalesce(F.get(own, p), F.lit(0.0)))
     return total / (F.length(token) - 1)
 
 
 def scan(
-    docs: DataFrame, sample: int = 20_000, random_rows: int = 3000, least_ratio: float = 0.5,
+    docs: DataFrame, sample: int = 20_000, random_rows: int = 3000, least_ratio: float | None = None,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, base and spans: arrays of structs start, end, kind, value; ``spans`` adds the models' (kind markov)."""
+    """doc_id, base and spans: arrays of structs start, end, kind, value; ``spans`` adds the models' (kind markov), by ``least_ratio`` if it is given."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     model = train(rows, sample, random_rows)
     none = F.array().cast(SPANS)
     text = F.col("text")
     own = none
     if model:
-        own = F.coalesce(F.filter(spans(text, CANDIDATE, "markov"), lambda s: ratio(s["value"], model) > least_ratio), none)
+        least = model.least if least_ratio is None else least_ratio
+        own = F.coalesce(F.filter(spans(text, CANDIDATE, "markov"), lambda s: ratio(s["value"], model.table) >= least), none)
     rows = rows.select("doc_id", known(text).alias("base"), own.alias("own"))
     return rows.select("doc_id", "base", F.concat("base", "own").alias("spans"))
 
