@@ -51,6 +51,41 @@ def test_distance_of_long_sequences():
     assert C.distance(a, b) <= 4 and C.distance(a, "") == 20_000
 
 
+def test_distance_in_bands(monkeypatch):
+    """Bands of any width give the distance if it is within them, and a larger number if not."""
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(1, 400))) for _ in range(2))
+        if rng.random() < 0.7:
+            b = list(a)
+            for _ in range(rng.randint(1, 40)):
+                at = rng.randint(0, len(b))
+                b[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "ab", "c" * rng.randint(0, 30)])
+            b = "".join(b)
+        a, b = sorted((a, b), key=len)
+        if not a:
+            continue
+        want = table_distance(a, b)
+        where = {c: sum(1 << i for i, x in enumerate(a) if x == c) for c in set(a)}
+        for most in {len(b) - len(a), want - 1, want, want + 1, 2 * want, len(b)}:
+            if most >= len(b) - len(a):
+                got = C._banded(where, len(a), b, most)
+                assert got == want if want <= most else got > most, (a, b, most)
+        with monkeypatch.context() as m:
+            m.setattr(C, "BANDED", 1)
+            assert C.distance(a, b) == want
+
+
+def test_distance_of_sequences_with_errors():
+    """Long sequences with one error in fifty take a band, and give what the whole table gives."""
+    rng = random.Random(7)
+    a = "".join(rng.choices("ACGT", k=12_000))
+    b = "".join(rng.choice(["", "A", "CG", c + "T"]) if rng.random() < 0.02 else c for c in a)
+    where = {c: sum(1 << i for i, x in enumerate(min(a, b, key=len)) if x == c) for c in "ACGT"}
+    whole = C._banded(where, min(len(a), len(b)), max(a, b, key=len), max(len(a), len(b)))
+    assert C.distance(a, b) == whole > 100
+
+
 def test_call_summary_without_shared_ids(spark):
     left = spark.createDataFrame([(1, "ACGT", "IIII"), (2, "A", "I")], "read_id long, seq string, qual string")
     row = C.call_summary(left, left.withColumn("read_id", F.col("read_id") + 10)).first()

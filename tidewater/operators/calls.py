@@ -38,11 +38,16 @@ def forward_sequence(seq: Column, is_reverse: Column) -> Column:
     return F.when(is_reverse, F.reverse(F.translate(seq, "ACGT", "TGCA"))).otherwise(seq)
 
 
+#: Rows from which a table of distances is first cut to a band, and the bands' widths as shares of the rows.
+BANDED, BANDS = 8192, (64, 16, 4)
+
+
 def distance(a: str, b: str) -> int:
     """Edit distance of two strings, all rows of a column at once as the bits of whole numbers.
 
-    A column of the table of distances differs from one row to the next by -1, 0 or 1; ``up`` and ``down`` hold where. That
-    takes len(a) * len(b) / 64 steps of the processor, so sequences of 10 ** 5 characters are within reach.
+    A column of the table of distances differs from one row to the next by -1, 0 or 1; ``up`` and ``down`` hold where. The whole
+    table takes len(a) * len(b) / 64 steps of the processor. Long strings are tried in bands about the diagonal first: a distance
+    of at most k never leaves a band of k + 1 rows, so a result within k is the distance, and one beyond it asks for a wider band.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -54,19 +59,43 @@ def distance(a: str, b: str) -> int:
     a, b = a[start:end], b[start : end + len(b) - len(a)]
     if not a:
         return len(b)
-    n = len(a)
-    full, last = (1 << n) - 1, 1 << (n - 1)
     where = {c: int("".join("1" if x == c else "0" for x in reversed(a)), 2) for c in set(a)}
-    up, down, out = full, 0, n
-    for c in b:
-        same = where.get(c, 0)
-        flat = (((same & up) + up) ^ up) | same | down
-        right = down | (full & ~(flat | up))
-        left = up & flat
-        out += bool(right & last) - bool(left & last)
-        right = (right << 1) | 1
-        up = ((left << 1) | ~(same | down | right)) & full
-        down = right & (same | down) & full
+    if len(a) >= BANDED:
+        for share in BANDS:
+            most = len(b) - len(a) + len(a) // share
+            out = _banded(where, len(a), b, most)
+            if out <= most:
+                return out
+    return _banded(where, len(a), b, len(b))
+
+
+def _banded(where: dict[str, int], n: int, b: str, most: int) -> int:
+    """Distance of ``b`` and the ``n`` characters whose places ``where`` holds if it is at most ``most``, else more than that.
+
+    The band moves down by whole steps of columns. What lies beyond its ends counts as one more for each row or column, which
+    is never less than it is.
+    """
+    more = len(b) - n
+    above, below, step = (most + more) // 2, (most - more) // 2, max(64, most // 2)
+    low = high = up = down = out = 0
+    for at in range(0, len(b), step):
+        part = b[at : at + step]
+        first, after = max(at - above, 0), min(n, at + len(part) + below)
+        up |= ((1 << (after - high)) - 1) << (high - low)
+        out += after - high
+        up, down = up >> (first - low), down >> (first - low)
+        low, high = first, after
+        full, last = (1 << (high - low)) - 1, 1 << (high - low - 1)
+        own = {c: (where[c] >> low) & full for c in set(part) & where.keys()}
+        for c in part:
+            same = own.get(c, 0)
+            flat = (((same & up) + up) ^ up) | same | down
+            right = down | (full & ~(flat | up))
+            left = up & flat
+            out += bool(right & last) - bool(left & last)
+            right = (right << 1) | 1
+            up = ((left << 1) | ~(same | down | right)) & full
+            down = right & (same | down) & full
     return out
 
 
