@@ -185,11 +185,14 @@ def ratio(token: Column, table: list[float]) -> Column:
 
 def scan(
     docs: DataFrame, sample: int = 20_000, random_rows: int = 3000, least_ratio: float | None = None,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", model: Model | None = None,
 ) -> DataFrame:
-    """doc_id, base and spans: arrays of structs start, end, kind, value; ``spans`` adds the models' (kind markov), by ``least_ratio`` if it is given."""
+    """doc_id, base and spans: arrays of structs start, end, kind, value; ``spans`` adds the models' (kind markov), by ``least_ratio`` if it is given.
+
+    A ``model`` of `train` may come from other documents; without one it is trained on these.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    model = train(rows, sample, random_rows)
+    model = model or train(rows, sample, random_rows)
     none = F.array().cast(SPANS)
     text = F.col("text")
     own = none
