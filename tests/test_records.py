@@ -7,9 +7,11 @@ import uuid
 import warnings
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from tidewater.functions import signal as S
@@ -21,6 +23,7 @@ from tidewater.operators import quantise as Q
 from tidewater.operators import runlog as L
 from tidewater.operators import windows as W
 from tidewater.operators.quantiles import quantiles
+from tidewater.plans import records
 from tidewater.sources import fastq, io
 from tidewater.streaming import streams
 
@@ -473,3 +476,27 @@ def test_window_sizes_and_rates(spark):
     assert [r[0] for r in rows.select(S.rate_gate(F.col("a"), 4000.0)).collect()] == [True, True, False, True]
     quals = spark.createDataFrame([("I+",), ("",), (None,), ("é!",)], "q string")
     assert [r[0] for r in quals.select(C.mean_qscore("q")).collect()] == [25.0, 0.0, None, (ord("é") - 33) / 2]
+
+
+def test_streamed_evaluations_of_many_files(spark, tmp_path, monkeypatch):
+    """Runs that begin with NaN, and more files in a part than a batch took, the latest steps first: both as in the SQL."""
+    kind = ["view", "signup", "view", "purchase", "click", "error"]
+    rows = [(s, kind[s] if s < 6 else kind[s * 7 % 6], float(s * 37 % 1009)) for s in range(6000)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, value double")
+    for k in range(6):
+        events.where(f"event_id div 1000 = {5 - k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    for t in ("orders", "lineitem", "conversations", "embeddings"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{DATA}/{t}.parquet")
+    monkeypatch.setattr(records, "TOGETHER", 1500)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # a file is a task
+    try:
+        out = records.stream_running_best(spark, str(tmp_path)).select("run", "step", "metric", "best", "best_step", "is_new_best").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"select run, step, metric, best, best_step, is_new_best from ({records.ORACLE['stream_running_best']})").fetchall()
+    assert ("purchase", 3) in {r[:2] for r in want} and sorted(map(repr, map(tuple, out))) == sorted(map(repr, want))
+    evals = spark.createDataFrame([r[:3] for r in want], "run string, step long, metric double")
+    again = L.running_best(evals, F.col("metric"), "run", block=700, nan_stays=False).collect()
+    assert sorted(map(repr, map(tuple, again))) == sorted(map(repr, want))

@@ -97,30 +97,32 @@ def timing_summary(times: DataFrame, batch: int, chunk: int, discard: int = 0) -
     return stats.select("kept", "first_step", "last_step", "mean_ms", *names.values(), "std_ms", *rates)
 
 
-def running_best(evals: DataFrame, metric: Column, *by: str, block: int = 100_000) -> DataFrame:
+def running_best(evals: DataFrame, metric: Column, *by: str, block: int = 100_000, nan_stays: bool = True) -> DataFrame:
     """step, metric, best so far, its step and whether the step is a new best; rows without a metric are skipped.
 
     A new best is more than the best so far. NaN is never more, so none replaces a number; nothing is more than NaN, so one that
-    comes first stays the best. Windows see ``block`` steps each; what came before a block is known from one row per block.
+    comes first stays the best. Without ``nan_stays`` NaN is never the best, also if it comes first. Windows see ``block`` steps each; what came before a block is known from one row per block.
     """
     rows = evals.withColumn("metric", metric).where("metric is not null").withColumn("block", F.floor(F.col("step") / block))
     rows = rows.withColumn("number", F.when(~F.isnan("metric"), F.col("metric")))
-    begin = rows.groupBy(*by).agg(F.min(F.struct("step", F.isnan("metric").alias("nan"))).alias("begin"))  # one row a run
     top = F.max(F.when(F.col("number").isNotNull(), F.struct("number", (-F.col("step")).alias("back")))).alias("top")
     earlier = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     tops = rows.groupBy(*by, "block").agg(top).select(*by, "block", F.max("top").over(earlier).alias("top"))
+    begin = rows.groupBy(*by).agg(F.min(F.struct("step", F.isnan("metric").alias("nan"))).alias("begin"))  # one row a run
     rows = rows.join(tops, [*by, "block"])
-    rows = rows.join(begin, list(by)) if by else rows.crossJoin(begin)
+    if nan_stays:
+        rows = rows.join(begin, list(by)) if by else rows.crossJoin(begin)
     within = Window.partitionBy(*by, "block").orderBy("step")
     before, upto = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(Window.unboundedPreceding, 0)
     past = F.greatest(F.max("number").over(before), F.col("top.number"))
-    stuck, first = F.col("begin.nan"), F.col("step") == F.col("begin.step")
     more = F.col("number").isNotNull() & (past.isNull() | (F.col("number") > past))
-    rows = rows.withColumn("is_new_best", F.when(stuck, first).otherwise(more))
+    stuck = F.col("begin.nan")  # known only if ``nan_stays``
+    rows = rows.withColumn("is_new_best", F.when(stuck, F.col("step") == F.col("begin.step")).otherwise(more) if nan_stays else more)
     best = F.greatest(F.max("number").over(upto), F.col("top.number"))
     at = F.coalesce(F.last(F.when(F.col("is_new_best"), F.col("step")), ignorenulls=True).over(upto), -F.col("top.back"))
-    best = F.when(stuck, float("nan")).otherwise(best).alias("best")
-    return rows.select(*by, "step", "metric", best, F.when(stuck, F.col("begin.step")).otherwise(at).alias("best_step"), "is_new_best")
+    if nan_stays:
+        best, at = F.when(stuck, float("nan")).otherwise(best), F.when(stuck, F.col("begin.step")).otherwise(at)
+    return rows.select(*by, "step", "metric", best.alias("best"), at.alias("best_step"), "is_new_best")
 
 
 def eval_metric(delta: Column, summary: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidewater.operators import calls as C
 from tidewater.operators import manifest as M
@@ -531,7 +532,7 @@ def _evals(spark, sf):
 
 @query(_best_sql(""))
 def running_best(spark, sf):
-    return L.running_best(_evals(spark, sf), F.col("metric"), block=500)
+    return L.running_best(_evals(spark, sf), F.col("metric"), block=500, nan_stays=False)
 
 
 _RUNS = """
@@ -675,27 +676,32 @@ def scan_skip_corrupt(spark, sf):
 
 
 DELAY = 500  # steps by which evaluations arrive out of order
+TOGETHER = 1_000_000  # rows that arrive together, about, in a table of many
 
 
 def _streamed(spark: SparkSession, parts: list[DataFrame], op, mode: str = "append") -> DataFrame:
-    """What ``op`` gives over ``parts`` arriving as files, one after the other, with the number of the batch."""
-    root = shared_folder(spark, "stream")
+    """What ``op`` gives over ``parts`` that arrive one after the other, with the number of the batch.
+
+    A part is written when the one before it has been read, so its files are one batch, however many they are.
+    """
+    root, kind = shared_folder(spark, "stream"), parts[0].schema
     for k, part in enumerate(parts):
-        part.write.mode("append").parquet(f"{root}/in/{k:03}")
-        # the files of a part arrive together
-    kind = parts[0].schema
-    out = op(spark.readStream.schema(kind).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", True).parquet(f"{root}/in"))
-    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-    writer.foreachBatch(streams.batch_sink(f"{root}/out")).start().awaitTermination()
+        part.write.parquet(f"{root}/in/{k:03}")
+        out = op(spark.readStream.schema(kind).option("recursiveFileLookup", True).parquet(f"{root}/in"))
+        writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+        writer.foreachBatch(streams.batch_sink(f"{root}/out")).start().awaitTermination()
     return streams.read_sink(spark, f"{root}/out", out)
 
 
-def _thirds(rows: DataFrame, order) -> list[DataFrame]:
-    """Rows by an order that is no secret to the stream, in three parts."""
-    rows = rows.withColumn("arrives", order)
-    low, high = rows.stat.approxQuantile("arrives", [1 / 3, 2 / 3], 0.01)
-    at = F.col("arrives")
-    return [rows.where(part).drop("arrives") for part in (at <= low, (at > low) & (at <= high), at > high)]
+def _arriving(rows: DataFrame, order) -> list[DataFrame]:
+    """Rows by an order that is no secret to the stream, in three parts, or more of about ``TOGETHER`` rows."""
+    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, "arriving")
+    n = max(3, -(-rows.count() // TOGETHER))
+    at = rows.select(order.alias("arrives")).stat.approxQuantile("arrives", [k / n for k in range(1, n)], 0.03 / n)
+    part = sum([F.when(order > x, 1).otherwise(0) for x in at], F.lit(0)).alias("part")
+    rows.select("*", part).write.partitionBy("part").parquet(path)
+    parts = spark.read.schema(StructType([*rows.schema, StructField("part", IntegerType())])).parquet(path)
+    return [parts.where(F.col("part") == k).drop("part") for k in range(n)]
 
 
 @query(None)
@@ -708,7 +714,7 @@ def stream_chunks(spark, sf):
 def stream_step_windows(spark, sf):
     """The log arrives in the order of its steps, but for ``DELAY`` of them; its last line comes when the run has ended."""
     rows = fixture(spark, sf, "step_log")
-    parts = _thirds(rows, F.col("step") + F.pmod(F.xxhash64("step"), F.lit(DELAY)))
+    parts = _arriving(rows, F.col("step") + F.pmod(F.xxhash64("step"), F.lit(DELAY)))
     end = rows.agg((F.max("step") + 1 + DELAY).alias("step")).select("step", F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"))
     out = _streamed(spark, [*parts, end], lambda s: streams.stream_step_windows(s, 50, DELAY))
     return out.select("block", "metric", r6("value"))
@@ -720,6 +726,6 @@ def stream_running_best(spark, sf):
     for name, value in streams.STATE_STORE.items():
         spark.conf.set(name, value)
     rows = _evals(spark, sf).select("run", "step", "metric")
-    parts = _thirds(rows, F.col("step") + F.pmod(F.xxhash64("step"), F.lit(DELAY)))
+    parts = _arriving(rows, F.col("step") + F.pmod(F.xxhash64("step"), F.lit(DELAY)))
     end = rows.select("run").distinct().select("run", F.lit(None).cast("long").alias("step"), F.lit(None).cast("double").alias("metric"))
-    return _streamed(spark, [*parts, end], lambda s: streams.stream_running_best(s, DELAY)).drop("batch", "late")
+    return _streamed(spark, [*parts, end], lambda s: streams.stream_running_best(s, DELAY, nan_stays=False)).drop("batch", "late")

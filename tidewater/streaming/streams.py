@@ -52,8 +52,8 @@ def stream_step_windows(log: DataFrame, n: int, delay: int = 0) -> DataFrame:
 class RunningBest(StatefulProcessor):
     """State of one run: the best so far, and the steps whose predecessors can still come."""
 
-    def __init__(self, delay: int):
-        self.delay = delay
+    def __init__(self, delay: int, nan_stays: bool = True):
+        self.delay, self.nan_stays = delay, nan_stays
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.best = handle.getValueState("best", "best double, at long")
@@ -64,7 +64,8 @@ class RunningBest(StatefulProcessor):
         best, at = self.best.get() if self.best.exists() else (None, None)
         judged = Row(*[x.split()[0] for x in BEST.split(", ")])
         last, released = self.seen.get() if self.seen.exists() else (-(1 << 62), -(1 << 62))
-        held, end = {}, False
+        before = {k[0]: v[0] for k, v in self.held.iterator()}  # of the last ``delay`` steps
+        held, end = dict(before), False
         for row in rows:
             if row.step is None:
                 end = True
@@ -75,20 +76,22 @@ class RunningBest(StatefulProcessor):
             if row.step <= released:
                 yield judged(key[0], row.step, row.metric, best, at, False, True)
                 continue
-            held[row.step] = max(held.get(row.step, row.metric), row.metric, key=lambda m: -math.inf if math.isnan(m) else m)
-        for step, metric in held.items():
-            known = self.held.getValue((step,)) if self.held.containsKey((step,)) else None
-            if known is None or math.isnan(known[0]) or metric > known[0]:
-                self.held.updateValue((step,), (float(metric),))
-        ready = sorted(k[0] for k in self.held.keys() if end or k[0] <= last - self.delay)  # noqa: SIM118
+            held[row.step] = max(held.get(row.step, row.metric), row.metric, key=lambda m: (not math.isnan(m), m))
+        ready = sorted(k for k in held if end or k <= last - self.delay)
         for step in ready:
-            metric = self.held.getValue((step,))[0]
-            new = best is None or metric > best  # NaN is no more than any number, and no number more than NaN
+            metric = held.pop(step)
+            # NaN is no more than any number, and no number more than NaN
+            new = metric > best if best is not None else self.nan_stays or not math.isnan(metric)
             if new:
                 best, at = metric, step
             yield judged(key[0], step, metric, best, at, new, False)
-            self.held.removeKey((step,))
-        released = max([released, *ready, last if end else last - self.delay])
+            if step in before:
+                self.held.removeKey((step,))
+        # what a batch brings and judges never gets into the state
+        for step, metric in held.items():
+            if before.get(step) != metric:
+                self.held.updateValue((step,), (float(metric),))
+        released = max([released, *ready[-1:], last if end else last - self.delay])
         if best is not None:
             self.best.update((float(best), int(at)))
         self.seen.update((last, released))
@@ -100,12 +103,13 @@ class RunningBest(StatefulProcessor):
 BEST = "run string, step long, metric double, best double, best_step long, is_new_best boolean, late boolean"
 
 
-def stream_running_best(evals: DataFrame, delay: int = 0) -> DataFrame:
+def stream_running_best(evals: DataFrame, delay: int = 0, nan_stays: bool = True) -> DataFrame:
     """run, step, metric, best, best_step, is_new_best, late of ``evals(run, step, metric)``, judged in the order of their steps.
 
     A step is held until a step ``delay`` or more past it has come, as until then its predecessors may; then it is judged
     and returned. A step that comes after it could be judged is late: it is returned as such, with the best of then, and changes
     nothing. A row without a step ends its run: what is held is judged. Rows without a metric count for the order only; a
-    step that comes twice before it is judged counts once, with the greater metric. Needs STATE_STORE.
+    step that comes twice before it is judged counts once, with the greater metric. NaN is as in `operators.runlog.running_best`.
+    The rows of a run that arrive in one batch are held by its task. Needs STATE_STORE.
     """
-    return evals.select("run", "step", "metric").groupBy("run").transformWithState(RunningBest(delay), BEST, "append", "None")
+    return evals.select("run", "step", "metric").groupBy("run").transformWithState(RunningBest(delay, nan_stays), BEST, "append", "None")
