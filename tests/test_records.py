@@ -500,3 +500,16 @@ def test_streamed_evaluations_of_many_files(spark, tmp_path, monkeypatch):
     evals = spark.createDataFrame([r[:3] for r in want], "run string, step long, metric double")
     again = L.running_best(evals, F.col("metric"), "run", block=700, nan_stays=False).collect()
     assert sorted(map(repr, map(tuple, again))) == sorted(map(repr, want))
+
+
+def test_step_log_rounds_as_its_sql(spark, tmp_path):
+    """Values halfway between two of three places, beyond numbers, and none."""
+    odd = [None, float("nan"), float("inf"), float("-inf"), 1e-9, -0.0004, 12345678.90125, 1e17]
+    values = odd + [k / 10000 * 1.001 for k in range(5, 20000, 10)] + [k / 10000 for k in range(5, 40000, 10)]
+    spark.createDataFrame([(k, k if k % 50 else None, v) for k, v in enumerate(values)], "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = records.parse_step_log(spark, str(tmp_path)).select("step", "metric", "value").collect()
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"select step, metric, value from ({records.ORACLE['parse_step_log']})").fetchall()
+    plain = lambda rows: sorted((s, m, repr(v if v is None else v + 0.0)) for s, m, v in rows)
+    assert plain(map(tuple, got)) == plain(want)

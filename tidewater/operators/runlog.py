@@ -9,19 +9,25 @@ from tidewater.storage import stored
 
 from .quantiles import quantiles
 
-NUMBERS = r"([A-Za-z_][\w./]*)=(-?(?:nan|inf|[\d.]+(?:[eE][-+]?\d+)?))"
+NUMBERS = r"([A-Za-z_][\w./]*)=(None\b|-?(?:nan|inf|[\d.]+(?:[eE][-+]?\d+)?))"
 SPARSE = ("perplexity", "code_usage")
 
 
 def parse_step_log(lines: DataFrame) -> DataFrame:
     """step, perf, metric, value of lines ``[step N] k=v, ...`` and ``[perf step N] ...`` in a column ``value``.
 
-    Numbers are what the writer prints: also ``nan``, ``inf`` and ``-inf``.
+    Numbers are what the writer prints: also ``nan``, ``inf`` and ``-inf``. ``None`` is a metric without a value.
     """
     head = F.regexp_extract("value", r"^\[(perf )?step\s+(\d+)\]", 2)
     pairs = F.regexp_extract_all("value", F.lit(NUMBERS), F.lit(0))
     rows = lines.where(head != "").select(head.cast("long").alias("step"), F.col("value").startswith("[perf").alias("perf"), F.explode(pairs).alias("kv"))
-    return rows.select("step", "perf", F.substring_index("kv", "=", 1).alias("metric"), F.substring_index("kv", "=", -1).cast("double").alias("value"))
+    return rows.select("step", "perf", F.substring_index("kv", "=", 1).alias("metric"), F.nullif(F.substring_index("kv", "=", -1), F.lit("None")).cast("double").alias("value"))
+
+
+def printed(number: Column) -> Column:
+    """A number as the writer of a log prints it, in Python's spelling of what is none."""
+    infinite = F.when(number == float("inf"), "inf").when(number == float("-inf"), "-inf")
+    return F.when(number.isNull(), "None").when(F.isnan(number), "nan").otherwise(F.coalesce(infinite, number.cast("string")))
 
 
 def metric_rename(log: DataFrame, names: dict[str, str], split: str = "train", keep: str | None = None) -> DataFrame:

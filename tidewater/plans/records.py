@@ -482,9 +482,10 @@ from events
 union all select event_id + 1, 'rate', user_id::double from events""")
 def parse_step_log(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet")
-    odd = F.when(F.col("event_id") % 41 == 0, "nan").when(F.col("event_id") % 43 == 0, "-inf")
-    values = F.coalesce(odd, F.round("value", 3).cast("string")), F.col("user_id").cast("string")
-    line = F.format_string("[step %d] loss=%s, rate=%s", F.col("event_id") + 1, *values)
+    odd = F.when(F.col("event_id") % 41 == 0, float("nan")).when(F.col("event_id") % 43 == 0, float("-inf"))
+    # the double nearest to value * 1000 is rounded, as DuckDB does; Spark's own round to 3 places rounds the decimal that a double is shown as
+    loss = F.coalesce(odd, F.round(F.col("value") * 1000, 0) / 1000)
+    line = F.format_string("[step %d] loss=%s, rate=%s", F.col("event_id") + 1, L.printed(loss), L.printed(F.col("user_id")))
     return L.parse_step_log(rows.select(line.alias("value"))).drop("perf")
 
 
