@@ -47,6 +47,18 @@ def test_distance():
         assert C.distance(a, b) == C.distance(b, a) == table_distance(a, b)
 
 
+def test_distances_side_by_side():
+    rng = random.Random(6)
+    pairs = [("", ""), ("", "ab"), ("é" * 9000, "é" * 8999 + "x"), ("".join(map(chr, range(300, 700))), "".join(map(chr, range(310, 720))))]
+    for _ in range(900):
+        a = "".join(rng.choices("abcé"[: rng.randint(1, 4)], k=rng.randint(0, 300)))
+        drop = rng.choice([0, 0.02, 0.3, 0.9])
+        b = "".join(c for c in a if rng.random() >= drop) if rng.random() < 0.7 else "".join(rng.choices("abx", k=rng.randint(0, 200)))
+        pairs.append(rng.choice([(a, b), (b, a)]))
+    got = C.distances(*map(list, zip(*pairs, strict=True)))
+    assert list(got) == [C.distance(a, b) for a, b in pairs] and len(C.distances([], [])) == 0
+
+
 def test_distance_of_long_sequences():
     rng = random.Random(5)
     a = "".join(rng.choices("ACGT", k=20_000))

@@ -99,9 +99,111 @@ def _banded(where: dict[str, int], n: int, b: str, most: int) -> int:
     return out
 
 
+#: Words of 64 bits that an operation on many pairs takes, places of a table of letters, and letters, at most.
+WORDS, PLACES, LETTERS = 8192, 1 << 22, 64
+MANY = 48  # pairs from which it is faster than one pair after the other
+
+
+def distances(a: list[str], b: list[str]) -> np.ndarray:
+    """`distance` of many pairs at once: pairs of like lengths side by side, each in a band about its diagonal.
+
+    A band of ``w`` words has three quarters above the diagonal of the longer string's start. A path of cost d leaves it by
+    (d + n) / 2 above and (d - n) / 2 below at most, n being the difference of lengths, so a result within that is the distance;
+    the other pairs are tried again in bands twice as wide. Sequences of BANDED characters and more go one by one.
+    """
+    a, b = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)], strict=True) if a else ((), ())
+    n, m = (np.array([len(x) for x in z], np.int64) for z in (a, b))
+    out, more = m.copy(), m - n  # right where one is empty
+    for i in np.flatnonzero(m >= BANDED):
+        out[i] = distance(a[i], b[i])
+    todo = np.flatnonzero((n > 0) & (m < BANDED))
+    sizes = np.array([k << i for i in range(24) for k in (2, 3)]) // 2  # 1, 1, 2, 3, 4, 6, ...: few, so that many pairs share one
+    words = sizes[np.searchsorted(sizes, (5 * more // 4 + 24) // 48 + 1)]
+    while len(todo):
+        todo, again = todo[np.lexsort((-m[todo], words[todo]))], []
+        while len(todo):
+            w, most = int(words[todo[0]]), int(m[todo[0]])
+            size = max(1, min(WORDS // w, PLACES // most, int((words[todo] == w).sum())))
+            some, todo = todo[:size], todo[size:]
+            if size < MANY:
+                out[some] = [distance(a[i], b[i]) for i in some]
+                continue
+            got = _side_by_side([a[i] for i in some], [b[i] for i in some], w)
+            right = (got + more[some] <= 96 * w) & (got - more[some] < 32 * w)
+            out[some[right]] = got[right]
+            again.append(some[~right])
+        todo = np.concatenate([np.zeros(0, np.int64), *again])
+        words[todo] *= 2
+    return out
+
+
+def _codes(texts: list[str]) -> list[np.ndarray]:
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.split(flat, np.cumsum([len(x) for x in texts])[:-1])
+
+
+def _side_by_side(a: list[str], b: list[str], w: int) -> np.ndarray:
+    """Distances of pairs, the longer ``b`` first falling in length, in bands of ``w`` words; too large where a band is too narrow.
+
+    Bit p of a band stands for row column - above + p, so that the band goes down a row with each column and the diagonal that ends
+    in the last cell keeps its bit; its steps that cost nothing are counted.
+    """
+    above, size, most = 48 * w, len(a), len(b[0])
+    x, y = _codes(a), _codes(b)
+    known = np.unique(np.concatenate([np.flatnonzero(np.bincount(np.concatenate(z))) for z in (x, y)]))
+    if len(known) > LETTERS:
+        return np.array([distance(p, q) for p, q in zip(a, b, strict=True)], np.int64)
+    high = max(most, max(map(len, x)) + above) // 64 + w + 2
+    place, letters = np.zeros(int(known[-1]) + 1, np.int64), len(known)
+    place[known] = np.arange(letters)
+    at = np.zeros((size, high * 64), np.uint8)
+    column = np.zeros((most, size), np.int64)
+    for i, (p, q) in enumerate(zip(x, y, strict=True)):
+        at[i, above : above + len(p)] = place[p] + 1
+        column[: len(q), i] = place[q]
+    rows = np.stack([np.packbits(at == k + 1, axis=1, bitorder="little").view(np.uint64).T for k in range(letters)]).ravel()
+    column *= high * size
+    column += np.arange(size)
+    begin = ((1 << 64 * w) - (1 << above)).to_bytes(8 * w, "little")
+    up = np.repeat(np.frombuffer(begin, np.uint64)[:, None], size, axis=1)
+    down = np.zeros_like(up)
+    lengths = np.array([len(q) for q in b])
+    word, bit = np.divmod(above - lengths + np.array([len(p) for p in a]), 64)
+    shift, free = bit.astype(np.uint64), np.zeros(size, np.uint64)
+    living = np.searchsorted(-lengths, -np.arange(most), "left")  # pairs that have a column; columns are counted from 0
+    step, one, top, wide = np.arange(w + 1)[:, None] * size, np.uint64(1), np.uint64(63), 0
+    shifts = np.arange(65, dtype=np.uint64)
+    for j in range(most):
+        n = living[j]
+        if not wide or n < 0.8 * wide:  # those that are done go
+            wide, up, down = n, up[:, :n].copy(), down[:, :n].copy()
+            own = word[:n] * n + np.arange(n)
+        found = rows.take(column[j, :wide] + (step + j // 64 * size))
+        same = found[:-1]
+        if r := j % 64:
+            same = (same >> shifts[r]) | (found[1:] << shifts[64 - r])
+        flat = same & up
+        total = flat + up
+        if w > 1:
+            over = (total < flat)[:-1]
+            while over.any():
+                total[1:] += over
+                over = np.concatenate([np.zeros((1, wide), bool), (over & (total[1:] == 0))[:-1]])
+        flat = (total ^ up) | same | down
+        right, left = down | ~(flat | up), flat & up
+        free[:n] += (flat.ravel().take(own[:n]) >> shift[:n]) & one
+        low = flat >> one
+        low[:-1] |= flat[1:] << top
+        up, down = left | ~(low | right), low & right
+    return lengths - free.astype(np.int64)
+
+
 @F.pandas_udf(LongType())
 def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+    known = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series(pd.NA, index=a.index, dtype="Int64")
+    out[known] = distances(a[known].tolist(), b[known].tolist())
+    return out
 
 
 def identity(distance: Column, a: Column, b: Column) -> Column:
@@ -162,6 +264,12 @@ def call_summary(left: DataFrame, right: DataFrame) -> DataFrame:
 TRUTH = {"identity": None, "empirical_q": "mean_empirical_q", "right_q": "mean_predicted_q", "left_q": "mean_truth_q", "length_delta": None}
 
 
+def truth_means(rows: DataFrame) -> DataFrame:
+    """One row: what `summary_delta` reads of a `truth_summary`; plain sums in one pass, without the medians."""
+    means = [_mean(F.col(c)).alias(n) for c, n in TRUTH.items() if n in DELTAS]
+    return rows.agg(F.count("*").alias("shared"), *_rates(), *means)
+
+
 def truth_summary(rows: DataFrame, counts: DataFrame, *by: str) -> DataFrame:
     """Summary of pair rows against the truth per ``by``; ``counts(*by, truth_count, predicted_count)`` are of each side.
 

@@ -217,7 +217,7 @@ select x.m as metric, round(x.d, 6) + 0.0 as delta
 from (select unnest([{", ".join(f"{{'m': '{c}', 'd': n.{c}::double - o.{c}::double}}" for c in C.DELTAS)}]) as x
       from ({_truth_sql('d_mto', 'calls_original')}) o, ({_truth_sql('d_mtg', 'calls_generated')}) n)""")
 def summary_delta(spark, sf):
-    new, old = (_rounded(_truth(spark, sf, x)) for x in ("generated", "original"))
+    new, old = (_rounded(C.truth_means(_both(spark, sf, "truth", x))) for x in ("generated", "original"))
     return C.summary_delta(new, old).select("metric", r6("delta"))
 
 
