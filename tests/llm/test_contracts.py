@@ -436,6 +436,27 @@ def test_passages_first_by_paragraph(spark):
     assert sorted((r.start, r.end, r.removed) for r in repeated_passages(twice).collect()) == [(0, len(texts[0]), False), (0, len(texts[0]), True)]
 
 
+def test_passages_beyond_whole_sentences(spark):
+    """Passages of 50 words or more that start and end within sentences, stand in one long sentence or have none but short ones."""
+    w = lambda k, n: [f"p{k}w{i}" for i in range(n)]
+    cut = " ".join([*w(0, 18), "stop.", *w(1, 10), "stop.", *w(2, 22)])  # 52 words, one whole sentence
+    line, shout = " ".join(w(3, 120)), " ".join(f"{x}!" for x in w(4, 60))
+    short = " ".join([*w(5, 12), "stop.", *w(6, 10), "stop.", *w(7, 10)])  # 34 words
+    once = lambda k: " ".join(w(100 + k, 20))
+    same = " ".join(["again"] * 70)
+    passages_ = [cut, line, shout, same]
+    rows = [(2 * k + d + 1, f"{once(2 * k + d)} {p} {once(50 + 2 * k + d)}.") for k, p in enumerate(passages_) for d in (0, 1)]
+    rows += [(20 + d, f"{once(20 + d)} {short} {once(70 + d)}.") for d in (0, 1)]
+    rows += [(30 + d, f"{once(30 + d)} {once(80)} {once(40 + d)}.") for d in (0, 1)] + [(40, None), (41, ""), (42, "\u00a0 . \u00a0"), (43, same + " " + same)]
+    text = dict(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, text[r.doc_id][r.start : r.end], r.n_words, r.removed) for r in repeated_passages(frame, exact_words=50).collect()}
+    want = {(2 * k + d + 1, p, len(p.split()), bool(d)) for k, p in enumerate(passages_) for d in (0, 1)} | {(43, same + " " + same, 140, True)}
+    assert got == want
+    assert not {r.doc_id for r in repeated_passages(frame).collect()} & {1, 2, 3, 4, 5, 6}
+    assert repeated_passages(frame.where("false"), exact_words=50).count() == 0
+
+
 def test_chunked_framing():
     for n in (0, 1, 10, 11, 25):
         assert unframe(frame(b"x" * n, 10)) == b"x" * n

@@ -12,6 +12,14 @@ is a repeat if its component has an earlier occurrence (smaller doc_id, then pla
 ``least_words`` words together are a passage that is removed; neighbouring paragraphs of what stays, a passage that is
 kept. A paragraph of five words or more that occurs once ends a passage.
 
+With ``exact_words``, passages are also followed beyond their whole sentences, as a splice may cut a sentence at either end. Pieces of
+sentences of LONG words or more, and of neighbouring sentences too short to be paragraphs, are then banded like paragraphs (for equality only, in one
+band), cut where the words say so. Where a paragraph or piece that repeats is not yet in a passage, the words about it are compared: it and
+half of what it lacks of ``exact_words``, on its left and on its right (any stretch of that length holds one of the two), then
+every stretch of ``exact_words`` words about those that agree with another document. A stretch that another document holds
+word for word is a passage, or widens those that it overlaps; it is removed if a smaller doc_id holds it. Kept passages that lie within
+removed ones are left out. Rows that repeat an id are compared by whole paragraphs only.
+
 Defined cases: null or empty text has no paragraphs; paragraphs of fewer than five words only join runs, they never
 start one; rows that repeat an id are taken as further copies; a null doc_id takes no part; an empty table gives no rows;
 extra columns are ignored.
@@ -22,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +38,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import BROADCAST_IDS, components, keep_ids, materialise
 from .near_dup import multipliers
 
 PARAGRAPH = re.compile(r"[^\n.!?]*[.!?]+(?=\s|$)|[^\n.!?]*[.!?]+|[^\n.!?]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
 POSTED = "bucket long, content long, doc_id long"
 BLOCK_BYTES = 1 << 16  # about what one block of paragraphs holds
 PART = 8  # blocks of one join key
+LONG = 40  # words from which a sentence is also looked at in pieces
+REACH = 6  # words on either side that decide where a piece begins
+FACTOR = 0xD6E8FEB86659FD93
 
 
 def paragraphs(text: str) -> list[tuple[int, int, list[bytes]]]:
@@ -61,8 +74,74 @@ def _shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[k:] for k in range(SHINGLE)), strict=False))
 
 
-def _posted(docs: DataFrame, bands: int) -> DataFrame:
-    """bucket, content, doc_id of every paragraph of five words or more."""
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _groups(found: list[tuple[int, int, list[bytes]]]) -> list[tuple[int, int, int, int]]:
+    """start and end, first word (from 0 in the text) and number of words of all that is looked at in pieces."""
+    out, first, n, span = [], 0, 0, (0, 0)
+    for s, e, w in [*found, (0, 0, [b""] * SHINGLE)]:
+        if len(w) < SHINGLE:
+            span = (span[0] if n else s, e)
+            n += len(w)
+            continue
+        if n >= SHINGLE:
+            out.append((*span, first, n))
+        first += n
+        if len(w) >= LONG:
+            out.append((s, e, first, len(w)))
+        first, n = first + len(w), 0
+    return out
+
+
+def _pieces(found: list[tuple[int, int, list[bytes]]], words: list[bytes], h: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
+    """start and end of the sentences around, first word and number of words of every piece of a text; ``h`` hashes all its ``words``.
+
+    A piece begins at a word whose hash is the least of those within REACH, SHINGLE words after the last one or more.
+    """
+    out, edge = [], np.zeros(REACH, np.uint64)  # no word is the least near an end
+    groups = _groups(found)
+    large = [g for g in groups if g[3] >= 2 * SHINGLE]
+    own = [_hashes(words[i : i + n]) if h is None else h[i : i + n] for _, _, i, n in large]
+    if not own:
+        return groups
+    padded = np.concatenate([edge, *(x for y in own for x in (y, edge))])
+    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * REACH + 1).min(axis=1)
+    at = np.flatnonzero(padded[REACH:-REACH] == least)
+    at = at[padded[at + REACH] > 0]
+    base = 0
+    for s, e, first, n in large:
+        low, high = np.searchsorted(at, (base, base + n))
+        last = 0
+        for i in (at[low:high] - base).tolist():
+            if i - last >= SHINGLE and n - i >= SHINGLE:
+                out.append((s, e, first + last, i - last))
+                last = i
+        out.append((s, e, first + last, n - last))
+        base += n + REACH
+    return out + [g for g in groups if g[3] < 2 * SHINGLE]
+
+
+class _Stretches:
+    """Hashes of stretches of a text's words."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        n = len(words)
+        powers = lambda x: np.cumprod(np.array([1] + [x] * n, np.uint64))
+        self.back = powers(pow(FACTOR, -1, 1 << 64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_hashes(words) * powers(FACTOR)[:n])])
+        self.n = n
+
+    def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return ((self.sums[end] - self.sums[first]) * self.back[first]).view(np.int64)
+
+
+def _posted(docs: DataFrame, bands: int, exact: bool = False) -> DataFrame:
+    """bucket, content, doc_id of every paragraph of five words or more; with ``exact`` of pieces too, in the first band.
+
+    So are, with ``exact``, paragraphs of so few shingles that none but an equal set is like them (at 80 percent or more).
+    """
     a, b = multipliers(bands)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,11 +150,20 @@ def _posted(docs: DataFrame, bands: int) -> DataFrame:
                 some = batch.slice(k, 500)
                 buckets, contents, ids = [], [], []
                 for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    units = [w for _, _, w in paragraphs(text or "") if len(w) >= SHINGLE]
+                    cut = paragraphs(text or "")
+                    units = [w for _, _, w in cut if len(w) >= SHINGLE]
+                    whole = len(units)
+                    if exact:
+                        flat = [x for _, _, w in cut for x in w]
+                        h = _hashes(flat)
+                        pieces = _pieces(cut, flat, h)
+                        units += [flat[i : i + n] for _, _, i, n in pieces]
+                        long = np.repeat([len(w) >= SHINGLE for _, _, w in cut], [len(w) for _, _, w in cut])
+                        h = np.concatenate([h[long], *(h[i : i + n] for _, _, i, n in pieces)]) if units else h
+                    else:
+                        h = _hashes([x for w in units for x in w])
                     if not units:
                         continue
-                    flat = [x for w in units for x in w]
-                    h = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
                     mixed = np.zeros(len(h) - SHINGLE + 1, np.uint64)
                     for i in range(SHINGLE):
                         mixed = (mixed ^ h[i : i + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
@@ -86,14 +174,16 @@ def _posted(docs: DataFrame, bands: int) -> DataFrame:
                     inside = np.zeros(len(mixed) + SHINGLE, bool)
                     inside[(first + sizes - SHINGLE + 1)[:, None] + np.arange(SHINGLE - 1)] = True
                     x = (mixed >> np.uint64(32)).astype(np.uint32)
+                    own = np.fromiter(map(_content, units), np.int64, len(units))
+                    more = (np.arange(len(units)) < whole) & (sizes >= SHINGLE + 3 if exact else True)
                     for i in range(bands):
                         y = a[i] * x + b[i]
                         y[inside[: len(y)]] = 0xFFFFFFFF
                         low = np.minimum.reduceat(y, np.minimum(first, len(y) - 1)).astype(np.int64)
-                        buckets.append(low + (np.int64(i) << 32))
-                    own = np.fromiter(map(_content, units), np.int64, len(units))
-                    contents.append(np.tile(own, bands))
-                    ids.append(np.full(len(units) * bands, doc))
+                        here = more if i else np.ones(len(units), bool)
+                        buckets.append(low[here] + (np.int64(i) << 32))
+                        contents.append(own[here])
+                        ids.append(np.full(int(here.sum()), doc))
                 if buckets:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (buckets, contents, ids)], names=["bucket", "content", "doc_id"])
 
@@ -101,16 +191,23 @@ def _posted(docs: DataFrame, bands: int) -> DataFrame:
 
 
 def repeated_passages(
-    docs: DataFrame, bands: int = 4, percent: int = 80, least_words: int = 30, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, bands: int = 4, percent: int = 80, least_words: int = 30, id_col: str = "doc_id", text_col: str = "text", exact_words: int = 0
 ) -> DataFrame:
     """doc_id, start, end, n_words, component_id, removed of every passage that occurs more than once."""
+    if exact_words and (percent < 80 or exact_words < 2 * SHINGLE):
+        raise ValueError("exact_words needs percent >= 80, and is 10 or more")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return _runs(docs, clusters(docs, bands, percent), least_words)
+    found = _found(docs, clusters(docs, bands, percent, bool(exact_words)), exact_words)
+    if not exact_words:
+        return _runs(found, least_words)
+    found = materialise(found, "found")
+    base = materialise(_runs(found.where("rank >= 0"), least_words), "passages")
+    return _widened(docs, found, base, exact_words)
 
 
-def clusters(docs: DataFrame, bands: int, percent: int) -> DataFrame:
-    """content, component, first (smallest doc_id) of every paragraph of ``docs(doc_id, text)`` that occurs more than once."""
-    counted = _posted(docs, bands).groupBy("bucket", "content").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+def clusters(docs: DataFrame, bands: int, percent: int, exact: bool = False) -> DataFrame:
+    """content, component, first (smallest doc_id) of every paragraph of ``docs(doc_id, text)`` that occurs more than once; with ``exact`` pieces too."""
+    counted = _posted(docs, bands, exact).groupBy("bucket", "content").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     # the sizes ask for the same columns as the rows do, so both read one exchange of the postings
     per = counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("content").alias("hub"), F.min("doc_id").alias("first"))
     per = per.where("n > 1 and first is not null")
@@ -120,7 +217,7 @@ def clusters(docs: DataFrame, bands: int, percent: int) -> DataFrame:
     pairs = materialise(buckets.where("hub != content").select(F.col("hub").alias("a"), F.col("content").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
     holders = buckets.join(wanted, "content", "left_semi").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    words = materialise(_words_of(docs, holders), "words")
+    words = materialise(_words_of(docs, holders, exact), "words")
     links = materialise(_verified(pairs, words, percent), "links")
     labels = materialise(components(links), "labels")
     outside = materialise(_outside(buckets, labels, words, percent), "outside")
@@ -134,7 +231,7 @@ def clusters(docs: DataFrame, bands: int, percent: int) -> DataFrame:
     return nodes.select("content", "component").join(first, "component")
 
 
-def _words_of(docs: DataFrame, holders: DataFrame) -> DataFrame:
+def _words_of(docs: DataFrame, holders: DataFrame, exact: bool) -> DataFrame:
     """content, words of the paragraphs in ``holders(content, doc_id)``, read from one document that holds each."""
     asked = holders.groupBy("doc_id").agg(F.collect_list("content").alias("contents"))  # of one document
 
@@ -142,9 +239,15 @@ def _words_of(docs: DataFrame, holders: DataFrame) -> DataFrame:
         for batch in batches:
             for text, contents in zip(batch.column("text").to_pylist(), batch.column("contents").to_pylist(), strict=True):
                 left, found = set(contents), {}
-                for _, _, w in paragraphs(text or ""):
+                cut = paragraphs(text or "")
+                for _, _, w in cut:
                     if len(w) >= SHINGLE and (c := _content(w)) in left:
                         found[c] = b" ".join(w)
+                if exact and len(found) < len(left):
+                    flat = [x for _, _, w in cut for x in w]
+                    for _, _, i, n in _pieces(cut, flat):
+                        if (c := _content(flat[i : i + n])) in left:
+                            found[c] = b" ".join(flat[i : i + n])
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["content", "words"])
 
@@ -224,25 +327,141 @@ def _blocks(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("x", "y").mapInArrow(judge, "a long, b long")
 
 
-def _runs(docs: DataFrame, nodes: DataFrame, least_words: int) -> DataFrame:
-    """Passages of every document from the components of its paragraphs."""
-    unit = "doc_id long, place int, rank int, start int, end int, n_words int, content long"
+def _batch_of(rows: list[tuple], schema: str, types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-    def batch_of(rows: list[tuple], schema: str, types: list[pa.DataType]) -> pa.RecordBatch:
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+
+def _found(docs: DataFrame, nodes: DataFrame, exact_words: int) -> DataFrame:
+    """Every place of a paragraph in ``nodes``; with ``exact_words`` of a piece too (rank -1), and hashes of the words on either side."""
+    unit = "doc_id long, place int, rank int, start int, end int, n_words int, content long"
+    types = [pa.int64(), *[pa.int32()] * 5, pa.int64()]
+    if exact_words:
+        unit += ", at int, left int, right int"
+        types += [pa.int32()] * 3
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 some, rows = batch.slice(k, 500), []
                 for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    long = [(i, s, e, w) for i, (s, e, w) in enumerate(paragraphs(text or "")) if len(w) >= SHINGLE]
-                    rows += [(doc, i, k, s, e, len(w), _content(w)) for k, (i, s, e, w) in enumerate(long)]
+                    cut = paragraphs(text or "")
+                    long = [(i, s, e, w) for i, (s, e, w) in enumerate(cut) if len(w) >= SHINGLE]
+                    own = [(doc, i, k, s, e, len(w), _content(w)) for k, (i, s, e, w) in enumerate(long)]
+                    if exact_words:
+                        words = [x for _, _, w in cut for x in w]
+                        joined, begin = b" ".join(words), [0, *accumulate(len(x) + 1 for x in words)]
+                        hashed = lambda i, j: xxhash.xxh32_intdigest(joined[begin[i] : begin[j] - 1]) - (1 << 31) if i >= 0 and j < len(begin) else None  # noqa: B023, E731
+                        first = [0, *accumulate(len(w) for _, _, w in cut)]
+                        at = [first[i] for i, *_ in long]
+                        for s, e, i, n in _pieces(cut, words):
+                            own.append((doc, -1, -1, s, e, n, xxhash.xxh64_intdigest(joined[begin[i] : begin[i + n] - 1]) - (1 << 63)))
+                            at.append(i)
+                        half = [max(0, exact_words - u[5] + 1) // 2 for u in own]
+                        own = [(*u, i, hashed(i - k, i + u[5]), hashed(i, i + u[5] + k)) for u, i, k in zip(own, at, half, strict=True)]
+                    rows += own
                 if rows:
-                    yield batch_of(rows, unit, [pa.int64(), *[pa.int32()] * 5, pa.int64()])
+                    yield _batch_of(rows, unit, types)
+
+    return docs.mapInArrow(units, unit).join(nodes, "content")
+
+
+def _widened(docs: DataFrame, found: DataFrame, base: DataFrame, least: int) -> DataFrame:
+    """``base`` with what stands word for word in another document over ``least`` words about the places ``found``."""
+    key = F.explode(F.array(*(F.when(F.col(c).isNotNull(), F.xxhash64("content", F.lit(c), c)) for c in ("left", "right"))))
+    sides = lambda df: df.select("doc_id", "at", "n_words", key.alias("key")).where("key is not null")
+    spans = base.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    within = (found["doc_id"] == spans["doc_id"]) & (spans["s"] <= found["start"]) & (found["end"] <= spans["e"])
+    outside = sides(found.join(spans, within, "left_anti")).select("key").distinct()
+    several = lambda df, c: df.groupBy(c).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    keys = materialise(several(sides(found), "key").select("key").join(outside, "key", "left_semi"), "sides")
+    once = docs.groupBy("doc_id").count().where("count = 1").select("doc_id")
+    asked = sides(found).join(keys, "key").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n_words")).alias("places"))
+    held = base.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "n_words", "component_id", "removed")).alias("held"))  # one document's
+    asked = materialise(asked.join(once, "doc_id", "left_semi").join(held, "doc_id", "left"), "asked")
+    ids = asked.select("doc_id")
+    n = ids.count()
+    texts = keep_ids(docs, "doc_id", ids, n).join(asked, "doc_id").select("doc_id", "text", "places", "held")
+    out = "hash long, doc_id long, start int, end int, at int, upto int, n_words int, component_id long, removed boolean"
+    types = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.bool_()]
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                doc, text, places, held = (c[k].as_py() for c in batch.columns)
+                cut = paragraphs(text or "")
+                hashed = _Stretches([x for _, _, w in cut for x in w])
+                starts, ends = _located(text or "", cut)
+                taken = np.zeros(hashed.n + 2, np.int64)
+                for u in places:
+                    at, n = u["at"], u["n_words"]
+                    low, high = sorted((at, at + n - least))
+                    low, high = max(0, low), min(high, hashed.n - least)
+                    if low <= high:
+                        taken[low] += 1
+                        taken[high + 1] -= 1
+                at = np.flatnonzero(np.cumsum(taken) > 0)
+                none = pa.nulls(len(at))
+                columns = [hashed(at, at + least), np.full(len(at), doc), starts[at], ends[at + least - 1], at, at + least, none, none, none]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in out.split(", ")])
+                rows = []
+                for u in held or ():
+                    i, j = np.searchsorted(starts, u["start"]), np.searchsorted(ends, u["end"], "right")
+                    rows.append((None, doc, u["start"], u["end"], int(i), int(j), u["n_words"], u["component_id"], u["removed"]))
+                if rows:
+                    yield _batch_of(rows, out, types)
+
+    seen = materialise(texts.mapInArrow(stretches, out), "stretches")
+    shared = materialise(several(seen.where("hash is not null"), "hash"), "shared")
+    hits = seen.join(shared, "hash").withColumn("removed", F.col("first") < F.col("doc_id")).select(seen.columns)
+    one = F.struct("at", "upto", "start", "end", "hash", "n_words", "component_id", "removed")
+    per = hits.union(seen.where("hash is null")).groupBy("doc_id").agg(F.collect_list(one).alias("all"))  # one document's
+    made = "doc_id long, start int, end int, n_words int, component_id long, removed boolean"
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                removed, kept = (_joined([u for u in some if u["removed"] == r]) for r in (True, False))
+                kept = [u for u in kept if not any(v["at"] <= u["at"] and u["upto"] <= v["upto"] for v in removed)]
+                rows += [(doc, u["start"], u["end"], u["n_words"], u["component_id"], u["removed"]) for u in (*removed, *kept)]
+            if rows:
+                yield _batch_of(rows, made, [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.bool_()])
+
+    rest = base.join(F.broadcast(ids), "doc_id", "left_anti") if n <= BROADCAST_IDS else base.join(ids, "doc_id", "left_anti")
+    return rest.select(base.columns).union(per.mapInArrow(merged, made))
+
+
+def _located(text: str, cut: list[tuple[int, int, list[bytes]]]) -> tuple[np.ndarray, np.ndarray]:
+    """start and end (code points) of every word; of all its sentence where spaces beyond ASCII hide some."""
+    out = []
+    for s, e, w in cut:
+        spans = [(m.start(), m.end()) for m in WORD.finditer(text, s, e)]
+        out += spans if len(spans) == len(w) else [(s, e)] * len(w)
+    found = np.array(out, np.int32).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _joined(some: list[dict]) -> list[dict]:
+    """Overlapping stretches and passages as one each, which keeps the words and component of a passage that holds all of it."""
+    out, group, upto = [], [], -1
+    for u in [*sorted(some, key=lambda u: (u["at"], -u["upto"], u["hash"] is not None)), None]:
+        if u is not None and u["at"] < upto:
+            group.append(u)
+            upto = max(upto, u["upto"])
+            continue
+        if group:
+            passages = [v for v in group if v["hash"] is None]
+            whole = next((v for v in passages if v["at"] == group[0]["at"] and v["upto"] == upto), None)
+            last = max(group, key=lambda v: v["upto"])
+            mid = passages[len(passages) // 2]["component_id"] if passages else group[len(group) // 2]["hash"]
+            out.append(whole or group[0] | {"upto": upto, "end": last["end"], "n_words": upto - group[0]["at"], "component_id": mid})
+        group, upto = ([u], u["upto"]) if u is not None else ([], -1)
+    return out
 
-    found = docs.mapInArrow(units, unit).join(nodes, "content")
+
+def _runs(found: DataFrame, least_words: int) -> DataFrame:
+    """Passages of every document from the components of its paragraphs."""
     one = F.struct("start", "place", "rank", "end", "n_words", "component", (F.col("first") < F.col("doc_id")).alias("again"))
     per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("units"))  # one document's
     out = "doc_id long, start int, end int, n_words int, component_id long, removed boolean"
@@ -288,6 +507,6 @@ def _runs(docs: DataFrame, nodes: DataFrame, least_words: int) -> DataFrame:
                     for run, removed in passages(copy):
                         rows.append((doc, run[0]["start"], run[-1]["end"], sum(u["n_words"] for u in run), run[len(run) // 2]["component"], removed))
             if rows:
-                yield batch_of(rows, out, [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.bool_()])
+                yield _batch_of(rows, out, [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.bool_()])
 
     return per.mapInArrow(join, out)

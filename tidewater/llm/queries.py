@@ -26,7 +26,7 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import repeated_passages
 
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"), exact_words=50)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
