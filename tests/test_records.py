@@ -525,3 +525,15 @@ def test_step_log_rounds_as_its_sql(spark, tmp_path):
     want = con.execute(f"select step, metric, value from ({records.ORACLE['parse_step_log']})").fetchall()
     plain = lambda rows: sorted((s, m, repr(v if v is None else v + 0.0)) for s, m, v in rows)
     assert plain(map(tuple, got)) == plain(want)
+
+
+def test_step_log_keeps_every_row_and_sign(spark, tmp_path):
+    """Zeros below zero, values too large to be multiplied, steps below zero and rows without one, as in the SQL."""
+    values = [-0.0, 0.0, -0.0004, -0.0005, -1.2345, 5e306, -5e306, 1.7e305, 3.25]
+    rows = [(k, -k, v) for k, v in enumerate(values, 1)] + [(-k, k, 0.5) for k in range(1, 90)] + [(None, 7, 1.5), (None, None, -0.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = records.parse_step_log(spark, str(tmp_path)).select("step", "metric", "value").collect()
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"select step, metric, value from ({records.ORACLE['parse_step_log']})").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))

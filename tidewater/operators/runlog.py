@@ -16,11 +16,11 @@ SPARSE = ("perplexity", "code_usage")
 def parse_step_log(lines: DataFrame) -> DataFrame:
     """step, perf, metric, value of lines ``[step N] k=v, ...`` and ``[perf step N] ...`` in a column ``value``.
 
-    Numbers are what the writer prints: also ``nan``, ``inf`` and ``-inf``. ``None`` is a metric without a value.
+    Numbers are what the writer prints: also ``nan``, ``inf`` and ``-inf``. ``None`` is a metric without a value, or a line without a step.
     """
-    head = F.regexp_extract("value", r"^\[(perf )?step\s+(\d+)\]", 2)
+    head = F.regexp_extract("value", r"^\[(perf )?step\s+(None|-?\d+)\]", 2)
     pairs = F.regexp_extract_all("value", F.lit(NUMBERS), F.lit(0))
-    rows = lines.where(head != "").select(head.cast("long").alias("step"), F.col("value").startswith("[perf").alias("perf"), F.explode(pairs).alias("kv"))
+    rows = lines.where(head != "").select(F.nullif(head, F.lit("None")).cast("long").alias("step"), F.col("value").startswith("[perf").alias("perf"), F.explode(pairs).alias("kv"))
     return rows.select("step", "perf", F.substring_index("kv", "=", 1).alias("metric"), F.nullif(F.substring_index("kv", "=", -1), F.lit("None")).cast("double").alias("value"))
 
 

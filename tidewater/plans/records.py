@@ -484,8 +484,10 @@ def parse_step_log(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet")
     odd = F.when(F.col("event_id") % 41 == 0, float("nan")).when(F.col("event_id") % 43 == 0, float("-inf"))
     # the double nearest to value * 1000 is rounded, as DuckDB does; Spark's own round to 3 places rounds the decimal that a double is shown as
-    loss = F.coalesce(odd, F.round(F.col("value") * 1000, 0) / 1000)
-    line = F.format_string("[step %d] loss=%s, rate=%s", F.col("event_id") + 1, L.printed(loss), L.printed(F.col("user_id")))
+    # (which also loses the sign of a zero); a value too large for that stays as it is
+    near = F.signum("value") * (F.round(F.abs("value") * 1000, 0) / 1000)
+    loss = F.coalesce(odd, F.when(near.isin(float("inf"), float("-inf")), F.col("value")).otherwise(near))
+    line = F.format_string("[step %s] loss=%s, rate=%s", *map(L.printed, (F.col("event_id") + 1, loss, F.col("user_id"))))
     return L.parse_step_log(rows.select(line.alias("value"))).drop("perf")
 
 
