@@ -5,18 +5,22 @@ import math
 import random
 import string
 import sys
+import time
+import types
 import zlib
 from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from tidewater.llm import near_dup, passages, queries as q
+from tidewater.llm import near_dup, passages, queries as q, sentences
 from tidewater.llm.common import components, scratch
 from tidewater.llm.decontaminate import contamination
 from tidewater.llm.licenses import PHRASES, TEMPLATES, scan as license_scan
@@ -457,6 +461,54 @@ def test_passages_beyond_whole_sentences(spark):
     assert repeated_passages(frame.where("false"), exact_words=50).count() == 0
 
 
+def test_texts_as_columns():
+    """Words, paragraphs, pieces and shingles of many texts at once, against one text after the other."""
+    rng = np.random.default_rng(5)
+    parts = ["a", "B", "\u00e9", "\u65e5", "\u3000", "\u2003", "\x1d", "\u00a0", "\x85", " ", " ", ".", ". ", "\n", "!", "?"]
+    parts += ["\t", "\r", "\v", "word", "x. ", "Y! ", "\u3001", "\u00e2\u20ac", "\U0001f600"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 150)))) for _ in range(1500)]
+    texts += [" ".join(rng.choice([f"w{k}" for k in range(40)] + ["same", "same", "end."] * 4, int(rng.integers(0, 300)))) for _ in range(200)] + [None, "", "again " * 300]
+    for some, t in sentences.chunks(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]).slice(3)):
+        pieces = t.pieces()
+        assert (pieces[1] > pieces[0]).all() and (t.edge[np.searchsorted(t.edge, pieces[0], "right")] >= pieces[1]).all()
+        for d, text in enumerate(some.column("text").to_pylist()):
+            cut, own = paragraphs(text or ""), slice(t.edge[d], t.edge[d + 1])
+            at = np.flatnonzero(t.p_doc == d)
+            assert list(zip(t.p_start[at], t.p_end[at], t.last[at] - t.first[at], strict=True)) == [(s, e, len(w)) for s, e, w in cut]
+            assert [t.low[a:b].tobytes() for a, b in zip(t.at[own], t.upto[own], strict=True)] == [x for _, _, w in cut for x in w]
+            assert list(zip(t.start[own], t.end[own], strict=True)) == sentences.located(text or "", cut)
+    plain = [" ".join(rng.choice(list("abc"), int(rng.integers(0, 40)))) for _ in range(500)]
+    sets, edge = sentences.shingle_sets(pa.array(plain))
+    assert [len({tuple(x[i : i + 5]) for i in range(len(x) - 4)}) for x in map(str.split, plain)] == np.diff(edge).tolist() and len(sets) == edge[-1]
+
+
+def test_long_sentence_is_no_repeat_of_itself(spark):
+    """Sentences of LONG words or more that no word cuts: their only piece is the sentence."""
+    words = [f"own{k}" for k in range(60)]
+    t = sentences.Texts(pa.array([" ".join(words)]))
+    orders = sorted(words, key=lambda x: xxhash.xxh64_intdigest(x.encode())), [words[i] for i in np.argsort(t.hash)]
+    frame = spark.createDataFrame([(k, " ".join(x) + ".") for k, x in enumerate([*orders, [f"a{x}" for x in words]])], "doc_id long, text string")
+    assert {r.doc_id for r in repeated_passages(frame, exact_words=50).collect()} <= {2}
+    assert not len(sentences.Texts(pa.array([" ".join(orders[1])])).pieces()[0])
+
+
+def test_postings_cost_less_than_a_plain_reading():
+    """CPU seconds of the postings of all paragraphs and pieces, against those of a loop that only cuts the same texts (before: 2.8 times those)."""
+    rng = np.random.default_rng(6)
+    vocabulary = np.array([f"{c}{k}{end}" for k in range(400) for c, end in (("word", ""), ("x", ""), ("longer", ""), ("last", "."))])
+    texts = [" ".join(rng.choice(vocabulary, 800)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    steps = []
+    passages._posted(types.SimpleNamespace(mapInArrow=lambda f, schema: steps.append(f)), 4, True)
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    assert min(seconds(lambda: list(steps[0](iter([batch])))) for _ in range(3)) < min(seconds(lambda: list(map(paragraphs, texts))) for _ in range(3))
+
+
 def test_chunked_framing():
     for n in (0, 1, 10, 11, 25):
         assert unframe(frame(b"x" * n, 10)) == b"x" * n

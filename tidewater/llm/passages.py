@@ -27,165 +27,76 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, components, keep_ids, materialise
 from .near_dup import multipliers
+from .sentences import SHINGLE, Texts, bytes_in, chunks, paragraphs, ranges, shingle_sets, slices
 
-PARAGRAPH = re.compile(r"[^\n.!?]*[.!?]+(?=\s|$)|[^\n.!?]*[.!?]+|[^\n.!?]+")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SHINGLE = 5
-POSTED = "bucket long, content long, doc_id long"
+POSTED = "bucket long, content long, doc_id long, copies long"
 BLOCK_BYTES = 1 << 16  # about what one block of paragraphs holds
 PART = 8  # blocks of one join key
-LONG = 40  # words from which a sentence is also looked at in pieces
-REACH = 6  # words on either side that decide where a piece begins
-FACTOR = 0xD6E8FEB86659FD93
-
-
-def paragraphs(text: str) -> list[tuple[int, int, list[bytes]]]:
-    """start, end (code points) and lower-cased words of every paragraph."""
-    out, start = [], 0
-    for line in text.split("\n"):
-        at = start
-        for piece in re.split(r"(?<=[.!?])(?=\s)", line):
-            if words := piece.encode().lower().split():
-                lead = len(piece) - len(piece.lstrip())
-                out.append((at + lead, at + len(piece.rstrip()), words))
-            at += len(piece)
-        start += len(line) + 1
-    return out
+__all__ = ["clusters", "paragraphs", "repeated_passages"]
 
 
 def _content(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
-
-
-def _shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    return set(zip(*(words[k:] for k in range(SHINGLE)), strict=False))
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
+    t = Texts(pa.array([b" ".join(words).decode()]))
+    return int(t.contents(np.array([0]), np.array([len(t.at)]))[0])
 
-def _groups(found: list[tuple[int, int, list[bytes]]]) -> list[tuple[int, int, int, int]]:
-    """start and end, first word (from 0 in the text) and number of words of all that is looked at in pieces."""
-    out, first, n, span = [], 0, 0, (0, 0)
-    for s, e, w in [*found, (0, 0, [b""] * SHINGLE)]:
-        if len(w) < SHINGLE:
-            span = (span[0] if n else s, e)
-            n += len(w)
-            continue
-        if n >= SHINGLE:
-            out.append((*span, first, n))
-        first += n
-        if len(w) >= LONG:
-            out.append((s, e, first, len(w)))
-        first, n = first + len(w), 0
-    return out
 
+def _units(t: Texts, exact: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """first and last word of every paragraph of five words or more, then, with ``exact``, of every piece; the number of the former."""
+    long = t.last - t.first >= SHINGLE
+    first, last = t.first[long], t.last[long]
+    if not exact:
+        return first, last, len(first)
+    more = t.pieces()
+    return np.concatenate([first, more[0]]), np.concatenate([last, more[1]]), len(first)
 
-def _pieces(found: list[tuple[int, int, list[bytes]]], words: list[bytes], h: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
-    """start and end of the sentences around, first word and number of words of every piece of a text; ``h`` hashes all its ``words``.
 
-    A piece begins at a word whose hash is the least of those within REACH, SHINGLE words after the last one or more.
-    """
-    out, edge = [], np.zeros(REACH, np.uint64)  # no word is the least near an end
-    groups = _groups(found)
-    large = [g for g in groups if g[3] >= 2 * SHINGLE]
-    own = [_hashes(words[i : i + n]) if h is None else h[i : i + n] for _, _, i, n in large]
-    if not own:
-        return groups
-    padded = np.concatenate([edge, *(x for y in own for x in (y, edge))])
-    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * REACH + 1).min(axis=1)
-    at = np.flatnonzero(padded[REACH:-REACH] == least)
-    at = at[padded[at + REACH] > 0]
-    base = 0
-    for s, e, first, n in large:
-        low, high = np.searchsorted(at, (base, base + n))
-        last = 0
-        for i in (at[low:high] - base).tolist():
-            if i - last >= SHINGLE and n - i >= SHINGLE:
-                out.append((s, e, first + last, i - last))
-                last = i
-        out.append((s, e, first + last, n - last))
-        base += n + REACH
-    return out + [g for g in groups if g[3] < 2 * SHINGLE]
-
-
-class _Stretches:
-    """Hashes of stretches of a text's words."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        n = len(words)
-        powers = lambda x: np.cumprod(np.array([1] + [x] * n, np.uint64))
-        self.back = powers(pow(FACTOR, -1, 1 << 64))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_hashes(words) * powers(FACTOR)[:n])])
-        self.n = n
-
-    def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return ((self.sums[end] - self.sums[first]) * self.back[first]).view(np.int64)
+def _once(own: np.ndarray, doc: np.ndarray, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first by ``doc`` of equal paragraphs, and of equal pieces (from ``whole`` on), in order; how many each stands for."""
+    piece = np.arange(len(own)) >= whole
+    order = np.lexsort((doc, own, piece))
+    begin = np.flatnonzero(np.append(True, (np.diff(own[order]) != 0) | np.diff(piece[order])))
+    back = np.argsort(order[begin])
+    return order[begin][back], np.diff(np.append(begin, len(order)))[back]
 
 
 def _posted(docs: DataFrame, bands: int, exact: bool = False) -> DataFrame:
-    """bucket, content, doc_id of every paragraph of five words or more; with ``exact`` of pieces too, in the first band.
+    """bucket, content, doc_id, copies of every paragraph of five words or more; with ``exact`` of pieces too, in the first band.
 
-    So are, with ``exact``, paragraphs of so few shingles that none but an equal set is like them (at 80 percent or more).
+    Equal ones of the texts that are looked at together are one row, with the smallest doc_id. In the first band only are, with ``exact``,
+    paragraphs of so few shingles that none but an equal set is like them (at 80 percent or more).
     """
     a, b = multipliers(bands)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some = batch.slice(k, 500)
-                buckets, contents, ids = [], [], []
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    cut = paragraphs(text or "")
-                    units = [w for _, _, w in cut if len(w) >= SHINGLE]
-                    whole = len(units)
-                    if exact:
-                        flat = [x for _, _, w in cut for x in w]
-                        h = _hashes(flat)
-                        pieces = _pieces(cut, flat, h)
-                        units += [flat[i : i + n] for _, _, i, n in pieces]
-                        long = np.repeat([len(w) >= SHINGLE for _, _, w in cut], [len(w) for _, _, w in cut])
-                        h = np.concatenate([h[long], *(h[i : i + n] for _, _, i, n in pieces)]) if units else h
-                    else:
-                        h = _hashes([x for w in units for x in w])
-                    if not units:
-                        continue
-                    mixed = np.zeros(len(h) - SHINGLE + 1, np.uint64)
-                    for i in range(SHINGLE):
-                        mixed = (mixed ^ h[i : i + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
-                        mixed ^= mixed >> np.uint64(29)
-                    sizes = np.array([len(w) for w in units])
-                    first = np.cumsum(sizes) - sizes
-                    # minima over each unit's own shingles; those that reach into the next unit count as largest
-                    inside = np.zeros(len(mixed) + SHINGLE, bool)
-                    inside[(first + sizes - SHINGLE + 1)[:, None] + np.arange(SHINGLE - 1)] = True
-                    x = (mixed >> np.uint64(32)).astype(np.uint32)
-                    own = np.fromiter(map(_content, units), np.int64, len(units))
-                    more = (np.arange(len(units)) < whole) & (sizes >= SHINGLE + 3 if exact else True)
-                    for i in range(bands):
-                        y = a[i] * x + b[i]
-                        y[inside[: len(y)]] = 0xFFFFFFFF
-                        low = np.minimum.reduceat(y, np.minimum(first, len(y) - 1)).astype(np.int64)
-                        here = more if i else np.ones(len(units), bool)
-                        buckets.append(low[here] + (np.int64(i) << 32))
-                        contents.append(own[here])
-                        ids.append(np.full(int(here.sum()), doc))
-                if buckets:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (buckets, contents, ids)], names=["bucket", "content", "doc_id"])
+            for some, t in chunks(batch):
+                first, last, whole = _units(t, exact)
+                if not len(first):
+                    continue
+                x, own, doc = t.shingles(), t.contents(first, last), some.column("doc_id").to_numpy()[t.doc[first]]
+                at, copies = _once(own, doc, whole)
+                first, last, own, doc, whole = first[at], last[at], own[at], doc[at], int(np.searchsorted(at, whole))
+                n = (last - first)[:whole]
+                more = np.flatnonzero(n >= SHINGLE + 3) if exact else np.arange(whole)
+                buckets, at = [], []
+                for i in range(bands):
+                    y = a[i] * x + b[i]
+                    for here in (np.arange(whole), np.arange(whole, len(first))) if i == 0 else (more,):
+                        buckets.append(t.minima(first[here], last[here], y).astype(np.int64) + (np.int64(i) << 32))
+                        at.append(here)
+                at = np.concatenate(at)
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in (np.concatenate(buckets), own[at], doc[at], copies[at])], names=["bucket", "content", "doc_id", "copies"])
 
     return docs.mapInArrow(post, POSTED)
 
@@ -207,11 +118,11 @@ def repeated_passages(
 
 def clusters(docs: DataFrame, bands: int, percent: int, exact: bool = False) -> DataFrame:
     """content, component, first (smallest doc_id) of every paragraph of ``docs(doc_id, text)`` that occurs more than once; with ``exact`` pieces too."""
-    counted = _posted(docs, bands, exact).groupBy("bucket", "content").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    # the sizes ask for the same columns as the rows do, so both read one exchange of the postings
-    per = counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("content").alias("hub"), F.min("doc_id").alias("first"))
-    per = per.where("n > 1 and first is not null")
-    buckets = counted.withColumnRenamed("n", "copies").join(per, "bucket").select("bucket", "content", "doc_id", "copies", "hub")
+    # dealt once, and what is alone in its bucket goes before anything is summed up
+    per = Window.partitionBy("bucket")
+    posted = _posted(docs, bands, exact).repartition("bucket")
+    shared = posted.select("*", F.sum("copies").over(per).alias("n"), F.min("content").over(per).alias("hub")).where("n > 1")
+    buckets = shared.groupBy("bucket", "content", "hub").agg(F.min("doc_id").alias("doc_id"), F.sum("copies").alias("copies"))
     buckets = materialise(buckets, "buckets")
     # what is worth a look at all: contents that occur twice or share a bucket; the docs that hold them are read again
     pairs = materialise(buckets.where("hub != content").select(F.col("hub").alias("a"), F.col("content").alias("b")).distinct(), "pairs")
@@ -237,19 +148,13 @@ def _words_of(docs: DataFrame, holders: DataFrame, exact: bool) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, contents in zip(batch.column("text").to_pylist(), batch.column("contents").to_pylist(), strict=True):
-                left, found = set(contents), {}
-                cut = paragraphs(text or "")
-                for _, _, w in cut:
-                    if len(w) >= SHINGLE and (c := _content(w)) in left:
-                        found[c] = b" ".join(w)
-                if exact and len(found) < len(left):
-                    flat = [x for _, _, w in cut for x in w]
-                    for _, _, i, n in _pieces(cut, flat):
-                        if (c := _content(flat[i : i + n])) in left:
-                            found[c] = b" ".join(flat[i : i + n])
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["content", "words"])
+            for some, t in chunks(batch):
+                first, last, _ = _units(t, exact)
+                contents, at = np.unique(t.contents(first, last), return_index=True)
+                asked = np.isin(contents, some.column("contents").flatten().to_numpy())
+                if asked.any():
+                    words = list(map(t.words, first[at[asked]].tolist(), last[at[asked]].tolist()))
+                    yield pa.RecordBatch.from_arrays([pa.array(contents[asked]), pa.array(words, pa.binary())], names=["content", "words"])
 
     return docs.join(asked, "doc_id").select("text", "contents").mapInArrow(find, "content long, words binary").dropDuplicates(["content"])
 
@@ -257,12 +162,15 @@ def _words_of(docs: DataFrame, holders: DataFrame, exact: bool) -> DataFrame:
 def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = _shingles(x.split()), _shingles(y.split())
-                both = len(p & q)
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for i, j in slices(bytes_in(batch.column("x")) + bytes_in(batch.column("y"))):
+                some = batch.slice(i, j - i)
+                sets, edge = shingle_sets(pa.concat_arrays([some.column("x"), some.column("y")]))
+                size, n = np.diff(edge), some.num_rows
+                pair = np.repeat(np.arange(2 * n, dtype=np.uint64) % np.uint64(n), size)
+                order = np.lexsort((sets, pair))
+                same = (sets[order][1:] == sets[order][:-1]) & (pair[order][1:] == pair[order][:-1])
+                both = np.bincount(pair[order][1:][same].astype(np.int64), minlength=n)
+                yield some.select(["a", "b"]).filter(pa.array(100 * both >= percent * (size[:n] + size[n:] - both)))
 
     both = pairs.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b")
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
@@ -294,39 +202,57 @@ def _outside(buckets: DataFrame, labels: DataFrame, words: DataFrame, percent: i
 def _blocks(pairs: DataFrame, percent: int) -> DataFrame:
     """Links between two blocks of one bucket, ``x`` and ``y``, by exact Jaccard; ``y`` are outside the main component."""
 
-    def columns(block: pa.StructArray, codes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
-        own = [[codes.setdefault(s, len(codes)) for s in _shingles(w.split())] for w in block.field("words").to_pylist()]
-        return block.field("content").to_numpy(), block.field("component").to_numpy(), block.field("rest").to_numpy(zero_copy_only=False), own
-
-    def table(own: list[list[int]], column: np.ndarray) -> np.ndarray:
+    def table(sets: np.ndarray, size: np.ndarray, shared: np.ndarray) -> np.ndarray:
         """One row a paragraph, one column a shingle that both blocks hold."""
-        out = np.zeros((len(own), int(column.max(initial=-1)) + 1), np.float32)
-        at = column[np.array([c for s in own for c in s], np.int64)]
-        owner = np.repeat(np.arange(len(own)), [len(s) for s in own])
-        out[owner[at >= 0], at[at >= 0]] = 1
+        out = np.zeros((len(size), len(shared)), np.float32)
+        column = np.minimum(np.searchsorted(shared, sets), len(shared) - 1)
+        held = shared[column] == sets
+        out[np.repeat(np.arange(len(size)), size)[held], column[held]] = 1
         return out
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for n in range(b.num_rows):
-                codes: dict = {}
-                x, y = (columns(b.column(c)[n].values, codes) for c in ("x", "y"))
-                held = np.zeros((2, len(codes)), bool)
-                for k, z in enumerate((x, y)):
-                    held[k, [c for s in z[3] for c in s]] = True
-                shared = held.all(axis=0)
-                column = np.where(shared, np.cumsum(shared) - 1, -1)
-                both = table(x[3], column) @ table(y[3], column).T
-                total = np.array([len(s) for s in x[3]])[:, None] + np.array([len(s) for s in y[3]])[None] - both
-                # each pair once: of two that are both outside only one way round counts
-                open_ = (x[1][:, None] != y[1][None]) & ~(x[2][:, None] & (x[0][:, None] < y[0][None]))
-                i, j = np.nonzero(open_ & (100 * both >= percent * total))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[0][i]), pa.array(y[0][j])], names=["a", "b"])
+            for i, j in slices(_words_in(b.column("x")) + _words_in(b.column("y"))):
+                content, component, rest, words, edge = _sides(b.slice(i, j - i))
+                sets, at = shingle_sets(words)
+                found = []
+                for lo, mid, hi in zip(edge[:-1:2].tolist(), edge[1::2].tolist(), edge[2::2].tolist(), strict=True):
+                    x, y = sets[at[lo] : at[mid]], sets[at[mid] : at[hi]]
+                    shared = np.intersect1d(x, y)
+                    if not len(shared):
+                        continue
+                    size = np.diff(at[lo : hi + 1])
+                    both = table(x, size[: mid - lo], shared) @ table(y, size[mid - lo :], shared).T
+                    total = size[: mid - lo, None] + size[None, mid - lo :] - both
+                    # each pair once: of two that are both outside only one way round counts
+                    open_ = component[lo:mid, None] != component[None, mid:hi]
+                    open_ &= ~(rest[lo:mid, None] & (content[lo:mid, None] < content[None, mid:hi]))
+                    k, m = np.nonzero(open_ & (100 * both >= percent * total))
+                    found.append((content[lo + k], content[mid + m]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return pairs.select("x", "y").mapInArrow(judge, "a long, b long")
 
 
+def _words_in(blocks: pa.ListArray) -> np.ndarray:
+    """Bytes of the words of every block."""
+    total = np.append(0, np.cumsum(bytes_in(blocks.flatten().field("words"))))
+    return np.diff(total[np.append(0, np.cumsum(pc.list_value_length(blocks).to_numpy()))])
+
+
+def _sides(pairs: pa.RecordBatch) -> tuple:
+    """content, component, rest and words of the paragraphs of all blocks: those of ``x``, then those of ``y``, of one pair after the other; where each block begins."""
+    n = np.stack([pc.list_value_length(pairs.column(c)).to_numpy() for c in ("x", "y")], 1)
+    edge = np.append(0, np.cumsum(n.ravel()))
+    order = np.empty(edge[-1], np.int64)  # where each paragraph stands among all of x, then all of y
+    order[ranges(edge[:-1:2], n[:, 0])] = np.arange(n[:, 0].sum())
+    order[ranges(edge[1::2], n[:, 1])] = n[:, 0].sum() + np.arange(n[:, 1].sum())
+    x, y = (pairs.column(c).flatten().flatten() for c in ("x", "y"))
+    content, component, rest = (np.concatenate([u.to_numpy(zero_copy_only=False), v.to_numpy(zero_copy_only=False)])[order] for u, v in zip(x[:3], y[:3], strict=True))
+    return content, component, rest, pa.concat_arrays([x[3], y[3]]).take(pa.array(order)), edge
+
+
 def _batch_of(rows: list[tuple], schema: str, types: list[pa.DataType]) -> pa.RecordBatch:
     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
@@ -335,33 +261,35 @@ def _batch_of(rows: list[tuple], schema: str, types: list[pa.DataType]) -> pa.Re
 def _found(docs: DataFrame, nodes: DataFrame, exact_words: int) -> DataFrame:
     """Every place of a paragraph in ``nodes``; with ``exact_words`` of a piece too (rank -1), and hashes of the words on either side."""
     unit = "doc_id long, place int, rank int, start int, end int, n_words int, content long"
-    types = [pa.int64(), *[pa.int32()] * 5, pa.int64()]
     if exact_words:
         unit += ", at int, left int, right int"
-        types += [pa.int32()] * 3
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some, rows = batch.slice(k, 500), []
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    cut = paragraphs(text or "")
-                    long = [(i, s, e, w) for i, (s, e, w) in enumerate(cut) if len(w) >= SHINGLE]
-                    own = [(doc, i, k, s, e, len(w), _content(w)) for k, (i, s, e, w) in enumerate(long)]
-                    if exact_words:
-                        words = [x for _, _, w in cut for x in w]
-                        joined, begin = b" ".join(words), [0, *accumulate(len(x) + 1 for x in words)]
-                        hashed = lambda i, j: xxhash.xxh32_intdigest(joined[begin[i] : begin[j] - 1]) - (1 << 31) if i >= 0 and j < len(begin) else None  # noqa: B023, E731
-                        first = [0, *accumulate(len(w) for _, _, w in cut)]
-                        at = [first[i] for i, *_ in long]
-                        for s, e, i, n in _pieces(cut, words):
-                            own.append((doc, -1, -1, s, e, n, xxhash.xxh64_intdigest(joined[begin[i] : begin[i + n] - 1]) - (1 << 63)))
-                            at.append(i)
-                        half = [max(0, exact_words - u[5] + 1) // 2 for u in own]
-                        own = [(*u, i, hashed(i - k, i + u[5]), hashed(i, i + u[5] + k)) for u, i, k in zip(own, at, half, strict=True)]
-                    rows += own
-                if rows:
-                    yield _batch_of(rows, unit, types)
+            for some, t in chunks(batch):
+                long = np.flatnonzero(t.last - t.first >= SHINGLE)
+                begin = np.searchsorted(t.p_doc, t.p_doc[long])  # the first paragraph of the document
+                place, rank = long - begin, np.arange(len(long)) - np.searchsorted(long, begin)
+                first, last, s, e = t.first[long], t.last[long], t.p_start[long], t.p_end[long]
+                if exact_words:
+                    more = t.pieces()
+                    none = np.full(len(more[0]), -1)
+                    place, rank = np.append(place, none), np.append(rank, none)
+                    first, last, s, e = (np.append(x, y) for x, y in zip((first, last, s, e), more, strict=True))
+                doc = t.doc[first]
+                columns = [some.column("doc_id").to_numpy()[doc], place, rank, s, e, last - first, t.contents(first, last)]
+                lost = [None] * len(columns)
+                if exact_words:
+                    k = np.maximum(0, exact_words - (last - first) + 1) // 2
+                    columns.append(first - t.edge[doc])
+                    lost.append(None)
+                    for low, high in ((first - k, last), (first, last + k)):
+                        out = (low < t.edge[doc]) | (high > t.edge[doc + 1])
+                        columns.append((t.stretch(np.where(out, first, low), np.where(out, last, high)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                        lost.append(out)
+                if len(first):
+                    arrays = [pa.array(c, pa.int64() if "long" in x else pa.int32(), mask=m) for c, m, x in zip(columns, lost, unit.split(", "), strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in unit.split(", ")])
 
     return docs.mapInArrow(units, unit).join(nodes, "content")
 
@@ -387,29 +315,23 @@ def _widened(docs: DataFrame, found: DataFrame, base: DataFrame, least: int) ->
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                doc, text, places, held = (c[k].as_py() for c in batch.columns)
-                cut = paragraphs(text or "")
-                hashed = _Stretches([x for _, _, w in cut for x in w])
-                starts, ends = _located(text or "", cut)
-                taken = np.zeros(hashed.n + 2, np.int64)
-                for u in places:
-                    at, n = u["at"], u["n_words"]
-                    low, high = sorted((at, at + n - least))
-                    low, high = max(0, low), min(high, hashed.n - least)
-                    if low <= high:
-                        taken[low] += 1
-                        taken[high + 1] -= 1
+            for some, t in chunks(batch):
+                ids = some.column("doc_id").to_numpy()
+                doc, at, n = _lists(some.column("places"))
+                low, high = np.maximum(0, np.minimum(at, at + n - least)), np.minimum(np.maximum(at, at + n - least), np.diff(t.edge)[doc] - least)
+                low, high = (x[low <= high] + t.edge[doc[low <= high]] for x in (low, high))
+                taken = np.bincount(low, minlength=len(t.at) + 2) - np.bincount(high + 1, minlength=len(t.at) + 2)
                 at = np.flatnonzero(np.cumsum(taken) > 0)
-                none = pa.nulls(len(at))
-                columns = [hashed(at, at + least), np.full(len(at), doc), starts[at], ends[at + least - 1], at, at + least, none, none, none]
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in out.split(", ")])
-                rows = []
-                for u in held or ():
-                    i, j = np.searchsorted(starts, u["start"]), np.searchsorted(ends, u["end"], "right")
-                    rows.append((None, doc, u["start"], u["end"], int(i), int(j), u["n_words"], u["component_id"], u["removed"]))
-                if rows:
-                    yield _batch_of(rows, out, types)
+                doc, none = t.doc[at], pa.nulls(len(at))
+                place = at - t.edge[doc]
+                columns = [t.contents(at, at + least), ids[doc], t.start[at], t.end[at + least - 1], place, place + least, none, none, none]
+                yield _columns(columns, out, types)
+                doc, start, end, n, component, removed = _lists(some.column("held"))
+                if len(doc):
+                    base = t.doc << 32
+                    low = np.searchsorted(base + t.start, (doc << 32) + start) - t.edge[doc]
+                    high = np.searchsorted(base + t.end, (doc << 32) + end, "right") - t.edge[doc]
+                    yield _columns([pa.nulls(len(doc)), ids[doc], start, end, low, high, n, component, removed], out, types)
 
     seen = materialise(texts.mapInArrow(stretches, out), "stretches")
     shared = materialise(several(seen.where("hash is not null"), "hash"), "shared")
@@ -420,11 +342,14 @@ def _widened(docs: DataFrame, found: DataFrame, base: DataFrame, least: int) ->
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                removed, kept = (_joined([u for u in some if u["removed"] == r]) for r in (True, False))
-                kept = [u for u in kept if not any(v["at"] <= u["at"] and u["upto"] <= v["upto"] for v in removed)]
-                rows += [(doc, u["start"], u["end"], u["n_words"], u["component_id"], u["removed"]) for u in (*removed, *kept)]
+            rows, ids = [], batch.column("doc_id").to_pylist()
+            per = defaultdict(list)
+            for doc, gone, *item in _chained(batch.column("all")):
+                per[doc, gone].append(item)
+            for doc, name in enumerate(ids):
+                removed, kept = (_joined(per[doc, gone]) for gone in (True, False))
+                kept = [u for u in kept if not any(v[0] <= u[0] and u[1] <= v[1] for v in removed)]
+                rows += [(name, *u[2:], True) for u in removed] + [(name, *u[2:], False) for u in kept]
             if rows:
                 yield _batch_of(rows, made, [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.bool_()])
 
@@ -432,31 +357,52 @@ def _widened(docs: DataFrame, found: DataFrame, base: DataFrame, least: int) ->
     return rest.select(base.columns).union(per.mapInArrow(merged, made))
 
 
-def _located(text: str, cut: list[tuple[int, int, list[bytes]]]) -> tuple[np.ndarray, np.ndarray]:
-    """start and end (code points) of every word; of all its sentence where spaces beyond ASCII hide some."""
-    out = []
-    for s, e, w in cut:
-        spans = [(m.start(), m.end()) for m in WORD.finditer(text, s, e)]
-        out += spans if len(spans) == len(w) else [(s, e)] * len(w)
-    found = np.array(out, np.int32).reshape(-1, 2)
-    return found[:, 0], found[:, 1]
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The row of every struct in a column of lists, then their fields."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return [np.repeat(np.arange(len(column)), n), *(x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())]
+
+
+def _columns(columns: list, schema: str, types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
 
-def _joined(some: list[dict]) -> list[dict]:
-    """Overlapping stretches and passages as one each, which keeps the words and component of a passage that holds all of it."""
+def _chained(column: pa.ListArray) -> Iterator[tuple]:
+    """Every passage, and every chain of stretches that overlap.
+
+    row, removed, at, -upto of its first stretch, whether a chain, upto, -at of its last stretch, start, end, words, component.
+    """
+    n = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    row, some = np.repeat(np.arange(len(column)), n), dict(zip((f.name for f in column.type.value_type), column.flatten().flatten(), strict=True))
+    single = some["hash"].is_null().to_numpy(zero_copy_only=False)
+    at, upto, start, end, removed = (some[c].to_numpy(zero_copy_only=False) for c in ("at", "upto", "start", "end", "removed"))
+    for i, n, c in zip(np.flatnonzero(single).tolist(), some["n_words"].drop_null().to_pylist(), some["component_id"].drop_null().to_pylist(), strict=True):
+        yield int(row[i]), bool(removed[i]), int(at[i]), -int(upto[i]), False, int(upto[i]), -int(at[i]), int(start[i]), int(end[i]), n, c
+    many = np.flatnonzero(~single)
+    many = many[np.lexsort((at[many], removed[many], row[many]))]
+    a, b = many[:-1], many[1:]
+    begin = np.flatnonzero(np.append(True, (row[a] != row[b]) | (removed[a] != removed[b]) | (at[b] >= upto[a]))[: len(many)])
+    after = np.append(begin[1:], len(many))[: len(begin)]
+    mid = some["hash"].take(pa.array(many[(begin + after) // 2])).to_pylist() if len(begin) else []
+    x, y = many[begin], many[after - 1]
+    yield from zip(*(v.tolist() for v in (row[x], removed[x], at[x], -upto[x], np.ones(len(x), bool), upto[y], -at[y], start[x], end[y], upto[y] - at[x])), mid, strict=True)
+
+
+def _joined(some: list[list]) -> list[tuple]:
+    """at, upto, start, end, words, component of what overlaps as one each; a passage that holds all of it keeps its words and component."""
     out, group, upto = [], [], -1
-    for u in [*sorted(some, key=lambda u: (u["at"], -u["upto"], u["hash"] is not None)), None]:
-        if u is not None and u["at"] < upto:
+    for u in [*sorted(some), None]:
+        if u is not None and u[0] < upto:
             group.append(u)
-            upto = max(upto, u["upto"])
+            upto = max(upto, u[3])
             continue
         if group:
-            passages = [v for v in group if v["hash"] is None]
-            whole = next((v for v in passages if v["at"] == group[0]["at"] and v["upto"] == upto), None)
-            last = max(group, key=lambda v: v["upto"])
-            mid = passages[len(passages) // 2]["component_id"] if passages else group[len(group) // 2]["hash"]
-            out.append(whole or group[0] | {"upto": upto, "end": last["end"], "n_words": upto - group[0]["at"], "component_id": mid})
-        group, upto = ([u], u["upto"]) if u is not None else ([], -1)
+            passages = [v for v in group if not v[2]]
+            whole = next((v for v in passages if v[0] == group[0][0] and v[3] == upto), None)
+            last = max(group, key=lambda v: (v[3], v[4], not v[2]))
+            mid = passages[len(passages) // 2][8] if passages else group[0][8]
+            out.append((whole[0], upto, *whole[5:]) if whole else (group[0][0], upto, group[0][5], last[6], upto - group[0][0], mid))
+        group, upto = ([u], u[3]) if u is not None else ([], -1)
     return out
 
 
@@ -492,7 +438,11 @@ def _runs(found: DataFrame, least_words: int) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own, *fields = _lists(batch.column("units"))
+            edge, fields = np.searchsorted(own, np.arange(batch.num_rows + 1)).tolist(), [x.tolist() for x in fields]
+            names = [f.name for f in batch.schema.field("units").type.value_type]
+            for doc, begin, end in zip(batch.column("doc_id").to_pylist(), edge, edge[1:], strict=False):
+                some = [dict(zip(names, u, strict=True)) for u in zip(*(x[begin:end] for x in fields), strict=True)]
                 # rows of one id hold several paragraphs of one place: each row is a copy of its own
                 copies: dict[int, list[dict]] = defaultdict(list)
                 depth = Counter()
