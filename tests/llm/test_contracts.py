@@ -509,6 +509,35 @@ def test_postings_cost_less_than_a_plain_reading():
     assert min(seconds(lambda: list(steps[0](iter([batch])))) for _ in range(3)) < min(seconds(lambda: list(map(paragraphs, texts))) for _ in range(3))
 
 
+def test_blocks_against_plain_sets(monkeypatch):
+    """Links between blocks, looked at pair by pair and as products of matrices, against sets of shingles."""
+    rng = np.random.default_rng(8)
+    unit = pa.struct([("content", pa.int64()), ("component", pa.int64()), ("rest", pa.bool_()), ("words", pa.binary())])
+
+    def block(base):
+        out = []
+        for _ in range(int(rng.integers(1, 12))):
+            words = [w if rng.random() > 0.02 else "other" for w in base[: int(rng.integers(5, 30))]]
+            out.append({"content": int(rng.integers(1 << 40)), "component": int(rng.integers(4)), "rest": bool(rng.random() < 0.5), "words": " ".join(words).encode()})
+        return out
+
+    pairs = [(block(base), block(base)) for base in ([f"w{k}" for k in rng.integers(0, 200, 30)] for _ in range(60))]
+    shingles = lambda u: {tuple(u["words"].split()[i : i + 5]) for i in range(len(u["words"].split()) - 4)}
+    want = []
+    for xs, ys in pairs:
+        for x, y in itertools.product(xs, ys):
+            p, q_ = shingles(x), shingles(y)
+            if x["component"] != y["component"] and not (x["rest"] and x["content"] < y["content"]) and 100 * len(p & q_) >= 80 * len(p | q_):
+                want.append((x["content"], y["content"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.list_(unit)) for c in zip(*pairs, strict=True)], names=["x", "y"])
+    for few in (0, 50, 1 << 30):
+        monkeypatch.setattr(passages, "FEW", few)
+        steps = []
+        passages._blocks(types.SimpleNamespace(select=lambda *c: types.SimpleNamespace(mapInArrow=lambda f, schema: steps.append(f))), 80)
+        got = [tuple(r.values()) for b in steps[0](iter([batch.slice(0, 7), batch.slice(7)])) for r in b.to_pylist()]
+        assert len(want) > 100 and sorted(got) == sorted(want)
+
+
 def test_chunked_framing():
     for n in (0, 1, 10, 11, 25):
         assert unframe(frame(b"x" * n, 10)) == b"x" * n

@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, components, keep_ids, materialise
 from .near_dup import multipliers
-from .sentences import SHINGLE, Texts, bytes_in, chunks, paragraphs, ranges, shingle_sets, slices
+from .sentences import SHINGLE, Texts, bytes_in, chunks, paragraphs, ranges, shared, shingle_sets, slices
 
 POSTED = "bucket long, content long, doc_id long, copies long"
 BLOCK_BYTES = 1 << 16  # about what one block of paragraphs holds
 PART = 8  # blocks of one join key
+FEW = 1024  # pairs of paragraphs up to which those of two blocks are looked at one by one, not as a product of matrices
 __all__ = ["clusters", "paragraphs", "repeated_passages"]
 
 
@@ -121,8 +122,8 @@ def clusters(docs: DataFrame, bands: int, percent: int, exact: bool = False) ->
     # dealt once, and what is alone in its bucket goes before anything is summed up
     per = Window.partitionBy("bucket")
     posted = _posted(docs, bands, exact).repartition("bucket")
-    shared = posted.select("*", F.sum("copies").over(per).alias("n"), F.min("content").over(per).alias("hub")).where("n > 1")
-    buckets = shared.groupBy("bucket", "content", "hub").agg(F.min("doc_id").alias("doc_id"), F.sum("copies").alias("copies"))
+    several = posted.select("*", F.sum("copies").over(per).alias("n"), F.min("content").over(per).alias("hub")).where("n > 1")
+    buckets = several.groupBy("bucket", "content", "hub").agg(F.min("doc_id").alias("doc_id"), F.sum("copies").alias("copies"))
     buckets = materialise(buckets, "buckets")
     # what is worth a look at all: contents that occur twice or share a bucket; the docs that hold them are read again
     pairs = materialise(buckets.where("hub != content").select(F.col("hub").alias("a"), F.col("content").alias("b")).distinct(), "pairs")
@@ -166,10 +167,7 @@ def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
                 some = batch.slice(i, j - i)
                 sets, edge = shingle_sets(pa.concat_arrays([some.column("x"), some.column("y")]))
                 size, n = np.diff(edge), some.num_rows
-                pair = np.repeat(np.arange(2 * n, dtype=np.uint64) % np.uint64(n), size)
-                order = np.lexsort((sets, pair))
-                same = (sets[order][1:] == sets[order][:-1]) & (pair[order][1:] == pair[order][:-1])
-                both = np.bincount(pair[order][1:][same].astype(np.int64), minlength=n)
+                both = shared(sets, edge, np.arange(n), n + np.arange(n))
                 yield some.select(["a", "b"]).filter(pa.array(100 * both >= percent * (size[:n] + size[n:] - both)))
 
     both = pairs.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b")
@@ -202,35 +200,42 @@ def _outside(buckets: DataFrame, labels: DataFrame, words: DataFrame, percent: i
 def _blocks(pairs: DataFrame, percent: int) -> DataFrame:
     """Links between two blocks of one bucket, ``x`` and ``y``, by exact Jaccard; ``y`` are outside the main component."""
 
-    def table(sets: np.ndarray, size: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    def table(sets: np.ndarray, size: np.ndarray, common: np.ndarray) -> np.ndarray:
         """One row a paragraph, one column a shingle that both blocks hold."""
-        out = np.zeros((len(size), len(shared)), np.float32)
-        column = np.minimum(np.searchsorted(shared, sets), len(shared) - 1)
-        held = shared[column] == sets
+        out = np.zeros((len(size), len(common)), np.float32)
+        column = np.minimum(np.searchsorted(common, sets), len(common) - 1)
+        held = common[column] == sets
         out[np.repeat(np.arange(len(size)), size)[held], column[held]] = 1
         return out
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j in slices(_words_in(b.column("x")) + _words_in(b.column("y"))):
-                content, component, rest, words, edge = _sides(b.slice(i, j - i))
+        for batch in batches:
+            for i, j in slices(_words_in(batch.column("x")) + _words_in(batch.column("y"))):
+                content, component, rest, words, edge = _sides(batch.slice(i, j - i))
                 sets, at = shingle_sets(words)
-                found = []
-                for lo, mid, hi in zip(edge[:-1:2].tolist(), edge[1::2].tolist(), edge[2::2].tolist(), strict=True):
+                size, found = np.diff(at), []
+                # each pair once: of two that are both outside only one way round counts
+                is_open = lambda a, b: (component[a] != component[b]) & ~(rest[a] & (content[a] < content[b]))  # noqa: B023, E731
+                n, m = np.diff(edge)[::2], np.diff(edge)[1::2]
+                few = np.where(n * m <= FEW, n * m, 0)
+                own, place = np.repeat(np.arange(len(n)), few), ranges(np.zeros(len(n), np.int64), few)
+                a, b = edge[::2][own] + place // m[own], edge[1::2][own] + place % m[own]
+                some = is_open(a, b) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+                a, b = a[some], b[some]
+                both = shared(sets, at, a, b)
+                like = 100 * both >= percent * (size[a] + size[b] - both)
+                found.append((content[a[like]], content[b[like]]))
+                for k in np.flatnonzero(n * m > FEW).tolist():
+                    lo, mid, hi = edge[2 * k : 2 * k + 3].tolist()
                     x, y = sets[at[lo] : at[mid]], sets[at[mid] : at[hi]]
-                    shared = np.intersect1d(x, y)
-                    if not len(shared):
-                        continue
-                    size = np.diff(at[lo : hi + 1])
-                    both = table(x, size[: mid - lo], shared) @ table(y, size[mid - lo :], shared).T
-                    total = size[: mid - lo, None] + size[None, mid - lo :] - both
-                    # each pair once: of two that are both outside only one way round counts
-                    open_ = component[lo:mid, None] != component[None, mid:hi]
-                    open_ &= ~(rest[lo:mid, None] & (content[lo:mid, None] < content[None, mid:hi]))
-                    k, m = np.nonzero(open_ & (100 * both >= percent * total))
-                    found.append((content[lo + k], content[mid + m]))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+                    common = np.intersect1d(x, y)
+                    if len(common):
+                        both = table(x, size[lo:mid], common) @ table(y, size[mid:hi], common).T
+                        total = size[lo:mid, None] + size[None, mid:hi] - both
+                        near = is_open(np.arange(lo, mid)[:, None], np.arange(mid, hi)[None]) & (100 * both >= percent * total)
+                        a, b = np.nonzero(near)
+                        found.append((content[lo + a], content[mid + b]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return pairs.select("x", "y").mapInArrow(judge, "a long, b long")
 
@@ -334,8 +339,9 @@ def _widened(docs: DataFrame, found: DataFrame, base: DataFrame, least: int) ->
                     yield _columns([pa.nulls(len(doc)), ids[doc], start, end, low, high, n, component, removed], out, types)
 
     seen = materialise(texts.mapInArrow(stretches, out), "stretches")
-    shared = materialise(several(seen.where("hash is not null"), "hash"), "shared")
-    hits = seen.join(shared, "hash").withColumn("removed", F.col("first") < F.col("doc_id")).select(seen.columns)
+    known = materialise(several(seen.where("hash is not null"), "hash"), "shared")
+    hits = seen.where("hash is not null").select("hash", "doc_id", "start", "end", "at").join(known, "hash")
+    hits = hits.withColumns({"upto": F.col("at") + least, "n_words": F.lit(None), "component_id": F.lit(None), "removed": F.col("first") < F.col("doc_id")}).select(seen.columns)
     one = F.struct("at", "upto", "start", "end", "hash", "n_words", "component_id", "removed")
     per = hits.union(seen.where("hash is null")).groupBy("doc_id").agg(F.collect_list(one).alias("all"))  # one document's
     made = "doc_id long, start int, end int, n_words int, component_id long, removed boolean"

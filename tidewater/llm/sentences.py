@@ -264,7 +264,7 @@ def chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Texts]]:
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of every text, one after the other, as hashes of 46 bits or more; where each text's begin, and the end."""
+    """The distinct shingles of every text, one after the other, as hashes of 46 bits or more in their order; where each text's begin, and the end."""
     t = Texts(column)
     n = np.maximum(0, np.diff(t.edge) - SHINGLE + 1)
     first = ranges(t.edge[:-1], n)
@@ -274,3 +274,16 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
     edge = np.searchsorted(keys, np.arange(len(n), dtype=np.uint64) << (np.uint64(64) - bits))
     return keys & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1)), np.append(edge, len(keys))
+
+
+def shared(sets: np.ndarray, edge: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles the texts ``a`` and ``b`` of each pair share, of what `shingle_sets` gives."""
+    size, out = np.diff(edge), np.zeros(len(a), np.int64)
+    for i, j in slices(size[a] + size[b]):
+        bits = max(1, (j - i).bit_length())
+        place, lost = np.uint64(64 - bits), np.uint64(max(0, bits - max(1, len(size).bit_length())))
+        pair = np.arange(j - i, dtype=np.uint64) << place
+        keys = np.concatenate([np.repeat(pair, size[x]) | (sets[ranges(edge[x], size[x])] >> lost) for x in (a[i:j], b[i:j])])
+        keys.sort()
+        out[i:j] = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> place).astype(np.int64), minlength=j - i)
+    return out
